@@ -31,17 +31,19 @@ def extract_events(
     min_minutes: float = MIN_EVENT_MINUTES,
     per_train: float = MINUTES_PER_TRAIN,
     observed: str | None = None,
+    max_gap: float | None = None,
     split: Split | None = None,
 ) -> DataFrame:
     """One row per unbroken stretch of flagged rows: start, features of its first row, duration, impact.
 
     ``observed`` names a column with the trains on the boards; its largest value within the event is
-    then reported as ``observed_trains_count`` next to the estimate.
+    then reported as ``observed_trains_count`` next to the estimate. ``max_gap`` also ends an event at a
+    pause of more than that many minutes.
     The result also has ``block_id``, ``end_time`` and ``row_count``. Without flagged rows it is empty.
     """
     tie = [tie] if isinstance(tie, str) else list(tie)
     carried = list(dict.fromkeys([*keys, order, *tie, flag, *features] + ([observed] if observed else [])))
-    blocks = change_blocks(df.select(*carried), keys, order, tie, flag, split=split)
+    blocks = change_blocks(df.select(*carried), keys, order, tie, flag, max_gap=max_gap, split=split)
     aggregates = [
         F.min(order).alias("__start"),
         F.max(order).alias("end_time"),

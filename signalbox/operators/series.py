@@ -292,31 +292,31 @@ def change_blocks(
     flag: str,
     changed: str = "isdelay_changed",
     block: str = "block_id",
+    max_gap: float | None = None,
     split: Split | None = None,
 ) -> DataFrame:
     """Marks rows whose flag differs from the key's previous row, and numbers the stretches between.
 
-    The first row of a key is no change, so its block is 0.
+    The first row of a key is no change, so its block is 0. With ``max_gap`` a pause of more than that
+    many minutes is a change as well.
     """
     s = Series(df, keys, order, tie, split)
-    rows = s.df.withColumns(
-        {
-            "__prev": F.lag(flag, 1).over(s.window()),
-            "__start": F.lag(F.lit(1), 1).over(s.window()).isNull(),
-        }
-    )
+    before = F.lag(F.struct(F.col(flag).alias("flag"), F.col(order).alias("at")), 1).over(s.window())
+    rows = s.df.withColumn("__prev", before)
     if s.cut:
+        last = F.struct(F.col(flag).alias("flag"), F.col(order).alias("at"))
         rows = s.carry(
             rows,
-            {"__last": F.max_by(flag, s.at())},
+            {"__last": F.max_by(last, s.at())},
             lambda p, w: p.withColumn("__last_in", F.lag("__last", 1).over(w)),
             ["__last_in"],
         )
-        rows = rows.withColumn(
-            "__prev", F.when(F.col("__start"), F.col("__last_in")).otherwise(F.col("__prev"))
-        )
-    differs = F.coalesce(F.col(flag) != F.col("__prev"), F.lit(False)).cast("int")
-    rows = rows.withColumn(changed, differs)
+        rows = rows.withColumn("__prev", F.coalesce("__prev", "__last_in"))
+    differs = F.coalesce(F.col(flag) != F.col("__prev.flag"), F.lit(False))
+    if max_gap is not None:
+        pause = (micros(order) - micros("__prev.at")) / F.lit(PER_MINUTE)
+        differs = differs | F.coalesce(pause > F.lit(float(max_gap)), F.lit(False))
+    rows = rows.withColumn(changed, differs.cast("int"))
     rows = rows.withColumn(block, F.sum(changed).over(s.so_far()))
     if s.cut:
         rows = s.carry(
@@ -328,7 +328,7 @@ def change_blocks(
             ["__block_in"],
         )
         rows = rows.withColumn(block, F.col(block) + F.coalesce(F.col("__block_in"), F.lit(0)))
-    return s.done(rows, "__prev", "__start", "__last_in", "__block_in")
+    return s.done(rows, "__prev", "__last_in", "__block_in")
 
 
 def row_positions(s: Series, df: DataFrame, position: str, total: str | None = None) -> DataFrame:
