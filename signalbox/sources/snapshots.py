@@ -114,8 +114,8 @@ def flatten_road_xml(
     )
     rows = entries.where("__why is null").select(
         *keep,
-        "date",
-        "time",
+        F.col("__date").alias("date"),
+        F.col("__time").alias("time"),
         _number(F.col("__e.segment_id"), "bigint").alias("segment_id"),
         _number(F.col("__e.speed"), "double").alias("speed"),
     )
@@ -129,7 +129,7 @@ def _entries(docs: DataFrame, array: str, keep, payload: str, *extra: str) -> Da
     return docs.select(
         *keep,
         *[c for c in (payload,) if c not in keep],
-        *[F.col(e).alias(e.split(".")[-1]) for e in extra],
+        *[F.col(e).alias("__" + e.split(".")[-1]) for e in extra],
         "__why",
         F.explode(elements).alias("__e"),
     )
@@ -220,7 +220,7 @@ def flatten_rail_json(
     waiting = [F.coalesce(F.array_size(board[d]), F.lit(0)) for d in ("UP", "DOWN")]
     rows = entries.where("__why is null").select(
         *keep,
-        stamp_to_timestamp("collected_at").alias("timestamp"),
+        stamp_to_timestamp("__collected_at").alias("timestamp"),
         e["line"].alias("line"),
         e["sta"].alias("sta"),
         (F.coalesce(e["info"]["isdelay"], F.lit("N")) == "Y").cast("int").alias("isdelay"),
