@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.calendar import minutes_between
 from signalbox.operators.series import change_blocks
-from signalbox.operators.split import Split
+from signalbox.operators.split import PIECE, Split
 
 # The shortest duration an event gets, and the minutes per affected train.
 MIN_EVENT_MINUTES = 1.0
@@ -42,13 +42,22 @@ def extract_events(
     The result also has ``block_id``, ``end_time`` and ``row_count``. Without flagged rows it is empty.
     """
     tie = [tie] if isinstance(tie, str) else list(tie)
-    carried = list(dict.fromkeys([*keys, order, *tie, flag, *features] + ([observed] if observed else [])))
-    blocks = change_blocks(df.select(*carried), keys, order, tie, flag, max_gap=max_gap, split=split)
+    carried = [*keys, order, *tie, flag, *features]
+    carried += [observed] if observed else []
+    carried += [PIECE] if PIECE in df.columns else []
+    blocks = change_blocks(
+        df.select(*dict.fromkeys(carried)), keys, order, tie, flag, starts="__starts", max_gap=max_gap, split=split
+    )
+    # Exactly one row of a stretch starts it. Taking the features from that row needs no ordering, so
+    # the aggregate is a hash aggregate, combined before the shuffle.
     aggregates = [
         F.min(order).alias("__start"),
         F.max(order).alias("end_time"),
-        F.min_by(F.struct(*features), F.struct(order, *tie)).alias("__first"),
         F.count(F.lit(1)).alias("row_count"),
+        *[
+            F.first(F.when(F.col("__starts"), F.col(f)), ignorenulls=True).alias(f"__f_{f}")
+            for f in features
+        ],
     ]
     if observed:
         aggregates.append(F.max(observed).alias("observed_trains_count"))
@@ -62,7 +71,7 @@ def extract_events(
         .select(
             *keys,
             F.col("__start").alias(order),
-            "__first.*",
+            *[F.col(f"__f_{f}").alias(f) for f in features],
             "delay_duration_minutes",
             "affected_trains_count",
             "block_id",

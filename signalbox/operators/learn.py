@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -55,7 +56,16 @@ def train_regressor(
     gbt = GBTRegressor(
         featuresCol="features", labelCol=label, predictionCol=f"predicted_{label}", maxIter=max_iter, maxDepth=max_depth, seed=seed
     )
-    return Pipeline(stages=[gbt]).fit(samples)
+    return _fit(Pipeline(stages=[gbt]), samples.select("features", label))
+
+
+def _fit(estimator: Estimator, samples: DataFrame) -> Model:
+    """Fits on kept samples: training reads them many times, and they come out of windows."""
+    kept = samples.persist(StorageLevel.DISK_ONLY)
+    try:
+        return estimator.fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def train_classifier(
@@ -63,15 +73,17 @@ def train_classifier(
 ) -> PipelineModel:
     columns = {"featuresCol": "features", "labelCol": label, "maxIter": max_iter}
     model = GBTClassifier(seed=seed, **columns) if kind == "gbt" else LogisticRegression(**columns)
-    return Pipeline(stages=[model]).fit(samples)
+    return _fit(Pipeline(stages=[model]), samples.select("features", label))
 
 
 def train_events(samples: DataFrame, seed: int, **options) -> tuple[PipelineModel, PipelineModel]:
     """Two regressors, one per output: duration and affected trains."""
-    return tuple(
-        train_regressor(samples, label, seed, **options)
-        for label in ("delay_duration_minutes", "affected_trains_count")
-    )
+    outputs = ("delay_duration_minutes", "affected_trains_count")
+    kept = samples.select("features", *outputs).persist(StorageLevel.DISK_ONLY)
+    try:
+        return tuple(train_regressor(kept, label, seed, **options) for label in outputs)
+    finally:
+        kept.unpersist()
 
 
 def select_best(
@@ -88,7 +100,7 @@ def select_best(
     search = TrainValidationSplit(
         estimator=model, estimatorParamMaps=grid, evaluator=judge, trainRatio=train, seed=seed
     )
-    return search.fit(samples).bestModel
+    return _fit(search, samples.select("features", label)).bestModel
 
 
 def _current(rows: DataFrame, keys, order, tie, scales, features, length) -> DataFrame:

@@ -157,33 +157,45 @@ def nearest_vertex(
             break
         levels += 1
 
-    frontier = points.select(
-        F.col(point_id).alias("__pid"),
-        F.col(x).alias("px"),
-        F.col(y).alias("py"),
-        F.lit(0).cast("bigint").alias("cx"),
-        F.lit(0).cast("bigint").alias("cy"),
+    def boxes(level: int) -> DataFrame:
+        return places.groupBy(*cell(level)).agg(
+            F.min("vx").alias("bx0"), F.max("vx").alias("bx1"), F.min("vy").alias("by0"), F.max("vy").alias("by1")
+        )
+
+    def reach(px: Column, py: Column, b) -> tuple[Column, Column]:
+        """Squared distance to the nearest and to the farthest place of a box."""
+        near_x = F.greatest(b("bx0") - px, px - b("bx1"), F.lit(0.0))
+        near_y = F.greatest(b("by0") - py, py - b("by1"), F.lit(0.0))
+        far_x = F.greatest(px - b("bx0"), b("bx1") - px)
+        far_y = F.greatest(py - b("by0"), b("by1") - py)
+        return near_x * near_x + near_y * near_y, far_x * far_x + far_y * far_y
+
+    # The first level has at most 64 boxes, whatever the data: a constant, and no join.
+    first = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in boxes(1).collect()])
+    px, py = F.col("px"), F.col("py")
+    located = points.select(
+        F.col(point_id).alias("__pid"), F.col(x).alias("px"), F.col(y).alias("py")
     ).where("px is not null and py is not null and not isnan(px) and not isnan(py)")
-    parent = [F.shiftright("cx", _FAN_BITS).alias("cx"), F.shiftright("cy", _FAN_BITS).alias("cy")]
+    bound = F.array_min(F.transform(first, lambda b: reach(px, py, b.__getitem__)[1]))
+    near = F.filter(first, lambda b: reach(px, py, b.__getitem__)[0] <= F.col("__bound"))
+    frontier = (
+        located.withColumn("__bound", bound)
+        .select("__pid", "px", "py", F.explode(near).alias("b"))
+        .select("__pid", "px", "py", "b.cx", "b.cy")
+    )
     best = F.min("__worst").over(Window.partitionBy("__pid"))
-    for level in range(1, levels + 1):
-        boxes = places.groupBy(*cell(level)).agg(
-            F.min("vx").alias("bx0"), F.max("vx").alias("bx1"), F.min("vy").alias("by0"), F.max("vy").alias("by1")
+    for level in range(2, levels + 1):
+        # A child's parent is its own number shifted right: the levels nest exactly.
+        parent = [F.shiftright("cx", _FAN_BITS).alias("cx"), F.shiftright("cy", _FAN_BITS).alias("cy")]
+        children = boxes(level).select(
+            *parent, F.col("cx").alias("nx"), F.col("cy").alias("ny"), "bx0", "bx1", "by0", "by1"
         )
-        # Coordinates of the finest level nest exactly: a child's parent is its number shifted right.
-        children = boxes.select(*parent, F.col("cx").alias("nx"), F.col("cy").alias("ny"), "bx0", "bx1", "by0", "by1")
-        if level <= 2:
-            children = F.broadcast(children)  # at most 64^level rows, whatever the data
-        near_x = F.greatest(F.col("bx0") - F.col("px"), F.col("px") - F.col("bx1"), F.lit(0.0))
-        near_y = F.greatest(F.col("by0") - F.col("py"), F.col("py") - F.col("by1"), F.lit(0.0))
-        far_x = F.greatest(F.col("px") - F.col("bx0"), F.col("bx1") - F.col("px"))
-        far_y = F.greatest(F.col("py") - F.col("by0"), F.col("by1") - F.col("py"))
+        nearest, farthest = reach(px, py, F.col)
         frontier = (
             frontier.join(children, ["cx", "cy"])
             .select(
                 "__pid", "px", "py", F.col("nx").alias("cx"), F.col("ny").alias("cy"),
-                (near_x * near_x + near_y * near_y).alias("__best"),
-                (far_x * far_x + far_y * far_y).alias("__worst"),
+                nearest.alias("__best"), farthest.alias("__worst"),
             )
             .withColumn("__bound", best)
             .where(F.col("__best") <= F.col("__bound"))

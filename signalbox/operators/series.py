@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.functions.calendar import MICROS_PER_MINUTE, micros
-from signalbox.operators.split import Series, Split
+from signalbox.operators.split import PIECE, Series, Split
 
 # Fixed values of the road feed: the gap assumed before a segment's first row, and the label offset.
 FIRST_GAP_MINUTES = 5.0
@@ -292,13 +292,14 @@ def change_blocks(
     flag: str,
     changed: str = "isdelay_changed",
     block: str = "block_id",
+    starts: str | None = None,
     max_gap: float | None = None,
     split: Split | None = None,
 ) -> DataFrame:
     """Marks rows whose flag differs from the key's previous row, and numbers the stretches between.
 
     The first row of a key is no change, so its block is 0. With ``max_gap`` a pause of more than that
-    many minutes is a change as well.
+    many minutes is a change as well. ``starts`` names a column that marks the first row of each stretch.
     """
     s = Series(df, keys, order, tie, split)
     before = F.lag(F.struct(F.col(flag).alias("flag"), F.col(order).alias("at")), 1).over(s.window())
@@ -317,6 +318,8 @@ def change_blocks(
         pause = (micros(order) - micros("__prev.at")) / F.lit(PER_MINUTE)
         differs = differs | F.coalesce(pause > F.lit(float(max_gap)), F.lit(False))
     rows = rows.withColumn(changed, differs.cast("int"))
+    if starts:
+        rows = rows.withColumn(starts, F.col("__prev").isNull() | (F.col(changed) == 1))
     rows = rows.withColumn(block, F.sum(changed).over(s.so_far()))
     if s.cut:
         rows = s.carry(
@@ -376,7 +379,8 @@ def sequences(
     ``label``.
     """
     kept = list(dict.fromkeys([*keys, order, *([tie] if isinstance(tie, str) else tie)]))
-    narrow = df.select(*kept, F.struct(*features).alias("__f"), F.col(label).alias("label"))
+    piece = [PIECE] if PIECE in df.columns else []
+    narrow = df.select(*kept, *piece, F.struct(*features).alias("__f"), F.col(label).alias("label"))
     s = Series(narrow, keys, order, tie, split)
     rows = row_positions(s, s.df, "__i", "__n")
     recent = F.collect_list("__f").over(s.window().rowsBetween(-(length - 1), 0))

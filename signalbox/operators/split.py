@@ -84,6 +84,21 @@ class Split:
         match = null_safe([F.col(k) for k in self.keys], [F.col(n) for n in names])
         return df.join(F.broadcast(cuts), match, "left").withColumn(PIECE, piece).drop(*names, _CUTS)
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Marks the rows and brings each piece together; unchanged when nothing is cut.
+
+        Done once at the head of a chain of operators, they all work on this one shuffle, and so do the
+        summaries of the pieces. End the chain with ``gathered``.
+        """
+        if self.cuts is None:
+            return df
+        return self.mark(df).repartition(*self.keys, PIECE)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """Ends a chain that began with ``Split.spread``."""
+    return df.drop(PIECE)
+
 
 def _estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate; None where the session does not expose it."""
@@ -162,14 +177,17 @@ class Series:
     tie: Sequence[str]
     split: Split | None = None
     cut: bool = field(init=False)
+    chained: bool = field(init=False)
 
     def __post_init__(self) -> None:
         if isinstance(self.tie, str):
             self.tie = [self.tie]
         if self.split is None:
             self.split = plan_split(self.df, self.keys, self.order)
-        self.df = self.split.mark(self.df)
         self.cut = self.split.cuts is not None
+        self.chained = PIECE in self.df.columns
+        if not self.chained:
+            self.df = self.split.spread(self.df)
 
     @property
     def part(self) -> list[str]:
@@ -206,10 +224,12 @@ class Series:
     ) -> DataFrame:
         """Summarises each piece, lets ``across`` combine the pieces of a key in time order, and joins
         the ``keep`` columns of the result to the rows. Rows of whole keys get nulls."""
+        # Which pieces count is decided after the aggregate, so that no filter changes the shuffle below.
         pieces = (
-            df.where(F.col(PIECE) >= 0)
-            .groupBy(*self.part)
-            .agg(*[c.alias(n) for n, c in summary.items()])
+            df.groupBy(*self.part)
+            .agg(F.max(PIECE).alias("__cut"), *[c.alias(n) for n, c in summary.items()])
+            .where(F.col("__cut") >= 0)
+            .drop("__cut")
         )
         return self._join(df, across(pieces, Window.partitionBy(*self.keys).orderBy(PIECE)), keep)
 
@@ -217,9 +237,8 @@ class Series:
         """Adds the ``n`` values just before (or after) the row's piece, in time order."""
         order = self.backwards() if before else self.window()
         edge = (
-            df.where(F.col(PIECE) >= 0)
-            .select(*self.part, F.row_number().over(order).alias("__r"), value.alias("__v"))
-            .where(F.col("__r") <= n)
+            df.select(*self.part, F.row_number().over(order).alias("__r"), value.alias("__v"))
+            .where(F.when(F.col(PIECE) >= 0, F.col("__r")) <= n)
             .groupBy(*self.part)
             .agg(F.array_sort(F.collect_list(F.struct("__r", "__v"))).alias("__edge"))
         )
@@ -246,4 +265,4 @@ class Series:
         return df.join(F.broadcast(pieces), match, "left").drop(*names)
 
     def done(self, df: DataFrame, *temporary: str) -> DataFrame:
-        return df.drop(PIECE, *temporary)
+        return df.drop(*temporary) if self.chained else df.drop(PIECE, *temporary)

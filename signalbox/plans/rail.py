@@ -11,9 +11,11 @@ from signalbox.operators.dataset import augment
 from signalbox.operators.events import extract_events
 from signalbox.operators.learn import event_samples, risk_samples, score_rail, train_classifier, train_events
 from signalbox.operators.series import forward_fill, lookahead_max
-from signalbox.operators.split import plan_split
+from signalbox.operators.split import gathered, plan_split
+from signalbox.session import work_dir
 from signalbox.sources.sinks import write_series
 from signalbox.sources.snapshots import FILE, flatten_rail_json, read_archive
+from signalbox.sources.tables import read_table
 
 KEYS = ["line", "sta"]
 ORDER = "timestamp"
@@ -33,31 +35,31 @@ def filled(rows: DataFrame, tie: str = FILE, split=None) -> DataFrame:
 def risk_table(rows: DataFrame, tie: str = FILE, seconds: float | None = None, split=None) -> DataFrame:
     """Station series with the "delay ahead" label."""
     split = split or plan_split(rows, KEYS, ORDER)
-    return lookahead_max(filled(rows, tie, split), KEYS, ORDER, tie, "isdelay", seconds=seconds, split=split)
+    rows = filled(split.spread(rows), tie, split)
+    return gathered(lookahead_max(rows, KEYS, ORDER, tie, "isdelay", seconds=seconds, split=split))
 
 
 def event_table(rows: DataFrame, tie: str = FILE, split=None) -> DataFrame:
     """Delay events with the features of their first row."""
     split = split or plan_split(rows, KEYS, ORDER)
     return extract_events(
-        filled(rows, tie, split), KEYS, ORDER, tie, "isdelay", EVENT_FEATURES, observed="trains_listed", split=split
+        filled(split.spread(rows), tie, split), KEYS, ORDER, tie, "isdelay", EVENT_FEATURES, observed="trains_listed", split=split
     )
 
 
 def prepare_training_tables(spark: SparkSession, archive: str, risk_path: str, event_path: str, seed: int) -> bool:
-    """Archive of JSON snapshots to the risk and the augmented event table; parsed once.
+    """Archive of JSON snapshots to the risk and the augmented event table; parsed once, to a table.
 
     Returns whether there are delay events. Without any, the event table is written empty and event
     training is to be skipped.
     """
-    rows = series(read_archive(spark, archive, "*.json")).persist()
-    try:
-        split = plan_split(rows, KEYS, ORDER)
-        write_series(risk_table(rows, split=split), risk_path, KEYS, ORDER)
-        events = event_table(rows, split=split)
-        augment(events, [*KEYS, ORDER], seed).write.mode("overwrite").parquet(event_path)
-    finally:
-        rows.unpersist()
+    parsed = work_dir(spark, "rail-rows")
+    series(read_archive(spark, archive, "*.json")).write.parquet(parsed)
+    rows = read_table(spark, parsed)
+    split = plan_split(rows, KEYS, ORDER)
+    write_series(risk_table(rows, split=split), risk_path, KEYS, ORDER)
+    events = event_table(rows, split=split)
+    augment(events, [*KEYS, ORDER], seed).write.mode("overwrite").parquet(event_path)
     return not spark.read.parquet(event_path).isEmpty()
 
 

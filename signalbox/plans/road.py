@@ -11,7 +11,8 @@ from signalbox.functions.geometry import SIMPLIFY_TOLERANCE, TransverseMercator,
 from signalbox.operators.learn import road_samples, score_road, select_best
 from signalbox.operators.network import keep_known
 from signalbox.operators.series import gap_minutes, lead_label, run_minutes
-from signalbox.operators.split import Split, plan_split
+from signalbox.operators.split import Split, gathered, plan_split
+from signalbox.session import work_dir
 from signalbox.sources.sinks import feature_json, write_series
 from signalbox.sources.snapshots import FILE, flatten_road_xml, read_archive
 from signalbox.sources.tables import read_table
@@ -35,9 +36,9 @@ def congestion_features(
     keys = [key]
     split = split or plan_split(df, keys, order)
     df = df.withColumn("is_congested", F.coalesce(F.col(speed) < CONGESTED_BELOW, F.lit(False)).cast("int"))
-    df = gap_minutes(df, keys, order, tie, max_gap=max_gap, split=split)
+    df = gap_minutes(split.spread(df), keys, order, tie, max_gap=max_gap, split=split)
     df = run_minutes(df, keys, order, tie, "is_congested", mode=mode, min_minutes=min_minutes, split=split)
-    return lead_label(df, keys, order, tie, "congestion_minutes", split=split)
+    return gathered(lead_label(df, keys, order, tie, "congestion_minutes", split=split))
 
 
 def observations(docs: DataFrame, on_error: str = "row") -> DataFrame:
@@ -47,8 +48,14 @@ def observations(docs: DataFrame, on_error: str = "row") -> DataFrame:
 
 
 def prepare_training_table(spark: SparkSession, archive: str, output: str, **options) -> None:
-    """Archive of XML snapshots to the Parquet training table."""
-    rows = observations(read_archive(spark, archive, "*.xml"))
+    """Archive of XML snapshots to the Parquet training table.
+
+    The observations are written first: parsing is the dear part, and measuring, cutting and the
+    features each read them.
+    """
+    parsed = work_dir(spark, "road-observations")
+    observations(read_archive(spark, archive, "*.xml")).write.parquet(parsed)
+    rows = read_table(spark, parsed)
     write_series(congestion_features(rows, FILE, **options), output, ["segment_id"], "datetime")
 
 
