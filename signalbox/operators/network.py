@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.operators.series import row_positions
-from signalbox.operators.split import Series, plan_split
+from signalbox.operators.split import Series, numeric_tie, plan_split
 from signalbox.session import work_dir
 from signalbox.sources.sinks import feature_json
 
@@ -69,8 +69,9 @@ def line_strings(
     A line of more than ``max_vertices`` continues in parts 1, 2, ... Each part starts with the vertex
     that ended the one before, so nothing is lost and no array is unbounded.
     """
-    split = plan_split(vertices, keys, order, max_rows) if max_rows else None
-    s = Series(vertices.select(*dict.fromkeys([*keys, order, *tie, x, y])), keys, order, list(tie), split)
+    tie = list(tie)
+    split = plan_split(vertices, keys, order, numeric_tie(vertices, tie), max_rows)
+    s = Series(vertices.select(*dict.fromkeys([*keys, order, *tie, x, y])), keys, order, tie, split)
     rows = row_positions(s, s.df, "__i", "__n").where(F.col("__n") > 1)
     step = max_vertices - 1
     i = F.col("__i") - 1

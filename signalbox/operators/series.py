@@ -258,23 +258,26 @@ def lookahead_max(
             back.rangeBetween(Window.unboundedPreceding, Window.currentRow)
         )
         if s.cut:
-            marked = s.carry(
-                marked,
-                {"__first": F.min(moment)},
-                lambda p, w: p.withColumn(
-                    "__beyond", F.min("__first").over(
-                        Window.partitionBy(*keys)
-                        .orderBy(F.col(s.part[-1]).desc())
-                        .rowsBetween(Window.unboundedPreceding, -1)
-                    )
-                ),
-                ["__beyond"],
-            )
-            upcoming = F.coalesce(upcoming, F.col("__beyond"))
+
+            def across(pieces: DataFrame, w) -> DataFrame:
+                back_pieces = Window.partitionBy(*keys).orderBy(F.col(s.part[-1]).desc())
+                earlier = (Window.unboundedPreceding, -1)
+                return pieces.withColumns(
+                    {
+                        "__beyond": F.min("__first").over(back_pieces.rowsBetween(*earlier)),
+                        "__so_far": F.max("__last").over(w.rowsBetween(*earlier)),
+                    }
+                )
+
+            summary = {"__first": F.min(moment), "__last": F.max(moment)}
+            marked = s.carry(marked, summary, across, ["__beyond", "__so_far"])
+            # A crowded time may itself be cut: its rows in earlier pieces are not in the past.
+            same_time = F.when(F.col("__so_far") == micros(order), F.col("__so_far"))
+            upcoming = F.coalesce(same_time, upcoming, F.col("__beyond"))
         marked = marked.withColumn("__upcoming", upcoming)
         near = F.col("__upcoming") <= micros(order) + F.lit(int(seconds * 1_000_000))
         label = F.coalesce(near, F.lit(False)).cast("double")
-        return s.done(marked.withColumn(out, label), "__upcoming", "__beyond")
+        return s.done(marked.withColumn(out, label), "__upcoming", "__beyond", "__so_far")
 
     label = F.max(flag).over(s.window().rowsBetween(0, rows - 1))
     if s.cut and rows > 1:

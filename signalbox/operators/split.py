@@ -10,7 +10,8 @@ Bounds: a key is cut only if it has more than ``rows / shuffle partitions`` rows
 cut keys than shuffle partitions, and at most about twice as many pieces. That is why the cut points
 and the summaries may be broadcast whatever the size of the data.
 
-Rows of one key with the same time stay in one piece.
+A time that alone has too many rows is cut further along the tiebreaker, where that is a number or a
+time. Pieces follow the series' total order in every case.
 """
 
 from __future__ import annotations
@@ -42,6 +43,16 @@ def axis(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
+def _tie_axis(df: DataFrame, tie: str | None) -> Column:
+    return F.lit(0.0) if tie is None else axis(df, tie)
+
+
+def numeric_tie(df: DataFrame, tie: Sequence[str]) -> str | None:
+    """The first tiebreaker, if cuts can be placed on it."""
+    kinds = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
+    return tie[0] if tie and isinstance(df.schema[tie[0]].dataType, kinds) else None
+
+
 def null_safe(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, (l.eqNullSafe(r) for l, r in zip(left, right)))
 
@@ -64,10 +75,14 @@ def _cuts_at_or_below(cuts: Column, value: Column, steps: int) -> Column:
 
 @dataclass(frozen=True)
 class Split:
-    """Cut points of the oversized keys; ``cuts`` is None when no key needs cutting."""
+    """Cut points of the oversized keys; ``cuts`` is None when no key needs cutting.
+
+    A cut point (o, t) starts a piece at the first row whose order and tiebreaker are not below it.
+    """
 
     keys: tuple[str, ...]
     order: str
+    tie: str | None = None
     cuts: DataFrame | None = None
     longest: int = 0
 
@@ -78,8 +93,9 @@ class Split:
         names = [f"__cut_{i}" for i in range(len(self.keys))]
         cuts = self.cuts.toDF(*names, _CUTS)
         steps = max(1, math.ceil(math.log2(self.longest + 1)) + 1)
+        here = F.struct(axis(df, self.order).alias("o"), _tie_axis(df, self.tie).alias("t"))
         piece = F.when(F.col(_CUTS).isNull(), F.lit(-1)).otherwise(
-            _cuts_at_or_below(F.col(_CUTS), axis(df, self.order), steps)
+            _cuts_at_or_below(F.col(_CUTS), here, steps)
         )
         match = null_safe([F.col(k) for k in self.keys], [F.col(n) for n in names])
         return df.join(F.broadcast(cuts), match, "left").withColumn(PIECE, piece).drop(*names, _CUTS)
@@ -108,15 +124,39 @@ def _estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def _quantiles(
+    rows: DataFrame, groups: Sequence[str], column: str, largest: int, limit: int
+) -> DataFrame:
+    """Per group the values of ``column`` at about every ``limit`` rows (mergeable sketches)."""
+    pieces = min(MAX_PIECES, math.ceil(largest / limit))
+    shares = [i / pieces for i in range(1, pieces)]
+    # A group smaller than the largest needs fewer cuts: keep every step-th quantile.
+    step = F.greatest(F.lit(1), F.floor(F.lit(pieces * limit) / F.col("__n"))).cast("int")
+    return (
+        rows.groupBy(*groups)
+        .agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.percentile_approx(column, shares, F.lit(max(10_000, 10 * pieces))).alias("__q"),
+        )
+        .withColumn("__step", step)
+        .select(*groups, "__n", F.filter("__q", lambda x, i: (i + 1) % F.col("__step") == 0).alias("__q"))
+    )
+
+
 def plan_split(
-    df: DataFrame, keys: Sequence[str], order: str, max_rows: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    tie: str | None = None,
+    max_rows: int | None = None,
 ) -> Split:
     """Measures the keys and chooses cut points. Plan once, pass the result to several operators.
 
-    ``max_rows`` overrides the rows a piece may have (tests use a tiny value).
+    ``tie`` names the first tiebreaker if it is a number or a time. ``max_rows`` overrides the rows a
+    piece may have (tests use a tiny value).
     """
     keys = tuple(keys)
-    whole = Split(keys, order)
+    whole = Split(keys, order, tie)
     if max_rows is None:
         size = _estimated_bytes(df)
         if size is not None and size < SMALL_INPUT_BYTES:
@@ -130,40 +170,37 @@ def plan_split(
     if top <= limit:
         return whole
 
-    names = [f"__hot_{i}" for i in range(len(keys))]
-    hot = counts.where(F.col("__n") > limit).toDF(*names, "__n")
-    rows = df.select(*keys, axis(df, order).alias("__x")).join(
-        F.broadcast(hot), null_safe([F.col(k) for k in keys], [F.col(n) for n in names])
-    )
-    pieces = min(MAX_PIECES, math.ceil(top / limit))
-    shares = [i / pieces for i in range(1, pieces)]
-    # A key smaller than the largest one needs fewer cuts: keep every step-th quantile.
-    step = F.greatest(F.lit(1), F.floor(F.lit(pieces * limit) / F.col("n"))).cast("int")
-    quantiles = (
-        rows.groupBy(*keys)
-        .agg(
-            F.first("__n").alias("n"),
-            F.percentile_approx("__x", shares, F.lit(max(10_000, 10 * pieces))).alias("q"),
-        )
-        .withColumn("step", step)
-        .select(
-            *keys,
-            F.array_sort(
-                F.array_distinct(F.filter("q", lambda x, i: (i + 1) % F.col("step") == 0))
-            ).alias(_CUTS),
-        )
-        .where(F.size(_CUTS) > 0)
-    )
+    def only(rows: DataFrame, wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
+        names = [f"__hot_{i}" for i in range(len(columns))]
+        match = null_safe([F.col(c) for c in columns], [F.col(n) for n in names])
+        return rows.join(F.broadcast(wanted.select(*columns).toDF(*names)), match, "left_semi")
+
+    spark = df.sparkSession
+    key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
+    rows = df.select(*keys, axis(df, order).alias("__x"), _tie_axis(df, tie).alias("__t"))
+    hot = only(rows, counts.where(F.col("__n") > limit), keys)
     # Fixed on the driver (bounded, see above) so that every later stage, also a re-run one, cuts alike.
-    fixed = quantiles.collect()
-    if not fixed:
+    by_time = _quantiles(hot, keys, "__x", top, limit).collect()
+    cuts: dict[tuple, set] = {}
+    crowded, crowd = [], 0
+    for r in by_time:
+        key, values = tuple(r[k] for k in keys), r["__q"]
+        cuts[key] = {(v, -math.inf) for v in values}
+        for v in {v for v, w in zip(values, values[1:]) if v == w}:
+            crowded.append((*key, v))
+            crowd = max(crowd, r["__n"])
+    if crowded and tie is not None:
+        times = spark.createDataFrame(crowded, T.StructType([*key_fields, T.StructField("__x", T.DoubleType())]))
+        places = [*keys, "__x"]
+        for r in _quantiles(only(hot, times, places), places, "__t", crowd, limit).collect():
+            cuts[tuple(r[k] for k in keys)] |= {(r["__x"], t) for t in r["__q"]}
+    found = [(*key, sorted(points)) for key, points in cuts.items() if points]
+    if not found:
         return whole
-    schema = T.StructType(
-        [T.StructField(k, df.schema[k].dataType) for k in keys]
-        + [T.StructField(_CUTS, T.ArrayType(T.DoubleType()))]
-    )
+    point = T.StructType([T.StructField("o", T.DoubleType()), T.StructField("t", T.DoubleType())])
+    schema = T.StructType([*key_fields, T.StructField(_CUTS, T.ArrayType(point))])
     return Split(
-        keys, order, df.sparkSession.createDataFrame(fixed, schema), max(len(r[_CUTS]) for r in fixed)
+        keys, order, tie, spark.createDataFrame(found, schema), max(len(f[-1]) for f in found)
     )
 
 
@@ -183,7 +220,7 @@ class Series:
         if isinstance(self.tie, str):
             self.tie = [self.tie]
         if self.split is None:
-            self.split = plan_split(self.df, self.keys, self.order)
+            self.split = plan_split(self.df, self.keys, self.order, numeric_tie(self.df, self.tie))
         self.cut = self.split.cuts is not None
         self.chained = PIECE in self.df.columns
         if not self.chained:
