@@ -14,7 +14,7 @@ from signalbox.plans import road as road_plan
 from signalbox.plans import standin
 from signalbox.session import work_dir
 from signalbox.sources import sinks, snapshots, tables
-from signalbox.streaming import state
+from signalbox.streaming import feeds, state
 from signalbox.streaming.events import EventStream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,6 +596,34 @@ def feature_collections(spark, sf):
     )
 
 
+@query
+def network_features(spark, sf):
+    """Regions as lines over their nations, placed by each nation's first supplier; read back from text."""
+    nations = standin.table(spark, sf, "nation", "n_nationkey", "n_regionkey")
+    names = standin.table(spark, sf, "region", "r_regionkey", "r_name")
+    lines = nations.join(names, nations["n_regionkey"] == names["r_regionkey"]).select(
+        F.col("r_name").alias("line"), F.col("n_nationkey").alias("seq"), F.col("n_nationkey").cast("string").alias("sta")
+    )
+    suppliers = standin.table(spark, sf, "supplier", "s_nationkey", "s_suppkey", "s_acctbal").select(
+        F.col("s_nationkey").cast("string").alias("sta"), F.col("s_suppkey").cast("double").alias("lon"),
+        F.col("s_acctbal").alias("lat"),
+    )
+    coords = network.first_per_key(suppliers, "sta", "lon")
+    colors = tables.mapping(spark, {"ASIA": "#101010", "EUROPE": "#202020"}, "line string, color string")
+    features = network.network_features(lines, coords, colors)
+    parsed = features.select(
+        F.from_json("feature", "properties map<string, string>, geometry struct<type: string, coordinates: string>").alias("f")
+    )
+    p, text = F.col("f.properties"), F.col("f.geometry.coordinates")
+    line = F.from_json(text, "array<array<double>>")
+    is_line = F.col("f.geometry.type") == "LineString"
+    vertices = F.when(is_line, line).otherwise(F.array(F.from_json(text, "array<double>")))
+    return parsed.select(
+        p["line"].alias("line"), p["name"].alias("name"), p["type"].alias("type"), p["color"].alias("color"),
+        F.posexplode(vertices).alias("pos", "v"),
+    ).select("line", "name", "type", "color", "pos", F.get("v", F.lit(0)).alias("lon"), F.get("v", F.lit(1)).alias("lat"))
+
+
 @query
 def minmax_affine(spark, sf):
     return geometry.pixels_to_degrees(standin.points(spark, sf), "x", "y").select("vec_id", "lon", "lat")
@@ -641,7 +669,7 @@ def reproject_roads(spark, sf):
 def road_network_features(spark, sf):
     observed = standin.road(spark, sf).select("segment_id")
     out = road_plan.road_features(standin.grid_lines(spark, sf), observed, GRID, tolerance=0.01)
-    return out.select("segment_id", "STREET_ENAME", F.size("geometry").alias("vertices"), "feature")
+    return out.select("segment_id", "STREET_ENAME", F.size("geometry").alias("vertices"))
 
 
 # ---- streams ---------------------------------------------------------------------------------
@@ -689,6 +717,26 @@ def stream_events(spark, sf):
     return table.events()
 
 
+@query
+def stream_scored_state(spark, sf):
+    """Every micro-batch is reduced, scored and merged; the stand-in model is a share of the arrival."""
+    root = work_dir(spark, "stream-scored")
+
+    def score(rows):
+        newest = serving.latest(rows, *RAIL)
+        risk = rounding.exact_round(F.least(F.lit(1.0), F.col("up_ttnt_1") / 60), 4)
+        return newest.select(
+            "line", "sta", risk.alias("delay_risk_probability"), severity.rail_severity(risk).alias("color_code"),
+            F.col("timestamp").alias("updated_at"),
+        )
+
+    rows = _stream(spark, sf, _rail_rows)
+    empty = score(spark.createDataFrame([], rows.schema))
+    table = state.LatestState(spark, root, empty.schema, ["line", "sta"], "updated_at")
+    feeds.scored_state(rows, score, table, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return table.current()
+
+
 @query
 def stream_sequences(spark, sf):
     root = work_dir(spark, "stream-sequences")

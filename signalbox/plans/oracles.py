@@ -446,6 +446,18 @@ ORACLES["feature_collections"] = """
 SELECT 'L' || (c_custkey % 10) || '-' || c_custkey AS name, 'Point' AS type,
   CASE WHEN c_custkey % 10 < 5 THEN '#' || repeat(CAST(c_custkey % 10 AS VARCHAR), 3) ELSE '#000000' END AS color FROM customer
 """
+ORACLES["network_features"] = """
+WITH placed AS (
+  SELECT r_name AS line, n_nationkey AS seq, CAST(s_suppkey AS DOUBLE) AS lon, s_acctbal AS lat,
+         CASE r_name WHEN 'ASIA' THEN '#101010' WHEN 'EUROPE' THEN '#202020' ELSE '#000000' END AS color
+  FROM nation JOIN region ON n_regionkey = r_regionkey
+  JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
+    ON s_nationkey = n_nationkey AND r = 1)
+SELECT line, NULL AS name, 'LineString' AS type, color,
+  CAST(row_number() OVER (PARTITION BY line ORDER BY seq) - 1 AS INTEGER) AS pos, lon, lat
+FROM (SELECT *, count(*) OVER (PARTITION BY line) AS n FROM placed) WHERE n > 1
+UNION ALL SELECT line, line || '-' || seq, 'Point', color, CAST(0 AS INTEGER), lon, lat FROM placed
+"""
 _XY = "SELECT vec_id, CAST(embedding[{0}] AS DOUBLE) AS x, CAST(embedding[{1}] AS DOUBLE) AS y FROM embeddings"
 ORACLES["minmax_affine"] = f"""
 WITH p AS ({_XY.format(1, 2)}), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p)
@@ -458,6 +470,64 @@ d AS (SELECT p.vec_id, v.vec_id AS vertex_id, (p.x - v.x) * (p.x - v.x) + (p.y -
 SELECT vec_id, vertex_id, distance2 FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance2, vertex_id) AS r FROM d) WHERE r = 1
 """
+# Inverse transverse Mercator, step by step; v holds one row per vertex.
+_DEGREES = """
+grid AS (
+  SELECT 6378388.0::DOUBLE AS a, 1 / 297.0::DOUBLE AS f, 836694.05::DOUBLE AS fe, 819069.80::DOUBLE AS fn,
+         radians(22 + 18 / 60.0::DOUBLE + 43.68::DOUBLE / 3600) AS lat0,
+         114 + 10 / 60.0::DOUBLE + 42.80::DOUBLE / 3600 AS lon0),
+shape AS (SELECT *, f / (2 - f) AS n, sqrt(f * (2 - f)) AS e FROM grid),
+origin AS (
+  SELECT *, a / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256) AS radius,
+         atan(sinh(atanh(sin(lat0)) - e * atanh(e * sin(lat0)))) AS x0 FROM shape),
+k AS (
+  SELECT *, x0 + (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180) * sin(2 * x0)
+    + (13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440) * sin(4 * x0)
+    + (61 * n**3 / 240 - 103 * n**4 / 140) * sin(6 * x0) + (49561 * n**4 / 161280) * sin(8 * x0) AS m0,
+    n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360 AS b1, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440 AS b2,
+    17 * n**3 / 480 - 37 * n**4 / 840 AS b3, 4397 * n**4 / 161280 AS b4 FROM origin),
+i AS (SELECT CAST(unnest(range(8)) AS INTEGER) AS pos),
+v AS (
+  SELECT vec_id AS ROUTE_ID, pos,
+    ((CAST(embedding[2 * pos + 2] AS DOUBLE) * 20000 + fn) - fn) / radius + m0 AS xi,
+    ((CAST(embedding[2 * pos + 1] AS DOUBLE) * 20000 + fe + pos * 400) - fe) / radius AS eta,
+    k.* FROM embeddings, i, k),
+w AS (
+  SELECT *, xi - b1 * sin(2*xi) * cosh(2*eta) - b2 * sin(4*xi) * cosh(4*eta) - b3 * sin(6*xi) * cosh(6*eta)
+            - b4 * sin(8*xi) * cosh(8*eta) AS xi1,
+    eta - b1 * cos(2*xi) * sinh(2*eta) - b2 * cos(4*xi) * sinh(4*eta) - b3 * cos(6*xi) * sinh(6*eta)
+        - b4 * cos(8*xi) * sinh(8*eta) AS eta1 FROM v),
+c AS (SELECT *, asinh(sin(xi1) / sqrt(sinh(eta1)**2 + cos(xi1)**2)) AS q FROM w),
+s1 AS (SELECT *, tanh(q + e * atanh(e * tanh(q))) AS s FROM c),
+s2 AS (SELECT * REPLACE (tanh(q + e * atanh(e * s)) AS s) FROM s1),
+s3 AS (SELECT * REPLACE (tanh(q + e * atanh(e * s)) AS s) FROM s2),
+s4 AS (SELECT * REPLACE (tanh(q + e * atanh(e * s)) AS s) FROM s3),
+s5 AS (SELECT * REPLACE (tanh(q + e * atanh(e * s)) AS s) FROM s4),
+pts AS (SELECT ROUTE_ID, pos, lon0 + degrees(atan2(sinh(eta1), cos(xi1))) AS lon, degrees(asin(s)) AS lat FROM s5)
+"""
+ORACLES["reproject_roads"] = f"""
+WITH {_DEGREES} SELECT ROUTE_ID, pos, round(lon, 7) AS lon, round(lat, 7) AS lat FROM pts
+"""
+# Every split of a stretch (a, b) at its farthest vertex keeps that vertex and adds two stretches.
+ORACLES["road_network_features"] = f"""
+WITH RECURSIVE {_DEGREES}, stretch AS (
+  SELECT DISTINCT ROUTE_ID, CAST(0 AS INTEGER) AS a, CAST(7 AS INTEGER) AS b FROM pts
+  UNION ALL
+  SELECT ROUTE_ID, CASE WHEN side = 0 THEN a ELSE m END, CASE WHEN side = 0 THEN b2 ELSE b END FROM (
+    SELECT ROUTE_ID, a, b, arg_max(pos, d) AS m, arg_max(pos, d) AS b2 FROM (
+      SELECT s.ROUTE_ID, s.a, s.b, p.pos,
+        power(p.lon - (p1.lon + least(1, greatest(0, t)) * (p2.lon - p1.lon)), 2)
+        + power(p.lat - (p1.lat + least(1, greatest(0, t)) * (p2.lat - p1.lat)), 2) AS d
+      FROM stretch s JOIN pts p1 ON p1.ROUTE_ID = s.ROUTE_ID AND p1.pos = s.a
+      JOIN pts p2 ON p2.ROUTE_ID = s.ROUTE_ID AND p2.pos = s.b
+      JOIN pts p ON p.ROUTE_ID = s.ROUTE_ID AND p.pos > s.a AND p.pos < s.b,
+      LATERAL (SELECT ((p.lon - p1.lon) * (p2.lon - p1.lon) + (p.lat - p1.lat) * (p2.lat - p1.lat))
+        / (power(p2.lon - p1.lon, 2) + power(p2.lat - p1.lat, 2)) AS t))
+    GROUP BY ROUTE_ID, a, b HAVING max(d) > 0.01::DOUBLE * 0.01::DOUBLE), (VALUES (0), (1)) sides(side))
+SELECT vec_id AS segment_id, 'Street ' || label AS STREET_ENAME, CAST(2 + (count(*) - 1) / 2 AS INTEGER) AS vertices
+FROM stretch JOIN embeddings ON vec_id = ROUTE_ID WHERE EXISTS (SELECT 1 FROM events WHERE user_id = vec_id)
+GROUP BY vec_id, label
+"""
 # (sub, pos, kind, index of the first coordinate, number of points) of each segment of the stand-in paths
 _SEGMENTS = [(0, 0, "", 1, 1), (0, 1, "L", 3, 1), (0, 2, "C", 5, 3), (1, 0, "", 11, 1), (1, 1, "C", 13, 3), (1, 2, "C", 19, 3)]
 
@@ -505,6 +575,13 @@ ORACLES["stream_events"] = f"""
 WITH {_EVENTS} SELECT line, sta, i."timestamp", i.event_id, e.value AS up_ttnt_1, delay_duration_minutes,
   affected_trains_count, end_time, row_count FROM impact i JOIN events e ON e.event_id = i.event_id
 """
+ORACLES["stream_scored_state"] = f"""
+WITH {_NEWEST}, r AS (
+  SELECT n.line, n.sta, n."timestamp" AS updated_at, {rounded('least(1.0, e.value / 60)', 4)} AS delay_risk_probability
+  FROM newest n JOIN events e ON e.event_id = n.event_id)
+SELECT *, CASE WHEN delay_risk_probability > 0.7::DOUBLE THEN 'red' WHEN delay_risk_probability > 0.3::DOUBLE THEN 'yellow'
+  ELSE 'green' END AS color_code FROM r
+"""
 ORACLES["stream_sequences"] = f"""
 WITH {RAIL}, ranked AS (
   SELECT r.line, r.sta, e.value, row_number() OVER (PARTITION BY line, sta ORDER BY "timestamp" DESC, r.event_id DESC) AS back,

@@ -123,16 +123,20 @@ def flatten_road_xml(
 
 
 def _entries(docs: DataFrame, array: str, keep, payload: str, *extra: str) -> DataFrame:
-    """One row per array element, and exactly one (without element) for a refused document."""
-    one_null = F.array_repeat(F.get(array, F.lit(-1)), 1)
-    elements = F.when(F.col("__why").isNull(), F.col(array)).otherwise(one_null)
+    """One row per array element, and exactly one (without element) for a refused document.
+
+    The reason travels inside the exploded value. As a column of the document a filter on it would be
+    pushed below the explode and parse every document a second time.
+    """
+    nothing = F.get(array, F.lit(-1))
+    good = F.transform(array, lambda e: F.struct(F.lit(None).cast("string").alias("why"), e.alias("e")))
+    refused = F.array(F.struct(F.col("__why").alias("why"), nothing.alias("e")))
     return docs.select(
         *keep,
         *[c for c in (payload,) if c not in keep],
         *[F.col(e).alias("__" + e.split(".")[-1]) for e in extra],
-        "__why",
-        F.explode(elements).alias("__e"),
-    )
+        F.explode(F.when(F.col("__why").isNull(), good).otherwise(refused)).alias("__x"),
+    ).withColumns({"__why": F.col("__x.why"), "__e": F.col("__x.e")})
 
 
 def _rejected(entries: DataFrame, keep: Sequence[str], payload: str) -> DataFrame:
