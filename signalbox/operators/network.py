@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.operators.series import row_positions
-from signalbox.operators.split import Series, numeric_tie, plan_split
+from signalbox.operators.split import Series, numeric_tie, plan_split, small_input
 from signalbox.session import work_dir
 from signalbox.sources.sinks import feature_json
 
@@ -122,6 +122,13 @@ _MAX_LEVELS = 16
 _CELL_VERTICES = 64
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(work_dir(df.sparkSession, "nearest"))
+    return df.checkpoint()
+
+
 def nearest_vertex(
     points: DataFrame, vertices: DataFrame, point_id: str, vertex_id: str, x: str = "x", y: str = "y"
 ) -> DataFrame:
@@ -132,9 +139,11 @@ def nearest_vertex(
     joined on the cell number. Levels are added until no cell holds more than a few distinct places,
     so a dense cluster costs more levels, not more pairs. Returns point_id, vertex_id, distance2.
     """
-    spark = points.sparkSession
     places = vertices.groupBy(F.col(x).alias("vx"), F.col(y).alias("vy")).agg(F.min(vertex_id).alias("__vid"))
     places = places.where("vx is not null and vy is not null and not isnan(vx) and not isnan(vy)")
+    if not small_input(vertices):
+        # Read once per level below; the distinct places are written once instead of found every time.
+        places = _checkpointed(places)
     box = places.agg(F.min("vx"), F.min("vy"), F.max("vx"), F.max("vy"), F.count(F.lit(1))).first()
     if not box[4]:
         nothing = places.select(F.col("__vid").alias(vertex_id), F.lit(0.0).alias("distance2"))
@@ -203,9 +212,7 @@ def nearest_vertex(
             .select("__pid", "px", "py", "cx", "cy")
         )
         if level % 4 == 0 and level < levels:
-            if not spark.sparkContext.getCheckpointDir():
-                spark.sparkContext.setCheckpointDir(work_dir(spark, "nearest"))
-            frontier = frontier.checkpoint()
+            frontier = _checkpointed(frontier)
     dx, dy = F.col("px") - F.col("vx"), F.col("py") - F.col("vy")
     found = (
         frontier.join(places.select("*", *cell(levels)), ["cx", "cy"])

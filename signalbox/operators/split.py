@@ -124,6 +124,11 @@ def _estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def small_input(df: DataFrame) -> bool:
+    size = _estimated_bytes(df)
+    return size is not None and size < SMALL_INPUT_BYTES
+
+
 def _quantiles(
     rows: DataFrame, groups: Sequence[str], column: str, largest: int, limit: int
 ) -> DataFrame:
@@ -157,10 +162,8 @@ def plan_split(
     """
     keys = tuple(keys)
     whole = Split(keys, order, tie)
-    if max_rows is None:
-        size = _estimated_bytes(df)
-        if size is not None and size < SMALL_INPUT_BYTES:
-            return whole
+    if max_rows is None and small_input(df):
+        return whole
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total, top = counts.agg(F.sum("__n"), F.max("__n")).first()
     if not total:

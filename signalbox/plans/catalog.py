@@ -751,7 +751,7 @@ def stream_sequences(spark, sf):
 def stream_alerts(spark, sf):
     root = work_dir(spark, "stream-alerts")
     rows = _stream(spark, sf, _rail_rows).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    seen = serving.alerts(state.drop_repeats(rows, ["line", "sta"], "timestamp"))
+    seen = serving.alerts(state.drop_repeats(rows, ["line", "sta"], "timestamp", spread_by="event_id"))
     writer = seen.writeStream.format("parquet").option("path", f"{root}/out")
     writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "line", "sta", "up_ttnt_1")

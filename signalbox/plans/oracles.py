@@ -426,20 +426,25 @@ numbered AS (
            ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i
   FROM lineitem)
 """
-ORACLES["ordered_polyline"] = f"""
-WITH {_NUMBERED} SELECT l_orderkey, CAST(0 AS INTEGER) AS part, CAST(i AS INTEGER) AS pos, x, y FROM numbered WHERE n > 1
-"""
-# Parts of at most 4 vertices overlap in one: part p holds vertices 3p .. 3p+3.
-ORACLES["ordered_polyline_parts"] = f"""
-WITH {_NUMBERED}, parts AS (SELECT l_orderkey, n, CAST(unnest(range((n - 2) // 3 + 1)) AS INTEGER) AS part
-  FROM (SELECT DISTINCT l_orderkey, n FROM numbered WHERE n > 1))
-SELECT v.l_orderkey, part, CAST(i - 3 * part AS INTEGER) AS pos, x, y
-FROM parts p JOIN numbered v ON v.l_orderkey = p.l_orderkey AND i BETWEEN 3 * part AND 3 * part + 3
+
+
+def _in_parts(step: int) -> str:
+    """Lines cut after every ``step`` vertices; part p holds vertices step*p .. step*p + step."""
+    return f"""
+{_NUMBERED}, counted AS (SELECT DISTINCT l_orderkey, n FROM numbered WHERE n > 1),
+parts AS (SELECT l_orderkey, CAST(unnest(range((n - 2) // {step} + 1)) AS INTEGER) AS part FROM counted),
+laid AS (
+  SELECT v.l_orderkey, part, CAST(i - {step} * part AS INTEGER) AS pos, x, y
+  FROM parts p JOIN numbered v ON v.l_orderkey = p.l_orderkey AND i BETWEEN {step} * part AND {step} * part + {step})
 """
+
+
+ORACLES["ordered_polyline"] = f"WITH {_in_parts(9999)} SELECT * FROM laid"
+ORACLES["ordered_polyline_parts"] = f"WITH {_in_parts(3)} SELECT * FROM laid"
 ORACLES["geojson_roundtrip"] = f"""
-WITH {_NUMBERED}
-SELECT l_orderkey AS id, 'LineString' AS geometry_type, CAST(count(*) AS INTEGER) AS vertices, arg_min(x, i) AS first_x,
-  arg_max(y, i) AS last_y FROM numbered WHERE n > 1 GROUP BY l_orderkey
+WITH {_in_parts(9999)}
+SELECT l_orderkey AS id, 'LineString' AS geometry_type, CAST(count(*) AS INTEGER) AS vertices, arg_min(x, pos) AS first_x,
+  arg_max(y, pos) AS last_y FROM laid GROUP BY l_orderkey, part
 UNION ALL SELECT vec_id, 'Point', CAST(1 AS INTEGER), CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE) FROM embeddings
 """
 ORACLES["feature_collections"] = """

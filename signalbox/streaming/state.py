@@ -138,6 +138,21 @@ class History:
         return rows.select(*self.keys, self.order, padded.alias("features"))
 
 
-def drop_repeats(stream: DataFrame, keys: Sequence[str], order: str, lateness: str = LATENESS) -> DataFrame:
-    """Skips snapshots that were already seen: same keys and same time within the allowed lateness."""
-    return stream.withWatermark(order, lateness).dropDuplicatesWithinWatermark([*keys, order])
+def drop_repeats(
+    stream: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    lateness: str = LATENESS,
+    spread_by: str | None = None,
+    ways: int = 16,
+) -> DataFrame:
+    """Skips snapshots that were already seen: same keys and same time within the allowed lateness.
+
+    A stream's de-duplication is not combined before its shuffle. ``spread_by`` (the source file, say)
+    first reduces many copies of one row in ``ways`` tasks to one copy each.
+    """
+    stream = stream.withWatermark(order, lateness)
+    if spread_by:
+        salted = stream.withColumn("__way", F.pmod(F.xxhash64(spread_by), F.lit(ways)))
+        stream = salted.dropDuplicatesWithinWatermark([*keys, order, "__way"]).drop("__way")
+    return stream.dropDuplicatesWithinWatermark([*keys, order])

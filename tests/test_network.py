@@ -61,8 +61,10 @@ def test_long_lines_continue_in_parts(spark, n):
     assert all(a["coordinates"][-1] == b["coordinates"][0] for a, b in zip(parts, parts[1:]))
 
 
-@pytest.mark.parametrize("kind", ["spread", "clump", "same", "line"])
-def test_nearest_vertex(spark, kind):
+@pytest.mark.parametrize("kind", ["spread", "clump", "same", "line", "large"])
+def test_nearest_vertex(spark, kind, monkeypatch):
+    if kind == "large":
+        monkeypatch.setattr(network, "small_input", lambda df: False)
     rng = np.random.default_rng(3)
     vertices = rng.uniform(0, 1, (400, 2))
     if kind == "clump":

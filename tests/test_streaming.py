@@ -144,16 +144,17 @@ def test_rail_feed(spark, tmp_path):
     assert sorted((r["sta"], r["isdelay"], r["up_ttnt_1"]) for r in table.current().collect()) == [("A", 1, 2.0), ("B", 1, 2.0)]
 
 
-def test_road_feed_drops_repeated_snapshots(spark, tmp_path):
+@pytest.mark.parametrize("spread_by", [None, "source_file"])
+def test_road_feed_drops_repeated_snapshots(spark, tmp_path, spread_by):
     land = tmp_path / "land"
     land.mkdir()
     doc = (
         "<r><date>2024-01-02</date><time>08:00:00</time><segments><segment><segment_id>1</segment_id>"
         "<speed>20</speed><valid>Y</valid></segment></segments></r>"
     )
-    for name in ("a.xml", "b.xml"):
+    for name in ("a.xml", "b.xml", "c.xml", "d.xml"):
         (land / name).write_text(doc)
-    rows = state.drop_repeats(feeds.road_rows(spark, str(land)), ["segment_id"], "datetime")
+    rows = state.drop_repeats(feeds.road_rows(spark, str(land)), ["segment_id"], "datetime", spread_by=spread_by)
     query = rows.writeStream.format("parquet").option("path", str(tmp_path / "o")).option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
