@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.rounding import non_negative
 from signalbox.operators.dataset import ARRIVAL_SCALE, SPEED_SCALE, scale, sequence_vector
-from signalbox.operators.serving import combine_forecasts, latest
+from signalbox.operators.serving import latest, rail_state
 from signalbox.operators.series import constant_history, sequences
 
 # Model inputs and sequence lengths.
@@ -26,7 +26,8 @@ ROAD_LENGTH = 12
 RISK_LENGTH = 10
 EVENT_LENGTH = 1
 
-_RAIL_SCALES = {"up_ttnt_1": ARRIVAL_SCALE, "down_ttnt_1": ARRIVAL_SCALE}
+ARRIVALS = ("up_ttnt_1", "down_ttnt_1")
+_RAIL_SCALES = {c: ARRIVAL_SCALE for c in ARRIVALS}
 
 
 def road_samples(series: DataFrame, tie: str, keys=("segment_id",), order="datetime", split=None) -> DataFrame:
@@ -103,15 +104,24 @@ def select_best(
     return _fit(search, samples.select("features", label)).bestModel
 
 
-def _current(rows: DataFrame, keys, order, tie, scales, features, length) -> DataFrame:
-    newest = latest(rows, keys, order, tie)
-    return sequence_vector(constant_history(scale(newest, scales), features, length), features)
+def _vectors(rows: DataFrame, scales, features, length: int) -> DataFrame:
+    """Adds the scoring sequence (the current row, repeated) as a vector; the rows keep raw values."""
+    scaled = F.transform(
+        F.array_repeat(F.struct(*[_scaled(f, scales) for f in features]), length),
+        lambda r: F.array(*[r[f].cast("double") for f in features]),
+    )
+    return rows.withColumn("features", array_to_vector(F.flatten(scaled)))
+
+
+def _scaled(feature: str, scales):
+    value = F.col(feature)
+    return (value / F.lit(float(scales[feature])) if feature in scales else value).alias(feature)
 
 
 def score_road(rows: DataFrame, model: Model, tie: str, keys=("segment_id",), order="datetime") -> DataFrame:
     """Road state from each segment's newest row, repeated to the model's sequence length."""
-    vectors = _current(rows, list(keys), order, tie, {"speed": SPEED_SCALE}, ROAD_FEATURES, ROAD_LENGTH)
-    scored = model.transform(vectors)
+    newest = latest(rows, list(keys), order, tie)
+    scored = model.transform(_vectors(newest, {"speed": SPEED_SCALE}, ROAD_FEATURES, ROAD_LENGTH))
     prediction = [c for c in scored.columns if c.startswith("predict")][-1]
     return scored.select(
         *keys,
@@ -123,25 +133,27 @@ def score_road(rows: DataFrame, model: Model, tie: str, keys=("segment_id",), or
 def score_rail(
     rows: DataFrame, risk_model: Model, event_models: tuple[Model, Model], tie: str, keys=("line", "sta"), order="timestamp"
 ) -> DataFrame:
-    """Rail state from each station's newest row: risk, duration, affected trains and tier."""
+    """Rail state from each station's newest row: risk, duration, affected trains and tier.
+
+    The three models add their columns to the same rows, so the feed is read and reduced once.
+    """
     keys = list(keys)
     newest = latest(rows, keys, order, tie)
-    arrivals = newest.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in _RAIL_SCALES})
-    risks = risk_model.transform(
-        _current(arrivals, keys, order, tie, _RAIL_SCALES, RAIL_FEATURES, RISK_LENGTH)
-    ).select(*keys, F.get(vector_to_array("probability"), F.lit(1)).alias("delay_risk_probability"))
-    impact = arrivals.withColumnsRenamed({c: f"raw_{c}" for c in _RAIL_SCALES}).withColumns(
-        {c: F.col(f"raw_{c}") for c in _RAIL_SCALES}
-    )
+    newest = newest.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in _RAIL_SCALES})
+    scored = risk_model.transform(_vectors(newest, _RAIL_SCALES, RAIL_FEATURES, RISK_LENGTH))
+    scored = scored.withColumn("delay_risk_probability", F.get(vector_to_array("probability"), F.lit(1)))
+    scored = scored.drop("features", "rawPrediction", "probability", "prediction")
+    scored = _vectors(scored, _RAIL_SCALES, RAIL_FEATURES, EVENT_LENGTH)
     for model in event_models:
-        vectors = event_samples(impact) if "features" not in impact.columns else impact
-        impact = model.transform(vectors)
-    forecast = impact.select(
-        *keys,
-        F.col("predicted_delay_duration_minutes").alias("duration"),
-        F.col("predicted_affected_trains_count").alias("affected"),
-        F.col("raw_up_ttnt_1").alias("up_ttnt_1"),
-        F.col("raw_down_ttnt_1").alias("down_ttnt_1"),
-        F.col(order).alias("updated_at"),
+        scored = model.transform(scored)
+    return rail_state(
+        scored.select(
+            *keys,
+            "delay_risk_probability",
+            F.col("predicted_delay_duration_minutes").alias("duration"),
+            F.col("predicted_affected_trains_count").alias("affected"),
+            *ARRIVALS,
+            F.col(order).alias("updated_at"),
+        ),
+        keys,
     )
-    return combine_forecasts(forecast, risks, keys)

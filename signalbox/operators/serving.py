@@ -60,6 +60,14 @@ def combine_forecasts(
     delay_risk_probability.
     """
     joined = events.join(risks.select(*keys, "delay_risk_probability"), list(keys), "left")
+    return rail_state(joined, keys, thresholds)
+
+
+def rail_state(
+    forecasts: DataFrame, keys: Sequence[str] = ("line", "sta"), thresholds=severity.RISK_THRESHOLDS
+) -> DataFrame:
+    """Rounds and classifies rows that hold a station's risk and its event forecast."""
+    joined = forecasts
     risk = exact_round(F.coalesce("delay_risk_probability", F.lit(0.0)), 4)
     return joined.select(
         *keys,
