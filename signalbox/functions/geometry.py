@@ -155,7 +155,7 @@ def simplify(vertices: Column, tolerance: float = SIMPLIFY_TOLERANCE) -> Column:
         def one(line):
             if line is None or len(line) < 3:
                 return line
-            points = np.array([tuple(p) for p in line], dtype=float)
+            points = np.vstack(line)
             return points[_keep(points, tolerance)].tolist()
 
         for lines in batches:

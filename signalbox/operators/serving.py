@@ -22,12 +22,17 @@ def latest(df: DataFrame, keys: Sequence[str], order: str, tie: str | Sequence[s
 
 
 def lookup(
-    state: DataFrame, wanted: DataFrame, keys: Sequence[str], value: str, digits: int | None = None
+    state: DataFrame,
+    wanted: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    digits: int | None = None,
+    unknown: str = "Not found",
 ) -> DataFrame:
     """Requested keys with their value and a status; unknown keys stay, with a null value."""
     shown = F.col(value) if digits is None else exact_round(F.col(value), digits)
     known = state.select(*keys, shown.alias(value))
-    status = F.when(F.col(value).isNull(), "Not found").otherwise("Success")
+    status = F.when(F.col(value).isNull(), unknown).otherwise("Success")
     return wanted.select(*keys).join(known, list(keys), "left").withColumn("status", status)
 
 

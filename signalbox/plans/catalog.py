@@ -394,7 +394,9 @@ def combine_forecasts(spark, sf):
 def state_lookup(spark, sf):
     wanted = standin.table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("segment_id"))
     state_table = standin.road_state(spark, sf)
-    return serving.lookup(state_table, wanted, ["segment_id"], "predicted_congestion_minutes", digits=2)
+    return serving.lookup(
+        state_table, wanted, ["segment_id"], "predicted_congestion_minutes", digits=2, unknown="Not found or no data"
+    )
 
 
 @query

@@ -331,11 +331,11 @@ state AS (
   FROM joined)
 """
 ORACLES["combine_forecasts"] = f"WITH {_RAIL_STATE} SELECT * FROM state"
-_STATUS = "CASE WHEN {0} IS NULL THEN 'Not found' ELSE 'Success' END AS status"
+_STATUS = "CASE WHEN {0} IS NULL THEN '{1}' ELSE 'Success' END AS status"
 ORACLES["state_lookup"] = f"""
 WITH {_ROAD_STATE} SELECT c_custkey AS segment_id,
   {rounded('predicted_congestion_minutes', 2)} AS predicted_congestion_minutes,
-  {_STATUS.format('predicted_congestion_minutes')}
+  {_STATUS.format('predicted_congestion_minutes', 'Not found or no data')}
 FROM customer LEFT JOIN state ON segment_id = c_custkey
 """
 _WANTED = """
@@ -343,7 +343,7 @@ wanted AS (SELECT 'L' || (c_custkey % 10) AS line, CAST(c_custkey AS VARCHAR) AS
            CAST(c_nationkey AS DOUBLE) AS lat FROM customer)
 """
 ORACLES["state_lookup_rail"] = f"""
-WITH {_RAIL_STATE}, {_WANTED} SELECT line, sta, delay_risk_probability, {_STATUS.format('delay_risk_probability')}
+WITH {_RAIL_STATE}, {_WANTED} SELECT line, sta, delay_risk_probability, {_STATUS.format('delay_risk_probability', 'Not found')}
 FROM wanted LEFT JOIN state USING (line, sta)
 """
 ORACLES["state_partial_key"] = f"WITH {_RAIL_STATE} SELECT line, sta, color_code FROM state WHERE line = 'L3'"

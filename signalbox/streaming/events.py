@@ -52,7 +52,7 @@ class EventStream:
         self.clock = VersionedTable(
             spark, f"{root}/clock", StructType().add("newest", schema[order].dataType)
         )
-        self.version = -1
+        self.version = self.clock.newest()
 
     # ---- one micro-batch ---------------------------------------------------------------------
 

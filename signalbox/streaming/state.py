@@ -1,7 +1,8 @@
 """Stored state that micro-batches update, and the latest-value and history tables built on it.
 
 State is a table in shared storage, one version per micro-batch. Batch n reads version n-1 and writes
-version n, so a batch that is run again after a failure gives the same result. The work on a batch is
+version n, so a batch that is run again after a failure gives the same result. A state folder belongs
+to one stream checkpoint: a new checkpoint counts its batches from 0 and needs a new folder. The work on a batch is
 done by the batch operators, hence skew in a batch is handled as it is there: newest rows and short
 histories are reduced before they are shuffled.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,6 +42,16 @@ class VersionedTable:
         df = df.withColumn(VERSION, F.lit(version).cast("bigint"))
         df.write.mode("overwrite").parquet(self._slot(version))
 
+    def newest(self) -> int:
+        """The newest version with rows, so that a reader or a restarted job can pick up the state."""
+        stored = StructType().add(VERSION, "long")
+        try:
+            slots = self.spark.read.schema(stored).option("recursiveFileLookup", True).parquet(self.root)
+        except AnalysisException:  # nothing was written yet
+            return -1
+        top = slots.agg(F.max(VERSION)).first()[0]
+        return -1 if top is None else top
+
     def read(self, version: int) -> DataFrame:
         """The given version; version -1 (before the first batch) is empty."""
         if version < 0:
@@ -86,7 +98,7 @@ class LatestState:
         self.table = VersionedTable(spark, f"{root}/latest", schema)
         self.keys, self.order, self.mode = list(keys), order, mode
         self.tie = [tie] if isinstance(tie, str) else list(tie)
-        self.version = -1
+        self.version = self.table.newest()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         stored = self.table.read(batch_id - 1)
@@ -111,7 +123,7 @@ class History:
         self.table = VersionedTable(spark, f"{root}/history", schema)
         self.keys, self.order, self.length = list(keys), order, length
         self.tie = [tie] if isinstance(tie, str) else list(tie)
-        self.version = -1
+        self.version = self.table.newest()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         stored = self.table.read(batch_id - 1)

@@ -16,7 +16,11 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            # Tiny data: compiling plans would take most of the time (check_oracles.py runs them compiled).
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
             "spark.driver.memory": "4g",
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1 -XX:+UseParallelGC",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.host": "127.0.0.1",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),

@@ -66,6 +66,8 @@ def test_latest_state(spark, stream, data, tmp_path):
 
     run(stream, twice, tmp_path)
     assert table.version == 9
+    again = state.LatestState(spark, str(tmp_path / "s"), schema(spark), KEYS, "ts", "id")
+    assert again.version == 9  # a restarted job finds the state
     want = serving.latest(spark.createDataFrame(data, SCHEMA), KEYS, "ts", "id")
     assert sorted(table.current().collect()) == sorted(want.collect())
 
