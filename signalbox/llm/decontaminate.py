@@ -141,6 +141,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     hidden = [f"__{c}{i}" for c in "nri" for i in each]
     runs = F.concat(*[F.coalesce(F.col(f"__r{i}"), none(run)) for i in each])
     found = F.concat(*[F.coalesce(F.col(f"__i{i}"), none("string")) for i in each])
-    marked = out.select(*keep_others(out, hidden), F.col("__n0").alias("n_words"), _merged(runs).alias("runs"), F.array_sort(F.array_distinct(found)).alias("items"))
+    if len(blocks) > 1:  # one block's runs are already maximal
+        runs = _merged(runs)
+    marked = out.select(*keep_others(out, hidden), F.col("__n0").alias("n_words"), runs.alias("runs"), F.array_sort(F.array_distinct(found)).alias("items"))
     n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1)
     return marked.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -19,6 +19,8 @@ from signalbox.llm.common import body, keep_others
 
 #: Code points on either side of a match in which context words count.
 CONTEXT = 40
+#: Matches whose lengths are summed one by one.
+BLOCK = 256
 #: Spans of the kinds that need confirmation count from this score on.
 MIN_SCORE = 0.5
 
@@ -45,11 +47,12 @@ KINDS = (
 def _luhn(digits: Column) -> Column:
     """Whether a string of at most 19 digits passes the Luhn check."""
     back = F.reverse(digits)
-    total = F.lit(0)
-    for i in range(19):
-        d = F.coalesce(F.substring(back, i + 1, 1).try_cast("int"), F.lit(0))
-        total = total + (F.when(d > 4, 2 * d - 9).otherwise(2 * d) if i % 2 else d)
-    return total % 10 == 0
+
+    def step(total: Column, at: Column) -> Column:
+        d = F.ascii(back.substr(at, F.lit(1))) - 48
+        return total + F.when(at % 2 == 1, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), step) % 10 == 0
 
 
 def _mod97(found: Column) -> Column:
@@ -87,26 +90,35 @@ def _score(kind: Kind, before: Column, after: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(F.lit(kind.score) + up - down, 2)))
 
 
-def _spans(kind: Kind, order: int, pieces: Column, found: Column) -> Column:
+def _total(widths: Column) -> Column:
+    return F.aggregate(widths, F.lit(0), lambda a, w: a + w)
+
+
+def _blocks(pieces: Column, found: Column) -> Column:
+    """How far each match leads on from the one before, in blocks of BLOCK.
+
+    Running sums by blocks keep a text of many matches from taking the square of their number.
+    """
+    widths = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(pieces, i)))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(widths, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _ends(blocks: Column, sums: Column) -> Column:
+    """Where each match ends."""
+    before = lambda b: _total(F.slice(sums, F.lit(1), b))
+    inside = lambda block: F.transform(block, lambda w, j: _total(F.slice(block, F.lit(1), j + 1)))
+    return F.flatten(F.transform(blocks, lambda block, b: F.transform(F.arrays_zip(inside(block).alias("i"), F.array_repeat(before(b), F.size(block)).alias("b")), lambda x: x["i"] + x["b"])))
+
+
+def _spans(kind: Kind, order: int, pieces: Column, found: Column, ends: Column) -> Column:
     """Array of (order, start, end, score, kind) of the matches that hold."""
-    steps = F.transform(
-        found,
+    placed = F.transform(
+        F.arrays_zip(ends.alias("end"), found.alias("found")),
         lambda m, i: F.struct(
-            F.length(F.get(pieces, i)).alias("skip"),
-            m.alias("found"),
-            F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"),
+            (m["end"] - F.length(m["found"])).alias("start"), m["end"].alias("end"), m["found"].alias("found"),
+            F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"),
         ),
     )
-    nothing = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string,before:string,after:string>>)").alias("spans"))
-
-    def walk(done: Column, step: Column) -> Column:
-        start = done["at"] + step["skip"]
-        end = start + F.length(step["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), step["found"].alias("found"), step["before"].alias("before"), step["after"].alias("after"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
-
-    placed = F.aggregate(steps, nothing, walk, lambda done: done["spans"])
     scored = F.transform(
         F.filter(placed, lambda s: _valid(kind.name, s["found"])),
         lambda s: F.struct(
@@ -130,8 +142,17 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     found = [F.when(may.get(k.name, digit), F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"__m_{k.name}") for k in KINDS]
     cut = [F.when(F.size(f"__m_{k.name}") > 0, F.split("__t", k.pattern, -1)).otherwise(none).alias(f"__p_{k.name}") for k in KINDS]
     wide = df.select("*", body(text).alias("__t")).select("*", *found).select("*", *cut)
-    spans = [_spans(kind, i, F.col(f"__p_{kind.name}"), F.col(f"__m_{kind.name}")) for i, kind in enumerate(KINDS)]
-    return wide.select(*kept, F.concat(*spans).alias("pii"))
+    nothing = F.expr("cast(array() as array<int>)")
+    any_found = lambda k: F.size(f"__m_{k.name}") > 0
+    for name, make in (
+        ("b", lambda k: F.when(any_found(k), _blocks(F.col(f"__p_{k.name}"), F.col(f"__m_{k.name}"))).otherwise(F.array(nothing))),
+        ("s", lambda k: F.transform(f"__b_{k.name}", _total)),
+        ("e", lambda k: _ends(F.col(f"__b_{k.name}"), F.col(f"__s_{k.name}"))),
+        ("x", lambda k: _spans(k, KINDS.index(k), F.col(f"__p_{k.name}"), F.col(f"__m_{k.name}"), F.col(f"__e_{k.name}"))),
+    ):
+        wide = wide.select("*", *[make(k).alias(f"__{name}_{k.name}") for k in KINDS])
+    # A generator of one row: filters on the result stay above it, instead of being written out down to the text.
+    return wide.select(*kept, F.inline(F.array(F.struct(F.concat(*[F.col(f"__x_{k.name}") for k in KINDS]).alias("pii")))))
 
 
 def joined(spans: Column) -> Column:

@@ -302,7 +302,8 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
         out = out.unionByName(several.groupBy(key).agg(first).select("row.*"))
     if rows.filter("key is null").limit(1).count():
         alone = rows.filter("key is null and component_id is null").select("bits", "component").distinct()
-        without = fingerprints(df.filter(F.col(f"`{key}`").isNull()), text, shingle)
-        chosen = without.join(alone, "bits").groupBy("component").agg(first)
+        without = df.filter(F.col(f"`{key}`").isNull()).select(whole.alias("row"), F.col(f"`{text}`").alias("__given"))
+        order = F.struct(F.col(f"row.`{text}`"), F.to_json("row"))
+        chosen = fingerprints(without, "__given", shingle).join(alone, "bits").groupBy("component").agg(F.min_by("row", order).alias("row"))
         out = out.unionByName(chosen.select("row.*"))
     return out
