@@ -23,9 +23,11 @@ from signalbox.llm.common import map_texts
 from signalbox.llm.token_counts import SAFE_SPACE
 
 #: Words, and pieces between safe spaces, whose ids a task remembers; beyond it forgets them all and goes on.
-MEMORY = 300_000
-#: Bytes of words that one recursion works on.
-RECURSION_BYTES = 2 << 20
+MEMORY = 500_000
+#: Words of one recursion: the sum of their squared lengths, which bounds the rows of all its steps.
+RECURSION_ROWS = 12_000_000
+#: Longer words take another recursion, which contracts many pairs a step and keeps at most so many steps at a time.
+LONG_WORD, LONG_STEPS = 256, 32
 
 ENCODE = """
 WITH RECURSIVE step(word, place, token, size, round) AS (
@@ -43,6 +45,30 @@ WITH RECURSIVE step(word, place, token, size, round) AS (
 SELECT s.word, s.token FROM step s JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round)
 ORDER BY s.word, s.place
 """
+# For long words: all places of the smallest pair at once, unless its token has a merge of a smaller rank, which would
+# have to come first. Places that overlap (aaaa) are taken left to right, every second one of a run.
+ENCODE_LONG = f"""
+WITH RECURSIVE step(word, place, token, size, round) AS (
+  SELECT word, place, token, size, 0 FROM bytes
+  UNION ALL
+  (WITH pairs AS (
+     SELECT a.word, a.place, a.place + a.size AS gone, m.token, m.size, m.alone
+     FROM step a JOIN step b ON b.place = a.place + a.size JOIN merges m ON m.pair = a.token * 65536::BIGINT + b.token
+     WHERE a.round < {LONG_STEPS}),
+   smallest AS (SELECT word, min(token) AS token FROM pairs GROUP BY word),
+   heads AS (
+     SELECT p.*, coalesce(lag(p.gone) OVER (PARTITION BY p.word ORDER BY p.place) = p.place, false) AS follows,
+            row_number() OVER (PARTITION BY p.word ORDER BY p.place) AS number
+     FROM pairs p JOIN smallest s ON p.word = s.word AND p.token = s.token),
+   runs AS (SELECT *, number - max(CASE WHEN follows THEN 0 ELSE number END) OVER (PARTITION BY word ORDER BY place) AS within FROM heads),
+   chosen AS (SELECT * FROM runs WHERE number = 1 OR NOT alone AND within % 2 = 0)
+   SELECT s.word, s.place, coalesce(c.token, s.token), coalesce(c.size, s.size), s.round + 1
+   FROM step s JOIN smallest w ON s.word = w.word LEFT JOIN chosen c ON s.place = c.place
+   WHERE s.place NOT IN (SELECT gone FROM chosen))
+)
+SELECT s.word, s.place, s.token, s.size, s.round
+FROM step s JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) ORDER BY s.word, s.place
+"""
 DECODE = "SELECT text, list(bytes ORDER BY place) AS bytes FROM ids JOIN vocabulary USING (token) GROUP BY text ORDER BY text"
 
 
@@ -57,10 +83,13 @@ class Codec:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
         self.ranks, self.match = ranks, regex.compile(pattern).findall
         self.byte_tokens = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        cuts = [(ranks[t[:i]] * 65536 + ranks[t[i:]], r, len(t)) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        pair, token, size = zip(*cuts, strict=True)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        self._table("merges", pair=pa.array(pair, pa.int64()), token=pa.array(token, pa.int32()), size=pa.array(size, pa.int32()))
+        cuts = [(ranks[t[:i]], ranks[t[i:]], r, len(t)) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, right, token, size = np.array(cuts, np.int64).T
+        least = np.full(max(ranks.values()) + 1, 1 << 40)
+        np.minimum.at(least, left, token)
+        np.minimum.at(least, right, token)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self._table("merges", pair=pa.array(left * 65536 + right), token=pa.array(token.astype(np.int32)), size=pa.array(size.astype(np.int32)), alone=pa.array(least[token] < token))
         self._table("vocabulary", token=pa.array(ranks.values(), pa.int32()), bytes=pa.array(ranks.keys(), pa.binary()))
         self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -71,23 +100,30 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[str], raw: list[bytes]) -> None:
+    def _contract(self, words: list[str], raw: list[bytes], long: bool = False) -> None:
         """Learns the ids of words that aren't a token by themselves."""
         sizes = np.array([len(b) for b in raw])
         number = np.repeat(np.arange(len(raw)), sizes)
         joined = np.frombuffer(b"".join(raw), np.uint8)
         # A word's bytes have places in a row, and one place is free between words, so no pair spans two words.
-        self.db.register("bytes", pa.table({
+        state = pa.table({
             "word": number.astype(np.int32), "place": np.arange(len(joined), dtype=np.int64) + number,
             "token": self.byte_tokens[joined], "size": np.ones(len(joined), np.int32),
-        }))
-        out = self.db.sql(ENCODE).to_arrow_table()
-        word, token = (out.column(c).to_numpy() for c in ("word", "token"))
-        ends = np.searchsorted(word, np.arange(len(raw)), side="right")
-        data, start = token.astype("<u4").tobytes(), 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            self.words[w] = data[4 * start : 4 * end]
-            start = end
+        })
+        while len(state):
+            self.db.register("bytes", state)
+            out = self.db.sql(ENCODE_LONG if long else ENCODE).to_arrow_table()
+            word, token = (out.column(c).to_numpy() for c in ("word", "token"))
+            ended = np.ones(len(word), bool)
+            if long:  # what has used up its steps goes on from where it is
+                ended = out.column("round").to_numpy() < LONG_STEPS
+                state = out.filter(pa.array(~ended)).select(["word", "place", "token", "size"])
+            word, data = word[ended], token[ended].astype("<u4").tobytes()
+            starts = np.flatnonzero(np.diff(word, prepend=-1)).tolist()
+            for start, end in zip(starts, [*starts[1:], len(word)]):
+                self.words[words[word[start]]] = data[4 * start : 4 * end]
+            if not long:
+                break
 
     def _learn_words(self, wanted: set[str]) -> None:
         new = wanted - self.words.keys()
@@ -95,18 +131,20 @@ class Codec:
             self.words.clear()
             new = wanted
         words, raw, held = [], [], 0
-        for w in sorted(new):
+        for w in new:
             b = w.encode()
             rank = self.ranks.get(b)
             if rank is not None:
                 self.words[w] = rank.to_bytes(4, "little")
-                continue
-            words.append(w)
-            raw.append(b)
-            held += len(b)
-            if held >= RECURSION_BYTES:
-                self._contract(words, raw)
-                words, raw, held = [], [], 0
+            elif len(b) > LONG_WORD:
+                self._contract([w], [b], long=True)
+            else:
+                words.append(w)
+                raw.append(b)
+                held += len(b) ** 2
+                if held >= RECURSION_ROWS:
+                    self._contract(words, raw)
+                    words, raw, held = [], [], 0
         if words:
             self._contract(words, raw)
 

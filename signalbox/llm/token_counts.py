@@ -21,8 +21,9 @@ from signalbox.llm.common import body, keep_others, map_texts
 BATCH_BYTES = 256 << 10
 #: Pieces whose counts a task remembers; beyond it forgets them all and goes on.
 MEMORY = 400_000
-#: A space that is safe to cut at: neither neighbour is white space in any Unicode version.
-SAFE_SPACE = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+#: A space that is safe to cut at: neither neighbour is white space in any Unicode version. The pattern begins with
+#: the space itself, so that the search can skip to the next one.
+SAFE_SPACE = re.compile(" (?<=[!-~À-ɏ] )(?=[!-~À-ɏ])")
 
 
 def balanced(pieces: Iterator[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
