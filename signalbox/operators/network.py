@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.operators.series import row_positions
-from signalbox.operators.split import Series, numeric_tie, plan_split, small_input
+from signalbox.operators.split import Series, numeric_tie, plan_split
 from signalbox.session import work_dir
 from signalbox.sources.sinks import feature_json
 
 # What stands in for a missing colour or line.
 DEFAULT_COLOR = "#000000"
 UNKNOWN_LINE = "UNKNOWN"
-# Vertices one line feature may have before it continues in a further part.
-MAX_VERTICES = 10_000
 
 
 def keep_known(roads: DataFrame, observed: DataFrame, road_id: str, observed_id: str) -> DataFrame:
@@ -60,19 +58,22 @@ def line_strings(
     order: str,
     x: str,
     y: str,
-    max_vertices: int = MAX_VERTICES,
+    max_vertices: int | None = None,
     tie: Sequence[str] = (),
     max_rows: int | None = None,
 ) -> DataFrame:
     """Ordered vertices to line geometries; lines with a single vertex drop out.
 
-    A line of more than ``max_vertices`` continues in parts 1, 2, ... Each part starts with the vertex
-    that ended the one before, so nothing is lost and no array is unbounded.
+    A line is one geometry, part 0, whatever its length. Only if ``max_vertices`` is given does a longer line
+    continue in parts 1, 2, ...; each starts with the vertex that ended the one before, so nothing is lost.
     """
     tie = list(tie)
     split = plan_split(vertices, keys, order, numeric_tie(vertices, tie), max_rows)
     s = Series(vertices.select(*dict.fromkeys([*keys, order, *tie, x, y])), keys, order, tie, split)
     rows = row_positions(s, s.df, "__i", "__n").where(F.col("__n") > 1)
+    if max_vertices is None:
+        rows = s.done(rows.withColumn("part", F.lit(0)))
+        return _assembled(rows, keys, x, y)
     step = max_vertices - 1
     i = F.col("__i") - 1
     part = F.floor(i / step)
@@ -83,7 +84,10 @@ def line_strings(
         .when(F.col("__i") == F.col("__n"), F.array(part - 1))
         .otherwise(F.array(part - 1, part))
     )
-    rows = s.done(rows.withColumn("part", F.explode(parts)))
+    return _assembled(s.done(rows.withColumn("part", F.explode(parts))), keys, x, y)
+
+
+def _assembled(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     grouped = rows.groupBy(*keys, F.col("part").cast("int").alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("__i", F.col(x).alias("x"), F.col(y).alias("y")))).alias("__v")
     )
@@ -93,9 +97,10 @@ def line_strings(
 
 
 def line_features(strings: DataFrame, colors: DataFrame) -> DataFrame:
-    """Coloured line features as GeoJSON text."""
+    """Coloured line features as GeoJSON text; a part after the first names its number."""
     colored = with_color(strings, colors)
-    properties = F.struct("line", F.lit("LineString").alias("type"), "color")
+    part = [F.when(F.col("part") > 0, F.col("part")).alias("part")] if "part" in strings.columns else []
+    properties = F.struct("line", F.lit("LineString").alias("type"), "color", *part)
     return colored.select(feature_json(properties, "LineString", F.col("coordinates")).alias("feature"))
 
 
@@ -137,17 +142,17 @@ def nearest_vertex(
     Exact, without comparing all pairs: vertices are gathered in nested grid cells, and every point
     follows only those cells whose bounding box may still hold its nearest vertex, level by level,
     joined on the cell number. Levels are added until no cell holds more than a few distinct places,
-    so a dense cluster costs more levels, not more pairs. Returns point_id, vertex_id, distance2.
+    so a dense cluster costs more levels, not more pairs. Returns point_id, vertex_id, distance2; a point
+    without coordinates, or any point where there are no vertices, has nulls.
     """
     places = vertices.groupBy(F.col(x).alias("vx"), F.col(y).alias("vy")).agg(F.min(vertex_id).alias("__vid"))
     places = places.where("vx is not null and vy is not null and not isnan(vx) and not isnan(vy)")
-    if not small_input(vertices):
-        # Read once per level below; the distinct places are written once instead of found every time.
-        places = _checkpointed(places)
+    # Read once per level below; the distinct places are written once instead of found every time.
+    places = _checkpointed(places)
     box = places.agg(F.min("vx"), F.min("vy"), F.max("vx"), F.max("vy"), F.count(F.lit(1))).first()
     if not box[4]:
-        nothing = places.select(F.col("__vid").alias(vertex_id), F.lit(0.0).alias("distance2"))
-        return points.select(point_id).where(F.lit(False)).join(nothing, F.lit(True), "left")
+        none = F.lit(None).cast(places.schema["__vid"].dataType).alias(vertex_id)
+        return points.select(point_id, none, F.lit(None).cast("double").alias("distance2")).distinct()
     x0, y0 = box[0], box[1]
     extent = max(box[2] - x0, box[3] - y0) or 1.0
 
@@ -219,6 +224,7 @@ def nearest_vertex(
         .groupBy("__pid")
         .agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), F.col("__vid").alias("v"))).alias("m"))
     )
-    return found.select(
+    found = found.select(
         F.col("__pid").alias(point_id), F.col("m.v").alias(vertex_id), F.col("m.d").alias("distance2")
     )
+    return points.select(point_id).distinct().join(found, point_id, "left")

@@ -25,14 +25,20 @@ def lookup(
     state: DataFrame,
     wanted: DataFrame,
     keys: Sequence[str],
-    value: str,
+    value: str | Sequence[str],
     digits: int | None = None,
     unknown: str = "Not found",
 ) -> DataFrame:
-    """Requested keys with their value and a status; unknown keys stay, with a null value."""
-    shown = F.col(value) if digits is None else exact_round(F.col(value), digits)
-    known = state.select(*keys, shown.alias(value))
-    status = F.when(F.col(value).isNull(), unknown).otherwise("Success")
+    """Requested keys with their value and a status; unknown keys stay, with a null value.
+
+    ``value`` may name several columns: the whole forecast. ``digits`` rounds the floating-point ones. A key is
+    known if any of its values is.
+    """
+    names = [value] if isinstance(value, str) else list(value)
+    floating = {c for c, kind in state.dtypes if kind in ("double", "float")}
+    shown = [F.col(v) if digits is None or len(names) > 1 and v not in floating else exact_round(F.col(v), digits) for v in names]
+    known = state.select(*keys, *[c.alias(v) for c, v in zip(shown, names)])
+    status = F.when(F.coalesce(*[F.col(v).cast("string") for v in names]).isNull(), unknown).otherwise("Success")
     return wanted.select(*keys).join(known, list(keys), "left").withColumn("status", status)
 
 

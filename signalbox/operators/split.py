@@ -1,14 +1,13 @@
 """Splitting of long histories, so that no window task holds more than a fair share of rows.
 
 Most series operators are windows per key. One key may hold a third of all rows, and then one task
-would too. ``plan_split`` measures the keys with a map-side combined count; every key larger than an
-average shuffle partition is cut along its time axis into pieces of about that size. Windows then
+would too. ``plan_split`` measures the keys with a map-side combined count, whatever the size of the input;
+every key above ``PIECE_ROWS`` rows is cut along its time axis into pieces of about that size. Windows then
 partition by (key, piece), and what crosses a cut (a running total, the previous row, the next few
 rows) travels through a summary with one row per piece.
 
-Bounds: a key is cut only if it has more than ``rows / shuffle partitions`` rows, so there are fewer
-cut keys than shuffle partitions, and at most about twice as many pieces. That is why the cut points
-and the summaries may be broadcast whatever the size of the data.
+Bounds: there are fewer cut keys than ``rows / PIECE_ROWS``, and at most about twice as many pieces. Cut
+points and summaries are broadcast only up to a measured number of them; beyond it they are joined by key.
 
 A time that alone has too many rows is cut further along the tiebreaker, where that is a number or a
 time. Pieces follow the series' total order in every case.
@@ -28,11 +27,10 @@ from pyspark.sql import types as T
 PIECE = "__piece"
 _CUTS = "__cuts"
 
-# Below this estimated input size one task can hold any key, and measuring would cost more than it saves.
-SMALL_INPUT_BYTES = 64 << 20
-# A key is never cut below this many rows per piece.
-MIN_PIECE_ROWS = 1_000_000
-MAX_PIECES = 8192
+# Rows that one window task may hold of a key; a longer key is cut into pieces of about that size.
+PIECE_ROWS = 1_000_000
+# Cut points, hot keys or summaries of pieces that may be broadcast; their number is measured.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def axis(df: DataFrame, order: str) -> Column:
@@ -85,6 +83,7 @@ class Split:
     tie: str | None = None
     cuts: DataFrame | None = None
     longest: int = 0
+    pieces: int = 0
 
     def mark(self, df: DataFrame) -> DataFrame:
         """Adds the piece number: -1 for whole keys, 0, 1, 2, ... in time order for cut ones."""
@@ -98,7 +97,7 @@ class Split:
             _cuts_at_or_below(F.col(_CUTS), here, steps)
         )
         match = null_safe([F.col(k) for k in self.keys], [F.col(n) for n in names])
-        return df.join(F.broadcast(cuts), match, "left").withColumn(PIECE, piece).drop(*names, _CUTS)
+        return df.join(_sized(cuts, self.pieces), match, "left").withColumn(PIECE, piece).drop(*names, _CUTS)
 
     def spread(self, df: DataFrame) -> DataFrame:
         """Marks the rows and brings each piece together; unchanged when nothing is cut.
@@ -116,24 +115,16 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.drop(PIECE)
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate; None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def small_input(df: DataFrame) -> bool:
-    size = _estimated_bytes(df)
-    return size is not None and size < SMALL_INPUT_BYTES
+def _sized(rows: DataFrame, count: int) -> DataFrame:
+    """A table of at most ``count`` rows, broadcast while that is few; beyond it the join shuffles."""
+    return F.broadcast(rows) if count <= MAX_BROADCAST_ROWS else rows
 
 
 def _quantiles(
     rows: DataFrame, groups: Sequence[str], column: str, largest: int, limit: int
 ) -> DataFrame:
     """Per group the values of ``column`` at about every ``limit`` rows (mergeable sketches)."""
-    pieces = min(MAX_PIECES, math.ceil(largest / limit))
+    pieces = math.ceil(largest / limit)
     shares = [i / pieces for i in range(1, pieces)]
     # A group smaller than the largest needs fewer cuts: keep every step-th quantile.
     step = F.greatest(F.lit(1), F.floor(F.lit(pieces * limit) / F.col("__n"))).cast("int")
@@ -162,21 +153,18 @@ def plan_split(
     """
     keys = tuple(keys)
     whole = Split(keys, order, tie)
-    if max_rows is None and small_input(df):
-        return whole
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total, top = counts.agg(F.sum("__n"), F.max("__n")).first()
     if not total:
         return whole
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = max_rows or max(MIN_PIECE_ROWS, math.ceil(total / partitions))
+    limit = max_rows or PIECE_ROWS
     if top <= limit:
         return whole
 
     def only(rows: DataFrame, wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
         names = [f"__hot_{i}" for i in range(len(columns))]
         match = null_safe([F.col(c) for c in columns], [F.col(n) for n in names])
-        return rows.join(F.broadcast(wanted.select(*columns).toDF(*names)), match, "left_semi")
+        return rows.join(_sized(wanted.select(*columns).toDF(*names), total // limit), match, "left_semi")
 
     spark = df.sparkSession
     key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
@@ -203,7 +191,8 @@ def plan_split(
     point = T.StructType([T.StructField("o", T.DoubleType()), T.StructField("t", T.DoubleType())])
     schema = T.StructType([*key_fields, T.StructField(_CUTS, T.ArrayType(point))])
     return Split(
-        keys, order, tie, spark.createDataFrame(found, schema), max(len(f[-1]) for f in found)
+        keys, order, tie, spark.createDataFrame(found, schema), max(len(f[-1]) for f in found),
+        sum(len(f[-1]) + 1 for f in found),
     )
 
 
@@ -302,7 +291,7 @@ class Series:
             *[F.col(p).alias(n) for p, n in zip(self.part, names)], *[F.col(k) for k in keep]
         )
         match = null_safe([F.col(p) for p in self.part], [F.col(n) for n in names])
-        return df.join(F.broadcast(pieces), match, "left").drop(*names)
+        return df.join(_sized(pieces, self.split.pieces), match, "left").drop(*names)
 
     def done(self, df: DataFrame, *temporary: str) -> DataFrame:
         return df.drop(*temporary) if self.chained else df.drop(PIECE, *temporary)

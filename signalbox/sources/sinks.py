@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -45,15 +44,15 @@ def write_geojson_lines(features: DataFrame, path: str, column: str = "feature",
     features.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
 
-def feature_collections(
-    features: DataFrame, column: str = "feature", max_features: int = 50_000
-) -> DataFrame:
-    """Features as FeatureCollection documents: one, or as many as ``max_features`` each requires."""
-    total = features.count()
-    parts = max(1, math.ceil(total / max_features))
-    salted = features.withColumn("part", F.pmod(F.xxhash64(column), F.lit(parts)).cast("int"))
+def feature_collections(features: DataFrame, column: str = "feature", by: Sequence[str] = ()) -> DataFrame:
+    """Features as FeatureCollection documents: one for each value of the ``by`` columns, or one of all.
+
+    How many documents there are depends on the data alone. A document is assembled in one task: name the
+    columns that bound it, or write newline-delimited features, where a single one would be too large.
+    """
+    keys = [F.col(b) for b in by] or [F.lit(0).alias("part")]
     joined = F.array_join(F.array_sort(F.collect_list(column)), ",")
-    return salted.groupBy("part").agg(
+    return features.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("features"),
         F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("value"),
     )

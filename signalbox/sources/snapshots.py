@@ -6,7 +6,6 @@ any DataFrame, batch or streaming. Flattening is expressions only, so it needs n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -17,8 +16,6 @@ from signalbox import schemas
 from signalbox.functions.calendar import stamp_to_timestamp, timestamp_to_stamp
 
 FILE = "source_file"
-# Stations one written document may hold before a snapshot is spread over several documents.
-MAX_STATIONS_PER_DOCUMENT = 10_000
 
 
 class Flattened(NamedTuple):
@@ -238,32 +235,26 @@ def flatten_rail_json(
 # ---- writing documents -----------------------------------------------------------------------
 
 
-def _parts(df: DataFrame, group: str, limit: int) -> int:
-    """Into how many documents the largest group has to be spread (one measured number)."""
-    largest = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return max(1, math.ceil((largest or 0) / limit))
-
-
 def nest_rail_json(
     df: DataFrame,
     ts: str,
     line: str,
     sta: str,
     payload: str,
-    max_stations: int = MAX_STATIONS_PER_DOCUMENT,
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Assembles station payloads (a struct column) into one nested document per capture time.
+    """Assembles station payloads (a struct column) into one nested document per capture second.
 
-    A capture time with more than ``max_stations`` rows becomes several documents with the same
-    stamp; flattening them gives the same rows. If a station occurs twice the larger payload stays.
+    If a station occurs twice in a second, the later payload stays: by ``ts``, then the ``order`` columns, then
+    the payload's text.
     """
-    salt = F.pmod(F.xxhash64(line, sta), F.lit(_parts(df, ts, max_stations)))
-    keys = df.select(timestamp_to_stamp(ts).alias("collected_at"), line, sta, payload, salt.alias("__p"))
-    once = keys.groupBy("collected_at", "__p", line, sta).agg(F.max(F.to_json(payload)).alias("__j"))
-    lines = once.groupBy("collected_at", "__p", line).agg(
+    later = F.struct(F.col(ts), *[F.col(o) for o in order], F.to_json(payload))
+    keys = df.select(timestamp_to_stamp(ts).alias("collected_at"), line, sta, F.to_json(payload).alias("__j"), later.alias("__o"))
+    once = keys.groupBy("collected_at", line, sta).agg(F.max_by("__j", "__o").alias("__j"))
+    lines = once.groupBy("collected_at", line).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(sta), F.col("__j"))))).alias("stas")
     )
-    return lines.groupBy("collected_at", "__p").agg(
+    return lines.groupBy("collected_at").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(line), _object("stas"))))).alias("d")
     ).select(
         "collected_at",
@@ -290,11 +281,8 @@ def nest_road_xml(
     segment: str,
     speed: str,
     valid: str,
-    max_segments: int = MAX_STATIONS_PER_DOCUMENT,
 ) -> DataFrame:
-    """Road rows as XML snapshot documents, one per (date, time) - or several where it is very large."""
-    stamp = df.withColumn("__t", F.concat_ws(" ", date, time))
-    salt = F.pmod(F.xxhash64(segment, speed), F.lit(_parts(stamp, "__t", max_segments)))
+    """Road rows as XML snapshot documents, one per (date, time)."""
 
     def tag(name: str, value: Column) -> Column:
         escaped = F.replace(
@@ -311,7 +299,7 @@ def nest_road_xml(
         F.lit("</segment>"),
     )
     return (
-        stamp.groupBy(date, time, salt.alias("__p"))
+        df.groupBy(date, time)
         .agg(F.array_join(F.array_sort(F.collect_list(element)), "").alias("__s"))
         .select(
             date,

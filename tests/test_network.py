@@ -61,10 +61,8 @@ def test_long_lines_continue_in_parts(spark, n):
     assert all(a["coordinates"][-1] == b["coordinates"][0] for a, b in zip(parts, parts[1:]))
 
 
-@pytest.mark.parametrize("kind", ["spread", "clump", "same", "line", "large"])
-def test_nearest_vertex(spark, kind, monkeypatch):
-    if kind == "large":
-        monkeypatch.setattr(network, "small_input", lambda df: False)
+@pytest.mark.parametrize("kind", ["spread", "clump", "same", "line"])
+def test_nearest_vertex(spark, kind):
     rng = np.random.default_rng(3)
     vertices = rng.uniform(0, 1, (400, 2))
     if kind == "clump":
@@ -86,4 +84,17 @@ def test_nearest_vertex_without_vertices(spark):
     none = spark.createDataFrame([], "v long, x double, y double")
     some = spark.createDataFrame([(1, 0.0, 0.0)], "p long, x double, y double")
     got = network.nearest_vertex(some, none, "p", "v")
-    assert got.columns == ["p", "v", "distance2"] and got.count() == 0
+    assert got.columns == ["p", "v", "distance2"] and [tuple(r) for r in got.collect()] == [(1, None, None)]
+
+
+def test_points_without_coordinates_stay(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0)], "p long, x double, y double")
+    got = network.nearest_vertex(points, spark.createDataFrame([(9, 1.0, 0.0)], "v long, x double, y double"), "p", "v")
+    assert sorted(map(tuple, got.collect())) == [(1, 9, 1.0), (2, None, None), (3, None, None)]
+
+
+def test_long_line_is_one_feature(spark):
+    rows = [("L", i, float(i), 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "line string, seq int, x double, y double")
+    (line,) = network.line_strings(df, ["line"], "seq", "x", "y", max_rows=4).collect()
+    assert line["part"] == 0 and len(line["coordinates"]) == 50

@@ -39,9 +39,7 @@ def skewed(tmp_path_factory):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, skewed, name, monkeypatch):
-    monkeypatch.setattr(split, "SMALL_INPUT_BYTES", 0)
-    monkeypatch.setattr(split, "MIN_PIECE_ROWS", 40)
-    monkeypatch.setattr(split, "MAX_PIECES", 12)
+    monkeypatch.setattr(split, "PIECE_ROWS", 40)
     folder, db = skewed
     df = entry.queries()[name](spark, folder)
     got = normal([tuple(r) for r in df.collect()], df.columns)
@@ -51,15 +49,9 @@ def test_query_equals_sql(spark, skewed, name, monkeypatch):
 
 
 def test_hot_key_is_cut(spark, skewed, monkeypatch):
-    monkeypatch.setattr(split, "SMALL_INPUT_BYTES", 0)
-    monkeypatch.setattr(split, "MIN_PIECE_ROWS", 40)
+    monkeypatch.setattr(split, "PIECE_ROWS", 40)
     events = spark.read.parquet(f"{skewed[0]}/events.parquet")
-    conf = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "20")
-    try:
-        plan = split.plan_split(events, ["user_id"], "ts", "event_id")
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", conf)
+    plan = split.plan_split(events, ["user_id"], "ts", "event_id")
     pieces = plan.mark(events).where("user_id = 7").groupBy(split.PIECE).count().collect()
     rows = sum(r["count"] for r in pieces)
     assert rows > events.count() / 4 and len(pieces) >= 5
