@@ -98,3 +98,12 @@ def test_long_line_is_one_feature(spark):
     df = spark.createDataFrame(rows, "line string, seq int, x double, y double")
     (line,) = network.line_strings(df, ["line"], "seq", "x", "y", max_rows=4).collect()
     assert line["part"] == 0 and len(line["coordinates"]) == 50
+
+
+def test_lookup_of_a_whole_forecast(spark):
+    from signalbox.operators import serving
+
+    state = spark.createDataFrame([("L", "A", 0.123456, 3, "red"), ("L", "B", None, None, None)], "line string, sta string, risk double, trains int, color string")
+    wanted = spark.createDataFrame([("L", "A"), ("L", "B"), ("X", "Y")], "line string, sta string")
+    got = serving.lookup(state, wanted, ["line", "sta"], ["risk", "trains", "color"], digits=2)
+    assert sorted(map(tuple, got.collect())) == [("L", "A", 0.12, 3, "red", "Success"), ("L", "B", None, None, None, "Not found"), ("X", "Y", None, None, None, "Not found")]
