@@ -53,6 +53,23 @@ def pixels_to_degrees(
 # ---- projected metres to degrees -------------------------------------------------------------
 
 
+# The ellipsoid that web maps use.
+WGS84_SEMI_MAJOR, WGS84_INVERSE_FLATTENING = 6378137.0, 298.257223563
+
+
+@dataclass(frozen=True)
+class Datum:
+    """Shift of a datum to WGS84: metres, arc seconds (position vector rotation), parts per million."""
+
+    dx: float
+    dy: float
+    dz: float
+    rx: float = 0.0
+    ry: float = 0.0
+    rz: float = 0.0
+    ppm: float = 0.0
+
+
 @dataclass(frozen=True)
 class TransverseMercator:
     """Parameters of a projected grid: ellipsoid, origin, scale and false origin."""
@@ -64,6 +81,7 @@ class TransverseMercator:
     scale: float
     false_easting: float
     false_northing: float
+    datum: Datum | None = None
 
 
 def _kruger(grid: TransverseMercator) -> tuple[float, float, list[float], list[float]]:
@@ -114,9 +132,49 @@ def grid_to_degrees(x: Column, y: Column, grid: TransverseMercator) -> Column:
     return F.array(lon, lat)
 
 
+def _geocentric(place: Column, semi_major: float, flattening: float) -> Column:
+    """``array(lon, lat)`` in degrees to ``array(x, y, z)`` in metres, on the ellipsoid's surface."""
+    lon, lat = F.radians(place[0]), F.radians(place[1])
+    square = flattening * (2 - flattening)
+    radius = F.lit(semi_major) / F.sqrt(1 - F.lit(square) * F.pow(F.sin(lat), 2))
+    return F.array(
+        radius * F.cos(lat) * F.cos(lon), radius * F.cos(lat) * F.sin(lon), radius * F.lit(1 - square) * F.sin(lat)
+    )
+
+
+def _shifted(p: Column, datum: Datum) -> Column:
+    turn = [math.radians(r / 3600) for r in (datum.rx, datum.ry, datum.rz)]
+    rx, ry, rz = map(F.lit, turn)
+    grow = F.lit(1 + datum.ppm * 1e-6)
+    return F.array(
+        F.lit(datum.dx) + grow * (p[0] - rz * p[1] + ry * p[2]),
+        F.lit(datum.dy) + grow * (rz * p[0] + p[1] - rx * p[2]),
+        F.lit(datum.dz) + grow * (p[2] - ry * p[0] + rx * p[1]),
+    )
+
+
+def _surface(p: Column, semi_major: float, flattening: float) -> Column:
+    """``array(x, y, z)`` to ``array(lon, lat)`` (Bowring's formula: exact to far below a millimetre near the surface)."""
+    square = flattening * (2 - flattening)
+    semi_minor = semi_major * (1 - flattening)
+    across = F.sqrt(p[0] * p[0] + p[1] * p[1])
+    reduced = F.atan2(p[2] * F.lit(semi_major), across * F.lit(semi_minor))
+    lat = F.atan2(
+        p[2] + F.lit(square / (1 - square) * semi_minor) * F.pow(F.sin(reduced), 3),
+        across - F.lit(square * semi_major) * F.pow(F.cos(reduced), 3),
+    )
+    return F.array(F.degrees(F.atan2(p[1], p[0])), F.degrees(lat))
+
+
 def reproject(vertices: Column, grid: TransverseMercator) -> Column:
-    """Every vertex of a line from grid metres to degrees."""
-    return F.transform(vertices, lambda v: grid_to_degrees(F.get(v, F.lit(0)), F.get(v, F.lit(1)), grid))
+    """Every vertex of a line from grid metres to degrees: on WGS84 if the grid has a datum shift, else on its own datum."""
+    placed = F.transform(vertices, lambda v: grid_to_degrees(F.get(v, F.lit(0)), F.get(v, F.lit(1)), grid))
+    if grid.datum is None:
+        return placed
+    # One array pass a step, so that no step is written out several times inside the next.
+    metres = F.transform(placed, lambda v: _geocentric(v, grid.semi_major, 1 / grid.inverse_flattening))
+    moved = F.transform(metres, lambda p: _shifted(p, grid.datum))
+    return F.transform(moved, lambda p: _surface(p, WGS84_SEMI_MAJOR, 1 / WGS84_INVERSE_FLATTENING))
 
 
 # ---- simplification --------------------------------------------------------------------------

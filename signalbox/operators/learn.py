@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalbox.functions.rounding import non_negative
-from signalbox.operators.dataset import ARRIVAL_SCALE, SPEED_SCALE, scale, sequence_vector
-from signalbox.operators.serving import latest, rail_state
+from signalbox.operators.dataset import ARRIVAL_SCALE, SPEED_SCALE, loss_metrics, scale, sequence_vector, split_by_time
+from signalbox.operators.serving import latest, latest_filled, rail_state
 from signalbox.operators.series import constant_history, sequences
+from signalbox.session import work_dir
 
 # Model inputs and sequence lengths.
 ROAD_FEATURES = ("speed", "hour", "day_of_week", "is_weekend", "is_peak")
@@ -51,57 +49,78 @@ def event_samples(events: DataFrame) -> DataFrame:
     return sequence_vector(rows, RAIL_FEATURES)
 
 
-def train_regressor(
-    samples: DataFrame, label: str, seed: int, max_iter: int = 20, max_depth: int = 5
-) -> PipelineModel:
-    gbt = GBTRegressor(
-        featuresCol="features", labelCol=label, predictionCol=f"predicted_{label}", maxIter=max_iter, maxDepth=max_depth, seed=seed
-    )
-    return _fit(Pipeline(stages=[gbt]), samples.select("features", label))
+EVENT_OUTPUTS = ("delay_duration_minutes", "affected_trains_count")
+
+
+def written(samples: DataFrame) -> DataFrame:
+    """Samples as a table in shared storage: training reads them many times, and they come out of windows."""
+    path = work_dir(samples.sparkSession, "samples")
+    samples.write.parquet(path)
+    return samples.sparkSession.read.parquet(path)
 
 
-def _fit(estimator: Estimator, samples: DataFrame) -> Model:
-    """Fits on kept samples: training reads them many times, and they come out of windows."""
-    kept = samples.persist(StorageLevel.DISK_ONLY)
-    try:
-        return estimator.fit(kept)
-    finally:
-        kept.unpersist()
+def regressor(label: str, seed: int, kind: str = "gbt", max_iter: int = 20, max_depth: int = 5) -> Estimator:
+    columns = {"featuresCol": "features", "labelCol": label, "predictionCol": f"predicted_{label}"}
+    if kind == "linear":
+        return LinearRegression(**columns)
+    return GBTRegressor(maxIter=max_iter, maxDepth=max_depth, seed=seed, **columns)
 
 
-def train_classifier(
-    samples: DataFrame, label: str, seed: int, kind: str = "gbt", max_iter: int = 20
-) -> PipelineModel:
+def classifier(label: str, seed: int, kind: str = "gbt", max_iter: int = 20) -> Estimator:
     columns = {"featuresCol": "features", "labelCol": label, "maxIter": max_iter}
-    model = GBTClassifier(seed=seed, **columns) if kind == "gbt" else LogisticRegression(**columns)
-    return _fit(Pipeline(stages=[model]), samples.select("features", label))
+    return GBTClassifier(seed=seed, **columns) if kind == "gbt" else LogisticRegression(**columns)
+
+
+def train_regressor(samples: DataFrame, label: str, seed: int, **options) -> Model:
+    return regressor(label, seed, **options).fit(written(samples.select("features", label)))
 
 
-def train_events(samples: DataFrame, seed: int, **options) -> tuple[PipelineModel, PipelineModel]:
+def train_classifier(samples: DataFrame, label: str, seed: int, **options) -> Model:
+    return classifier(label, seed, **options).fit(written(samples.select("features", label)))
+
+
+def train_events(samples: DataFrame, seed: int, **options) -> tuple[Model, Model]:
     """Two regressors, one per output: duration and affected trains."""
-    outputs = ("delay_duration_minutes", "affected_trains_count")
-    kept = samples.select("features", *outputs).persist(StorageLevel.DISK_ONLY)
-    try:
-        return tuple(train_regressor(kept, label, seed, **options) for label in outputs)
-    finally:
-        kept.unpersist()
+    kept = written(samples.select("features", *EVENT_OUTPUTS))
+    return tuple(regressor(label, seed, **options).fit(kept) for label in EVENT_OUTPUTS)
+
+
+def prediction_column(model: Model) -> str:
+    return (model.stages[-1] if isinstance(model, PipelineModel) else model).getPredictionCol()
+
+
+def validation_loss(model: Model, samples: DataFrame, label: str, task: str) -> float | None:
+    """Mean squared error of a regression, cross-entropy of a classification; null without samples."""
+    scored = model.transform(samples)
+    shown = F.col(prediction_column(model)) if task == "regression" else F.get(vector_to_array("probability"), F.lit(1))
+    losses = loss_metrics(scored.select(label, shown.alias("__p")), label, "__p").first()
+    return losses["mse" if task == "regression" else "bce"]
 
 
 def select_best(
-    samples: DataFrame, label: str, seed: int, task: str, iterations: Sequence[int] = (10, 20), train: float = 0.8
+    samples: DataFrame,
+    label: str,
+    seed: int,
+    task: str,
+    order: str,
+    iterations: Sequence[int] = (10, 20),
+    train: float = 0.8,
 ) -> Model:
-    """Keeps the candidate with the lowest validation loss."""
-    if task == "regression":
-        model = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
-        judge = RegressionEvaluator(labelCol=label, metricName="mse")
-    else:
-        model = LogisticRegression(featuresCol="features", labelCol=label)
-        judge = BinaryClassificationEvaluator(labelCol=label)
-    grid = ParamGridBuilder().addGrid(model.maxIter, list(iterations)).build()
-    search = TrainValidationSplit(
-        estimator=model, estimatorParamMaps=grid, evaluator=judge, trainRatio=train, seed=seed
-    )
-    return _fit(search, samples.select("features", label)).bestModel
+    """Keeps the candidate with the lowest validation loss, the shorter one of equals.
+
+    Neighbouring windows overlap, so the validation samples are the newest in ``order``, not a random share.
+    """
+    if task not in ("regression", "classification"):
+        raise ValueError(f"task must be 'regression' or 'classification', not {task!r}")
+    parts = split_by_time(written(samples.select("features", label, order)), order, train)
+    make = regressor if task == "regression" else classifier
+    best, least = None, None
+    for n in iterations:
+        model = make(label, seed, max_iter=n).fit(parts.where("is_train").select("features", label))
+        loss = validation_loss(model, parts.where("not is_train"), label, task)
+        if best is None or loss is not None and loss < least:
+            best, least = model, loss
+    return best
 
 
 def _vectors(rows: DataFrame, scales, features, length: int) -> DataFrame:
@@ -118,40 +137,56 @@ def _scaled(feature: str, scales):
     return (value / F.lit(float(scales[feature])) if feature in scales else value).alias(feature)
 
 
+def _needed(rows: DataFrame, keys, order: str, tie, features) -> DataFrame:
+    """What scoring reads: nothing else of the feed is computed, in particular no label."""
+    tie = [tie] if isinstance(tie, str) else list(tie)
+    return rows.select(*dict.fromkeys([*keys, order, *tie, *features]))
+
+
 def score_road(rows: DataFrame, model: Model, tie: str, keys=("segment_id",), order="datetime") -> DataFrame:
     """Road state from each segment's newest row, repeated to the model's sequence length."""
-    newest = latest(rows, list(keys), order, tie)
+    newest = latest(_needed(rows, keys, order, tie, ROAD_FEATURES), list(keys), order, tie)
     scored = model.transform(_vectors(newest, {"speed": SPEED_SCALE}, ROAD_FEATURES, ROAD_LENGTH))
-    prediction = [c for c in scored.columns if c.startswith("predict")][-1]
     return scored.select(
         *keys,
-        non_negative(F.col(prediction)).alias("predicted_congestion_minutes"),
+        non_negative(F.col(prediction_column(model))).alias("predicted_congestion_minutes"),
         F.col(order).alias("updated_at"),
     )
 
 
 def score_rail(
-    rows: DataFrame, risk_model: Model, event_models: tuple[Model, Model], tie: str, keys=("line", "sta"), order="timestamp"
+    rows: DataFrame,
+    risk_model: Model,
+    event_models: tuple[Model, Model],
+    tie: str,
+    keys=("line", "sta"),
+    order="timestamp",
+    fill: bool = False,
 ) -> DataFrame:
     """Rail state from each station's newest row: risk, duration, affected trains and tier.
 
-    The three models add their columns to the same rows, so the feed is read and reduced once.
+    The three models add their columns to the same rows, so the feed is read and reduced once. A missing arrival
+    counts as 0.0; with ``fill`` it takes the station's newest known one, as the training tables do.
     """
     keys = list(keys)
-    newest = latest(rows, keys, order, tie)
-    newest = newest.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in _RAIL_SCALES})
+    rows = _needed(rows, keys, order, tie, RAIL_FEATURES)
+    if fill:
+        newest = latest_filled(rows, keys, order, tie, ARRIVALS)
+    else:
+        newest = latest(rows, keys, order, tie).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ARRIVALS})
     scored = risk_model.transform(_vectors(newest, _RAIL_SCALES, RAIL_FEATURES, RISK_LENGTH))
     scored = scored.withColumn("delay_risk_probability", F.get(vector_to_array("probability"), F.lit(1)))
     scored = scored.drop("features", "rawPrediction", "probability", "prediction")
     scored = _vectors(scored, _RAIL_SCALES, RAIL_FEATURES, EVENT_LENGTH)
+    outputs = [F.col(prediction_column(m)) for m in event_models]
     for model in event_models:
         scored = model.transform(scored)
     return rail_state(
         scored.select(
             *keys,
             "delay_risk_probability",
-            F.col("predicted_delay_duration_minutes").alias("duration"),
-            F.col("predicted_affected_trains_count").alias("affected"),
+            outputs[0].alias("duration"),
+            outputs[1].alias("affected"),
             *ARRIVALS,
             F.col(order).alias("updated_at"),
         ),

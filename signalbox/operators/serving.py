@@ -21,6 +21,21 @@ def latest(df: DataFrame, keys: Sequence[str], order: str, tie: str | Sequence[s
     return newest.select(*keys, "__row.*").select(*df.columns)
 
 
+def latest_filled(
+    df: DataFrame, keys: Sequence[str], order: str, tie: str | Sequence[str], cols: Sequence[str], fill: float = 0.0
+) -> DataFrame:
+    """Each key's newest row as a forward fill would leave it: a null in ``cols`` takes the newest value before it.
+
+    An aggregate, so nothing has to be filled but the rows that stay.
+    """
+    tie = [tie] if isinstance(tie, str) else list(tie)
+    at = F.struct(order, *tie)
+    others = [c for c in df.columns if c not in (*keys, *cols)]
+    filled = [F.coalesce(F.max_by(c, F.when(F.col(c).isNotNull(), at)), F.lit(fill)).alias(c) for c in cols]
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*others), at).alias("__row"), *filled)
+    return newest.select(*keys, "__row.*", *cols).select(*df.columns)
+
+
 def lookup(
     state: DataFrame,
     wanted: DataFrame,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.functions import calendar, geometry, rounding, severity
@@ -90,11 +91,73 @@ def json_nest_roundtrip(spark, sf):
     )
 
 
+def _as_files(docs, path, *folders):
+    """Documents as an archive: one file each, in nested folders named by columns."""
+    docs.select("value", *folders).write.mode("append").partitionBy(*folders).text(path)
+
+
+@query
+def archive_flatten(spark, sf):
+    """Documents written to nested folders, one file each, and read back as an archive."""
+    path = work_dir(spark, "archive")
+    docs = standin.road_documents(spark, sf).withColumn("hour", F.substring("time", 1, 2))
+    _as_files(docs, path, "date", "hour")
+    rows = road_plan.observations(snapshots.read_archive(spark, path, "part-*"))
+    folder = F.regexp_extract(snapshots.FILE, "/date=([^/]+)/hour=", 1)
+    return rows.select(
+        "segment_id", "speed", calendar.timestamp_to_clock("datetime").alias("datetime"), folder.alias("folder"),
+        "hour", "day_of_week", "is_weekend", "is_peak",
+    )
+
+
 @query
 def newest_snapshot(spark, sf):
-    docs = standin.rail_documents(spark, sf)
-    newest = docs.agg(F.max("collected_at")).scalar()
-    return _stamped(snapshots.flatten_rail_json(docs.where(F.col("collected_at") == newest)).rows)
+    """The document that was written last to a dated archive."""
+    path, parsed = work_dir(spark, "newest"), work_dir(spark, "documents")
+    standin.rail_documents(spark, sf).withColumn("day", F.substring("collected_at", 1, 8)).write.parquet(parsed)
+    docs = spark.read.parquet(parsed)
+    newest = F.col("collected_at") == docs.agg(F.max("collected_at")).scalar()
+    for part in (docs.where(~newest), docs.where(newest)):
+        _as_files(part, path, "day", "collected_at")
+    return _stamped(snapshots.flatten_rail_json(snapshots.read_newest(spark, path, "part-*")).rows)
+
+
+@query
+def station_pixels_csv(spark, sf):
+    """Customers as a table of station pixels in CSV; some have no real place."""
+    rows = standin.table(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment").select(
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("x_projection"), F.col("c_custkey").cast("double").alias("y_projection"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 7).alias("x_real"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") / 3).alias("y_real"), F.col("c_mktsegment").alias("color"),
+    )
+    path = work_dir(spark, "pixels")
+    rows.write.option("header", True).csv(path)
+    return tables.read_station_pixels(spark, path)
+
+
+@query
+def paths_csv(spark, sf):
+    """Paths in CSV, with the texts that stand for no projection and for a direction."""
+    n = F.col("vec_id")
+    rows = standin.path_texts(spark, sf).select(
+        n.cast("string").alias("name"), "path", F.lit("#123456").alias("color"), F.lit("2").alias("stroke_width"), F.lit("line").alias("class"),
+        F.when(n % 3 == 0, "null").otherwise("plane").alias("projection"),
+        F.when(n % 2 == 0, "TRUE").when(n % 7 != 0, "FALSE").alias("reverseFirstPath"),
+        F.when(n % 5 == 0, "TRUE").otherwise("true").alias("reverseSecondPath"),
+    )
+    path = work_dir(spark, "paths")
+    rows.write.option("header", True).csv(path)
+    back = tables.read_paths(spark, path)
+    first = F.regexp_extract("path", r"^M([^,]+),", 1).cast("double")
+    return back.select("name", first.alias("first_x"), "color", "projection", "reverseFirstPath", "reverseSecondPath")
+
+
+@query
+def configured_lines(spark, sf):
+    """How many rows each station of the configured lines has."""
+    lines = tables.line_stations(spark, {f"L{i}": [str(10 * j + i) for j in range(12)] for i in range(10)})
+    rows = standin.rail(spark, sf).groupBy("line", "sta").agg(F.count(F.lit(1)).alias("n"))
+    return lines.join(rows, ["line", "sta"])
 
 
 @query
@@ -351,25 +414,56 @@ def _road_samples(spark, sf):
 @query
 def train_score_road(spark, sf):
     rows, samples = _road_samples(spark, sf)
-    model = learn.train_regressor(samples, "label", seed=7, max_iter=3, max_depth=3)
-    return learn.score_road(rows, model, "event_id")
+    return learn.score_road(rows, learn.train_regressor(samples, "label", seed=7), "event_id")
 
 
 @query
 def select_best_road(spark, sf):
     rows, samples = _road_samples(spark, sf)
-    model = learn.select_best(samples, "label", 7, "regression", iterations=(1, 2))
+    model = learn.select_best(samples, "label", 7, "regression", "datetime")
     return learn.score_road(rows, model, "event_id")
 
 
+@query
+def road_sample_totals(spark, sf):
+    """What the road model learns from: samples, their labels, and the newest speed in each window."""
+    samples = _road_samples(spark, sf)[1].withColumn("f", vector_to_array("features"))
+    newest = F.element_at("f", -len(learn.ROAD_FEATURES)) * dataset.SPEED_SCALE
+    return samples.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("label"), 3).alias("label_sum"), F.round(F.sum(newest), 3).alias("speed_sum"),
+        F.max(F.size("f")).alias("width"),
+    )
+
+
 @query
 def train_score_rail(spark, sf):
     rows = standin.rail(spark, sf)
     risk = rail_plan.risk_table(rows, "event_id")
-    risk_model = learn.train_classifier(learn.risk_samples(risk, "event_id"), "label", 7, kind="logistic", max_iter=10)
+    risk_model = learn.train_classifier(learn.risk_samples(risk, "event_id"), "label", 7, kind="logistic")
     training = dataset.augment(_events(spark, sf), ["event_id"], seed=7)
-    models = learn.train_events(learn.event_samples(training), 7, max_iter=2, max_depth=3)
-    return learn.score_rail(rail_plan.filled(rows, "event_id"), risk_model, models, "event_id")
+    models = learn.train_events(learn.event_samples(training), 7)
+    return learn.score_rail(calendar.add_calendar(rows, "timestamp"), risk_model, models, "event_id", fill=True)
+
+
+def _arrival_model(rows):
+    """Down arrival from up arrival by least squares, whose answer is determined."""
+    samples = rows.where("up_ttnt_1 is not null").select(array_to_vector(F.array("up_ttnt_1")).alias("features"), F.col("down_ttnt_1").alias("label"))
+    return learn.train_regressor(samples, "label", seed=7, kind="linear")
+
+
+@query
+def least_squares_scores(spark, sf):
+    """A fitted model applied to every row that has its input."""
+    rows = standin.rail(spark, sf)
+    model = _arrival_model(rows)
+    known = rows.where("up_ttnt_1 is not null").withColumn("features", array_to_vector(F.array("up_ttnt_1")))
+    return model.transform(known).select("event_id", F.round(learn.prediction_column(model), 6).alias("predicted"))
+
+
+@query
+def newest_filled(spark, sf):
+    """Each station's newest row as forward filling leaves it, without filling the others."""
+    return serving.latest_filled(standin.rail(spark, sf), *RAIL, ["up_ttnt_1", "down_ttnt_1"])
 
 
 # ---- serving ---------------------------------------------------------------------------------
@@ -571,7 +665,7 @@ def geojson_roundtrip(spark, sf):
     lines = strings.select(
         sinks.feature_json(F.struct(F.col("l_orderkey").alias("id")), "LineString", F.col("coordinates")).alias("feature")
     )
-    points = standin.points(spark, sf).select(
+    points = standin.places(spark, sf).select(
         sinks.feature_json(F.struct(F.col("vec_id").alias("id")), "Point", F.array("x", "y")).alias("feature")
     )
     path = work_dir(spark, "geojson")
@@ -598,6 +692,22 @@ def feature_collections(spark, sf):
     )
 
 
+@query
+def feature_collection_files(spark, sf):
+    """One document of features for each line, written as a file and read back."""
+    stations = _stations(spark, sf)
+    colors = tables.mapping(spark, {f"L{i}": f"#{i}{i}{i}" for i in range(5)}, "line string, color string")
+    features = network.point_features(stations, colors).withColumn("line", F.get_json_object("feature", "$.properties.line"))
+    path = work_dir(spark, "collections")
+    _as_files(sinks.feature_collections(features, by=["line"]), path, "line")
+    back = tables.read_geojson(spark, path)
+    p = F.col("properties")
+    return back.select(
+        p["name"].alias("name"), p["color"].alias("color"), p["type"].alias("type"), "geometry_type",
+        F.get("point", F.lit(0)).alias("lon"), F.get("point", F.lit(1)).alias("lat"),
+    )
+
+
 @query
 def network_features(spark, sf):
     """Regions as lines over their nations, placed by each nation's first supplier; read back from text."""
@@ -628,13 +738,15 @@ def network_features(spark, sf):
 
 @query
 def minmax_affine(spark, sf):
-    return geometry.pixels_to_degrees(standin.points(spark, sf), "x", "y").select("vec_id", "lon", "lat")
+    return geometry.pixels_to_degrees(standin.places(spark, sf), "x", "y").select("vec_id", "pos", "lon", "lat")
 
 
 @query
 def nearest_point(spark, sf):
-    vertices = standin.points(spark, sf, first=2).withColumnRenamed("vec_id", "vertex_id")
-    return network.nearest_vertex(standin.points(spark, sf), vertices, "vec_id", "vertex_id")
+    """For every even place of a vector the nearest of all odd ones."""
+    places = standin.places(spark, sf).withColumn("point_id", F.col("vec_id") * 32 + F.col("pos"))
+    vertices = places.where("pos % 2 = 1").withColumnRenamed("point_id", "vertex_id")
+    return network.nearest_vertex(places.where("pos % 2 = 0"), vertices, "point_id", "vertex_id")
 
 
 @query
@@ -653,8 +765,10 @@ def path_midpoints(spark, sf):
     return points.select("vec_id", "sub", "pos", "i", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
 
 
+# The published parameters of a city's grid and of its datum's shift.
 GRID = geometry.TransverseMercator(
-    6378388.0, 297.0, 22 + 18 / 60 + 43.68 / 3600, 114 + 10 / 60 + 42.80 / 3600, 1.0, 836694.05, 819069.80
+    6378388.0, 297.0, 22 + 18 / 60 + 43.68 / 3600, 114 + 10 / 60 + 42.80 / 3600, 1.0, 836694.05, 819069.80,
+    geometry.Datum(-162.619, -276.959, -161.764, 0.067753, -2.243649, -1.158827, -1.094246),
 )
 
 
@@ -671,17 +785,16 @@ def reproject_roads(spark, sf):
 def road_network_features(spark, sf):
     observed = standin.road(spark, sf).select("segment_id")
     out = road_plan.road_features(standin.grid_lines(spark, sf), observed, GRID, tolerance=0.01)
-    return out.select("segment_id", "STREET_ENAME", F.size("geometry").alias("vertices"))
+    kept = out.select("segment_id", "STREET_ENAME", F.posexplode("geometry").alias("pos", "v"))
+    return kept.select(
+        "segment_id", "STREET_ENAME", "pos", F.round(F.get("v", F.lit(0)), 7).alias("lon"), F.round(F.get("v", F.lit(1)), 7).alias("lat")
+    )
 
 
 # ---- streams ---------------------------------------------------------------------------------
 
 
-def _stream(spark, sf, view) -> DataFrame:
-    """The view's rows as a stream over the events table."""
-    schema = standin.table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return source.transform(view)
+DELIVERIES = 5
 
 
 def _rail_rows(events_: DataFrame) -> DataFrame:
@@ -695,9 +808,38 @@ def _rail_rows(events_: DataFrame) -> DataFrame:
     )
 
 
-def _run(spark, sf, process, root) -> DataFrame:
-    stream = _stream(spark, sf, _rail_rows)
-    state.run_batches(stream, process, f"{root}/checkpoint", available_now=True).awaitTermination()
+def _in_order(rows: DataFrame) -> Column:
+    """The delivery of a row: equal stretches of time, in order."""
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    return F.least(F.lit(DELIVERIES - 1), F.expr(f"(unix_micros(cast(timestamp as timestamp)) - {low}) div {(high - low) // DELIVERIES + 1}"))
+
+
+def _shuffled(rows: DataFrame) -> Column:
+    """The delivery of a row: any, so every one holds times from first to last."""
+    return F.pmod(F.xxhash64("event_id"), F.lit(DELIVERIES))
+
+
+def _deliver(spark, sf, root, run, number=_shuffled, again=None) -> None:
+    """Lands the events in several deliveries and runs the stream to its end after each.
+
+    Every run starts from the checkpoint that the one before has left. ``again(rows, k)`` are rows that are delivered
+    once more, after delivery k.
+    """
+    rows = _rail_rows(standin.table(spark, sf, "events"))
+    numbered = rows.withColumn("__k", number(rows))
+    landing = f"{root}/landing"
+    for k in range(DELIVERIES):
+        numbered.where(F.col("__k") == k).drop("__k").write.mode("append").parquet(landing)
+        run(spark.readStream.schema(rows.schema).parquet(landing)).awaitTermination()
+        if again is not None:
+            again(numbered, k).drop("__k").write.mode("append").parquet(landing)
+    if again is not None:
+        run(spark.readStream.schema(rows.schema).parquet(landing)).awaitTermination()
+
+
+def _batches(process, root):
+    return lambda stream: state.run_batches(stream, process, f"{root}/checkpoint", available_now=True)
 
 
 @query
@@ -705,7 +847,18 @@ def stream_latest(spark, sf):
     root = work_dir(spark, "stream-latest")
     schema = _rail_rows(standin.table(spark, sf, "events")).schema
     table = state.LatestState(spark, root, schema, *RAIL)
-    _run(spark, sf, table.process, root)
+    _deliver(spark, sf, root, _batches(table.process, root))
+    return table.current()
+
+
+@query
+def stream_replaced(spark, sf):
+    """A state that keeps the newest hour's snapshot alone."""
+    root = work_dir(spark, "stream-replaced")
+    hourly = lambda rows: rows.withColumn("timestamp", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
+    schema = hourly(_rail_rows(standin.table(spark, sf, "events"))).schema
+    table = state.LatestState(spark, root, schema, *RAIL, mode="replace")
+    _deliver(spark, sf, root, _batches(lambda batch, i: table.process(hourly(batch), i), root), _in_order)
     return table.current()
 
 
@@ -714,11 +867,24 @@ def stream_events(spark, sf):
     root = work_dir(spark, "stream-events")
     schema = _rail_rows(standin.table(spark, sf, "events")).schema
     table = EventStream(spark, root, schema, *RAIL, "isdelay", ["event_id", "up_ttnt_1"])
-    _run(spark, sf, table.process, root)
+    _deliver(spark, sf, root, _batches(table.process, root), _in_order)
     table.finish()
     return table.events()
 
 
+@query
+def stream_late_rows(spark, sf):
+    """Rows that come once more long after their time are set aside and change no event."""
+    root = work_dir(spark, "stream-late")
+    schema = _rail_rows(standin.table(spark, sf, "events")).schema
+    table = EventStream(spark, root, schema, *RAIL, "isdelay", ["event_id", "up_ttnt_1"])
+    first = lambda rows, k: rows.where((F.col("__k") == 0) & F.lit(k == DELIVERIES - 1))
+    _deliver(spark, sf, root, _batches(table.process, root), _in_order, first)
+    table.finish()
+    late = table.late().select(F.lit("late").alias("kind"), "event_id", F.lit(0).cast("bigint").alias("row_count"))
+    return late.unionByName(table.events().select(F.lit("event").alias("kind"), "event_id", "row_count"))
+
+
 @query
 def stream_scored_state(spark, sf):
     """Every micro-batch is reduced, scored and merged; the stand-in model is a share of the arrival."""
@@ -732,28 +898,70 @@ def stream_scored_state(spark, sf):
             F.col("timestamp").alias("updated_at"),
         )
 
-    rows = _stream(spark, sf, _rail_rows)
-    empty = score(spark.createDataFrame([], rows.schema))
+    return _scored(spark, sf, root, score)
+
+
+def _scored(spark, sf, root, score):
+    empty = score(spark.createDataFrame([], _rail_rows(standin.table(spark, sf, "events")).schema))
     table = state.LatestState(spark, root, empty.schema, ["line", "sta"], "updated_at")
-    feeds.scored_state(rows, score, table, f"{root}/checkpoint", available_now=True).awaitTermination()
+    _deliver(spark, sf, root, lambda rows: feeds.scored_state(rows, score, table, f"{root}/checkpoint", available_now=True))
     return table.current()
 
 
+@query
+def stream_fitted_state(spark, sf):
+    """A model fitted on the stored rows scores the newest row of every key of each micro-batch."""
+    model = _arrival_model(standin.rail(spark, sf))
+
+    def score(rows):
+        newest = serving.latest(rows, *RAIL).withColumn("features", array_to_vector(F.array("up_ttnt_1")))
+        shown = F.round(learn.prediction_column(model), 6)
+        return model.transform(newest).select("line", "sta", shown.alias("predicted"), F.col("timestamp").alias("updated_at"))
+
+    return _scored(spark, sf, work_dir(spark, "stream-fitted"), score)
+
+
 @query
 def stream_sequences(spark, sf):
     root = work_dir(spark, "stream-sequences")
     schema = _rail_rows(standin.table(spark, sf, "events")).schema
     table = state.History(spark, root, schema, *RAIL, learn.RISK_LENGTH)
-    _run(spark, sf, table.process, root)
+    _deliver(spark, sf, root, _batches(table.process, root))
     rows = table.sequences(["up_ttnt_1"]).select("line", "sta", F.posexplode("features").alias("pos", "f"))
     return rows.select("line", "sta", "pos", F.col("f.up_ttnt_1").alias("value"))
 
 
 @query
 def stream_alerts(spark, sf):
+    """Alerts of a feed that delivers the last minutes of every delivery twice."""
     root = work_dir(spark, "stream-alerts")
-    rows = _stream(spark, sf, _rail_rows).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    seen = serving.alerts(state.drop_repeats(rows, ["line", "sta"], "timestamp", spread_by="event_id"))
-    writer = seen.writeStream.format("parquet").option("path", f"{root}/out")
-    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def run(stream):
+        rows = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        seen = state.drop_repeats(rows, ["line", "sta"], "timestamp", spread_by="event_id")
+        return feeds.alert_stream(seen, f"{root}/out", f"{root}/checkpoint", available_now=True)
+
+    def last_minutes(rows, k):
+        newest = rows.where(F.col("__k") == k)
+        return newest.where(F.col("timestamp") > newest.agg(F.max("timestamp")).scalar() - F.expr("interval 5 minutes"))
+
+    _deliver(spark, sf, root, run, _in_order, last_minutes)
     return spark.read.parquet(f"{root}/out").select("event_id", "line", "sta", "up_ttnt_1")
+
+
+@query
+def stream_documents(spark, sf):
+    """Snapshot documents land as files, broken ones among them, in three deliveries, and leave as alerts."""
+    root, parsed = work_dir(spark, "stream-documents"), work_dir(spark, "documents")
+    number = F.pmod(F.substring("collected_at", 7, 2).cast("int"), F.lit(3))
+    standin.rail_documents(spark, sf).withColumn("k", number).write.parquet(parsed)
+    docs = spark.read.parquet(parsed)
+    for k in range(3):
+        arrived = docs.where(F.col("k") == k).select("value", "collected_at")
+        cut_off = F.expr("max(substring(value, 1, length(value) - 2))").alias("value")
+        broken = arrived.agg(cut_off).withColumn("collected_at", F.lit(f"broken-{k}"))
+        _as_files(arrived.unionByName(broken), f"{root}/landing", "collected_at")
+        rows = feeds.rail_rows(spark, f"{root}/landing", files_per_trigger=120, pattern="part-*")
+        feeds.alert_stream(rows, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select(calendar.timestamp_to_clock("timestamp").alias("timestamp"), "line", "sta", "up_ttnt_1", "down_ttnt_1", "hour")

@@ -419,6 +419,11 @@ ORACLES["first_line_of_station"] = """
 SELECT c_custkey AS sta, coalesce(min(o_orderpriority), 'UNKNOWN') AS line
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
 """
+_PLACES = """
+places AS (
+  SELECT vec_id, CAST(i AS INTEGER) AS pos, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y
+  FROM embeddings, (SELECT unnest(range(32)) AS i))
+"""
 _NUMBERED = """
 numbered AS (
   SELECT l_orderkey, l_quantity AS x, l_extendedprice AS y, count(*) OVER (PARTITION BY l_orderkey) AS n,
@@ -442,10 +447,10 @@ laid AS (
 ORACLES["ordered_polyline"] = f"WITH {_in_parts(9999)} SELECT * FROM laid"
 ORACLES["ordered_polyline_parts"] = f"WITH {_in_parts(3)} SELECT * FROM laid"
 ORACLES["geojson_roundtrip"] = f"""
-WITH {_in_parts(9999)}
+WITH {_in_parts(9999)}, {_PLACES}
 SELECT l_orderkey AS id, 'LineString' AS geometry_type, CAST(count(*) AS INTEGER) AS vertices, arg_min(x, pos) AS first_x,
   arg_max(y, pos) AS last_y FROM laid GROUP BY l_orderkey, part
-UNION ALL SELECT vec_id, 'Point', CAST(1 AS INTEGER), CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE) FROM embeddings
+UNION ALL SELECT vec_id, 'Point', CAST(1 AS INTEGER), x, y FROM places
 """
 ORACLES["feature_collections"] = """
 SELECT 'L' || (c_custkey % 10) || '-' || c_custkey AS name, 'Point' AS type,
@@ -463,17 +468,18 @@ SELECT line, NULL AS name, 'LineString' AS type, color,
 FROM (SELECT *, count(*) OVER (PARTITION BY line) AS n FROM placed) WHERE n > 1
 UNION ALL SELECT line, line || '-' || seq, 'Point', color, CAST(0 AS INTEGER), lon, lat FROM placed
 """
-_XY = "SELECT vec_id, CAST(embedding[{0}] AS DOUBLE) AS x, CAST(embedding[{1}] AS DOUBLE) AS y FROM embeddings"
 ORACLES["minmax_affine"] = f"""
-WITH p AS ({_XY.format(1, 2)}), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p)
-SELECT vec_id, 113.93::DOUBLE + (x - x0) / (x1 - x0) * (114.27::DOUBLE - 113.93::DOUBLE) AS lon,
-  22.24::DOUBLE + (y - y1) / (y0 - y1) * (22.53::DOUBLE - 22.24::DOUBLE) AS lat FROM p, b
+WITH {_PLACES}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM places)
+SELECT vec_id, pos, 113.93::DOUBLE + (x - x0) / (x1 - x0) * (114.27::DOUBLE - 113.93::DOUBLE) AS lon,
+  22.24::DOUBLE + (y - y1) / (y0 - y1) * (22.53::DOUBLE - 22.24::DOUBLE) AS lat FROM places, b
 """
+# The smallest distance first, then the smallest vertex at that distance.
 ORACLES["nearest_point"] = f"""
-WITH p AS ({_XY.format(1, 2)}), v AS ({_XY.format(3, 4)}),
-d AS (SELECT p.vec_id, v.vec_id AS vertex_id, (p.x - v.x) * (p.x - v.x) + (p.y - v.y) * (p.y - v.y) AS distance2 FROM p, v)
-SELECT vec_id, vertex_id, distance2 FROM (
-  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance2, vertex_id) AS r FROM d) WHERE r = 1
+WITH {_PLACES}, p AS (SELECT vec_id * 32 + pos AS point_id, x, y FROM places WHERE pos % 2 = 0),
+v AS (SELECT vec_id * 32 + pos AS vertex_id, x, y FROM places WHERE pos % 2 = 1),
+least AS (SELECT point_id, p.x, p.y, min((p.x - v.x) * (p.x - v.x) + (p.y - v.y) * (p.y - v.y)) AS distance2 FROM p, v GROUP BY ALL)
+SELECT point_id, min(vertex_id) AS vertex_id, distance2 FROM least l, v
+WHERE (l.x - v.x) * (l.x - v.x) + (l.y - v.y) * (l.y - v.y) = distance2 GROUP BY point_id, distance2
 """
 # Inverse transverse Mercator, step by step; v holds one row per vertex.
 _DEGREES = """
@@ -491,7 +497,7 @@ k AS (
     + (61 * n**3 / 240 - 103 * n**4 / 140) * sin(6 * x0) + (49561 * n**4 / 161280) * sin(8 * x0) AS m0,
     n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360 AS b1, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440 AS b2,
     17 * n**3 / 480 - 37 * n**4 / 840 AS b3, 4397 * n**4 / 161280 AS b4 FROM origin),
-i AS (SELECT CAST(unnest(range(8)) AS INTEGER) AS pos),
+i AS (SELECT CAST(unnest(range(32)) AS INTEGER) AS pos),
 v AS (
   SELECT vec_id AS ROUTE_ID, pos,
     ((CAST(embedding[2 * pos + 2] AS DOUBLE) * 20000 + fn) - fn) / radius + m0 AS xi,
@@ -508,7 +514,24 @@ s2 AS (SELECT * REPLACE (tanh(q + e * atanh(e * s)) AS s) FROM s1),
 s3 AS (SELECT * REPLACE (tanh(q + e * atanh(e * s)) AS s) FROM s2),
 s4 AS (SELECT * REPLACE (tanh(q + e * atanh(e * s)) AS s) FROM s3),
 s5 AS (SELECT * REPLACE (tanh(q + e * atanh(e * s)) AS s) FROM s4),
-pts AS (SELECT ROUTE_ID, pos, lon0 + degrees(atan2(sinh(eta1), cos(xi1))) AS lon, degrees(asin(s)) AS lat FROM s5)
+own AS (SELECT ROUTE_ID, pos, radians(lon0 + degrees(atan2(sinh(eta1), cos(xi1)))) AS lon, asin(s) AS lat, a, f * (2 - f) AS e2 FROM s5),
+-- to metres from the earth's centre, moved to the other datum, and back to degrees by a fixed-point iteration
+xyz AS (
+  SELECT ROUTE_ID, pos, r * cos(lat) * cos(lon) AS x, r * cos(lat) * sin(lon) AS y, r * (1 - e2) * sin(lat) AS z
+  FROM (SELECT *, a / sqrt(1 - e2 * sin(lat) * sin(lat)) AS r FROM own)),
+turn AS (
+  SELECT radians(0.067753::DOUBLE / 3600) AS rx, radians(-2.243649::DOUBLE / 3600) AS ry, radians(-1.158827::DOUBLE / 3600) AS rz,
+         1 - 1.094246::DOUBLE / 1000000 AS m),
+moved AS (
+  SELECT ROUTE_ID, pos, -162.619::DOUBLE + m * (x - rz * y + ry * z) AS x, -276.959::DOUBLE + m * (y + rz * x - rx * z) AS y,
+         -161.764::DOUBLE + m * (z - ry * x + rx * y) AS z FROM xyz, turn),
+wgs AS (SELECT *, sqrt(x * x + y * y) AS p, (2 - 1 / 298.257223563::DOUBLE) / 298.257223563::DOUBLE AS e2, 6378137.0::DOUBLE AS a FROM moved),
+l0 AS (SELECT *, atan2(z, p * (1 - e2)) AS lat FROM wgs),
+l1 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(lat)**2) * sin(lat), p) AS lat) FROM l0),
+l2 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(lat)**2) * sin(lat), p) AS lat) FROM l1),
+l3 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(lat)**2) * sin(lat), p) AS lat) FROM l2),
+l4 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(lat)**2) * sin(lat), p) AS lat) FROM l3),
+pts AS (SELECT ROUTE_ID, pos, degrees(atan2(y, x)) AS lon, degrees(lat) AS lat FROM l4)
 """
 ORACLES["reproject_roads"] = f"""
 WITH {_DEGREES} SELECT ROUTE_ID, pos, round(lon, 7) AS lon, round(lat, 7) AS lat FROM pts
@@ -516,7 +539,7 @@ WITH {_DEGREES} SELECT ROUTE_ID, pos, round(lon, 7) AS lon, round(lat, 7) AS lat
 # Every split of a stretch (a, b) at its farthest vertex keeps that vertex and adds two stretches.
 ORACLES["road_network_features"] = f"""
 WITH RECURSIVE {_DEGREES}, stretch AS (
-  SELECT DISTINCT ROUTE_ID, CAST(0 AS INTEGER) AS a, CAST(7 AS INTEGER) AS b FROM pts
+  SELECT DISTINCT ROUTE_ID, CAST(0 AS INTEGER) AS a, CAST(31 AS INTEGER) AS b FROM pts
   UNION ALL
   SELECT ROUTE_ID, CASE WHEN side = 0 THEN a ELSE m END, CASE WHEN side = 0 THEN b2 ELSE b END FROM (
     SELECT ROUTE_ID, a, b, arg_max(pos, d) AS m, arg_max(pos, d) AS b2 FROM (
@@ -528,13 +551,16 @@ WITH RECURSIVE {_DEGREES}, stretch AS (
       JOIN pts p ON p.ROUTE_ID = s.ROUTE_ID AND p.pos > s.a AND p.pos < s.b,
       LATERAL (SELECT ((p.lon - p1.lon) * (p2.lon - p1.lon) + (p.lat - p1.lat) * (p2.lat - p1.lat))
         / (power(p2.lon - p1.lon, 2) + power(p2.lat - p1.lat, 2)) AS t))
-    GROUP BY ROUTE_ID, a, b HAVING max(d) > 0.01::DOUBLE * 0.01::DOUBLE), (VALUES (0), (1)) sides(side))
-SELECT vec_id AS segment_id, 'Street ' || label AS STREET_ENAME, CAST(2 + (count(*) - 1) / 2 AS INTEGER) AS vertices
-FROM stretch JOIN embeddings ON vec_id = ROUTE_ID WHERE EXISTS (SELECT 1 FROM events WHERE user_id = vec_id)
-GROUP BY vec_id, label
+    GROUP BY ROUTE_ID, a, b HAVING max(d) > 0.01::DOUBLE * 0.01::DOUBLE), (VALUES (0), (1)) sides(side)),
+kept AS (SELECT ROUTE_ID, a AS pos FROM stretch UNION SELECT ROUTE_ID, b FROM stretch)
+SELECT vec_id AS segment_id, 'Street ' || label AS STREET_ENAME,
+  CAST(row_number() OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS INTEGER) AS pos, round(lon, 7) AS lon, round(lat, 7) AS lat
+FROM kept JOIN pts USING (ROUTE_ID, pos) JOIN embeddings ON vec_id = ROUTE_ID
+WHERE EXISTS (SELECT 1 FROM events WHERE user_id = vec_id)
 """
 # (sub, pos, kind, index of the first coordinate, number of points) of each segment of the stand-in paths
 _SEGMENTS = [(0, 0, "", 1, 1), (0, 1, "L", 3, 1), (0, 2, "C", 5, 3), (1, 0, "", 11, 1), (1, 1, "C", 13, 3), (1, 2, "C", 19, 3)]
+_SEGMENTS += [(2, 0, "", 25, 1), *[(2, k, "C", 21 + 6 * k, 3) for k in range(1, 7)], (2, 7, "L", 63, 1)]
 
 
 def _end(segment) -> int:
@@ -598,3 +624,66 @@ FROM (SELECT unnest(range(10)) AS pos) p JOIN ranked ON back = least(10 - pos, n
 ORACLES["stream_alerts"] = f"""
 WITH {RAIL} SELECT r.event_id, line, sta, e.value AS up_ttnt_1 FROM rail r JOIN events e ON e.event_id = r.event_id WHERE isdelay = 1
 """
+ORACLES["stream_replaced"] = f"""
+WITH {RAIL}, hourly AS (SELECT r.* REPLACE (date_trunc('hour', r."timestamp") AS "timestamp"), e.value FROM rail r JOIN events e USING (event_id))
+SELECT event_id, "timestamp", line, sta, isdelay, value AS up_ttnt_1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY line, sta ORDER BY event_id DESC) AS r FROM hourly
+  WHERE "timestamp" = (SELECT max("timestamp") FROM hourly)) WHERE r = 1
+"""
+ORACLES["stream_late_rows"] = f"""
+WITH {_EVENTS}, span AS (SELECT min(epoch_us(ts)) AS low, (max(epoch_us(ts)) - min(epoch_us(ts))) // 5 + 1 AS width FROM events)
+SELECT 'event' AS kind, event_id, row_count FROM impact
+UNION ALL SELECT 'late', event_id, 0::BIGINT FROM events, span WHERE (epoch_us(ts) - low) // width = 0
+"""
+ORACLES["least_squares_scores"] = f"""
+WITH {RAIL}, m AS (SELECT regr_slope(down_ttnt_1, up_ttnt_1) AS slope, regr_intercept(down_ttnt_1, up_ttnt_1) AS start FROM rail)
+SELECT event_id, round(start + slope * up_ttnt_1, 6) AS predicted FROM rail, m WHERE up_ttnt_1 IS NOT NULL
+"""
+ORACLES["stream_fitted_state"] = f"""
+WITH {_NEWEST}, m AS (SELECT regr_slope(down_ttnt_1, up_ttnt_1) AS slope, regr_intercept(down_ttnt_1, up_ttnt_1) AS start FROM rail)
+SELECT n.line, n.sta, round(start + slope * e.value, 6) AS predicted, n."timestamp" AS updated_at
+FROM newest n JOIN events e ON e.event_id = n.event_id, m
+"""
+ORACLES["stream_documents"] = f"""
+SELECT "timestamp", line, sta, {_ZERO.replace(", trains_listed", "")}, CAST(substr("timestamp", 12, 2) AS INTEGER) AS hour
+FROM ({_JSON}) WHERE isdelay = 1 AND kind <> 'purchase'
+"""
+ORACLES["newest_filled"] = f"""
+WITH {_FILLED} SELECT * EXCLUDE (r) FROM (
+  SELECT *, row_number() OVER (PARTITION BY line, sta ORDER BY "timestamp" DESC, event_id DESC) AS r FROM filled) WHERE r = 1
+"""
+# A series of at most 12 rows gives one sample, that of its last row but one; a longer one those of rows 12 to n - 1.
+ORACLES["road_sample_totals"] = f"""
+WITH {_RUN}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY datetime, event_id) AS i, count(*) OVER (PARTITION BY segment_id) AS n
+  FROM labelled)
+SELECT segment_id, count(*) AS n, round(sum(label_congestion_minutes), 3) AS label_sum, round(sum(speed), 3) AS speed_sum,
+  CAST(60 AS INTEGER) AS width
+FROM numbered WHERE CASE WHEN n <= 12 THEN i = greatest(1, n - 1) ELSE i BETWEEN 12 AND n - 1 END GROUP BY segment_id
+"""
+
+# ---- files ------------------------------------------------------------------------------------
+
+ORACLES["archive_flatten"] = f"""
+SELECT segment_id, speed, date || ' ' || time AS datetime, date AS folder, {calendar('moment')}
+FROM (SELECT *, CAST(date || ' ' || time AS TIMESTAMP) AS moment FROM ({_XML}) WHERE NOT bad)
+"""
+ORACLES["station_pixels_csv"] = """
+SELECT c_name AS name, c_acctbal AS x_projection, CAST(c_custkey AS DOUBLE) AS y_projection,
+  CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal / 7 END AS x_real, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey / 3 END AS y_real,
+  c_mktsegment AS color FROM customer
+"""
+ORACLES["paths_csv"] = """
+SELECT CAST(vec_id AS VARCHAR) AS name, CAST(embedding[1] AS DOUBLE) AS first_x, '#123456' AS color,
+  CASE WHEN vec_id % 3 <> 0 THEN 'plane' END AS projection, vec_id % 2 = 0 AS "reverseFirstPath", vec_id % 5 = 0 AS "reverseSecondPath"
+FROM embeddings
+"""
+ORACLES["configured_lines"] = """
+SELECT 'L' || (user_id % 10) AS line, CAST(user_id AS VARCHAR) AS sta, CAST(user_id % 10 AS INTEGER) AS line_seq,
+  CAST(user_id // 10 AS INTEGER) AS seq, count(*) AS n FROM events WHERE user_id < 120 GROUP BY user_id
+"""
+ORACLES["feature_collection_files"] = """
+SELECT 'L' || (c_custkey % 10) || '-' || c_custkey AS name, 'Point' AS type, 'Point' AS geometry_type,
+  CASE WHEN c_custkey % 10 < 5 THEN '#' || repeat(CAST(c_custkey % 10 AS VARCHAR), 3) ELSE '#000000' END AS color,
+  c_acctbal AS lon, CAST(c_nationkey AS DOUBLE) AS lat FROM customer
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from signalbox.functions.calendar import add_calendar
 from signalbox.operators.dataset import augment
 from signalbox.operators.events import extract_events
-from signalbox.operators.learn import event_samples, risk_samples, score_rail, train_classifier, train_events
+from signalbox.operators.learn import EVENT_OUTPUTS, event_samples, risk_samples, score_rail, select_best
 from signalbox.operators.series import forward_fill, lookahead_max
 from signalbox.operators.split import gathered, numeric_tie, plan_split
 from signalbox.session import work_dir
@@ -63,9 +63,11 @@ def prepare_training_tables(spark: SparkSession, archive: str, risk_path: str, e
     return not spark.read.parquet(event_path).isEmpty()
 
 
-def train(risk: DataFrame, events: DataFrame, seed: int, tie: str = FILE) -> tuple[Model, tuple[Model, Model]]:
-    samples = risk_samples(risk, tie)
-    return train_classifier(samples, "label", seed), train_events(event_samples(events), seed)
+def train(risk: DataFrame, events: DataFrame, seed: int, tie: str = FILE, **options) -> tuple[Model, tuple[Model, Model]]:
+    """The risk model and the two event models, each the best of its candidates on the newest samples."""
+    samples = event_samples(events)
+    best = select_best(risk_samples(risk, tie), "label", seed, "classification", ORDER, **options)
+    return best, tuple(select_best(samples, output, seed, "regression", ORDER, **options) for output in EVENT_OUTPUTS)
 
 
 def live_rows(docs: DataFrame) -> DataFrame:

@@ -59,10 +59,10 @@ def prepare_training_table(spark: SparkSession, archive: str, output: str, **opt
     write_series(congestion_features(rows, FILE, **options), output, ["segment_id"], "datetime")
 
 
-def train(spark: SparkSession, table: str, seed: int) -> Model:
+def train(spark: SparkSession, table: str, seed: int, **options) -> Model:
     columns = ["segment_id", "datetime", FILE, "speed", "hour", "day_of_week", "is_weekend", "is_peak"]
     series = read_table(spark, table, [*columns, "label_congestion_minutes"])
-    return select_best(road_samples(series, FILE), "label", seed, "regression")
+    return select_best(road_samples(series, FILE), "label", seed, "regression", "datetime", **options)
 
 
 def refresh(docs: DataFrame, model: Model) -> DataFrame:

@@ -119,31 +119,37 @@ def rail_state(spark, sf) -> DataFrame:
 # ---- geometry --------------------------------------------------------------------------------
 
 
-def points(spark, sf, first: int = 0) -> DataFrame:
-    """Two neighbouring embedding coordinates as a place."""
-    at = lambda i: F.get("embedding", F.lit(first + i)).cast("double")
-    return table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", at(0).alias("x"), at(1).alias("y"))
+def places(spark, sf) -> DataFrame:
+    """Neighbouring embedding coordinates as places, all of a vector: vec_id, pos, x, y."""
+    number = lambda i: F.get("embedding", i).cast("double")
+    pairs = F.transform(
+        F.sequence(F.lit(0), (F.size("embedding") / 2).cast("int") - 1),
+        lambda i: F.struct(number(2 * i).alias("x"), number(2 * i + 1).alias("y")),
+    )
+    rows = table(spark, sf, "embeddings", "vec_id", "embedding")
+    return rows.select("vec_id", F.posexplode(pairs).alias("pos", "p")).select("vec_id", "pos", "p.x", "p.y")
+
+
+# Commands of a stand-in path and how many of a vector's 64 numbers each takes.
+PATH = (("M", 2), ("L", 2), ("C", 6), ("M", 2), ("C", 6), ("C", 6), ("M", 2), *(("C", 6),) * 6, ("L", 2))
 
 
 def path_texts(spark, sf) -> DataFrame:
-    """A path per embedding: a line and a curve, then a second subpath."""
+    """A path per embedding: three subpaths of lines and curves through all of its numbers."""
     n = lambda i: F.get("embedding", F.lit(i)).cast("double").cast("string")
-    pieces = []
-    for command, first, count in (("M", 0, 2), ("L", 2, 2), ("C", 4, 6), ("M", 10, 2), ("C", 12, 6), ("C", 18, 6)):
-        pieces += [F.lit(command), F.concat_ws(",", *[n(first + i) for i in range(count)])]
+    pieces, at = [], 0
+    for command, count in PATH:
+        pieces += [F.lit(command), F.concat_ws(",", *[n(at + i) for i in range(count)])]
+        at += count
     return table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", F.concat(*pieces).alias("path"))
 
 
 def grid_lines(spark, sf) -> DataFrame:
-    """Road centrelines in grid metres: eight vertices per embedding."""
-    line = F.array(
-        *[
-            F.array(
-                F.get("embedding", F.lit(2 * i)).cast("double") * 20000.0 + 836694.05 + i * 400.0,
-                F.get("embedding", F.lit(2 * i + 1)).cast("double") * 20000.0 + 819069.80,
-            )
-            for i in range(8)
-        ]
+    """Road centrelines in grid metres: a vertex for every two numbers of an embedding."""
+    number = lambda i: F.get("embedding", i).cast("double") * 20000.0
+    line = F.transform(
+        F.sequence(F.lit(0), (F.size("embedding") / 2).cast("int") - 1),
+        lambda i: F.array(number(2 * i) + 836694.05 + i * 400.0, number(2 * i + 1) + 819069.80),
     )
     return table(spark, sf, "embeddings", "vec_id", "embedding", "label").select(
         F.col("vec_id").alias("ROUTE_ID"),

@@ -51,9 +51,10 @@ def stream_landing(
 
 
 def read_newest(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Only the most recently written document; listing does not open the other files."""
+    """Only the most recently written document below ``path``; listing does not open the other files."""
     newest = (
         spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(path)
         .agg(F.max_by("path", F.struct("modificationTime", "path")))

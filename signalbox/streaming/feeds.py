@@ -17,16 +17,22 @@ ROAD_EVERY = "5 minutes"
 RAIL_EVERY = "15 seconds"
 
 
-def road_rows(spark: SparkSession, landing: str, files_per_trigger: int | None = None) -> DataFrame:
-    docs = stream_landing(spark, landing, "*.xml", files_per_trigger)
+def road_rows(
+    spark: SparkSession, landing: str, files_per_trigger: int | None = None, pattern: str = "*.xml"
+) -> DataFrame:
+    docs = stream_landing(spark, landing, pattern, files_per_trigger)
     rows = flatten_road_xml(docs, keep=[FILE]).rows.withColumn("datetime", civil_timestamp("date", "time"))
     return add_calendar(rows, "datetime")
 
 
 def rail_rows(
-    spark: SparkSession, landing: str, files_per_trigger: int | None = None, missing: str = "zero"
+    spark: SparkSession,
+    landing: str,
+    files_per_trigger: int | None = None,
+    missing: str = "zero",
+    pattern: str = "*.json",
 ) -> DataFrame:
-    docs = stream_landing(spark, landing, "*.json", files_per_trigger)
+    docs = stream_landing(spark, landing, pattern, files_per_trigger)
     rows = flatten_rail_json(docs, missing=missing, keep_empty=False, keep=[FILE]).rows
     return add_calendar(rows, "timestamp")
 

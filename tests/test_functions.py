@@ -1,5 +1,6 @@
 """Scalar functions against hand-worked values, Python's own rounding, and known control points."""
 
+import dataclasses
 import math
 from datetime import datetime
 
@@ -119,6 +120,21 @@ def test_reproject(spark):
         (CITY.lon0, CITY.lat0), abs=1e-12)
 
 
+def test_reproject_to_wgs84(spark):
+    datum = geometry.Datum(-162.619, -276.959, -161.764, 0.067753, -2.243649, -1.158827, -1.094246)
+    grid = dataclasses.replace(CITY, datum=datum)
+    df = spark.createDataFrame([([[836694.05, 819069.80], [800000.0, 840000.0]],)], "g array<array<double>>")
+    own, moved = df.select(geometry.reproject(F.col("g"), CITY), geometry.reproject(F.col("g"), grid)).first()
+    for before, after in zip(own, moved):
+        # the published offsets between the two datums, known to a tenth of a second
+        assert (after[0] - before[0]) * 3600 == pytest.approx(8.8, abs=0.1)
+        assert (after[1] - before[1]) * 3600 == pytest.approx(-5.5, abs=0.1)
+    no_shift = dataclasses.replace(UTM17, datum=geometry.Datum(0.0, 0.0, 0.0))
+    df = spark.createDataFrame([([[630084.0, 4833438.0]],)], "g array<array<double>>")
+    a, b = df.select(geometry.reproject(F.col("g"), UTM17), geometry.reproject(F.col("g"), no_shift)).first()
+    assert a[0] == pytest.approx(b[0], abs=1e-11)
+
+
 def test_simplify(spark):
     lines = [
         [[0.0, 0.0], [1.0, 0.01], [2.0, 0.0], [2.0, 5.0], [2.001, 9.0], [2.0, 10.0]],

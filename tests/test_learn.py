@@ -5,9 +5,10 @@ import math
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from signalbox.operators import dataset, learn
+from signalbox.operators import dataset, learn, serving
 from signalbox.plans import rail, road
 from signalbox.sources.snapshots import FILE, read_archive, read_newest
 
@@ -55,7 +56,7 @@ def test_road_end_to_end(spark, road_archive, tmp_path):
     assert label == one[6:] + [0.0] * 6
     samples = learn.road_samples(rows, FILE)
     assert samples.count() == 4 * (40 - 12) and samples.first()["features"].size == 60
-    model = road.train(spark, table, seed=3)
+    model = road.train(spark, table, seed=3, iterations=(2, 4))
     state = road.refresh(read_newest(spark, road_archive, "*.xml"), model)
     got = state.collect()
     assert {r["segment_id"] for r in got} == {1, 2, 3, 4}
@@ -68,7 +69,7 @@ def test_rail_end_to_end(spark, rail_archive, tmp_path):
     risk, events = spark.read.parquet(risk_path), spark.read.parquet(event_path)
     assert risk.count() == 120 and risk.where("up_ttnt_1 is null").count() == 0
     assert events.groupBy("copy").count().agg(F.countDistinct("count")).first()[0] == 1
-    models = rail.train(risk, events, seed=3)
+    models = rail.train(risk, events, seed=3, iterations=(2, 3))
     state = rail.refresh(read_newest(spark, rail_archive, "*.json"), *models).collect()
     assert {r["sta"] for r in state} == {"A", "B", "C"}
     for r in state:
@@ -128,3 +129,40 @@ def test_loss_metrics(spark):
     row = dataset.loss_metrics(df, "y", "p").first()
     assert row["mse"] == pytest.approx((0.04 + 0.16 + 0) / 3)
     assert row["bce"] == pytest.approx(-(math.log(0.8) + math.log(0.6) + math.log(1 - 1e-12)) / 3)
+
+
+def test_split_by_time_is_exact(spark):
+    times = [-5, 0, 0, 0, 7, 7, 100, 10**9, 10**9 + 1, 10**12]
+    df = spark.createDataFrame([(t,) for t in times], "u bigint").withColumn("ts", F.timestamp_micros("u"))
+    for train in (0.1, 0.2, 0.5, 0.6, 0.8, 0.9, 1.0):
+        cut = sorted(times)[math.ceil(round(train * len(times), 6)) - 1]
+        got = dataset.split_by_time(df, "ts", train)
+        assert sorted(r["u"] for r in got.where("is_train").collect()) == [t for t in times if t <= cut]
+    assert dataset.split_by_time(df.limit(0), "ts").collect() == []
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_best_candidate_beats_the_constant(spark, task):
+    wave = lambda i: 10.0 * (i % 4 >= 2)
+    rows = [(datetime(2024, 1, 1) + timedelta(minutes=i), [float(i % 4)], wave(i) if task == "regression" else float(i % 4 >= 2)) for i in range(80)]
+    samples = spark.createDataFrame(rows, "at timestamp, f array<double>, label double").withColumn("features", array_to_vector("f"))
+    model = learn.select_best(samples, "label", 5, task, "at", iterations=(1, 3))
+    newest = samples.where(F.col("at") >= rows[64][0])
+    loss = learn.validation_loss(model, newest, "label", task)
+    assert loss < (25.0 if task == "regression" else math.log(2)) / 2
+
+
+def test_scoring_reads_no_labels_and_needs_no_window(spark, road_archive, tmp_path):
+    rows = road.congestion_features(road.observations(read_archive(spark, road_archive, "*.xml")), FILE)
+    samples = spark.createDataFrame([([0.5] * 60, 1.0), ([0.2] * 60, 2.0)], "f array<double>, label double")
+    model = learn.train_regressor(samples.withColumn("features", array_to_vector("f")), "label", 1, kind="linear")
+    scored = learn.score_road(rows, model, FILE)
+    assert scored.count() == 4
+    assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_newest_row_takes_known_arrivals(spark):
+    rows = [("L", "A", 1, 3.0, None), ("L", "A", 2, None, None), ("L", "B", 1, None, 4.0), ("L", "B", 2, 5.0, None)]
+    df = spark.createDataFrame(rows, "line string, sta string, t int, up double, down double")
+    got = serving.latest_filled(df, ["line", "sta"], "t", (), ["up", "down"]).orderBy("sta").collect()
+    assert [tuple(r) for r in got] == [("L", "A", 2, 3.0, 0.0), ("L", "B", 2, 5.0, 4.0)]
