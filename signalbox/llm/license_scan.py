@@ -1,14 +1,16 @@
 """License scans: normalised sentences become sentence identifiers, and sequences of these licence rules.
 
-A text is cut into sentences at line ends and after sentence marks; a sentence is normalised (case, punctuation,
-quotes, white space, copyright names and years) and looked up among the known licence sentences, whose variable
-parts are patterns. Rules are tried in order at each place of the identifier sequence; the first that matches
+A text is cut into pieces at line ends and after sentence marks; a piece is normalised (case, punctuation,
+quotes, white space, copyright names and years). A known sentence begins with a piece and may be wrapped over any
+number of them; its variable parts are patterns. One whose pattern leaves its end open goes on to the end of that
+sentence, and never into another known one. Rules are tried in order at each place of the identifier sequence; the first that matches
 consumes its sentences, so a longer or more specific rule stands before a shorter one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from signalbox.llm.common import map_texts
 
 # Known sentences, as patterns over normalised words. Names are the identifiers that rules use.
 SENTENCES = (
-    ("spdx", r"spdx license identifier (?P<id>[a-z0-9 ]+)"),
+    ("spdx", r"spdx license identifier(?P<same> )(?P<id>[a-z0-9 ]+)"),
     ("mit_name", r"(?:this \w+ is )?(?:released|licensed|distributed|available)? ?(?:under|subject to)? ?(?:the )?(?:terms of )?(?:the )?mit license(?: mit)?"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
@@ -25,7 +27,7 @@ SENTENCES = (
     ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
     ("apache_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under the apache license version (?P<version>2|1 1|1)(?: 0)?(?: the license)?"),
     ("apache_compliance", r"you may not use this file except in compliance with the license"),
-    ("apache_copy", r"you may obtain a copy of the license at.*"),
+    ("apache_copy", r"you may obtain a copy of the license at(?: https?[a-z0-9 ]*)?.*"),
     ("apache_basis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
     ("gpl_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:terms of the )?(?:gnu )?(?P<kind>lesser |affero |)general public license(?: version|,? v)? ?(?P<version>[0-9])(?: 0)?(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
     ("gpl_free", r"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>lesser |affero |)general public license as published by the free software foundation either version (?P<version>[0-9])(?: 0)? of the license(?P<later> or at your option any later version)"),
@@ -35,7 +37,7 @@ SENTENCES = (
     ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd_source", r"(?:1 )?redistributions of source code must retain the above copyright notice.*"),
     ("bsd_binary", r"(?:2 )?redistributions in binary form must reproduce the above copyright notice.*"),
-    ("bsd_endorse", r"(?:3 )?neither the name of .* may be used to endorse or promote products.*"),
+    ("bsd_endorse", r"(?:3 )?neither the name of (?P<gap>.*) may be used to endorse or promote products.*"),
     ("bsd_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:(?P<clauses>[234]) clause )?bsd license"),
     ("mpl_name", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?(?P<version>2)(?: 0)?"),
     ("mpl_copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
@@ -68,55 +70,102 @@ RULES = (
     ("Proprietary", ("rights",)),
 )
 
-_COMPILED = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
-#: A sentence ends at a blank line, at a line end, or at a mark before white space; see ``sentences``.
+#: What stands between normalised words: a space inside a piece, and between pieces one of these. Pieces of one line,
+#: cut after a mark; a line end after a mark; a line end without one; a blank or wordless line, or a comment's end.
+_INLINE, _MARKED, _WRAPPED, _BLANK = "\t", "\r", "\n", "\f"
+_GAPS = str.maketrans(_INLINE + _MARKED + _WRAPPED + _BLANK, "    ")
+
+
+def _compiled(pattern: str) -> str:
+    """A pattern over words as one over joined pieces; what an open end covers is found by ``sentences``."""
+    open_end = pattern.endswith(".*")
+    pattern = pattern.removesuffix(".*").replace("[a-z0-9 ]", "[a-z0-9\0]").replace("(?P<same> )", "(?P<same>\0|\t)")
+    # A gap in the middle lies in one paragraph and holds no other beginning of its sentence.
+    pattern = pattern.replace(".*", r"(?:(?!neither the name of )[^\f])*?").replace(" ", r"[ \t\r\n\f]").replace("\0", " ")
+    return pattern + (r"(?![a-z0-9])" if open_end else r"(?![^\t\r\n\f])")
+
+
+_COMPILED = [(name, re.compile(_compiled(pattern)), pattern.endswith(".*")) for name, pattern in SENTENCES]
+_ANY = re.compile("|".join(re.sub(r"\(\?P<\w+>", "(?:", pattern.pattern) for _, pattern, _ in _COMPILED))
+#: A piece ends at a line end, or at a mark before white space; see ``sentences``.
 _END = re.compile(r"(?<=[.!?;:])\s+|\n+")
 _PLAIN = re.compile(r"[^a-z0-9]+")
+_CLOSING = " \t\r\"'`)]}>*/"
+#: Comment marks that every line of a comment repeats.
+_COMMENT = re.compile(r"[ \t]*(?:#+|//+|--+|;+|%+)")
 #: Every known sentence holds one of these; others need no lookup.
 _HINT = re.compile(r"(?ai:licen[sc]e|spdx|copyright|permission|redistribut|warranty|free software|endorse|mozilla|rights reserved)")
-#: Lines that a licence sentence may be wrapped over.
-WRAP = 12
 
 
 def normalise(sentence: str) -> str:
     return _PLAIN.sub(" ", sentence.lower()).strip()
 
 
-def _lookup(words: str) -> tuple[str, dict] | None:
-    for name, pattern in _COMPILED:
-        if m := pattern.fullmatch(words):
-            return name, m.groupdict()
-    return None
+def _pieces(text: str) -> tuple[list[tuple[int, int, str]], list[str]]:
+    """(start, end, words) of the pieces that say something, and what separates each from the next."""
+    pieces, breaks = [], []
+    at, lines, comment, before = 0, 1, False, False
+    for end, after in [*((m.start(), m.end()) for m in _END.finditer(text)), (len(text), len(text))]:
+        if lines:
+            comment = bool(_COMMENT.match(text, at))
+        if words := normalise(text[at:end]):
+            if pieces:
+                a, b, _ = pieces[-1]
+                marked = text[a:b].rstrip(_CLOSING).endswith((".", "!", "?", ";", ":"))
+                if lines > 1 or lines and before and not comment:
+                    breaks.append(_BLANK)
+                else:
+                    breaks.append(_INLINE if not lines else _MARKED if marked else _WRAPPED)
+            pieces.append((at, end, words))
+            lines, before = 0, comment
+        lines += text.count("\n", end, after)
+        at = after
+    return pieces, breaks
 
 
 def sentences(text: str) -> list[tuple[int, int, str, dict]]:
     """Known sentences in order: (start, end, identifier, groups), offsets in code points.
 
-    A piece that isn't known by itself is tried together with the pieces after it, since licence texts are
-    wrapped: up to WRAP pieces, the longest known run first.
+    A sentence begins with a piece. If its pattern says all of it, it ends with a piece too. An open end goes
+    on to the first mark or blank line, or to the piece before the next known sentence.
     """
-    pieces, at = [], 0
-    for m in _END.finditer(text):
-        pieces.append((at, m.start()))
-        at = m.end()
-    pieces.append((at, len(text)))
-    hinted = [bool(_HINT.search(text, a, b)) for a, b in pieces]
-    out, i = [], 0
-    while i < len(pieces):
-        found = None
-        if any(hinted[i : i + WRAP]):
-            words = [normalise(text[a:b]) for a, b in pieces[i : i + WRAP]]
-            for n in range(len(words), 0, -1):
-                # A run ends with a piece that says something and begins with one; blank pieces only lie between.
-                if words[0] and words[n - 1] and any(hinted[i : i + n]) and (known := _lookup(" ".join(w for w in words[:n] if w))):
-                    found = (n, known)
-                    break
-        if found:
-            n, (name, groups) = found
-            out.append((pieces[i][0], pieces[i + n - 1][1], name, groups))
-            i += n
-        else:
-            i += 1
+    pieces, breaks = _pieces(text)
+    starts, at = [], 0
+    for _, _, words in pieces:
+        starts.append(at)
+        at += len(words) + 1
+    joined = "".join([x for (_, _, words), gap in zip(pieces, [*breaks, ""]) for x in (words, gap)])
+    found: dict[int, tuple[int, str, dict]] = {}
+    stop, following = len(pieces) - 1, []  # the piece that ends the current one's sentence; known beginnings, last first
+    stops = [0] * len(pieces)
+    for i in range(len(pieces) - 1, -1, -1):
+        if i < len(breaks) and breaks[i] != _WRAPPED:
+            stop = i
+        stops[i] = stop
+        if not _ANY.match(joined, starts[i]):
+            continue
+        for name, pattern, open_end in _COMPILED:
+            if not (m := pattern.match(joined, starts[i])):
+                continue
+            groups = {k: v and v.translate(_GAPS) for k, v in m.groupdict().items()}
+            if "gap" in groups:
+                a, b = m.span("gap")
+                if next((starts[k] for k in reversed(following) if starts[k] > a), b) < b:
+                    continue
+                del groups["gap"]
+            groups.pop("same", None)
+            last = bisect_left(starts, m.end()) - 1
+            if open_end:
+                after = next((k for k in reversed(following[-(last - i + 1) :]) if k > last), len(pieces))
+                last = min(stops[last], after - 1)
+            found[i] = (last, name, groups)
+            following.append(i)
+            break
+    out = []
+    for i in sorted(found):
+        last, name, groups = found[i]
+        if not out or pieces[i][0] >= out[-1][1]:
+            out.append((pieces[i][0], pieces[last][1], name, groups))
     return out
 
 

@@ -170,3 +170,60 @@ def test_licenses():
     (found,) = license_scan.recognise(text)
     assert found[2] == "Apache-2.0" and found[3] == ["apache_name", "apache_compliance"] and text[found[0] :].startswith("Licensed")
     assert names("no terms here") == names("") == []
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3 = BSD_2 + """
+3. Neither the name of Foo, Inc. nor the names of its contributors may be
+   used to endorse or promote products derived from this software."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+SPDX = "SPDX-License-Identifier: MIT"
+
+
+@pytest.mark.parametrize("header, licence", [(MIT, "MIT"), (BSD_2, "BSD-2-Clause"), (BSD_3, "BSD-3-Clause"), (APACHE, "Apache-2.0"), (SPDX, "MIT")])
+def test_licence_headers_end_where_they_end(header, licence):
+    for mark in ("", "# ", " * ", "// "):
+        own = "\n".join(mark + x for x in header.split("\n"))
+        for rest in ("", "\nimport os\nimport sys\n\ndef main():\n    pass", "\n\nReleased under the BSD license\nOther text"):
+            found = license_scan.recognise(own + rest)
+            assert [x[2] for x in found] == [licence, "BSD"][: 1 + ("BSD" in rest)]
+            spans = [(own + rest)[a:b] for a, b, _, _ in found]
+            if mark in ("# ", "// ") or header[-1] == "." or header == SPDX:
+                assert spans[0] == own and spans[1:] == ["Released under the BSD license"][: len(spans) - 1]
+
+
+def test_licence_sentences_of_many_lines_and_after_open_ends():
+    names = lambda t: [x[2] for x in license_scan.recognise(t)]
+    assert names(MIT.replace(" ", "\n")) == ["MIT"] and names(BSD_3.replace(" ", "\n")) == ["BSD-3-Clause"]
+    assert names("The software is provided as is without warranty of any kind\nLicensed under CC BY 4.0 license") == ["UNKNOWN", "CC-BY-4.0"]
+    assert names("SPDX-License-Identifier:\nimport os") == [] and names("Licensed under the GNU General Public License version 2\nor later") == ["GPL-2.0-or-later"]
+    text = "// The software is provided as is without warranty of any kind\nint main() {\nreturn 0"
+    assert [text[a:b] for a, b, _, _ in license_scan.recognise(text)] == [text.split("\n")[0]]
+    assert len(license_scan.recognise("neither the name of\n" * 50_000 + SPDX)) == 1
