@@ -93,8 +93,8 @@ _PLAIN = re.compile(r"[^a-z0-9]+")
 _CLOSING = " \t\r\"'`)]}>*/"
 #: Comment marks that every line of a comment repeats.
 _COMMENT = re.compile(r"[ \t]*(?:#+|//+|--+|;+|%+)")
-#: Every known sentence holds one of these; others need no lookup.
-_HINT = re.compile(r"(?ai:licen[sc]e|spdx|copyright|permission|redistribut|warranty|free software|endorse|mozilla|rights reserved)")
+#: Every known sentence holds one of these words, which no line end can part; other texts need no lookup.
+_HINT = re.compile(r"(?ai:licen[sc]e|spdx|copyright|permission|redistribut|warranty|endorse|commons|reserved|(?<![a-z0-9])(?:cc|mpl)(?![a-z0-9]))")
 
 
 def normalise(sentence: str) -> str:

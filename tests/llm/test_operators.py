@@ -227,3 +227,25 @@ def test_licence_sentences_of_many_lines_and_after_open_ends():
     text = "// The software is provided as is without warranty of any kind\nint main() {\nreturn 0"
     assert [text[a:b] for a, b, _, _ in license_scan.recognise(text)] == [text.split("\n")[0]]
     assert len(license_scan.recognise("neither the name of\n" * 50_000 + SPDX)) == 1
+
+
+def test_every_licence_sentence_passes_the_hint():
+    examples = {
+        "spdx": "SPDX-License-Identifier: MIT", "mit_name": "Released under the MIT License.", "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "mit_notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "as_is": "This software is provided as is, without\nwarranty of any kind", "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "apache_name": "Licensed under the Apache License, Version 2.0", "apache_compliance": "you may not use this file except in compliance with the License.", "apache_copy": "You may obtain a copy of the License at",
+        "apache_basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis", "gpl_name": "Licensed under the GNU General Public License v3",
+        "gpl_free": "This program is free\nsoftware: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "gpl_only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "gpl_hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "gpl_copy": "You should have received a copy of the GNU General Public License",
+        "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd_source": "Redistributions of source code must retain the above copyright notice",
+        "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice", "bsd_endorse": "Neither the name of X may be used to endorse or promote products", "bsd_name": "Released under the BSD license",
+        "mpl_name": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at", "cc_name": "Released under CC BY 4.0", "rights": "All rights\nreserved",
+    }
+    assert list(examples) == [name for name, _ in license_scan.SENTENCES]
+    for name, text in examples.items():
+        assert [x[2] for x in license_scan.sentences(text)] == [name] and license_scan._HINT.search(text)
+    names = lambda t: [x[2] for x in license_scan.recognise(t)]
+    assert names("Released under CC BY 4.0") == ["CC-BY-4.0"] and names("Distributed under Creative\nCommons Zero") == ["CC-ZERO"]
+    assert names("Released under CC-BY-SA_4.0.") == ["CC-BY-SA-4.0"] and names("All rights\nreserved") == ["Proprietary"]
