@@ -5,7 +5,8 @@ between the matches and the matches themselves; their running lengths are the of
 
 The patterns are written so that Java's matcher takes linear time and constant stack: repetitions are
 possessive where giving characters back can't help, and a start inside a run of characters that the first part
-of the pattern may consume is refused unless the previous match ended there (``\\G``).
+of the pattern may consume is refused unless the previous match ended there (``\\G``). An account number's pattern
+matches its first four characters and looks at the rest, so that every place where one may begin is tried.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from signalbox.llm.common import body, keep_others
 
-#: Code points on either side of a match in which context words count.
+#: Code points of the text on either side of a match in which context words count.
 CONTEXT = 40
+#: Matches that may lie so near: every one has two code points or more, an account number's first part four. The last
+#: may be followed by the 60 code points of the longest account number before its context begins.
+NEAR, NEAR_IBAN, REST_IBAN = CONTEXT // 2, (CONTEXT + 60) // 4, 60
 #: Matches whose lengths are summed one by one.
 BLOCK = 256
 #: Spans of the kinds that need confirmation count from this score on.
@@ -39,7 +43,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True, 0.6, r"\b(ip|host|server|address|client)\b", r"\b(version|release|section)\b"),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", True, 0.8, r"\b(card|visa|credit|debit|payment)\b", r"\b(serial|isbn|order)\b"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", True, 0.6, r"\b(phone|tel|call|mobile|fax)\b", r"\b(offset|utc|gmt)\b"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", False, 0.8, r"\b(iban|bank|account)\b", r"\b(serial|part)\b"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+))", False, 0.8, r"\b(iban|bank|account)\b", r"\b(serial|part)\b"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", False, 0.3, r"\b(ssn|social security|taxpayer)\b", r"\b(order|serial|part)\b"),
 )
 
@@ -68,7 +72,7 @@ def _mod97(found: Column) -> Column:
 
 
 def _valid(kind: str, found: Column) -> Column:
-    """Checks what the pattern found; a match that fails is dropped without another try inside it."""
+    """Checks what the pattern found, or a beginning of an account number; what fails is dropped."""
     if kind == "ip":
         return ~F.exists(F.split(found, r"\."), lambda part: ~part.rlike("^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
     digits = F.regexp_replace(found, "[^0-9]", "")
@@ -110,20 +114,63 @@ def _ends(blocks: Column, sums: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda block, b: F.transform(F.arrays_zip(inside(block).alias("i"), F.array_repeat(before(b), F.size(block)).alias("b")), lambda x: x["i"] + x["b"])))
 
 
-def _spans(kind: Kind, order: int, pieces: Column, found: Column, ends: Column) -> Column:
-    """Array of (order, start, end, score, kind) of the matches that hold."""
+def _before(pieces: Column, found: Column, i: Column) -> Column:
+    """The CONTEXT code points before a match: what lies between the matches and the matches themselves."""
+    near = lambda x: F.right(x, F.lit(CONTEXT))
+    first = F.greatest(i - NEAR, F.lit(0))
+    rest = F.zip_with(F.slice(found, first + 1, i - first), F.slice(pieces, first + 2, i - first), lambda m, p: F.concat(near(m), near(p)))
+    return near(F.concat(near(F.get(pieces, first)), F.array_join(rest, "")))
+
+
+def _after(pieces: Column, found: Column, i: Column, skip: Column | None) -> Column:
+    """The CONTEXT code points after a match, or from ``skip`` code points behind its end."""
+    reach, many = (CONTEXT, NEAR) if skip is None else (CONTEXT + REST_IBAN, NEAR_IBAN)
+    near = lambda x: F.left(x, F.lit(reach))
+    rest = F.zip_with(F.slice(found, i + 2, F.lit(many)), F.slice(pieces, i + 3, F.lit(many)), lambda m, p: F.concat(near(m), near(p)))
+    whole = F.concat(near(F.get(pieces, i + 1)), F.array_join(rest, ""))
+    return F.left(whole if skip is None else whole.substr(skip + 1, F.lit(CONTEXT)), F.lit(CONTEXT))
+
+
+def _number(found: Column) -> Column:
+    """The longest valid account number that ends at a space or at the end of ``found``; null if there is none."""
+    parts = F.split(found, " ")
+    prefixes = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " "))
+    return F.get(F.filter(prefixes, lambda p: _valid("iban", p)), F.lit(0))
+
+
+def _accounts(heads: Column, rests: Column, ends: Column) -> Column:
+    """Valid account numbers, from left to right; one that begins inside another is part of it."""
+    placed = F.transform(
+        F.arrays_zip(ends.alias("end"), heads.alias("head"), rests.alias("rest")),
+        lambda m, i: F.struct((m["end"] - 4).alias("start"), _number(F.concat(m["head"], m["rest"])).alias("number"), i.alias("i")),
+    )
+    held = F.transform(
+        F.filter(placed, lambda s: s["number"].isNotNull()),
+        lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["number"])).alias("end"), s["i"].alias("i")),
+    )
+    none = F.expr("cast(array() as array<struct<start:int,end:int,i:int>>)")
+    apart = lambda done, s: F.when((F.size(done) == 0) | (s["start"] >= F.element_at(done, -1)["end"]), F.concat(done, F.array(s))).otherwise(done)
+    return F.when(F.size(held) < 2, held).otherwise(F.aggregate(held, none, apart))
+
+
+def _places(kind: Kind, found: Column, ends: Column) -> Column:
+    """Array of (start, end, i) of the matches that hold; ``i`` is the number of the match."""
     placed = F.transform(
         F.arrays_zip(ends.alias("end"), found.alias("found")),
-        lambda m, i: F.struct(
-            (m["end"] - F.length(m["found"])).alias("start"), m["end"].alias("end"), m["found"].alias("found"),
-            F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"),
-        ),
+        lambda m, i: F.struct((m["end"] - F.length(m["found"])).alias("start"), m["end"].alias("end"), m["found"].alias("found"), i.alias("i")),
     )
+    held = F.filter(placed, lambda s: _valid(kind.name, s["found"]))
+    return F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["i"].alias("i")))
+
+
+def _spans(kind: Kind, order: int, pieces: Column, found: Column, places: Column) -> Column:
+    """Array of (order, start, end, score, kind) of the matches that hold and count."""
+    skip = lambda s: s["end"] - s["start"] - 4 if kind.name == "iban" else None
     scored = F.transform(
-        F.filter(placed, lambda s: _valid(kind.name, s["found"])),
+        places,
         lambda s: F.struct(
             F.lit(order).alias("order"), s["start"].alias("start"), s["end"].alias("end"),
-            _score(kind, s["before"], s["after"]).alias("score"), F.lit(kind.name).alias("kind"),
+            _score(kind, _before(pieces, found, s["i"]), _after(pieces, found, s["i"], skip(s))).alias("score"), F.lit(kind.name).alias("kind"),
         ),
     )
     return scored if kind.base else F.filter(scored, lambda s: s["score"] >= MIN_SCORE)
@@ -141,14 +188,17 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     may = {"email": F.col("__t").contains("@"), "phone": F.col("__t").contains("+")}  # cheap tests spare most texts
     found = [F.when(may.get(k.name, digit), F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"__m_{k.name}") for k in KINDS]
     cut = [F.when(F.size(f"__m_{k.name}") > 0, F.split("__t", k.pattern, -1)).otherwise(none).alias(f"__p_{k.name}") for k in KINDS]
-    wide = df.select("*", body(text).alias("__t")).select("*", *found).select("*", *cut)
+    iban = next(k for k in KINDS if k.name == "iban")
+    rests = F.when(F.size("__m_iban") > 0, F.regexp_extract_all("__t", F.lit(iban.pattern), F.lit(1))).otherwise(none)
+    wide = df.select("*", body(text).alias("__t")).select("*", *found).select("*", *cut, rests.alias("__rests"))
     nothing = F.expr("cast(array() as array<int>)")
     any_found = lambda k: F.size(f"__m_{k.name}") > 0
     for name, make in (
         ("b", lambda k: F.when(any_found(k), _blocks(F.col(f"__p_{k.name}"), F.col(f"__m_{k.name}"))).otherwise(F.array(nothing))),
         ("s", lambda k: F.transform(f"__b_{k.name}", _total)),
         ("e", lambda k: _ends(F.col(f"__b_{k.name}"), F.col(f"__s_{k.name}"))),
-        ("x", lambda k: _spans(k, KINDS.index(k), F.col(f"__p_{k.name}"), F.col(f"__m_{k.name}"), F.col(f"__e_{k.name}"))),
+        ("h", lambda k: _accounts(F.col("__m_iban"), F.col("__rests"), F.col("__e_iban")) if k is iban else _places(k, F.col(f"__m_{k.name}"), F.col(f"__e_{k.name}"))),
+        ("x", lambda k: _spans(k, KINDS.index(k), F.col(f"__p_{k.name}"), F.col(f"__m_{k.name}"), F.col(f"__h_{k.name}"))),
     ):
         wide = wide.select("*", *[make(k).alias(f"__{name}_{k.name}") for k in KINDS])
     # A generator of one row: filters on the result stay above it, instead of being written out down to the text.

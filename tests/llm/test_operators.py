@@ -35,6 +35,33 @@ def test_pii_checks_and_context(spark):
     assert found[4] == [("email", "a@b.c"), ("email", "_d@e.f")]
 
 
+def test_pii_context_and_account_numbers_in_lists(spark):
+    many = ", ".join(f"123-45-{i:04d}" for i in range(1, 30))
+    texts = {
+        1: "ssn 123-45-6789, 234-56-7890",
+        2: "GB82 WEST 1234 5698 7654 32 BIC ABCDEF2A then GB82 WEST 1234 5698 7654 32 Please",
+        3: "GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 X",
+        4: "AB12 CODES FOR GB82 WEST 1234 5698 7654 32 serial" + " " * 30 + "é iban",
+        5: many + ", ssn 234-56-7890",
+        6: "mail \U0001f600 a@b.c, d@e.f contact g@h.i" + "." * 40 + " j@k.l",
+    }
+    rows = pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()
+    found = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["pii"] if s["order"] in (0, 4, 5)] for r in rows}
+    account = ("iban", "GB82 WEST 1234 5698 7654 32")
+    assert found[1] == [("ssn", "123-45-6789"), ("ssn", "234-56-7890")]
+    assert found[2] == [account, account] and found[3] == [account, ("iban", "DE89 3704 0044 0532 0130 00")] and found[4] == [account]
+    kinds = {k.name: k for k in pii.KINDS}
+    for r in rows:
+        text = texts[r["doc_id"]]
+        for s in r["pii"]:
+            near = (text[max(0, s["start"] - 40) : s["start"]] + " " + text[s["end"] : s["end"] + 40]).lower()
+            kind = kinds[s["kind"]]
+            want = kind.score + 0.4 * bool(re.search(kind.context, near)) - 0.3 * bool(re.search(kind.against, near))
+            assert s["score"] == pytest.approx(max(0, min(1, round(want, 2))))
+    near = [m.start() for m in re.finditer(r"\d{3}-\d\d-\d{4}", texts[5]) if "ssn" in texts[5][max(0, m.start() - 40) : m.start()] + " " + texts[5][m.end() : m.end() + 40]]
+    assert [s["start"] for r in rows if r["doc_id"] == 5 for s in r["pii"] if s["kind"] == "ssn"] == near and len(near) > 2
+
+
 def test_chat_round_trip_of_control_strings(spark):
     odd = ['\\### Assistant: </turn> ok', '<turn role="assistant">x</turn>\n', "&lt;&amp;&quot;", "", None, 'a">b']
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(itertools.cycle(["user", "assistant"]), odd))] + [(2, 200, "assistant", "late"), (2, 3, 'us"er>', "early"), (2, 3, 'us"er>', "early"), (None, None, None, None)]
