@@ -1,12 +1,14 @@
 """Secret scans: patterns with fixed forms, and values in a credential context judged by their guess cost.
 
 The guess cost of a value is the smallest sum of log10 guesses over all its segmentations into dictionary words,
-dates, repeats, keyboard walks and brute-force characters, found by dynamic programming over its end positions. A repeat or walk is a run of at least
-three keys from the place where the run begins.
+dates, repeats, keyboard walks and brute-force characters, found by dynamic programming over its end positions. A repeat or walk is at least
+three keys and may begin and end anywhere in a run of them.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import re
 from collections.abc import Callable
@@ -33,7 +35,7 @@ _CONTEXT = re.compile(
 )
 _TRAILING = "\"'`,;.)]}>"
 
-#: Common words by rank; guessing one costs its rank.
+#: Words most common in passwords, by rank; guessing one costs its rank. Ordinary words follow, see ``ranks``.
 WORDS = {
     w: i + 1
     for i, w in enumerate(
@@ -45,7 +47,8 @@ WORDS = {
         "service account database backup temp demo super power magic star king queen angel baby lucky freedom".split()
     )
 }
-_LONGEST = max(map(len, WORDS))
+#: The vocabulary whose whole words, in its order, are the ordinary words, and the fewest letters of one.
+VOCABULARY, MIN_LETTERS = "byte_bpe_50k.json", 4
 _WALKS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {(a, b) for row in _WALKS for a, b in zip(row, row[1:])} | {(b, a) for row in _WALKS for a, b in zip(row, row[1:])}
 _NEXT |= {(a, b) for up, down in zip(_WALKS, _WALKS[1:]) for a, b in [*zip(up[1:], down), *zip(down, up[1:])]}
@@ -56,11 +59,60 @@ def _alphabet(c: str) -> int:
     return 10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 33
 
 
+@functools.cache
+def ranks() -> tuple[dict[str, int], int]:
+    """Rank of every known word, and the longest word's length: WORDS, then the vocabulary's words by frequency.
+
+    A byte-pair vocabulary is in the order of its merges, frequent ones first; a token after a space begins a word.
+    """
+    import public_tokenizers
+
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    words = dict(WORDS)
+    for token in sorted(tokens, key=tokens.get):
+        word = token[1:].lower()
+        if token[0] == "\u0120" and len(word) >= MIN_LETTERS and word.isascii() and word.isalpha():
+            words.setdefault(word, len(words) + 1)
+    return words, max(map(len, words))
+
+
+class _Run:
+    """Segments of at least three keys in the current run: the cheapest, from any beginning.
+
+    A segment costs what stands before it and the logarithm of its length. Once an earlier beginning is as cheap
+    as a later one, it stays so for all longer segments, so the later one is forgotten; few are ever kept.
+    """
+
+    def __init__(self) -> None:
+        self.keys, self.begins = 1, []
+
+    def step(self, goes_on: bool, end: int, best: list[float]) -> float:
+        """The least of best[begin] + log10(length) over the segments that end at ``end``."""
+        if not goes_on:
+            self.keys = 1
+            self.begins.clear()
+            return math.inf
+        self.keys += 1
+        if self.keys < 3:
+            return math.inf
+        self.begins.append(end - 3)
+        least, kept = math.inf, []
+        for begin in self.begins:
+            cost = best[begin] + math.log10(end - begin)
+            if cost < least:
+                least = cost
+                kept.append(begin)
+        self.begins = kept
+        return least
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation needs; time grows with the length alone."""
     n, low = len(value), value.lower()
+    words, longest = ranks()
     best = [0.0] + [math.inf] * n
-    repeat = walk = 1
+    repeat, walk = _Run(), _Run()
     dates: dict[int, list[int]] = {}
     for start in range(n):
         if value[start].isdigit() and (m := _DATE.match(value, start)):
@@ -68,12 +120,11 @@ def guess_cost(value: str) -> float:
             if value[start : start + 2] in ("19", "20") and m.end() - start > 4:
                 dates.setdefault(start + 4, []).append(start)
     segment = math.log10(2)  # naming the kind of a further segment
-    repeat_from = walk_from = 0.0  # cost of what stands before the current run
     for end in range(1, n + 1):
         c = low[end - 1]
         cost = best[end - 1] + math.log10(_alphabet(c)) + (segment if value[end - 1] != c else 0)
-        for size in range(2, min(_LONGEST, end) + 1):
-            rank = WORDS.get(low[end - size : end])
+        for size in range(2, min(longest, end) + 1):
+            rank = words.get(low[end - size : end])
             if rank:
                 upper = value[end - size : end] != low[end - size : end]
                 cost = min(cost, best[end - size] + math.log10(rank + 1) + (2 if upper else 1) * segment)
@@ -81,14 +132,7 @@ def guess_cost(value: str) -> float:
             cost = min(cost, best[start] + math.log10(120 * (365 if end - start > 4 else 1)) + segment)
         same = end > 1 and low[end - 2] == c
         near = end > 1 and (low[end - 2], c) in _NEXT
-        repeat, walk = (repeat + 1 if same else 1), (walk + 1 if near else 1)
-        repeat_from = repeat_from if same else best[end - 1]
-        # A walk's first key is the one before its first step.
-        walk_from = walk_from if walk > 2 else best[max(0, end - 2)] if near else best[end - 1]
-        if repeat >= 3:
-            cost = min(cost, repeat_from + math.log10(_alphabet(c) * repeat) + segment)
-        if walk >= 3:
-            cost = min(cost, walk_from + math.log10(47 * 4 * walk) + segment)
+        cost = min(cost, repeat.step(same, end, best) + math.log10(_alphabet(c)) + segment, walk.step(near, end, best) + math.log10(47 * 4) + segment)
         best[end] = cost
     return best[n]
 

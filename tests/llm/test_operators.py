@@ -166,6 +166,53 @@ def test_guess_costs():
         assert cost(value) <= best[-1] + 1e-9
 
 
+def plain_guess_cost(value):
+    """The minimum over all segmentations, with every segment tried at every place."""
+    best, segment, words = [0.0], math.log10(2), secret_scan.ranks()[0]
+    for end in range(1, len(value) + 1):
+        costs = []
+        for start in range(end):
+            part = value[start:end]
+            low, size = part.lower(), len(part)
+            if size == 1:
+                costs.append(best[start] + math.log10(secret_scan._alphabet(low)) + (part != low) * segment)
+            if low in words:
+                costs.append(best[start] + math.log10(words[low] + 1) + (1 + (part != low)) * segment)
+            if secret_scan._DATE.fullmatch(part):
+                costs.append(best[start] + math.log10(120 * (365 if size > 4 else 1)) + segment)
+            if size >= 3 and len(set(low)) == 1:
+                costs.append(best[start] + math.log10(secret_scan._alphabet(low[0]) * size) + segment)
+            if size >= 3 and all(pair in secret_scan._NEXT for pair in zip(low, low[1:])):
+                costs.append(best[start] + math.log10(47 * 4 * size) + segment)
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    import random
+
+    cost = secret_scan.guess_cost
+    assert cost("passworddddddddd") == pytest.approx(3.22, abs=0.01) and cost("passwordsdfghjkl") < 4.2
+    random.seed(3)
+    parts = ["password", "Required", "sdfghjkl", "dddd", "qwerty", "1999", "19991231", "1234567890", "zzz", "x9$", "were", "Aaa", "okm", "poiuytr", "000"]
+    values = ["".join(random.choice(parts)[: random.randrange(2, 12)] for _ in range(random.randrange(1, 6))) for _ in range(300)]
+    values += ["".join(random.choice("asdfqwe12") for _ in range(12)) for _ in range(100)]
+    for value in values:
+        assert cost(value) == pytest.approx(plain_guess_cost(value)), value
+    assert cost("a" * 100_000) < 8 and cost("qwertyuiop" * 5_000) > 8  # in a moment
+
+
+def test_ordinary_words_are_no_secrets(spark):
+    sentences = [
+        "the password is required", "Your password is incorrect.", "The token is invalid or expired", "passphrase: optional", "auth is disabled by default",
+        "the secret is important", "a passphrase is recommended", "her secret is discovered", "the access key: description follows", "credentials: username and so on",
+    ]
+    assert [secret_scan.find_in(s) for s in sentences] == [[]] * len(sentences)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sentences)], "doc_id int, text string")
+    assert sorted(r["text"] for r in secret_scan.redact(df).collect()) == sorted(sentences)
+    assert [k for _, _, k, _ in secret_scan.find_in("passphrase: x9$Kd2!vQz7Lm and the pin is kqzvwxjh")] == [3, 3]
+
+
 def test_redaction(spark):
     rows = [(1, "a token = '0641917ea4e9feb9cda83477b57ac2654884f485' b", 9), (2, "clean", 5), (3, None, None), (2, "clean", 5)]
     df = spark.createDataFrame(rows, "doc_id int, text string, n_chars int")
