@@ -282,7 +282,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The input's columns, one row for each component of near-duplicates: the one with the smallest key.
 
-    Where that key has several rows, the first in the order of the text and the other columns stays. Of a
+    Where that key has several rows in the component, the first in the order of the text and the other columns
+    stays; a key with different texts may stay for several components, or for one of those that it is in. Of a
     component without any key one row stays, chosen alike.
     """
     spark, names = df.sparkSession, df.columns
@@ -291,15 +292,20 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     rows = spark.read.parquet(found)
     keyed = df.withColumnRenamed(key, "__key")
     back = lambda d: d.select(*[F.col("__key").alias(c) if c == key else F.col(f"`{c}`") for c in names])
-    # A key is kept if it is the smallest of the components of all its rows.
-    keys = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("component_id")).alias("top"), F.min("component_id").alias("low"))
-    keys = keys.filter("low = key and top = key").select(F.col("key").alias("__key"), "n")
+    # Keys that are the smallest of some component. A key's only row is then the component's.
+    keys = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("component_id") == F.col("key")).alias("least"))
+    keys = keys.filter("least").select(F.col("key").alias("__key"), "n")
     out = back(keyed.join(keys.filter("n = 1"), "__key", "left_semi"))
     whole = F.struct(*[F.col(f"`{c}`") for c in names])
-    first = F.min_by(whole, F.struct(F.col(f"`{text}`"), F.to_json(whole))).alias("row")
     if keys.filter("n > 1").limit(1).count():
-        several = df.join(keys.filter("n > 1").select(F.col("__key").alias(key)), key, "left_semi")
-        out = out.unionByName(several.groupBy(key).agg(first).select("row.*"))
+        # Of a key with several rows, those in a component whose smallest key it is; their fingerprints tell.
+        several = keyed.join(keys.filter("n > 1"), "__key", "left_semi")
+        given = back(several).select(whole.alias("row"), F.col(f"`{text}`").alias("__given"))
+        wanted = rows.filter("key = component_id").select(F.col("key").alias("__key"), "bits", "component").distinct()
+        marked = fingerprints(given, "__given", shingle).withColumn("__key", F.col(f"row.`{key}`"))
+        order = F.struct(F.col(f"row.`{text}`"), F.to_json("row"))
+        chosen = marked.join(wanted, ["__key", "bits"]).groupBy("component").agg(F.min_by("row", order).alias("row"))
+        out = out.unionByName(chosen.select("row.*"))
     if rows.filter("key is null").limit(1).count():
         alone = rows.filter("key is null and component_id is null").select("bits", "component").distinct()
         without = df.filter(F.col(f"`{key}`").isNull()).select(whole.alias("row"), F.col(f"`{text}`").alias("__given"))

@@ -135,6 +135,15 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == [] and simhash.deduplicate(df.limit(0)).collect() == []
 
 
+def test_repeated_key_with_different_texts(spark):
+    one, two, three, four = ("one quite long text here", "zz yy xx ww vv", "something else there is not", "and the fourth has its own words")
+    rows = [(1, one, "a"), (2, one, "b"), (2, two, "c"), (5, two, "d"), (3, three, "e"), (3, four, "f"), (3, four, "e"), (6, three, "g"), (7, four, "h"), (8, "the last is alone with it", "i")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n string").repartition(3)
+    assert len({r["component"] for r in simhash.near_duplicates(df).collect()}) == 5
+    kept = sorted(tuple(r) for r in simhash.deduplicate(df).collect())
+    assert kept == sorted([(1, one, "a"), (2, two, "c"), (3, three, "e"), (3, four, "e"), (8, "the last is alone with it", "i")])
+
+
 def test_query_against_brute_force(spark):
     data = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], plain_fingerprint(r["text"] or "")) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
