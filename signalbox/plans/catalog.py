@@ -684,7 +684,10 @@ def geojson_roundtrip(spark, sf):
 def feature_collections(spark, sf):
     stations = _stations(spark, sf)
     colors = tables.mapping(spark, {f"L{i}": f"#{i}{i}{i}" for i in range(5)}, "line string, color string")
-    docs = sinks.feature_collections(network.point_features(stations, colors))
+    features = network.point_features(stations, colors).withColumn("line", F.get_json_object("feature", "$.properties.line"))
+    # A line's stations are bounded by a block of station numbers, since here a line grows with the table.
+    number = F.get_json_object("feature", "$.properties.sta").cast("bigint")
+    docs = sinks.feature_collections(features.withColumn("block", F.floor(number / 100_000)), by=["line", "block"])
     features = docs.select(F.from_json("value", "features array<struct<properties: map<string, string>>>").alias("d"))
     p = F.col("p.properties")
     return features.select(F.explode("d.features").alias("p")).select(

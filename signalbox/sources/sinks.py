@@ -47,8 +47,8 @@ def write_geojson_lines(features: DataFrame, path: str, column: str = "feature",
 def feature_collections(features: DataFrame, column: str = "feature", by: Sequence[str] = ()) -> DataFrame:
     """Features as FeatureCollection documents: one for each value of the ``by`` columns, or one of all.
 
-    How many documents there are depends on the data alone. A document is assembled in one task: name the
-    columns that bound it, or write newline-delimited features, where a single one would be too large.
+    A document is one row, assembled in one task, so ``by`` names columns that bound it. Without them all features
+    become a single row, which only a small table allows; ``write_geojson_lines`` writes all of a large one.
     """
     keys = [F.col(b) for b in by] or [F.lit(0).alias("part")]
     joined = F.array_join(F.array_sort(F.collect_list(column)), ",")

@@ -57,3 +57,13 @@ def test_plans(spark):
     ):
         text = plan(entry.queries()[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_feature_collections_are_bounded(spark, monkeypatch):
+    from signalbox.plans import catalog
+
+    made, whole = [], catalog.sinks.feature_collections
+    monkeypatch.setattr(catalog.sinks, "feature_collections", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    rows = catalog.QUERIES["feature_collections"](spark, entry.FLAGSHIP_DATA).count()
+    sizes = [(r["line"], r["features"]) for r in made[0].select("line", "features").collect()]
+    assert len({line for line, _ in sizes}) == 10 and sum(n for _, n in sizes) == rows and max(n for _, n in sizes) <= 10_000
