@@ -9,7 +9,8 @@ learned table shrinks to one number for each bucket, and documents are scored wh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,8 @@ BUCKET_BITS, DIMENSIONS, GRAMS = 17, 12, (3, 4, 5)
 BATCH, RATE, SEED = 32, 50.0, 11
 #: Passes over the training rows; few rows get more, up to at least so many minibatches.
 EPOCHS, MIN_STEPS = 3, 200
-#: The most labelled rows of each class that are trained on, and the most features kept of one of them.
+#: The most labelled rows of each class that are trained on.
 MAX_ROWS_PER_CLASS = 1500
-MAX_FEATURES = 20_000
 #: Bytes of a text that are turned into features at a time.
 PIECE_BYTES = 1 << 20
 
@@ -82,36 +82,56 @@ def pieces(raw: bytes) -> Iterator[bytes]:
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text, each once, and their shares of all its features: the MAX_FEATURES most frequent."""
+    """Buckets of a text, each once, and their shares of all its features."""
     count = np.zeros(1 << BUCKET_BITS, np.int64)
     for piece in pieces(text.encode()):
         count += np.bincount(features(piece), minlength=len(count))
     buckets = np.flatnonzero(count)
-    if len(buckets) > MAX_FEATURES:
-        buckets = np.sort(buckets[np.argsort(-count[buckets], kind="stable")[:MAX_FEATURES]])
     return buckets.astype(np.int32), (count[buckets] / max(1, count.sum())).astype(np.float32)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+class Bags:
+    """Bags in a nameless file in the task's temporary folder, read one at a time; memory holds their places alone."""
+
+    def __init__(self) -> None:
+        self.file, self.places = tempfile.TemporaryFile(), []
+
+    def append(self, buckets: bytes, shares: bytes) -> None:
+        self.places.append((self.file.tell(), len(buckets)))
+        self.file.write(buckets)
+        self.file.write(shares)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, size = self.places[i]
+        self.file.seek(at)
+        raw = self.file.read(2 * size)  # int32 and float32: as many bytes of each
+        self.file.seek(0, 2)
+        return np.frombuffer(raw[:size], "<i4"), np.frombuffer(raw[size:], "<f4")
+
+
+def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
     """Fits vectors and output layer; returns each bucket's contribution to the logit of class 1, and the bias.
 
+    Only one minibatch's bags are held at a time.
+
     The order of the rows doesn't matter if they come sorted; the same rows give the same model.
     """
     random = np.random.default_rng(SEED)
     vectors = random.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     order = random.permutation(len(bags))
-    batches = []
-    for i in range(0, len(order), BATCH):
-        rows = order[i : i + BATCH]
-        buckets = np.concatenate([bags[r][0] for r in rows])
-        used, column = np.unique(buckets, return_inverse=True)
-        batches.append((rows, used, column, np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows]), np.concatenate([bags[r][1] for r in rows])))
+    batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
     epochs = max(EPOCHS, -(-MIN_STEPS // len(batches)))
     steps, done = epochs * len(batches), 0
     for _ in range(epochs):
         for b in random.permutation(len(batches)):
-            rows, used, column, line, share = batches[b]
+            rows = batches[b]
+            held = [bags[r] for r in rows]
+            used, column = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            line, share = np.repeat(np.arange(len(rows)), [len(h[0]) for h in held]), np.concatenate([h[1] for h in held])
             rate = RATE * (1 - done / steps)
             done += 1
             x = np.zeros((len(rows), len(used)), np.float32)
@@ -174,30 +194,28 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     def bags() -> Callable[[list[str]], list]:
         def step(batch: list[str]) -> list:
             made = [bag(t) for t in batch]
-            return [[b.tolist() for b, _ in made], [s.tolist() for _, s in made]]
+            return [[b.astype("<i4").tobytes() for b, _ in made], [s.astype("<f4").tobytes() for _, s in made]]
 
         return step
 
     weight = [n[c] / min(n[c], rows_per_class) for c in (0, 1)]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, y = Bags(), []
         for batch in batches:
-            column = {name: batch.column(name) for name in ("order", "label", "buckets", "shares")}
             for i in range(batch.num_rows):
-                b, s = (column[c][i].values.to_numpy() for c in ("buckets", "shares"))
-                rows.append((column["order"][i].as_py(), column["label"][i].as_py(), b, s))
-        rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
-        y = np.array([r[1] for r in rows], np.int64)
-        if len(set(y.tolist())) < 2:
+                rows.append(batch.column("buckets")[i].as_py(), batch.column("shares")[i].as_py())
+                y.append(batch.column("label")[i].as_py())
+        if len(set(y)) < 2:
             return
+        y = np.array(y, np.int64)
         w = np.array([weight[c] for c in y], np.float32)
-        table, bias = train([r[2:] for r in rows], y, w / w.mean())
+        table, bias = train(rows, y, w / w.mean())
         yield pa.RecordBatch.from_pydict({"table": [table.astype("<f4").tobytes()], "bias": [bias]})
 
     fitted = (
-        map_texts(labelled, "text", "buckets array<int>, shares array<float>", bags)
-        .select(order.alias("order"), "label", "buckets", "shares").repartition(1)
+        map_texts(labelled, "text", "buckets binary, shares binary", bags)
+        .select(order.alias("order"), "label", "buckets", "shares").repartition(1).sortWithinPartitions("order", "label", "buckets")
         .mapInArrow(learn, "table binary, bias double").collect()
     )
     return Model(np.frombuffer(fitted[0]["table"], "<f4"), fitted[0]["bias"]) if fitted else flat

@@ -133,6 +133,25 @@ def test_quality_without_labels(spark):
     assert none.probability("x") == 0.5 and one.probability("x") == pytest.approx(2 / 3)
 
 
+def test_quality_bags_are_whole():
+    import random
+
+    from signalbox.llm import quality_model as q
+
+    random.seed(2)
+    text = " ".join("".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(7)) for _ in range(12_000))
+    bags = q.Bags()
+    for t in (text, "", "a few words", text[::-1]):
+        buckets, shares = q.bag(t)
+        bags.append(buckets.astype("<i4").tobytes(), shares.astype("<f4").tobytes())
+        assert set(buckets.tolist()) == set(q.features(t.encode()).tolist()) and (not t or shares.sum() == pytest.approx(1, abs=1e-3))
+        assert all((x == y).all() for x, y in zip(bags[len(bags) - 1], (buckets, shares)))
+    assert len(bags[0][0]) > 20_000
+    table, bias = q.train(bags, q.np.array([0, 1, 1, 0]), q.np.ones(4, "f4"))
+    again = q.train([bags[i] for i in range(4)], q.np.array([0, 1, 1, 0]), q.np.ones(4, "f4"))
+    assert (table == again[0]).all() and bias == again[1] and q.Model(table, bias).probability("a few words") > 0.5 > q.Model(table, bias).probability(text)
+
+
 def plain_secrets(text):
     kinds = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 8, re.I | re.A), (r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 16, 0), (r"[0-9a-f]+", lambda m: len(m.group()) >= 32, 0)]
     return sorted((m.start(), k, m.end()) for k, (p, ok, flags) in enumerate(kinds) for m in re.finditer(p, text, flags) if ok(m))
