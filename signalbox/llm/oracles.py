@@ -92,4 +92,60 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLES = {"op1_pii": _pii(), "op3_chat": _CHAT, "op8_decontaminate": _DECONTAMINATE}
+# CRC-32 by its table; then a shortest path over the grammar's states (0 nothing, 1 after s, 2 after u, 3 after a pair).
+_REPAIR = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: xor(c // 256, crc.t[(xor(c, b) % 256) + 1])), 4294967295) % 20 AS fault
+  FROM conversations, crc),
+kept AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) FROM given WHERE fault <> 0)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM kept)),
+marked AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN copy > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM numbered),
+counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+-- Inserted turns before a row: which state they lead to. From 1 and 3 and 0 comes u, from 2 comes a.
+lead_in(a, b, k) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (1, 2, 1), (3, 2, 1), (2, 3, 1), (0, 3, 2), (1, 3, 2), (3, 3, 2), (2, 2, 2)),
+next(a, x, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ways AS (
+  SELECT m.conv_id, m.i, l.a, l.b AS b, 3 * l.k + 4 AS cost, repeat('I', l.k) || 'D' AS letter FROM marked m, lead_in l
+  UNION ALL SELECT m.conv_id, m.i, l.a, n.b, 3 * l.k + CASE WHEN fault IS NULL THEN 0 ELSE 3 END, repeat('I', l.k) || 'K' FROM marked m, lead_in l, next n
+  WHERE l.b = n.a AND n.x = left(m.role, 1) AND (fault IS NULL OR fault = 'truncated')
+  UNION ALL SELECT m.conv_id, m.i, l.a, n.b, 3 * l.k + 3 + CASE WHEN fault IS NULL THEN 0 ELSE 3 END, repeat('I', l.k) || 'R' FROM marked m, lead_in l, next n
+  WHERE l.b = n.a AND n.x <> 's' AND (fault IS NULL OR fault = 'truncated')),
+parse(conv_id, i, state, cost, audit) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, 0::BIGINT, '' FROM marked
+  UNION ALL
+  (SELECT conv_id, i, state, best.cost, best.audit FROM (
+    SELECT p.conv_id, w.i, w.b AS state, min(struct_pack(cost := p.cost + w.cost, audit := p.audit || w.letter)) AS best
+    FROM parse p JOIN ways w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.i = p.i + 1 AND w.a = p.state GROUP BY p.conv_id, w.i, w.b))),
+won AS (
+  SELECT p.conv_id, min(struct_pack(cost := p.cost + 3 * l.k, audit := p.audit || repeat('I', l.k))) AS best
+  FROM parse p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i JOIN lead_in l ON l.a = p.state AND (l.b = 3 OR l.b = 0) GROUP BY p.conv_id),
+letters AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS letter, j - len(replace(substr(audit, 1, j), 'I', '')) AS skipped
+  FROM (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS j FROM won)),
+turns AS (
+  SELECT l.conv_id, j, letter, m.role, m.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY j) AS out,
+         first_value(CASE WHEN letter = 'K' AND left(m.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id ORDER BY j) AS system
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = j - skipped AND letter <> 'I' WHERE letter <> 'D'),
+said AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (out - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+  FROM turns GROUP BY conv_id)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+ORACLES = {"op1_pii": _pii(), "op3_chat": _CHAT, "op8_decontaminate": _DECONTAMINATE, "op13_repair": _REPAIR}

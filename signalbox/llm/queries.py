@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import chat_format, decontaminate, license_scan, pii, quality_model, quality_rules, secret_scan, simhash, token_counts
+from signalbox.llm import chat_format, chat_repair, decontaminate, huffman, license_scan, pii, quality_model, quality_rules, secret_scan, simhash, token_counts
 from signalbox.llm.common import hex_digest, table
+from signalbox.session import work_dir
 
 #: Vocabularies, found by ``vocabulary``.
-COUNT_VOCABULARY, ENCODE_VOCABULARY = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
+COUNT_VOCABULARY, ENCODE_VOCABULARY, FILE_VOCABULARY = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -111,4 +112,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.concat_ws(",", names).alias("licenses"), F.concat_ws(",", spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_chat, op4_rules, op5_simhash, op6_tokens, op7_bpe, op8_decontaminate, op9_secrets, op10_licenses)}
+def op11_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = huffman.write_ids(table(spark, sf_dir, "documents"), vocabulary(FILE_VOCABULARY), work_dir(spark, "token-files"))
+    return huffman.read_ids(spark, folder, with_ids=False)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = chat_repair.damage(table(spark, sf_dir, "conversations"))
+    return chat_repair.repair(damaged, present="present").summary()
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_chat, op4_rules, op5_simhash, op6_tokens, op7_bpe, op8_decontaminate, op9_secrets, op10_licenses, op11_huffman, op13_repair)}
