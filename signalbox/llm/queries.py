@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import chat_format, chat_repair, decontaminate, huffman, license_scan, pii, quality_model, quality_rules, secret_scan, simhash, token_counts
+from signalbox.llm import chat_format, chat_repair, decontaminate, huffman, license_scan, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, whitening
 from signalbox.llm.common import hex_digest, table
 from signalbox.session import work_dir
 
@@ -117,9 +117,14 @@ def op11_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, folder, with_ids=False)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(embeddings, whitening.fit(embeddings))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = chat_repair.damage(table(spark, sf_dir, "conversations"))
     return chat_repair.repair(damaged, present="present").summary()
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_chat, op4_rules, op5_simhash, op6_tokens, op7_bpe, op8_decontaminate, op9_secrets, op10_licenses, op11_huffman, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_chat, op4_rules, op5_simhash, op6_tokens, op7_bpe, op8_decontaminate, op9_secrets, op10_licenses, op11_huffman, op12_whitening, op13_repair)}
