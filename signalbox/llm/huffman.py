@@ -16,17 +16,18 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalbox.llm.common import map_texts
+from signalbox.llm.common import slices
 from signalbox.llm.token_counts import balanced
 
 #: Ids in a block, but for a longer document, which is a block of its own; ids from one checkpoint to the next.
@@ -36,20 +37,27 @@ LONGEST = 18
 #: Ids that are coded or decoded at a time, a multiple of CHECKPOINT.
 CHUNK = 1 << 19
 #: Bytes that the words and ids that a task remembers may take, about; beyond it forgets them all and goes on.
-MEMORY_BYTES, ENTRY_BYTES = 96 << 20, 160
+MEMORY_BYTES, ENTRY_BYTES = 256 << 20, 160
+#: Bytes of unseen words that go to the library as one text.
+PIECES_BYTES = 4 << 10
 
 # Fixed value: a pre-tokenizer pattern that never matches white space, for which words can be encoded one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters whose small letters and canonical composition are the same in every version of Unicode, then ASCII marks;
+#: no apostrophe, which may begin a match of WORD_PATTERN that goes on with letters.
+PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]*)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
 
 
 # ---- text to ids -----------------------------------------------------------------------------
 
 
 class Encoder:
-    """Texts to ids by a tokenizer file; ids are little-endian unsigned integers of ``width`` bytes.
+    """Texts to ids by a tokenizer file; ids are little-endian unsigned integers of ``type``.
 
-    Where the vocabulary drops white space, a text is the sequence of its words between ASCII white space, and a word
-    seen before needs no second encoding.
+    Where the vocabulary drops white space, a text is the sequence of its words between ASCII white space. Most words
+    are letters and then marks: the letters, made small, and the marks are encoded by themselves. What was seen before
+    needs no second encoding; unseen letters go to the library as one text, in which the tokens that end a word show
+    where each of them ends. All else goes to the library word by word, or whole where white space counts.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,33 +67,99 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.by_word = by_word(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        top = max(vocabulary.values())
+        self.type = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.by_word, self.suffix = by_word(path)
+        self.ends = np.zeros(top + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if self.suffix and token.endswith(self.suffix)]] = True
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({"": b""}, {"": b""})  # whole words; parts of words
         self.held = 0
 
-    def _learn(self, new: set[bytes]) -> None:
-        for batch in balanced(w.decode() for w in sorted(new)):
-            for word, made in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                ids, key = np.array(made.ids, self.type).tobytes(), word.encode()
-                self.known[key] = ids
-                self.held += len(key) + len(ids) + ENTRY_BYTES
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().split() if self.by_word else [t.encode()] for t in texts]
-        new = set().union(*cut) - self.known.keys()
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(made.ids, self.type).tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of letters alone or marks alone, each of which is one match of WORD_PATTERN."""
+        flat = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, self.type)
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) != len(parts):
+            return self._encode(parts)
+        data, at = flat.tobytes(), [0, *(self.type.itemsize * ends).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def _ids(self, words: list[str], parts: bool) -> list[bytes]:
+        """The ids of distinct words, or parts of words."""
+        known = self.known[parts]
+        new = [w for w in words if w not in known]
         if new and self.held > MEMORY_BYTES:
-            self.known.clear()
-            self.held = 0
-            new = set().union(*cut)
-        self._learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
-
-
-def by_word(path: str) -> bool:
+            for every in self.known:
+                every.clear()
+                every[""] = b""
+            self.held, new = 0, [w for w in words if w]
+        for batch in balanced(iter(new), PIECES_BYTES):
+            made = self._encode_parts(batch) if parts else self._encode(batch)
+            known.update(zip(batch, made, strict=True))
+            self.held += sum(map(len, batch)) + sum(map(len, made)) + ENTRY_BYTES * len(batch)
+        return list(map(known.__getitem__, words))
+
+    def _split(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of what distinct words are made of, and for every word the numbers of its two parts."""
+        none = pa.array([""], pa.string())
+        if self.suffix:
+            found = pc.extract_regex(words, PLAIN)
+            plain = pc.is_valid(found)
+            core = pc.utf8_lower(pc.fill_null(pc.struct_field(found, "core"), "")).dictionary_encode()
+            tail = pc.fill_null(pc.struct_field(found, "tail"), "").dictionary_encode()
+        else:
+            plain = pa.array(np.zeros(len(words), bool))
+            core = tail = none.take(pa.array(np.zeros(len(words), np.int64))).dictionary_encode()
+        odd = words.filter(pc.invert(plain)).to_pylist()
+        core_made, tail_made = (self._ids(d.dictionary.to_pylist(), True) for d in (core, tail))
+        made = [*core_made, *tail_made, *self._ids(odd, False), b""]
+        first, second = core.indices.to_numpy().astype(np.int64), len(core_made) + tail.indices.to_numpy()
+        place = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        first[place], second[place] = len(core_made) + len(tail_made) + np.arange(len(odd)), len(made) - 1
+        return made, np.stack([first, second], 1)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and where each text ends in it; null is the empty text."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            made = self._encode(texts.to_pylist())
+            return np.frombuffer(b"".join(made), self.type), np.cumsum([len(m) // self.type.itemsize for m in made])
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        made, parts = self._split(coded.dictionary)
+        data, sizes = np.frombuffer(b"".join(made), self.type), np.array([len(m) // self.type.itemsize for m in made], np.int64)
+        data, ends = _gathered(data, np.cumsum(sizes), sizes, parts.reshape(-1))
+        ends = ends[1::2]  # of the distinct words
+        out, ends = _gathered(data, ends, np.diff(ends, prepend=0), coded.indices.to_numpy())
+        return out, np.r_[0, ends][np.cumsum(pc.list_value_length(lists).to_numpy())]
+
+
+def _gathered(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``data`` (given by ends and sizes) in the order of ``index``, joined, and where each ends."""
+    many = sizes[index]
+    out = np.cumsum(many)
+    total = int(out[-1]) if len(out) else 0
+    return data[np.repeat(ends[index] - out, many) + np.arange(total)], out
+
+
+_encoders: dict[str, Encoder] = {}  # a Python worker that runs several tasks remembers their words
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def by_word(path: str) -> tuple[bool, str]:
     """Whether white space only separates: a split by WORD_PATTERN, no white space in added tokens, and a normalizer
-    that changes a letter whatever stands beyond white space."""
+    that changes a letter whatever stands beyond white space. Then also the suffix of tokens that end a word, if
+    small letters are all that the normalizer makes of PLAIN words, else nothing."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     pre, normal = model.get("pre_tokenizer") or {}, model.get("normalizer") or {}
@@ -93,19 +167,33 @@ def by_word(path: str) -> bool:
     splits = first.get("type") == "Split" and first.get("pattern") == {"Regex": WORD_PATTERN} and first.get("invert") and first.get("behavior") == "Removed"
     steps = normal.get("normalizers") or ([normal] if normal else [])
     plain = all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " " for s in steps)
-    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\x0b\x0c")) for t in model.get("added_tokens") or [])
-    return bool(splits and plain and added)
+    tokens = model.get("added_tokens") or []
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\x0b\x0c")) for t in tokens)
+    small = any(s["type"] == "Lowercase" for s in steps) and all(t["content"].startswith("<|") for t in tokens)
+    if not (splits and plain and added):
+        return False, ""
+    return True, (model["model"].get("end_of_word_suffix") or "") if small else ""
 
 
-def encode(df: DataFrame, path: str, end_id: int | None, text: str = "text") -> DataFrame:
-    """Adds ``ids``: the ids of a text as little-endian integers, two bytes each if the vocabulary allows, else four."""
+def encode(df: DataFrame, path: str, end_id: int | None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key and ``ids``: the ids of a text as little-endian integers, two bytes each if the vocabulary allows, else four."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def work() -> Callable[[list[str]], list]:
-        encoder = Encoder(path)
-        end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
-        return lambda texts: [[ids + end for ids in encoder(texts)]]
+    given = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([given.schema["key"], T.StructField("ids", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(path)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                flat, ends = words(part.column(1))
+                if end_id is not None:
+                    flat, ends = np.insert(flat, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                data, at = flat.astype(words.type).tobytes(), (words.type.itemsize * np.r_[0, ends]).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary()).cast(arrow.field("ids").type)], schema=arrow)
 
-    return map_texts(df, text, "ids binary", work)
+    return given.mapInArrow(run, schema)
 
 
 # ---- codes -----------------------------------------------------------------------------------
@@ -218,10 +306,9 @@ def write_ids(df: DataFrame, path: str, folder: str, text: str = "text", key: st
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
-    given = encode(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), path, end_id)
-    given.select("key", "ids").write.parquet(f"{folder}/ids")  # texts are encoded once; what follows reads ids
+    encode(df, path, end_id, text, key).write.parquet(f"{folder}/ids")  # texts are encoded once; what follows reads ids
     encoded = spark.read.parquet(f"{folder}/ids")
-    width = Encoder(path).type
+    width = encoder(path).type
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -250,13 +337,13 @@ def write_ids(df: DataFrame, path: str, folder: str, text: str = "text", key: st
         def made() -> pa.RecordBatch:
             joined = np.frombuffer(b"".join(data), width)
             checks, bits = coder.pack(joined)
-            values = [file, block, first, len(joined), [len(d) // joined.itemsize for d in data], checks, bits, keys]
+            values = [file, block, first, len(joined), [len(d) // width.itemsize for d in data], checks, bits, keys]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
 
         for batch in batches:
             for at in range(batch.num_rows):
                 one = batch.column(1)[at].as_py()
-                size = len(one) // np.dtype(width).itemsize
+                size = len(one) // width.itemsize
                 if held and held + size > BLOCK:
                     yield made()
                     keys, data, held, block, first = [], [], 0, block + 1, first + held
