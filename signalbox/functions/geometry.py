@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -180,29 +181,109 @@ def reproject(vertices: Column, grid: TransverseMercator) -> Column:
 # ---- simplification --------------------------------------------------------------------------
 
 
+#: Segments that share a bounding box in the search for crossings.
+BLOCK = 64
+
+
+def _side(o: np.ndarray, d: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """On which side of the line from ``o`` to ``d`` the places ``q`` lie (1, 0, -1); exact for all doubles.
+
+    The rounded determinant is right while it exceeds its own error bound; the others are computed as fractions.
+    """
+    left, right = (d[0] - o[0]) * (q[1] - o[1]), (d[1] - o[1]) * (q[0] - o[0])
+    left, right = np.broadcast_arrays(left, right)
+    det = left - right
+    out = np.sign(det)
+    for i in np.flatnonzero(~(np.abs(det) > 4e-16 * (np.abs(left) + np.abs(right)))):
+        ox, oy, dx, dy, qx, qy = (Fraction(float(np.broadcast_to(v, det.shape)[i])) for v in (*o, *d, *q))
+        exact = (dx - ox) * (qy - oy) - (dy - oy) * (qx - ox)
+        out[i] = (exact > 0) - (exact < 0)
+    return out
+
+
+def _crosses(p: np.ndarray, q: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+    """Whether the segment from ``p`` to ``q`` meets one of the others anywhere but in a common end."""
+    s, e = starts.T, ends.T
+    side_s, side_e, side_p, side_q = _side(p, q, s), _side(p, q, e), _side(s, e, p), _side(s, e, q)
+    meets = (side_s * side_e < 0) & (side_p * side_q < 0)
+
+    def inside(place, side, a, b):
+        """A place on a segment's line that lies on the segment and is not one of its ends."""
+        between = (np.minimum(a, b) <= place).all(0) & (place <= np.maximum(a, b)).all(0)
+        return (side == 0) & between & ~(place == a).all(0) & ~(place == b).all(0)
+
+    p, q = p[:, None], q[:, None]
+    for place, side in ((s, side_s), (e, side_e)):
+        meets |= inside(place, side, p, q)
+    for place, side in ((p, side_p), (q, side_q)):
+        meets |= inside(place, side, s, e)
+    same = ((s == p) & (e == q)).all(0) | ((s == q) & (e == p)).all(0)
+    return bool((meets | same & ~(p == q).all()).any())
+
+
+class _Segments:
+    """Segments in blocks with bounding boxes; more can be added at the end."""
+
+    def __init__(self, capacity: int) -> None:
+        self.starts, self.ends, self.n = np.empty((capacity, 2)), np.empty((capacity, 2)), 0
+        self.low, self.high = np.full((2, -(-capacity // BLOCK)), np.inf), np.full((2, -(-capacity // BLOCK)), -np.inf)
+
+    def add(self, starts: np.ndarray, ends: np.ndarray) -> None:
+        at, many = self.n, len(starts)
+        self.starts[at : at + many], self.ends[at : at + many] = starts, ends
+        blocks = np.arange(at, at + many) // BLOCK
+        for i in (0, 1):
+            np.minimum.at(self.low[i], blocks, np.minimum(starts[:, i], ends[:, i]))
+            np.maximum.at(self.high[i], blocks, np.maximum(starts[:, i], ends[:, i]))
+        self.n += many
+
+    def crossed(self, p: np.ndarray, q: np.ndarray, first: int = 0) -> bool:
+        """Whether one of the segments from the ``first`` on is crossed by that from ``p`` to ``q``."""
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        block = first // BLOCK
+        near = (self.low[:, block:] <= high[:, None]).all(0) & (self.high[:, block:] >= low[:, None]).all(0)
+        for b in np.flatnonzero(near) + block:
+            a, z = max(first, b * BLOCK), min(self.n, (b + 1) * BLOCK)
+            starts, ends = self.starts[a:z], self.ends[a:z]
+            close = (np.minimum(starts, ends) <= high).all(1) & (np.maximum(starts, ends) >= low).all(1)
+            if close.any() and _crosses(p, q, starts[close], ends[close]):
+                return True
+        return False
+
+
 def _keep(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which vertices of one line stay: the farthest one beyond the tolerance splits its stretch."""
+    """Which vertices of one line stay.
+
+    From the first vertex on, the stretch up to the next vertex wanted becomes one segment if no vertex between is off
+    by more than the tolerance and the segment crosses nothing: neither what is already decided, before the
+    stretch, nor the given line behind it. Else the farthest vertex of the stretch is wanted first.
+    """
+    done, wanted, last = [0], [len(points) - 1], len(points) - 1
+    given, kept = _Segments(last), _Segments(last)
+    given.add(points[:-1], points[1:])
+    while wanted:
+        a, b = done[-1], wanted[-1]
+        start, end = points[a], points[b]
+        if b - a > 1:
+            inner, chord = points[a + 1 : b], end - start
+            length = chord @ chord
+            share = np.clip((inner - start) @ chord / length, 0, 1) if length else np.zeros(len(inner))
+            off = inner - (start + share[:, None] * chord)
+            distance = (off * off).sum(axis=1)
+            far = int(distance.argmax())
+            if distance[far] > tolerance * tolerance or kept.crossed(start, end) or b < last and given.crossed(start, end, b):
+                wanted.append(a + 1 + far)
+                continue
+        kept.add(start[None], end[None])
+        done.append(wanted.pop())
     keep = np.zeros(len(points), dtype=bool)
-    keep[[0, -1]] = True
-    stretches = [(0, len(points) - 1)]
-    while stretches:
-        a, b = stretches.pop()
-        if b - a < 2:
-            continue
-        inner, start, chord = points[a + 1 : b], points[a], points[b] - points[a]
-        length = chord @ chord
-        share = np.clip((inner - start) @ chord / length, 0, 1) if length else np.zeros(len(inner))
-        off = inner - (start + share[:, None] * chord)
-        distance = (off * off).sum(axis=1)
-        far = int(distance.argmax())
-        if distance[far] > tolerance * tolerance:
-            keep[a + 1 + far] = True
-            stretches += [(a, a + 1 + far), (a + 1 + far, b)]
+    keep[done] = True
     return keep
 
 
 def simplify(vertices: Column, tolerance: float = SIMPLIFY_TOLERANCE) -> Column:
-    """Drops vertices closer than ``tolerance`` to the simplified line; both ends stay.
+    """Drops vertices closer than ``tolerance`` to the simplified line; both ends stay, and a line that doesn't cross
+    itself never does afterwards.
 
     The split order depends on the data, which built-in functions cannot express; one Arrow batch of
     lines goes through Python at a time.

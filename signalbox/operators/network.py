@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalbox.operators.nearest import nearest_vertex  # noqa: F401  (part of this module's interface)
 from signalbox.operators.series import row_positions
-from signalbox.operators.split import Series, numeric_tie, plan_split
-from signalbox.session import work_dir
+from signalbox.operators.split import Series, plan_split
 from signalbox.sources.sinks import feature_json
 
 # What stands in for a missing colour or line.
@@ -68,7 +68,7 @@ def line_strings(
     continue in parts 1, 2, ...; each starts with the vertex that ended the one before, so nothing is lost.
     """
     tie = list(tie)
-    split = plan_split(vertices, keys, order, numeric_tie(vertices, tie), max_rows)
+    split = plan_split(vertices, keys, order, tie, max_rows)
     s = Series(vertices.select(*dict.fromkeys([*keys, order, *tie, x, y])), keys, order, tie, split)
     rows = row_positions(s, s.df, "__i", "__n").where(F.col("__n") > 1)
     if max_vertices is None:
@@ -118,113 +118,3 @@ def network_features(lines: DataFrame, coords: DataFrame, colors: DataFrame) ->
     placed = line_vertices(lines, coords)
     strings = line_strings(placed, ["line"], "seq", "lon", "lat")
     return line_features(strings, colors).unionByName(point_features(placed, colors))
-
-
-# ---- nearest vertex --------------------------------------------------------------------------
-
-_FAN_BITS = 3  # each level cuts a cell into 8 x 8
-_MAX_LEVELS = 16
-_CELL_VERTICES = 64
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(work_dir(df.sparkSession, "nearest"))
-    return df.checkpoint()
-
-
-def nearest_vertex(
-    points: DataFrame, vertices: DataFrame, point_id: str, vertex_id: str, x: str = "x", y: str = "y"
-) -> DataFrame:
-    """For every point the vertex at the smallest squared distance; the lowest id wins a tie.
-
-    Exact, without comparing all pairs: vertices are gathered in nested grid cells, and every point
-    follows only those cells whose bounding box may still hold its nearest vertex, level by level,
-    joined on the cell number. Levels are added until no cell holds more than a few distinct places,
-    so a dense cluster costs more levels, not more pairs. Returns point_id, vertex_id, distance2; a point
-    without coordinates, or any point where there are no vertices, has nulls.
-    """
-    places = vertices.groupBy(F.col(x).alias("vx"), F.col(y).alias("vy")).agg(F.min(vertex_id).alias("__vid"))
-    places = places.where("vx is not null and vy is not null and not isnan(vx) and not isnan(vy)")
-    # Read once per level below; the distinct places are written once instead of found every time.
-    places = _checkpointed(places)
-    box = places.agg(F.min("vx"), F.min("vy"), F.max("vx"), F.max("vy"), F.count(F.lit(1))).first()
-    if not box[4]:
-        none = F.lit(None).cast(places.schema["__vid"].dataType).alias(vertex_id)
-        return points.select(point_id, none, F.lit(None).cast("double").alias("distance2")).distinct()
-    x0, y0 = box[0], box[1]
-    extent = max(box[2] - x0, box[3] - y0) or 1.0
-
-    def cell(level: int) -> list[Column]:
-        side = 1 << (_FAN_BITS * level)
-
-        def index(v: str, origin: float) -> Column:
-            scaled = F.floor((F.col(v) - F.lit(origin)) / F.lit(extent) * F.lit(float(side)))
-            return F.least(F.lit(side - 1), scaled).cast("bigint")
-
-        return [index("vx", x0).alias("cx"), index("vy", y0).alias("cy")]
-
-    levels = 1
-    while levels < _MAX_LEVELS:
-        fullest = places.groupBy(*cell(levels)).count().agg(F.max("count")).first()[0]
-        if fullest <= _CELL_VERTICES:
-            break
-        levels += 1
-
-    def boxes(level: int) -> DataFrame:
-        return places.groupBy(*cell(level)).agg(
-            F.min("vx").alias("bx0"), F.max("vx").alias("bx1"), F.min("vy").alias("by0"), F.max("vy").alias("by1")
-        )
-
-    def reach(px: Column, py: Column, b) -> tuple[Column, Column]:
-        """Squared distance to the nearest and to the farthest place of a box."""
-        near_x = F.greatest(b("bx0") - px, px - b("bx1"), F.lit(0.0))
-        near_y = F.greatest(b("by0") - py, py - b("by1"), F.lit(0.0))
-        far_x = F.greatest(px - b("bx0"), b("bx1") - px)
-        far_y = F.greatest(py - b("by0"), b("by1") - py)
-        return near_x * near_x + near_y * near_y, far_x * far_x + far_y * far_y
-
-    # The first level has at most 64 boxes, whatever the data: a constant, and no join.
-    first = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in boxes(1).collect()])
-    px, py = F.col("px"), F.col("py")
-    located = points.select(
-        F.col(point_id).alias("__pid"), F.col(x).alias("px"), F.col(y).alias("py")
-    ).where("px is not null and py is not null and not isnan(px) and not isnan(py)")
-    bound = F.array_min(F.transform(first, lambda b: reach(px, py, b.__getitem__)[1]))
-    near = F.filter(first, lambda b: reach(px, py, b.__getitem__)[0] <= F.col("__bound"))
-    frontier = (
-        located.withColumn("__bound", bound)
-        .select("__pid", "px", "py", F.explode(near).alias("b"))
-        .select("__pid", "px", "py", "b.cx", "b.cy")
-    )
-    best = F.min("__worst").over(Window.partitionBy("__pid"))
-    for level in range(2, levels + 1):
-        # A child's parent is its own number shifted right: the levels nest exactly.
-        parent = [F.shiftright("cx", _FAN_BITS).alias("cx"), F.shiftright("cy", _FAN_BITS).alias("cy")]
-        children = boxes(level).select(
-            *parent, F.col("cx").alias("nx"), F.col("cy").alias("ny"), "bx0", "bx1", "by0", "by1"
-        )
-        nearest, farthest = reach(px, py, F.col)
-        frontier = (
-            frontier.join(children, ["cx", "cy"])
-            .select(
-                "__pid", "px", "py", F.col("nx").alias("cx"), F.col("ny").alias("cy"),
-                nearest.alias("__best"), farthest.alias("__worst"),
-            )
-            .withColumn("__bound", best)
-            .where(F.col("__best") <= F.col("__bound"))
-            .select("__pid", "px", "py", "cx", "cy")
-        )
-        if level % 4 == 0 and level < levels:
-            frontier = _checkpointed(frontier)
-    dx, dy = F.col("px") - F.col("vx"), F.col("py") - F.col("vy")
-    found = (
-        frontier.join(places.select("*", *cell(levels)), ["cx", "cy"])
-        .groupBy("__pid")
-        .agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), F.col("__vid").alias("v"))).alias("m"))
-    )
-    found = found.select(
-        F.col("__pid").alias(point_id), F.col("m.v").alias(vertex_id), F.col("m.d").alias("distance2")
-    )
-    return points.select(point_id).distinct().join(found, point_id, "left")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.functions.calendar import MICROS_PER_MINUTE, micros
+from signalbox.operators.newest import row_at
 from signalbox.operators.split import PIECE, Series, Split
 
 # Fixed values of the road feed: the gap assumed before a segment's first row, and the label offset.
@@ -420,10 +421,9 @@ def constant_history(
 def first_rows(
     df: DataFrame, keys: Sequence[str], order: str, tie: str | Sequence[str], cols: Sequence[str]
 ) -> DataFrame:
-    """Each key's first row, by a map-side combined aggregate (no window)."""
-    at = F.struct(order, *([tie] if isinstance(tie, str) else tie))
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), at).alias("__first"))
-    return first.select(*keys, "__first.*")
+    """Each key's first row, reduced before the shuffle (see ``newest``)."""
+    tie = [tie] if isinstance(tie, str) else list(tie)
+    return row_at(df, keys, order, tie, cols, last=False)
 
 
 def interpolate_gaps(

@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from signalbox.functions import severity
 from signalbox.functions.rounding import exact_round, non_negative, percent_text, round_count
+from signalbox.operators.newest import is_fixed, packed, row_at
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: str, tie: str | Sequence[str] = ()) -> DataFrame:
-    """Each key's newest row. An aggregate, so a key with many rows is reduced before the shuffle."""
+    """Each key's newest row. A key with many rows is reduced before the shuffle, see ``newest``."""
     tie = [tie] if isinstance(tie, str) else list(tie)
-    others = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*others), F.struct(order, *tie)).alias("__row")
-    )
-    return newest.select(*keys, "__row.*").select(*df.columns)
+    return row_at(df, keys, order, tie, df.columns).select(*df.columns)
 
 
 def latest_filled(
@@ -29,11 +26,17 @@ def latest_filled(
     An aggregate, so nothing has to be filled but the rows that stay.
     """
     tie = [tie] if isinstance(tie, str) else list(tie)
-    at = F.struct(order, *tie)
     others = [c for c in df.columns if c not in (*keys, *cols)]
-    filled = [F.coalesce(F.max_by(c, F.when(F.col(c).isNotNull(), at)), F.lit(fill)).alias(c) for c in cols]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*others), at).alias("__row"), *filled)
-    return newest.select(*keys, "__row.*", *cols).select(*df.columns)
+    at = packed(df, order, tie)
+    if at is not None and all(is_fixed(df.schema[c].dataType) for c in (*others, *cols)):
+        df = df.withColumn("__at", at)
+        newest = [F.max_by(c, "__at").alias(c) for c in others]
+        known = [F.coalesce(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__at"))), F.lit(fill)).alias(c) for c in cols]
+        return df.groupBy(*keys).agg(*newest, *known).select(*[c for c in df.columns if c != "__at"])
+    place = F.struct(order, *tie)
+    filled = [F.coalesce(F.max_by(c, F.when(F.col(c).isNotNull(), place)), F.lit(fill)).alias(c) for c in cols]
+    rows = df.groupBy(*keys).agg(F.max_by(F.struct(*others), place).alias("__row"), *filled)
+    return rows.select(*keys, "__row.*", *cols).select(*df.columns)
 
 
 def lookup(

@@ -1,103 +1,100 @@
 """Splitting of long histories, so that no window task holds more than a fair share of rows.
 
 Most series operators are windows per key. One key may hold a third of all rows, and then one task
-would too. ``plan_split`` measures the keys with a map-side combined count, whatever the size of the input;
-every key above ``PIECE_ROWS`` rows is cut along its time axis into pieces of about that size. Windows then
-partition by (key, piece), and what crosses a cut (a running total, the previous row, the next few
-rows) travels through a summary with one row per piece.
-
-Bounds: there are fewer cut keys than ``rows / PIECE_ROWS``, and at most about twice as many pieces. Cut
-points and summaries are broadcast only up to a measured number of them; beyond it they are joined by key.
-
-A time that alone has too many rows is cut further along the tiebreaker, where that is a number or a
-time. Pieces follow the series' total order in every case.
+would too. ``plan_split`` measures the keys with a map-side combined count, whatever the size of the input.
+The rows of keys above ``PIECE_ROWS`` are then sorted over many partitions by key, time and tiebreaker: Spark's
+range partitioning finds the boundaries, wherever they fall, also inside one crowded time. The partition is the
+row's piece. Windows then partition by (key, piece), and what crosses a cut (a running total, the previous row, the
+next few rows) travels through a summary with one row per piece.
+
+The marked rows are written to the shared folder: a range is drawn from a sample, so that marking the same rows a
+second time could cut them elsewhere, and a summary must be of the same pieces as the rows that it is joined to.
+
+Bounds: there are at most ``MAX_PIECES`` partitions, hence at most that many cut keys, and pieces beyond one for each
+key; beyond ``MAX_PIECES * PIECE_ROWS`` rows of long keys a piece grows. Neither keys nor boundaries reach the driver,
+only counts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from signalbox.session import work_dir
 
 PIECE = "__piece"
-_CUTS = "__cuts"
 
 # Rows that one window task may hold of a key; a longer key is cut into pieces of about that size.
 PIECE_ROWS = 1_000_000
-# Cut points, hot keys or summaries of pieces that may be broadcast; their number is measured.
+# Partitions that the rows of long keys are sorted over.
+MAX_PIECES = 50_000
+# Long keys or summaries of pieces that may be broadcast; their number is measured.
 MAX_BROADCAST_ROWS = 100_000
 
 
-def axis(df: DataFrame, order: str) -> Column:
-    """The ordering column as a double: microseconds for times, the value itself for numbers."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
-    return F.col(order).cast("double")
-
-
-def _tie_axis(df: DataFrame, tie: str | None) -> Column:
-    return F.lit(0.0) if tie is None else axis(df, tie)
-
-
-def numeric_tie(df: DataFrame, tie: Sequence[str]) -> str | None:
-    """The first tiebreaker, if cuts can be placed on it."""
-    kinds = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
-    return tie[0] if tie and isinstance(df.schema[tie[0]].dataType, kinds) else None
-
-
 def null_safe(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, (l.eqNullSafe(r) for l, r in zip(left, right)))
 
 
-def _cuts_at_or_below(cuts: Column, value: Column, steps: int) -> Column:
-    """How many entries of the sorted array are <= value, by bisection (``steps`` halvings)."""
-
-    def halve(span: Column, _: Column) -> Column:
-        low, high = span["low"], span["high"]
-        mid = F.floor((low + high) / 2).cast("int")
-        return (
-            F.when(low >= high, span)
-            .when(F.get(cuts, mid) <= value, F.struct((mid + 1).alias("low"), high.alias("high")))
-            .otherwise(F.struct(low.alias("low"), mid.alias("high")))
-        )
-
-    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda span: span["low"])
+def _sized(rows: DataFrame, count: int) -> DataFrame:
+    """A table of at most ``count`` rows, broadcast while that is few; beyond it the join shuffles."""
+    return F.broadcast(rows) if count <= MAX_BROADCAST_ROWS else rows
 
 
 @dataclass(frozen=True)
 class Split:
-    """Cut points of the oversized keys; ``cuts`` is None when no key needs cutting.
+    """The long keys of a table; ``cuts`` is None when there are none.
 
-    A cut point (o, t) starts a piece at the first row whose order and tiebreaker are not below it.
+    ``cuts`` is a stored table of the long keys, ``longs`` their number, ``partitions`` over how many their rows are
+    sorted. A piece is a stretch of a key's rows in the order of (order, tie).
     """
 
     keys: tuple[str, ...]
     order: str
-    tie: str | None = None
+    tie: tuple[str, ...] = ()
     cuts: DataFrame | None = None
-    longest: int = 0
-    pieces: int = 0
+    longs: int = 0
+    partitions: int = 0
+    limit: int = 0
+
+    @property
+    def pieces(self) -> int:
+        """At most so many pieces have a number."""
+        return self.partitions + min(self.longs, self.partitions) if self._broad else self.partitions + self.longs
+
+    @property
+    def _broad(self) -> bool:
+        """Whether there are too many long keys to pick out their rows, so that all rows are sorted."""
+        return self.longs > MAX_BROADCAST_ROWS
+
+    def _match(self, df: DataFrame, keys: DataFrame, flag: str) -> DataFrame:
+        """Marks the rows whose keys are in the table."""
+        names = [f"__long_{i}" for i in range(len(self.keys))]
+        table = keys.select(*self.keys).toDF(*names).withColumn(flag, F.lit(True))
+        joined = df.join(F.broadcast(table), null_safe([F.col(k) for k in self.keys], [F.col(n) for n in names]), "left")
+        return joined.drop(*names).withColumn(flag, F.col(flag).isNotNull())
 
     def mark(self, df: DataFrame) -> DataFrame:
-        """Adds the piece number: -1 for whole keys, 0, 1, 2, ... in time order for cut ones."""
+        """Adds the piece number: -1 for whole keys, rising numbers in time order for cut ones."""
         if self.cuts is None:
             return df
-        names = [f"__cut_{i}" for i in range(len(self.keys))]
-        cuts = self.cuts.toDF(*names, _CUTS)
-        steps = max(1, math.ceil(math.log2(self.longest + 1)) + 1)
-        here = F.struct(axis(df, self.order).alias("o"), _tie_axis(df, self.tie).alias("t"))
-        piece = F.when(F.col(_CUTS).isNull(), F.lit(-1)).otherwise(
-            _cuts_at_or_below(F.col(_CUTS), here, steps)
-        )
-        match = null_safe([F.col(k) for k in self.keys], [F.col(n) for n in names])
-        return df.join(_sized(cuts, self.pieces), match, "left").withColumn(PIECE, piece).drop(*names, _CUTS)
+        flagged = df.withColumn("__long", F.lit(True)) if self._broad else self._match(df, self.cuts, "__long")
+        position = [*self.keys, self.order, *self.tie]
+        ranged = flagged.where("__long").drop("__long").repartitionByRange(self.partitions, *position).sortWithinPartitions(*position)
+        spark, folder = df.sparkSession, work_dir(df.sparkSession, "pieces")
+        ranged.withColumn(PIECE, F.spark_partition_id()).write.parquet(folder)
+        long = spark.read.parquet(folder)
+        if not self._broad:
+            whole = flagged.where("not __long").drop("__long").withColumn(PIECE, F.lit(-1))
+            return whole.unionByName(long)
+        # A boundary lies in one key, so there are fewer cut keys than partitions.
+        over = long.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"), F.min(PIECE).alias("a"), F.max(PIECE).alias("b"))
+        marked = self._match(long, over.where((F.col("n") > self.limit) & (F.col("a") < F.col("b"))), "__cut")
+        return marked.withColumn(PIECE, F.when(F.col("__cut"), F.col(PIECE)).otherwise(F.lit(-1))).drop("__cut")
 
     def spread(self, df: DataFrame) -> DataFrame:
         """Marks the rows and brings each piece together; unchanged when nothing is cut.
@@ -115,85 +112,30 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.drop(PIECE)
 
 
-def _sized(rows: DataFrame, count: int) -> DataFrame:
-    """A table of at most ``count`` rows, broadcast while that is few; beyond it the join shuffles."""
-    return F.broadcast(rows) if count <= MAX_BROADCAST_ROWS else rows
-
-
-def _quantiles(
-    rows: DataFrame, groups: Sequence[str], column: str, largest: int, limit: int
-) -> DataFrame:
-    """Per group the values of ``column`` at about every ``limit`` rows (mergeable sketches)."""
-    pieces = math.ceil(largest / limit)
-    shares = [i / pieces for i in range(1, pieces)]
-    # A group smaller than the largest needs fewer cuts: keep every step-th quantile.
-    step = F.greatest(F.lit(1), F.floor(F.lit(pieces * limit) / F.col("__n"))).cast("int")
-    return (
-        rows.groupBy(*groups)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.percentile_approx(column, shares, F.lit(max(10_000, 10 * pieces))).alias("__q"),
-        )
-        .withColumn("__step", step)
-        .select(*groups, "__n", F.filter("__q", lambda x, i: (i + 1) % F.col("__step") == 0).alias("__q"))
-    )
-
-
 def plan_split(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    tie: str | None = None,
+    tie: str | Sequence[str] | None = None,
     max_rows: int | None = None,
 ) -> Split:
-    """Measures the keys and chooses cut points. Plan once, pass the result to several operators.
+    """Measures the keys. Plan once, pass the result to several operators.
 
-    ``tie`` names the first tiebreaker if it is a number or a time. ``max_rows`` overrides the rows a
+    ``tie`` names the tiebreakers, of any type that can be ordered. ``max_rows`` overrides the rows a
     piece may have (tests use a tiny value).
     """
     keys = tuple(keys)
-    whole = Split(keys, order, tie)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total, top = counts.agg(F.sum("__n"), F.max("__n")).first()
-    if not total:
-        return whole
+    tie = (tie,) if isinstance(tie, str) else tuple(tie or ())
     limit = max_rows or PIECE_ROWS
-    if top <= limit:
-        return whole
-
-    def only(rows: DataFrame, wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
-        names = [f"__hot_{i}" for i in range(len(columns))]
-        match = null_safe([F.col(c) for c in columns], [F.col(n) for n in names])
-        return rows.join(_sized(wanted.select(*columns).toDF(*names), total // limit), match, "left_semi")
-
-    spark = df.sparkSession
-    key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
-    rows = df.select(*keys, axis(df, order).alias("__x"), _tie_axis(df, tie).alias("__t"))
-    hot = only(rows, counts.where(F.col("__n") > limit), keys)
-    # Fixed on the driver (bounded, see above) so that every later stage, also a re-run one, cuts alike.
-    by_time = _quantiles(hot, keys, "__x", top, limit).collect()
-    cuts: dict[tuple, set] = {}
-    crowded, crowd = [], 0
-    for r in by_time:
-        key, values = tuple(r[k] for k in keys), r["__q"]
-        cuts[key] = {(v, -math.inf) for v in values}
-        for v in {v for v, w in zip(values, values[1:]) if v == w}:
-            crowded.append((*key, v))
-            crowd = max(crowd, r["__n"])
-    if crowded and tie is not None:
-        times = spark.createDataFrame(crowded, T.StructType([*key_fields, T.StructField("__x", T.DoubleType())]))
-        places = [*keys, "__x"]
-        for r in _quantiles(only(hot, times, places), places, "__t", crowd, limit).collect():
-            cuts[tuple(r[k] for k in keys)] |= {(r["__x"], t) for t in r["__q"]}
-    found = [(*key, sorted(points)) for key, points in cuts.items() if points]
-    if not found:
-        return whole
-    point = T.StructType([T.StructField("o", T.DoubleType()), T.StructField("t", T.DoubleType())])
-    schema = T.StructType([*key_fields, T.StructField(_CUTS, T.ArrayType(point))])
-    return Split(
-        keys, order, tie, spark.createDataFrame(found, schema), max(len(f[-1]) for f in found),
-        sum(len(f[-1]) + 1 for f in found),
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    long = F.col("__n") > limit
+    longs, rows = counts.agg(F.count_if(long), F.sum(F.when(long, F.col("__n")))).first()
+    if not longs:
+        return Split(keys, order, tie)
+    # Written, so that every later stage, also a re-run one, cuts the same keys.
+    spark, folder = df.sparkSession, work_dir(df.sparkSession, "long-keys")
+    counts.where(long).select(*keys).write.parquet(folder)
+    return Split(keys, order, tie, spark.read.parquet(folder), longs, min(MAX_PIECES, -(-rows // limit)), limit)
 
 
 @dataclass
@@ -212,7 +154,7 @@ class Series:
         if isinstance(self.tie, str):
             self.tie = [self.tie]
         if self.split is None:
-            self.split = plan_split(self.df, self.keys, self.order, numeric_tie(self.df, self.tie))
+            self.split = plan_split(self.df, self.keys, self.order, self.tie)
         self.cut = self.split.cuts is not None
         self.chained = PIECE in self.df.columns
         if not self.chained:

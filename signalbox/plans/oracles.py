@@ -537,22 +537,30 @@ ORACLES["reproject_roads"] = f"""
 WITH {_DEGREES} SELECT ROUTE_ID, pos, round(lon, 7) AS lon, round(lat, 7) AS lat FROM pts
 """
 # Every split of a stretch (a, b) at its farthest vertex keeps that vertex and adds two stretches.
+def _side(a: str, b: str, c: str) -> str:
+    """The side of the line from vertex a to vertex b on which vertex c lies."""
+    return f"sign((x[{b}] - x[{a}]) * (y[{c}] - y[{a}]) - (y[{b}] - y[{a}]) * (x[{c}] - x[{a}]))"
+
+
+_SHARE = "((x[k] - x[a]) * (x[b] - x[a]) + (y[k] - y[a]) * (y[b] - y[a])) / (power(x[b] - x[a], 2) + power(y[b] - y[a], 2))"
+# One line a row: the vertices decided, those wanted next (the last one first), and the farthest one of the stretch
+# between. A segment is taken if nothing between is off and it crosses neither the decided nor the given line behind it.
 ORACLES["road_network_features"] = f"""
-WITH RECURSIVE {_DEGREES}, stretch AS (
-  SELECT DISTINCT ROUTE_ID, CAST(0 AS INTEGER) AS a, CAST(31 AS INTEGER) AS b FROM pts
+WITH RECURSIVE {_DEGREES},
+line AS (SELECT ROUTE_ID, list(lon ORDER BY pos) AS x, list(lat ORDER BY pos) AS y FROM pts GROUP BY ROUTE_ID),
+walk(ROUTE_ID, done, wanted) AS (
+  SELECT ROUTE_ID, [1::BIGINT], [len(x)] FROM line
   UNION ALL
-  SELECT ROUTE_ID, CASE WHEN side = 0 THEN a ELSE m END, CASE WHEN side = 0 THEN b2 ELSE b END FROM (
-    SELECT ROUTE_ID, a, b, arg_max(pos, d) AS m, arg_max(pos, d) AS b2 FROM (
-      SELECT s.ROUTE_ID, s.a, s.b, p.pos,
-        power(p.lon - (p1.lon + least(1, greatest(0, t)) * (p2.lon - p1.lon)), 2)
-        + power(p.lat - (p1.lat + least(1, greatest(0, t)) * (p2.lat - p1.lat)), 2) AS d
-      FROM stretch s JOIN pts p1 ON p1.ROUTE_ID = s.ROUTE_ID AND p1.pos = s.a
-      JOIN pts p2 ON p2.ROUTE_ID = s.ROUTE_ID AND p2.pos = s.b
-      JOIN pts p ON p.ROUTE_ID = s.ROUTE_ID AND p.pos > s.a AND p.pos < s.b,
-      LATERAL (SELECT ((p.lon - p1.lon) * (p2.lon - p1.lon) + (p.lat - p1.lat) * (p2.lat - p1.lat))
-        / (power(p2.lon - p1.lon, 2) + power(p2.lat - p1.lat, 2)) AS t))
-    GROUP BY ROUTE_ID, a, b HAVING max(d) > 0.01::DOUBLE * 0.01::DOUBLE), (VALUES (0), (1)) sides(side)),
-kept AS (SELECT ROUTE_ID, a AS pos FROM stretch UNION SELECT ROUTE_ID, b FROM stretch)
+  (WITH section AS (SELECT w.*, l.x, l.y, done[-1] AS a, wanted[-1] AS b FROM walk w JOIN line l USING (ROUTE_ID) WHERE len(wanted) > 0),
+   off AS (
+     SELECT *, list_transform(range(a + 1, b), lambda k: {{'d':
+       power(x[k] - (x[a] + least(1, greatest(0, {_SHARE})) * (x[b] - x[a])), 2) + power(y[k] - (y[a] + least(1, greatest(0, {_SHARE})) * (y[b] - y[a])), 2), 'k': -k}}) AS far FROM section),
+   judged AS (
+     SELECT *, -list_max(far).k AS m, b - a = 1 OR list_max(far).d <= 0.01::DOUBLE * 0.01::DOUBLE AND NOT list_bool_or(list_transform(
+         list_concat(list_transform(range(1, len(done)), lambda i: [done[i], done[i + 1]]), list_transform(range(b, len(x)), lambda k: [k, k + 1])),
+         lambda s: {_side("a", "b", "s[1]")} * {_side("a", "b", "s[2]")} < 0 AND {_side("s[1]", "s[2]", "a")} * {_side("s[1]", "s[2]", "b")} < 0) || [false]) AS taken FROM off)
+   SELECT ROUTE_ID, CASE WHEN taken THEN list_append(done, b) ELSE done END, CASE WHEN taken THEN wanted[:-2] ELSE list_append(wanted, m) END FROM judged)),
+kept AS (SELECT ROUTE_ID, unnest(done) - 1 AS pos FROM walk WHERE len(wanted) = 0)
 SELECT vec_id AS segment_id, 'Street ' || label AS STREET_ENAME,
   CAST(row_number() OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS INTEGER) AS pos, round(lon, 7) AS lon, round(lat, 7) AS lat
 FROM kept JOIN pts USING (ROUTE_ID, pos) JOIN embeddings ON vec_id = ROUTE_ID

@@ -11,7 +11,7 @@ from signalbox.operators.dataset import augment
 from signalbox.operators.events import extract_events
 from signalbox.operators.learn import EVENT_OUTPUTS, event_samples, risk_samples, score_rail, select_best
 from signalbox.operators.series import forward_fill, lookahead_max
-from signalbox.operators.split import gathered, numeric_tie, plan_split
+from signalbox.operators.split import gathered, plan_split
 from signalbox.session import work_dir
 from signalbox.sources.sinks import write_series
 from signalbox.sources.snapshots import FILE, flatten_rail_json, read_archive
@@ -34,14 +34,14 @@ def filled(rows: DataFrame, tie: str = FILE, split=None) -> DataFrame:
 
 def risk_table(rows: DataFrame, tie: str = FILE, seconds: float | None = None, split=None) -> DataFrame:
     """Station series with the "delay ahead" label."""
-    split = split or plan_split(rows, KEYS, ORDER, numeric_tie(rows, [tie]))
+    split = split or plan_split(rows, KEYS, ORDER, tie)
     rows = filled(split.spread(rows), tie, split)
     return gathered(lookahead_max(rows, KEYS, ORDER, tie, "isdelay", seconds=seconds, split=split))
 
 
 def event_table(rows: DataFrame, tie: str = FILE, split=None) -> DataFrame:
     """Delay events with the features of their first row."""
-    split = split or plan_split(rows, KEYS, ORDER, numeric_tie(rows, [tie]))
+    split = split or plan_split(rows, KEYS, ORDER, tie)
     return extract_events(
         filled(split.spread(rows), tie, split), KEYS, ORDER, tie, "isdelay", EVENT_FEATURES, observed="trains_listed", split=split
     )
@@ -56,7 +56,7 @@ def prepare_training_tables(spark: SparkSession, archive: str, risk_path: str, e
     parsed = work_dir(spark, "rail-rows")
     series(read_archive(spark, archive, "*.json")).write.parquet(parsed)
     rows = read_table(spark, parsed)
-    split = plan_split(rows, KEYS, ORDER)
+    split = plan_split(rows, KEYS, ORDER, FILE)
     write_series(risk_table(rows, split=split), risk_path, KEYS, ORDER)
     events = event_table(rows, split=split)
     augment(events, [*KEYS, ORDER], seed).write.mode("overwrite").parquet(event_path)

@@ -11,7 +11,7 @@ from signalbox.functions.geometry import SIMPLIFY_TOLERANCE, TransverseMercator,
 from signalbox.operators.learn import road_samples, score_road, select_best
 from signalbox.operators.network import keep_known
 from signalbox.operators.series import gap_minutes, lead_label, run_minutes
-from signalbox.operators.split import Split, gathered, numeric_tie, plan_split
+from signalbox.operators.split import Split, gathered, plan_split
 from signalbox.session import work_dir
 from signalbox.sources.sinks import feature_json, write_series
 from signalbox.sources.snapshots import FILE, flatten_road_xml, read_archive
@@ -34,7 +34,7 @@ def congestion_features(
 ) -> DataFrame:
     """Gap, congestion flag, run, minutes and label of every observation: one shuffle on the key."""
     keys = [key]
-    split = split or plan_split(df, keys, order, numeric_tie(df, [tie]))
+    split = split or plan_split(df, keys, order, tie)
     df = df.withColumn("is_congested", F.coalesce(F.col(speed) < CONGESTED_BELOW, F.lit(False)).cast("int"))
     df = gap_minutes(split.spread(df), keys, order, tie, max_gap=max_gap, split=split)
     df = run_minutes(df, keys, order, tie, "is_congested", mode=mode, min_minutes=min_minutes, split=split)
