@@ -34,6 +34,14 @@ def keep_others(df: DataFrame, names: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in new]
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A beginning for helper names that no column of the table has (names compare as Spark's do)."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of about SLICE_BYTES of text; a longer row is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -60,7 +68,7 @@ def map_texts(df: DataFrame, text: str, fields: str, work: Callable[[], Callable
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     schema = T.StructType(kept + added.fields)
     arrow = to_arrow_schema(schema)
-    kept_names, source = [f.name for f in kept], "__text"
+    kept_names, source = [f.name for f in kept], own_prefix(df) + "text"
     wide = df.select(*[F.col(f"`{n}`") for n in kept_names], body(text).alias(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,9 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.common import body, keep_others, map_texts
+from signalbox.llm.common import body, keep_others, map_texts, own_prefix
+from signalbox.session import work_dir
 
 WINDOW = 13
+RUN = "struct<first:int,last:int,start:int,end:int>"
 #: Benchmark bytes in one automaton (about 100 times that in memory). A larger benchmark is scanned block by block.
 BLOCK_BYTES = 1 << 20
 
@@ -73,24 +75,35 @@ class Scanner:
         return len(words), [{"first": a, "last": b, "start": at(spans[a][0]), "end": at(spans[b][1])} for a, b in runs], sorted(found)
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The distinct items in blocks of at most ``block_bytes``, each fetched for itself; an item above it is alone.
+class Blocks:
+    """The distinct items in blocks of at most ``block_bytes``; an item above it is a block of its own.
 
-    The number of blocks is raised until every block's measured size is within the bound.
+    The number of blocks is raised until every block's measured size is within the bound. Several blocks are written
+    to the shared folder, and one at a time is fetched.
     """
-    rows = items.distinct()
-    size = F.octet_length("text") + F.octet_length("item") + 16
-    total, count = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-total // block_bytes))
-    if blocks == 1:
-        return [[tuple(r) for r in rows.collect()]]
-    while blocks < 4 * count:
-        number = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-        held = rows.groupBy(number.alias("block")).agg(F.sum(size).alias("held"), F.count("*").alias("n"))
-        if not held.filter((F.col("held") > block_bytes) & (F.col("n") > 1)).limit(1).count():
-            break
-        blocks *= 2
-    return [[tuple(r) for r in rows.filter(number == b).collect()] for b in range(blocks)]
+
+    def __init__(self, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> None:
+        rows = items.distinct()
+        size = F.octet_length("text") + F.octet_length("item") + 16
+        total, count = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+        self.rows, self.number = rows, max(1, -(-total // block_bytes))
+        if self.number == 1:
+            return
+        while self.number < 4 * count:
+            held = rows.groupBy(self._of()).agg(F.sum(size).alias("held"), F.count("*").alias("n"))
+            if not held.filter((F.col("held") > block_bytes) & (F.col("n") > 1)).limit(1).count():
+                break
+            self.number *= 2
+        folder = work_dir(rows.sparkSession, "benchmark-blocks")
+        rows.withColumn("block", self._of()).repartition("block").write.partitionBy("block").parquet(folder)
+        self.rows = rows.sparkSession.read.parquet(folder)
+
+    def _of(self) -> Column:
+        return F.pmod(F.xxhash64("item", "text"), F.lit(self.number)).alias("block")
+
+    def fetch(self, block: int) -> list[tuple[str, str]]:
+        rows = self.rows if self.number == 1 else self.rows.filter(F.col("block") == block)
+        return [tuple(r) for r in rows.select("item", "text").collect()]
 
 
 def _merged(runs: Column) -> Column:
@@ -115,34 +128,58 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     contaminated: some word is hit, and at least one word in twenty.
 
     Null and empty texts and items have no words; a null item id is the empty string; repeated items count once.
-    Input columns of these names are replaced; an empty benchmark or table gives no hits. Each document is
-    scanned once for every block of items, and there is one block up to ``block_bytes`` of benchmark.
+    Input columns of these names are replaced, others stay, whatever their names; an empty benchmark or table gives no
+    hits; repeated rows are each scanned for themselves, and a long text as a whole. There is one block of items up to
+    ``block_bytes`` of benchmark; beyond it the documents are scanned for one block after the other.
     """
     names = ["n_words", "n_hit", "items", "runs", "contaminated"]
     columns = [F.struct(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"), body(t).alias("text")) for t in item_texts]
-    items = benchmark.select(F.inline(F.array(*columns)))
-    context = df.sparkSession.sparkContext
-    blocks = item_blocks(items, block_bytes)
-    out = df.select(*keep_others(df, [n for n in names if n.lower() != text.lower()]))
-    for i, block in enumerate(blocks):
-        sent, key = context.broadcast(block), (uuid.uuid4().hex, window)
-
-        def work(sent=sent, key=key) -> Callable[[list[str]], list]:
-            scan = _built.get(key)
-            if scan is None:
-                _built.clear()
-                scan = _built[key] = Scanner(sent.value, window)
-            return lambda texts: [list(c) for c in zip(*map(scan, texts), strict=True)] if texts else [[], [], []]
-
-        out = map_texts(out, text, f"__n{i} bigint, __r{i} array<struct<first:int,last:int,start:int,end:int>>, __i{i} array<string>", work)
-    each = range(len(blocks))
-    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
-    run = "struct<first:int,last:int,start:int,end:int>"
-    hidden = [f"__{c}{i}" for c in "nri" for i in each]
-    runs = F.concat(*[F.coalesce(F.col(f"__r{i}"), none(run)) for i in each])
-    found = F.concat(*[F.coalesce(F.col(f"__i{i}"), none("string")) for i in each])
-    if len(blocks) > 1:  # one block's runs are already maximal
-        runs = _merged(runs)
-    marked = out.select(*keep_others(out, hidden), F.col("__n0").alias("n_words"), runs.alias("runs"), F.array_sort(F.array_distinct(found)).alias("items"))
+    blocks = Blocks(benchmark.select(F.inline(F.array(*columns))), block_bytes)
+    given = df.select(*keep_others(df, [n for n in names if n.lower() != text.lower()]))
+    own = own_prefix(given)
+    n, r, i = (own + c for c in "nri")
+    if blocks.number == 1:  # the usual case: one pass, and rows don't move
+        scanned = _scan(given, text, blocks.fetch(0), window, (n, r, i))
+    else:
+        scanned = _scan_blocks(given, text, blocks, window, (n, r, i))
+    empty = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    runs, found = F.coalesce(F.col(r), empty(RUN)), F.coalesce(F.col(i), empty("string"))
+    marked = scanned.select(*keep_others(scanned, [n, r, i, *names]), F.col(n).alias("n_words"), runs.alias("runs"), F.array_sort(F.array_distinct(found)).alias("items"))
     n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1)
     return marked.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def _scan(df: DataFrame, text: str, block: list[tuple[str, str]], window: int, names: tuple[str, str, str]) -> DataFrame:
+    """Adds the number of words, the runs and the items found, null if there are none."""
+    key = (uuid.uuid4().hex, window)
+
+    def work() -> Callable[[list[str]], list]:
+        scan = _built.get(key)
+        if scan is None:
+            _built.clear()
+            scan = _built[key] = Scanner(block, window)
+        return lambda texts: [list(c) for c in zip(*map(scan, texts), strict=True)] if texts else [[], [], []]
+
+    n, r, i = names
+    return map_texts(df, text, f"{n} bigint, {r} array<{RUN}>, {i} array<string>", work)
+
+
+def _scan_blocks(df: DataFrame, text: str, blocks: Blocks, window: int, names: tuple[str, str, str]) -> DataFrame:
+    """The same block by block: one block, one automaton and one pass at a time, and only rows with hits are kept.
+
+    Rows are written with a number, by which their hits come together.
+    """
+    spark = df.sparkSession
+    n, r, i = names
+    kept, hits = work_dir(spark, "numbered"), work_dir(spark, "benchmark-hits")
+    df.select(F.monotonically_increasing_id().alias(n + "row"), *keep_others(df, [])).write.parquet(kept)
+    numbered = spark.read.parquet(kept)
+    for b in range(blocks.number):
+        narrow = numbered.select(F.col(n + "row").alias("number"), body(text).alias("text"))
+        found = _scan(narrow, "text", blocks.fetch(b), window, ("words", "runs", "items"))
+        found.filter("runs is not null").select("number", "runs", "items").write.parquet(f"{hits}/block={b}")
+    parts = spark.read.schema(f"number bigint, runs array<{RUN}>, items array<string>").parquet(*[f"{hits}/block={b}" for b in range(blocks.number)])
+    whole = parts.groupBy("number").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    whole = whole.select(F.col("number").alias(n + "row"), _merged(F.col("runs")).alias(r), F.col("items").alias(i))
+    counted = map_texts(numbered, text, f"{n} bigint", lambda: lambda texts: [[len(fold(t).split()) for t in texts]])
+    return counted.join(whole, n + "row", "left").drop(n + "row")

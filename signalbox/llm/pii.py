@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.common import body, keep_others
+from signalbox.llm.common import body, keep_others, own_prefix
 
 #: Code points of the text on either side of a match in which context words count.
 CONTEXT = 40
@@ -180,29 +180,31 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``pii``: array<struct<order, start, end, score, kind>>, by kind and then by place.
 
     Offsets are code points of the whole text, the end exclusive. Null and empty texts have no spans. Repeated
-    rows are judged each for itself; an input column named ``pii`` is replaced.
+    rows are judged each for itself; an input column named ``pii`` is replaced, all others stay, whatever their names;
+    an empty table stays empty. A text of any length is one row and takes time in proportion to its length.
     """
-    kept = keep_others(df, ["pii"])
+    kept, own = keep_others(df, ["pii"]), own_prefix(df)
+    t, rest = f"{own}t", f"{own}rests"
     none = F.expr("cast(array() as array<string>)")
-    digit = F.col("__t").rlike("[0-9]")
-    may = {"email": F.col("__t").contains("@"), "phone": F.col("__t").contains("+")}  # cheap tests spare most texts
-    found = [F.when(may.get(k.name, digit), F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"__m_{k.name}") for k in KINDS]
-    cut = [F.when(F.size(f"__m_{k.name}") > 0, F.split("__t", k.pattern, -1)).otherwise(none).alias(f"__p_{k.name}") for k in KINDS]
+    digit = F.col(t).rlike("[0-9]")
+    may = {"email": F.col(t).contains("@"), "phone": F.col(t).contains("+")}  # cheap tests spare most texts
+    found = [F.when(may.get(k.name, digit), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"{own}m_{k.name}") for k in KINDS]
+    cut = [F.when(F.size(f"{own}m_{k.name}") > 0, F.split(t, k.pattern, -1)).otherwise(none).alias(f"{own}p_{k.name}") for k in KINDS]
     iban = next(k for k in KINDS if k.name == "iban")
-    rests = F.when(F.size("__m_iban") > 0, F.regexp_extract_all("__t", F.lit(iban.pattern), F.lit(1))).otherwise(none)
-    wide = df.select("*", body(text).alias("__t")).select("*", *found).select("*", *cut, rests.alias("__rests"))
+    rests = F.when(F.size(f"{own}m_iban") > 0, F.regexp_extract_all(t, F.lit(iban.pattern), F.lit(1))).otherwise(none)
+    wide = df.select("*", body(text).alias(t)).select("*", *found).select("*", *cut, rests.alias(rest))
     nothing = F.expr("cast(array() as array<int>)")
-    any_found = lambda k: F.size(f"__m_{k.name}") > 0
+    any_found = lambda k: F.size(f"{own}m_{k.name}") > 0
     for name, make in (
-        ("b", lambda k: F.when(any_found(k), _blocks(F.col(f"__p_{k.name}"), F.col(f"__m_{k.name}"))).otherwise(F.array(nothing))),
-        ("s", lambda k: F.transform(f"__b_{k.name}", _total)),
-        ("e", lambda k: _ends(F.col(f"__b_{k.name}"), F.col(f"__s_{k.name}"))),
-        ("h", lambda k: _accounts(F.col("__m_iban"), F.col("__rests"), F.col("__e_iban")) if k is iban else _places(k, F.col(f"__m_{k.name}"), F.col(f"__e_{k.name}"))),
-        ("x", lambda k: _spans(k, KINDS.index(k), F.col(f"__p_{k.name}"), F.col(f"__m_{k.name}"), F.col(f"__h_{k.name}"))),
+        ("b", lambda k: F.when(any_found(k), _blocks(F.col(f"{own}p_{k.name}"), F.col(f"{own}m_{k.name}"))).otherwise(F.array(nothing))),
+        ("s", lambda k: F.transform(f"{own}b_{k.name}", _total)),
+        ("e", lambda k: _ends(F.col(f"{own}b_{k.name}"), F.col(f"{own}s_{k.name}"))),
+        ("h", lambda k: _accounts(F.col(f"{own}m_iban"), F.col(rest), F.col(f"{own}e_iban")) if k is iban else _places(k, F.col(f"{own}m_{k.name}"), F.col(f"{own}e_{k.name}"))),
+        ("x", lambda k: _spans(k, KINDS.index(k), F.col(f"{own}p_{k.name}"), F.col(f"{own}m_{k.name}"), F.col(f"{own}h_{k.name}"))),
     ):
-        wide = wide.select("*", *[make(k).alias(f"__{name}_{k.name}") for k in KINDS])
+        wide = wide.select("*", *[make(k).alias(f"{own}{name}_{k.name}") for k in KINDS])
     # A generator of one row: filters on the result stay above it, instead of being written out down to the text.
-    return wide.select(*kept, F.inline(F.array(F.struct(F.concat(*[F.col(f"__x_{k.name}") for k in KINDS]).alias("pii")))))
+    return wide.select(*kept, F.inline(F.array(F.struct(F.concat(*[F.col(f"{own}x_{k.name}") for k in KINDS]).alias("pii")))))
 
 
 def joined(spans: Column) -> Column:

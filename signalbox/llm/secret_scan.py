@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.common import map_texts
+from signalbox.llm.common import map_texts, own_prefix
 
 #: log10 guesses from which a value in a credential context counts as a secret.
 MIN_COST = 8.0
@@ -174,7 +174,8 @@ def redact(df: DataFrame, text: str = "text", length: str | None = None, mark: s
     """The input with every secret in ``text`` replaced by ``mark``; overlapping spans become one mark.
 
     ``length`` names a column with the text's length, which follows. Rows, columns and texts without secrets stay
-    as they are, null texts too.
+    as they are, null texts too; each repeated row is cleaned for itself; an empty table stays empty; a long text is
+    cleaned as a whole.
     """
 
     def work() -> Callable[[list[str]], list]:
@@ -191,9 +192,9 @@ def redact(df: DataFrame, text: str = "text", length: str | None = None, mark: s
 
         return lambda texts: [[clean(t) for t in texts]]
 
-    names = df.columns
-    cleaned = map_texts(df, text, "__clean string", work)
-    new = {text: F.coalesce("__clean", F.col(f"`{text}`"))}
+    names, clean = df.columns, own_prefix(df) + "clean"
+    cleaned = map_texts(df, text, f"{clean} string", work)
+    new = {text: F.coalesce(clean, F.col(f"`{text}`"))}
     if length in names:
-        new[length] = F.coalesce(F.length("__clean").cast(df.schema[length].dataType), F.col(f"`{length}`"))
+        new[length] = F.coalesce(F.length(clean).cast(df.schema[length].dataType), F.col(f"`{length}`"))
     return cleaned.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])

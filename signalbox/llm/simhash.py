@@ -30,6 +30,8 @@ from signalbox.session import work_dir
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints of one key that one task compares; a longer run is compared in blocks of half as many.
 MAX_RUN = 65_536
+#: Copies of one text that one task may join, unless more than MAX_HOT texts have more.
+HOT_ROWS, MAX_HOT = 2_000, 100_000
 #: Shingles whose bits are counted at a time.
 SHINGLES = 1 << 16
 
@@ -58,7 +60,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Adds ``bits``, the fingerprint as a signed 64-bit integer."""
+    """Adds ``bits``, the fingerprint as a signed 64-bit integer.
+
+    Null and empty texts have zero; a long text is read shingle by shingle; repeated rows are each marked for
+    themselves; an input column of this name is replaced, others stay; an empty table stays empty.
+    """
 
     def work() -> Callable[[list[str]], list]:
         return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64).tolist()]
@@ -262,7 +268,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     spark = df.sparkSession
     # The only pass over the texts; its narrow result is read several times, so it is written.
     marked = work_dir(spark, "simhash-bits")
-    fingerprints(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("__given")), "__given", shingle).select("key", "bits").write.parquet(marked)
+    fingerprints(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("given")), "given", shingle).select("key", "bits").write.parquet(marked)
     rows = spark.read.parquet(marked)
     distinct = rows.groupBy("bits").agg(F.min("key").alias("least"))
     roots = connected_components(find_links(distinct, max_bits)).select(F.col("node").alias("bits"), F.col("root").alias("component"))
@@ -274,7 +280,15 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
         "bits", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("component", "bits").alias("component"),
     )
-    return rows.join(members, "bits").select(
+    # A text that fills more than its share of the rows is sent to them; only the others are moved to their fingerprint.
+    share = max(HOT_ROWS, rows.count() // MAX_HOT)
+    hot = rows.groupBy("bits").count().filter(F.col("count") > share).select("bits")
+    if hot.limit(1).count():
+        sent = F.broadcast(members.join(F.broadcast(hot), "bits", "left_semi"))  # at most MAX_HOT rows
+        placed = rows.join(sent, "bits").unionByName(rows.join(F.broadcast(hot), "bits", "left_anti").join(members, "bits"))
+    else:
+        placed = rows.join(members, "bits")
+    return placed.select(
         F.col("key").alias(key), "bits", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "component"
     )
 
@@ -286,30 +300,26 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     stays; a key with different texts may stay for several components, or for one of those that it is in. Of a
     component without any key one row stays, chosen alike.
     """
-    spark, names = df.sparkSession, df.columns
+    spark = df.sparkSession
     found = work_dir(spark, "simhash-components")
     near_duplicates(df, text, key, shingle, max_bits).select(F.col(key).alias("key"), "bits", "component_id", "component").write.parquet(found)
     rows = spark.read.parquet(found)
-    keyed = df.withColumnRenamed(key, "__key")
-    back = lambda d: d.select(*[F.col("__key").alias(c) if c == key else F.col(f"`{c}`") for c in names])
+    # The input's columns travel in one struct, so that no helper meets a column of its name.
+    given = df.select(F.col(f"`{key}`").alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    order = F.struct(F.col("text"), F.to_json("row"))
     # Keys that are the smallest of some component. A key's only row is then the component's.
     keys = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("component_id") == F.col("key")).alias("least"))
-    keys = keys.filter("least").select(F.col("key").alias("__key"), "n")
-    out = back(keyed.join(keys.filter("n = 1"), "__key", "left_semi"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    keys = keys.filter("least").select("key", "n")
+    out = given.join(keys.filter("n = 1"), "key", "left_semi").select("row.*")
     if keys.filter("n > 1").limit(1).count():
         # Of a key with several rows, those in a component whose smallest key it is; their fingerprints tell.
-        several = keyed.join(keys.filter("n > 1"), "__key", "left_semi")
-        given = back(several).select(whole.alias("row"), F.col(f"`{text}`").alias("__given"))
-        wanted = rows.filter("key = component_id").select(F.col("key").alias("__key"), "bits", "component").distinct()
-        marked = fingerprints(given, "__given", shingle).withColumn("__key", F.col(f"row.`{key}`"))
-        order = F.struct(F.col(f"row.`{text}`"), F.to_json("row"))
-        chosen = marked.join(wanted, ["__key", "bits"]).groupBy("component").agg(F.min_by("row", order).alias("row"))
+        several = given.join(keys.filter("n > 1"), "key", "left_semi")
+        wanted = rows.filter("key = component_id").select("key", "bits", "component").distinct()
+        chosen = fingerprints(several, "text", shingle).join(wanted, ["key", "bits"]).groupBy("component").agg(F.min_by("row", order).alias("row"))
         out = out.unionByName(chosen.select("row.*"))
     if rows.filter("key is null").limit(1).count():
         alone = rows.filter("key is null and component_id is null").select("bits", "component").distinct()
-        without = df.filter(F.col(f"`{key}`").isNull()).select(whole.alias("row"), F.col(f"`{text}`").alias("__given"))
-        order = F.struct(F.col(f"row.`{text}`"), F.to_json("row"))
-        chosen = fingerprints(without, "__given", shingle).join(alone, "bits").groupBy("component").agg(F.min_by("row", order).alias("row"))
+        without = given.filter("key is null")
+        chosen = fingerprints(without, "text", shingle).join(alone, "bits").groupBy("component").agg(F.min_by("row", order).alias("row"))
         out = out.unionByName(chosen.select("row.*"))
     return out
