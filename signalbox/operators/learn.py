@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -97,30 +98,46 @@ def validation_loss(model: Model, samples: DataFrame, label: str, task: str) ->
     return losses["mse" if task == "regression" else "bce"]
 
 
-def select_best(
-    samples: DataFrame,
-    label: str,
-    seed: int,
-    task: str,
-    order: str,
-    iterations: Sequence[int] = (10, 20),
-    train: float = 0.8,
-) -> Model:
-    """Keeps the candidate with the lowest validation loss, the shorter one of equals.
+class Selected(NamedTuple):
+    """A model, how many trees it kept, and on the newest samples its loss and that of a constant."""
+
+    model: Model
+    trees: int
+    loss: float | None
+    constant_loss: float | None
+    n_train: int
+    n_validation: int
+
+
+def selection(
+    samples: DataFrame, label: str, seed: int, task: str, order: str, iterations: Sequence[int] = (10, 20), train: float = 0.8
+) -> Selected:
+    """One fit of up to ``max(iterations)`` trees, which ends where the newest samples in ``order`` gain nothing more.
 
-    Neighbouring windows overlap, so the validation samples are the newest in ``order``, not a random share.
+    Neighbouring windows overlap, so the validation samples are the newest, not a random share. The constant is the
+    mean label of the training samples.
     """
     if task not in ("regression", "classification"):
         raise ValueError(f"task must be 'regression' or 'classification', not {task!r}")
     parts = split_by_time(written(samples.select("features", label, order)), order, train)
-    make = regressor if task == "regression" else classifier
-    best, least = None, None
-    for n in iterations:
-        model = make(label, seed, max_iter=n).fit(parts.where("is_train").select("features", label))
-        loss = validation_loss(model, parts.where("not is_train"), label, task)
-        if best is None or loss is not None and loss < least:
-            best, least = model, loss
-    return best
+    parts = parts.withColumn("is_validation", ~F.coalesce("is_train", F.lit(True)))
+    known, newest = parts.where("not is_validation"), parts.where("is_validation")
+    n_train, mean = known.agg(F.count(F.lit(1)), F.avg(label)).first()
+    n_validation = newest.count()
+    make = (regressor if task == "regression" else classifier)(label, seed, max_iter=max(iterations))
+    if n_validation:
+        make = make.setParams(validationIndicatorCol="is_validation", validationTol=0.0)
+    model = make.fit(parts)
+    kind = "mse" if task == "regression" else "bce"
+    constant = loss_metrics(newest.select(label, F.lit(mean).alias("__p")), label, "__p").first()[kind]
+    return Selected(model, model.getNumTrees, validation_loss(model, newest, label, task), constant, n_train, n_validation)
+
+
+def select_best(
+    samples: DataFrame, label: str, seed: int, task: str, order: str, iterations: Sequence[int] = (10, 20), train: float = 0.8
+) -> Model:
+    """The model of ``selection``."""
+    return selection(samples, label, seed, task, order, iterations, train).model
 
 
 def _vectors(rows: DataFrame, scales, features, length: int) -> DataFrame:

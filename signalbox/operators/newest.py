@@ -3,7 +3,7 @@
 An aggregate can be kept in a hash table only while its state has a fixed width, which a struct, as the order of
 (time, tiebreaker) or as the row that is wanted, has not. So time and tiebreaker are packed into one decimal, and every
 wanted column is taken by itself: all of them follow the same order, hence the same row. Rows with
-columns of other types are ranked instead, and all but the first of a task are dropped before the shuffle.
+columns of other types are aggregated as structs. Either way a task sends on one row of a key.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,7 @@ def row_at(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], c
         if not cols:
             return given.select(*keys).distinct()
         return given.groupBy(*keys).agg(*[take(c, "__at").alias(c) for c in cols])
-    place = [F.col(c).desc_nulls_last() if last else F.col(c).asc_nulls_first() for c in (order, *tie)]
-    ranked = df.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*place)))
-    return ranked.where("__place = 1").select(*keys, *cols)
+    # Any type can be ordered inside a struct; the row is one value, and its task sorts by key instead of hashing.
+    place, take = F.struct(order, *tie), F.max_by if last else F.min_by
+    found = df.groupBy(*keys).agg(take(F.struct(*cols), place).alias("__row"))
+    return found.select(*keys, "__row.*")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalbox.functions import calendar, geometry, rounding, severity
 from signalbox.operators import dataset, events, learn, network, series, serving
@@ -15,8 +17,8 @@ from signalbox.plans import road as road_plan
 from signalbox.plans import standin
 from signalbox.session import work_dir
 from signalbox.sources import sinks, snapshots, tables
+from signalbox.streaming import events as stream_state
 from signalbox.streaming import feeds, state
-from signalbox.streaming.events import EventStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,6 +112,19 @@ def archive_flatten(spark, sf):
     )
 
 
+@query
+def archive_between(spark, sf):
+    """Three days of an archive in dated folders; the others stay unopened."""
+    path = work_dir(spark, "archive")
+    docs = standin.road_documents(spark, sf).withColumn("hour", F.substring("time", 1, 2))
+    _as_files(docs, path, "date", "hour")
+    first = docs.agg(F.min(F.to_date("date"))).first()[0]
+    day = lambda n: str(first + timedelta(days=n))
+    found = snapshots.read_between(spark, path, "part-*", day(1), day(3))
+    rows = road_plan.observations(found.select("value", snapshots.FILE))
+    return rows.select("segment_id", "speed", calendar.timestamp_to_clock("datetime").alias("datetime"))
+
+
 @query
 def newest_snapshot(spark, sf):
     """The document that was written last to a dated archive."""
@@ -424,6 +439,65 @@ def select_best_road(spark, sf):
     return learn.score_road(rows, model, "event_id")
 
 
+def _selected(spark, name, chosen, most=20):
+    """What a selection must hold to, next to the loss of a constant; the labels here are random, so a model may lose to it."""
+    known = chosen.loss is not None and 0 <= chosen.loss < float("inf")
+    row = (name, chosen.n_train, chosen.n_validation, round(chosen.constant_loss, 4), 1 <= chosen.trees <= most, known)
+    return spark.createDataFrame([row], "model string, n_train bigint, n_validation bigint, constant_loss double, size_in_range boolean, loss_known boolean")
+
+
+@query
+def select_road_model(spark, sf):
+    return _selected(spark, "road", learn.selection(_road_samples(spark, sf)[1], "label", 7, "regression", "datetime"))
+
+
+@query
+def select_risk_model(spark, sf):
+    samples = learn.risk_samples(rail_plan.risk_table(standin.rail(spark, sf), "event_id"), "event_id")
+    return _selected(spark, "risk", learn.selection(samples, "label", 7, "classification", "timestamp"))
+
+
+@query
+def select_event_models(spark, sf):
+    samples = learn.event_samples(_events(spark, sf))
+    rows = [_selected(spark, name, learn.selection(samples, name, 7, "regression", "timestamp")) for name in learn.EVENT_OUTPUTS]
+    return rows[0].unionAll(rows[1])
+
+
+@query
+def score_road_ranges(spark, sf):
+    """Every segment is scored once, from its newest row, within what a label can be."""
+    rows, samples = _road_samples(spark, sf)
+    scored = learn.score_road(rows, learn.train_regressor(samples, "label", seed=7), "event_id")
+    most = samples.agg(F.max("label")).scalar()
+    inside = F.col("predicted_congestion_minutes").between(F.lit(0.0), most * 1.5 + 1)
+    return scored.select("segment_id", "updated_at", inside.alias("in_range"))
+
+
+@query
+def score_rail_ranges(spark, sf):
+    """The same of stations: a risk between 0 and 1, a tier that fits it, no negative duration or trains."""
+    scored = train_score_rail(spark, sf)
+    risk = F.col("delay_risk_probability")
+    fits = F.col("color_code") == severity.rail_severity(risk)
+    counts = (F.col("delay_duration_minutes") >= 0) & (F.col("affected_trains_count") >= 0)
+    return scored.select("line", "sta", "updated_at", risk.between(0, 1).alias("risk_in_range"), fits.alias("tier_fits"), counts.alias("counts_in_range"))
+
+
+@query
+def training_without_delays(spark, sf):
+    """A feed without delays: the risk table is written, the event table stays empty, and event training is skipped."""
+    archive, risk, found = (work_dir(spark, n) for n in ("calm-archive", "calm-risk", "calm-events"))
+    calm = F.regexp_replace("value", '"isdelay":"Y"', '"isdelay":"N"')
+    _as_files(standin.rail_documents(spark, sf).select(calm.alias("value"), "collected_at"), archive, "collected_at")
+    has_events = rail_plan.prepare_training_tables(spark, archive, risk, found, 7, pattern="part-*")
+    rows = tables.read_table(spark, risk)
+    return rows.agg(
+        F.count(F.lit(1)).alias("risk_rows"), F.sum("delay_risk_label").alias("delays_ahead"),
+        F.lit(spark.read.parquet(found).count()).cast("bigint").alias("event_rows"), F.lit(has_events).alias("has_events"),
+    )
+
+
 @query
 def road_sample_totals(spark, sf):
     """What the road model learns from: samples, their labels, and the newest speed in each window."""
@@ -695,6 +769,19 @@ def feature_collections(spark, sf):
     )
 
 
+@query
+def one_feature_collection(spark, sf):
+    """All stations as one document in ordered parts, read back line by line."""
+    stations = _stations(spark, sf)
+    colors = tables.mapping(spark, {f"L{i}": f"#{i}{i}{i}" for i in range(5)}, "line string, color string")
+    features = network.point_features(stations, colors).withColumn("sta", F.get_json_object("feature", "$.properties.sta").cast("bigint"))
+    path = work_dir(spark, "one-collection")
+    sinks.write_collection(features, path, ["sta"])
+    f = F.from_json("feature", "properties map<string, string>, geometry struct<coordinates: array<double>>")
+    p, c = f["properties"], f["geometry"]["coordinates"]
+    return sinks.collection_lines(spark, path).select(p["name"].alias("name"), p["color"].alias("color"), F.get(c, F.lit(0)).alias("lon"), F.get(c, F.lit(1)).alias("lat"))
+
+
 @query
 def feature_collection_files(spark, sf):
     """One document of features for each line, written as a file and read back."""
@@ -849,7 +936,7 @@ def _batches(process, root):
 def stream_latest(spark, sf):
     root = work_dir(spark, "stream-latest")
     schema = _rail_rows(standin.table(spark, sf, "events")).schema
-    table = state.LatestState(spark, root, schema, *RAIL)
+    table = state.LatestState(spark, root, schema, *RAIL, buckets=8)
     _deliver(spark, sf, root, _batches(table.process, root))
     return table.current()
 
@@ -860,32 +947,42 @@ def stream_replaced(spark, sf):
     root = work_dir(spark, "stream-replaced")
     hourly = lambda rows: rows.withColumn("timestamp", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
     schema = hourly(_rail_rows(standin.table(spark, sf, "events"))).schema
-    table = state.LatestState(spark, root, schema, *RAIL, mode="replace")
+    table = state.LatestState(spark, root, schema, *RAIL, mode="replace", buckets=8)
     _deliver(spark, sf, root, _batches(lambda batch, i: table.process(hourly(batch), i), root), _in_order)
     return table.current()
 
 
+def _event_stream(spark, sf, root, again=None):
+    """Events and late rows of the deliveries, written by kind; a closing row ends the stream."""
+    schema = _rail_rows(standin.table(spark, sf, "events")).schema
+
+    def run(stream):
+        found = stream_state.event_stream(stream, RAIL[0], RAIL[1], RAIL[2], "isdelay", ["event_id", "up_ttnt_1"])
+        writer = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        return writer.partitionBy("kind").trigger(availableNow=True).start()
+
+    _deliver(spark, sf, root, run, _in_order, again)
+    stream_state.closing(spark, schema, "timestamp").write.mode("append").parquet(f"{root}/landing")
+    run(spark.readStream.schema(schema).parquet(f"{root}/landing")).awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 @query
 def stream_events(spark, sf):
-    root = work_dir(spark, "stream-events")
-    schema = _rail_rows(standin.table(spark, sf, "events")).schema
-    table = EventStream(spark, root, schema, *RAIL, "isdelay", ["event_id", "up_ttnt_1"])
-    _deliver(spark, sf, root, _batches(table.process, root), _in_order)
-    table.finish()
-    return table.events()
+    found = _event_stream(spark, sf, work_dir(spark, "stream-events"))
+    return found.where("kind = 'event'").drop("kind")
+
+
+def _first_again(rows, k):
+    """The first delivery once more, after the last one."""
+    return rows.where((F.col("__k") == 0) & F.lit(k == DELIVERIES - 1))
 
 
 @query
 def stream_late_rows(spark, sf):
     """Rows that come once more long after their time are set aside and change no event."""
-    root = work_dir(spark, "stream-late")
-    schema = _rail_rows(standin.table(spark, sf, "events")).schema
-    table = EventStream(spark, root, schema, *RAIL, "isdelay", ["event_id", "up_ttnt_1"])
-    first = lambda rows, k: rows.where((F.col("__k") == 0) & F.lit(k == DELIVERIES - 1))
-    _deliver(spark, sf, root, _batches(table.process, root), _in_order, first)
-    table.finish()
-    late = table.late().select(F.lit("late").alias("kind"), "event_id", F.lit(0).cast("bigint").alias("row_count"))
-    return late.unionByName(table.events().select(F.lit("event").alias("kind"), "event_id", "row_count"))
+    found = _event_stream(spark, sf, work_dir(spark, "stream-late"), _first_again)
+    return found.select("kind", "event_id", F.coalesce("row_count", F.lit(0)).alias("row_count"))
 
 
 @query
@@ -906,7 +1003,7 @@ def stream_scored_state(spark, sf):
 
 def _scored(spark, sf, root, score):
     empty = score(spark.createDataFrame([], _rail_rows(standin.table(spark, sf, "events")).schema))
-    table = state.LatestState(spark, root, empty.schema, ["line", "sta"], "updated_at")
+    table = state.LatestState(spark, root, empty.schema, ["line", "sta"], "updated_at", buckets=8)
     _deliver(spark, sf, root, lambda rows: feeds.scored_state(rows, score, table, f"{root}/checkpoint", available_now=True))
     return table.current()
 
@@ -926,12 +1023,66 @@ def stream_fitted_state(spark, sf):
 
 @query
 def stream_sequences(spark, sf):
+    """The last rows of every key, kept in the engine's state and stored by bucket."""
     root = work_dir(spark, "stream-sequences")
-    schema = _rail_rows(standin.table(spark, sf, "events")).schema
-    table = state.History(spark, root, schema, *RAIL, learn.RISK_LENGTH)
-    _deliver(spark, sf, root, _batches(table.process, root))
-    rows = table.sequences(["up_ttnt_1"]).select("line", "sta", F.posexplode("features").alias("pos", "f"))
-    return rows.select("line", "sta", "pos", F.col("f.up_ttnt_1").alias("value"))
+    stored = "line string, sta string, newest timestamp_ntz, place int, up_ttnt_1 double, updated bigint"
+    table = state.LatestState(spark, root, T._parse_datatype_string(stored), ["line", "sta", "place"], "updated", buckets=8)
+
+    def run(stream):
+        recent = stream_state.recent_rows(stream, *RAIL, ["up_ttnt_1"], learn.RISK_LENGTH)
+        process = lambda batch, i: table.process(batch.withColumn("updated", F.lit(i).cast("bigint")), i)
+        return state.run_batches(recent, process, f"{root}/checkpoint", available_now=True, mode="update")
+
+    _deliver(spark, sf, root, run)
+    return table.current().select("line", "sta", F.col("place").alias("pos"), F.col("up_ttnt_1").alias("value"))
+
+
+def _last_minutes(rows, k):
+    newest = rows.where(F.col("__k") == k)
+    return newest.where(F.col("timestamp") > newest.agg(F.max("timestamp")).scalar() - F.expr("interval 5 minutes"))
+
+
+@query
+def stream_sorted_out(spark, sf):
+    """Everything that was delivered, as unique, repeated or late: the last minutes of a delivery come twice, the first
+    delivery again at the end."""
+    root = work_dir(spark, "stream-sorted")
+
+    def run(stream):
+        found = stream_state.sorted_out(stream.select("event_id", "timestamp", "line", "sta"), ["line", "sta"], "timestamp")
+        writer = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        return writer.partitionBy("status").trigger(availableNow=True).start()
+
+    _deliver(spark, sf, root, run, _in_order, lambda rows, k: _last_minutes(rows, k).unionByName(_first_again(rows, k)))
+    count = lambda status: F.count_if(F.col("status") == status).alias(status)
+    counts = spark.read.parquet(f"{root}/out").groupBy("line", "sta", "timestamp").agg(*map(count, ("unique", "repeated", "late")), F.count(F.lit(1)).alias("delivered"))
+    return counts
+
+
+@query
+def stream_road_documents(spark, sf):
+    """XML documents land as files, a cut-off one in each delivery: their rows, and what was refused."""
+    root, parsed = work_dir(spark, "stream-road"), work_dir(spark, "documents")
+    number = F.pmod(F.substring("time", 1, 2).cast("int"), F.lit(3))
+    standin.road_documents(spark, sf).withColumn("hour", F.substring("time", 1, 2)).withColumn("k", number).write.parquet(parsed)
+    docs = spark.read.parquet(parsed)
+    for k in range(3):
+        arrived = docs.where(F.col("k") == k).select("value", "date", "hour")
+        broken = arrived.agg(F.expr("max(substring(value, 1, length(value) - 20))").alias("value"))
+        broken = broken.select("value", F.lit(f"broken-{k}").alias("date"), F.lit("xx").alias("hour"))
+        _as_files(arrived.unionByName(broken), f"{root}/landing", "date", "hour")
+        feeds.landed_road(spark, f"{root}/landing", root, f"{root}/checkpoint", 200, "part-*", available_now=True).awaitTermination()
+    folder = lambda name: F.regexp_extract(snapshots.FILE, f"/{name}=([^/]+)/", 1)
+    rows = spark.read.parquet(f"{root}/rows").select(
+        F.lit("row").alias("kind"), "date", F.substring("time", 1, 2).alias("hour"), F.col("segment_id").cast("string").alias("segment_id"),
+        "speed", F.lit(None).cast("string").alias("refused_speed"), F.lit(None).cast("string").alias("reason"),
+    )
+    entry = F.from_json("entry", "segment_id string, speed string")
+    refused = spark.read.parquet(f"{root}/refused").select(
+        F.lit("refused").alias("kind"), folder("date").alias("date"), folder("hour").alias("hour"), entry["segment_id"].alias("segment_id"),
+        F.lit(None).cast("double").alias("speed"), entry["speed"].alias("refused_speed"), "reason",
+    )
+    return rows.unionByName(refused)
 
 
 @query
@@ -944,11 +1095,7 @@ def stream_alerts(spark, sf):
         seen = state.drop_repeats(rows, ["line", "sta"], "timestamp", spread_by="event_id")
         return feeds.alert_stream(seen, f"{root}/out", f"{root}/checkpoint", available_now=True)
 
-    def last_minutes(rows, k):
-        newest = rows.where(F.col("__k") == k)
-        return newest.where(F.col("timestamp") > newest.agg(F.max("timestamp")).scalar() - F.expr("interval 5 minutes"))
-
-    _deliver(spark, sf, root, run, _in_order, last_minutes)
+    _deliver(spark, sf, root, run, _in_order, _last_minutes)
     return spark.read.parquet(f"{root}/out").select("event_id", "line", "sta", "up_ttnt_1")
 
 

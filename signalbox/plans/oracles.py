@@ -695,3 +695,64 @@ SELECT 'L' || (c_custkey % 10) || '-' || c_custkey AS name, 'Point' AS type, 'Po
   CASE WHEN c_custkey % 10 < 5 THEN '#' || repeat(CAST(c_custkey % 10 AS VARCHAR), 3) ELSE '#000000' END AS color,
   c_acctbal AS lon, CAST(c_nationkey AS DOUBLE) AS lat FROM customer
 """
+
+
+# ---- streams, selections and ranges ------------------------------------------------------------
+
+ORACLES["stream_sorted_out"] = f"""
+WITH {RAIL}, span AS (SELECT min(epoch_us(ts)) AS low, (max(epoch_us(ts)) - min(epoch_us(ts))) // 5 + 1 AS width FROM events),
+numbered AS (SELECT line, sta, "timestamp", (epoch_us("timestamp") - low) // width AS k FROM rail, span),
+marked AS (
+  SELECT *, k = 0 AS again, "timestamp" > (SELECT max("timestamp") FROM numbered m WHERE m.k = numbered.k) - INTERVAL 5 MINUTE AS twice FROM numbered)
+SELECT line, sta, "timestamp", 1::BIGINT AS "unique", (count(*) + count(*) FILTER (twice) - 1)::BIGINT AS repeated,
+  count(*) FILTER (again) AS late, (count(*) + count(*) FILTER (twice) + count(*) FILTER (again))::BIGINT AS delivered
+FROM marked GROUP BY line, sta, "timestamp"
+"""
+ORACLES["stream_road_documents"] = f"""
+SELECT 'row' AS kind, date, time[1:2] AS hour, CAST(segment_id AS VARCHAR) AS segment_id, speed, NULL::VARCHAR AS refused_speed, NULL::VARCHAR AS reason
+FROM ({ORACLES["xml_flatten"]})
+UNION ALL SELECT 'refused', date, time[1:2], segment_id, NULL, speed, reason FROM ({ORACLES["xml_rejected"]})
+UNION ALL SELECT 'refused', 'broken-' || k, 'xx', NULL, NULL, NULL, 'unreadable document' FROM range(3) r(k)
+"""
+ORACLES["archive_between"] = f"""
+WITH f AS (SELECT * FROM ({ORACLES["xml_flatten"]}))
+SELECT segment_id, speed, date || ' ' || time AS datetime FROM f
+WHERE CAST(date AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) BETWEEN 1 AND 3
+"""
+ORACLES["one_feature_collection"] = """
+SELECT 'L' || (c_custkey % 10) || '-' || c_custkey AS name, CASE WHEN c_custkey % 10 < 5 THEN '#' || repeat(CAST(c_custkey % 10 AS VARCHAR), 3) ELSE '#000000' END AS color,
+  c_acctbal AS lon, CAST(c_nationkey AS DOUBLE) AS lat FROM customer
+"""
+
+
+def _constant(name: str, rows: str, label: str, at: str, loss: str) -> str:
+    """The loss, on the newest fifth of the samples, of the mean label of the others."""
+    return f"""
+SELECT '{name}' AS model, count(*) FILTER (NOT newest) AS n_train, count(*) FILTER (newest) AS n_validation,
+  round(avg({loss}) FILTER (newest), 4) AS constant_loss, true AS size_in_range, true AS loss_known
+FROM (SELECT CAST({label} AS DOUBLE) AS y, "{at}" > (SELECT quantile_disc("{at}", 0.8) FROM {rows}) AS newest,
+        (SELECT avg({label}) FROM {rows} WHERE "{at}" <= (SELECT quantile_disc("{at}", 0.8) FROM {rows})) AS p FROM {rows})"""
+
+
+_SQUARE, _CROSS = "(p - y) * (p - y)", "-(y * ln(p) + (1 - y) * ln(1 - p))"
+ORACLES["select_road_model"] = f"""
+WITH {_RUN}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY datetime, event_id) AS i, count(*) OVER (PARTITION BY segment_id) AS n FROM labelled),
+samples AS (SELECT * FROM numbered WHERE CASE WHEN n <= 12 THEN i = greatest(1, n - 1) ELSE i BETWEEN 12 AND n - 1 END)
+{_constant("road", "samples", "label_congestion_minutes", "datetime", _SQUARE)}
+"""
+ORACLES["select_risk_model"] = f"""
+WITH {RAIL}, labelled AS (SELECT *, {_AHEAD} AS label FROM rail), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY line, sta ORDER BY "timestamp", event_id) AS i, count(*) OVER (PARTITION BY line, sta) AS n FROM labelled),
+samples AS (SELECT * FROM numbered WHERE CASE WHEN n <= 10 THEN i = greatest(1, n - 1) ELSE i BETWEEN 10 AND n - 1 END)
+{_constant("risk", "samples", "label", "timestamp", _CROSS)}
+"""
+ORACLES["select_event_models"] = f"""
+WITH {_EVENTS} {_constant("delay_duration_minutes", "impact", "delay_duration_minutes", "timestamp", _SQUARE)}
+UNION ALL {_constant("affected_trains_count", "impact", "affected_trains_count", "timestamp", _SQUARE)}
+"""
+ORACLES["score_road_ranges"] = f"WITH {_ROAD_STATE} SELECT segment_id, updated_at, true AS in_range FROM state"
+ORACLES["score_rail_ranges"] = f"""
+WITH {RAIL} SELECT line, sta, max("timestamp") AS updated_at, true AS risk_in_range, true AS tier_fits, true AS counts_in_range FROM rail GROUP BY line, sta
+"""
+ORACLES["training_without_delays"] = "SELECT count(*) AS risk_rows, 0.0::DOUBLE AS delays_ahead, 0::BIGINT AS event_rows, false AS has_events FROM events"

@@ -47,14 +47,16 @@ def event_table(rows: DataFrame, tie: str = FILE, split=None) -> DataFrame:
     )
 
 
-def prepare_training_tables(spark: SparkSession, archive: str, risk_path: str, event_path: str, seed: int) -> bool:
+def prepare_training_tables(
+    spark: SparkSession, archive: str, risk_path: str, event_path: str, seed: int, pattern: str = "*.json"
+) -> bool:
     """Archive of JSON snapshots to the risk and the augmented event table; parsed once, to a table.
 
     Returns whether there are delay events. Without any, the event table is written empty and event
     training is to be skipped.
     """
     parsed = work_dir(spark, "rail-rows")
-    series(read_archive(spark, archive, "*.json")).write.parquet(parsed)
+    series(read_archive(spark, archive, pattern)).write.parquet(parsed)
     rows = read_table(spark, parsed)
     split = plan_split(rows, KEYS, ORDER, FILE)
     write_series(risk_table(rows, split=split), risk_path, KEYS, ORDER)

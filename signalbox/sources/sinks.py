@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalbox.session import work_dir
+
 
 def write_series(
     df: DataFrame,
@@ -56,3 +58,36 @@ def feature_collections(features: DataFrame, column: str = "feature", by: Sequen
         F.count(F.lit(1)).alias("features"),
         F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("value"),
     )
+
+
+OPENING, CLOSING = '{"type":"FeatureCollection","features":[', "]}"
+
+
+def write_collection(features: DataFrame, path: str, order: Sequence[str], column: str = "feature") -> None:
+    """One FeatureCollection of any size as part files, which joined in the order of their names are one document.
+
+    A line is one feature in the order of the ``order`` columns; the first line opens the document, every other one
+    begins with a comma, and the last one closes it. No task holds more than its lines.
+    """
+    spark, folder = features.sparkSession, work_dir(features.sparkSession, "collection")
+    ranged = features.repartitionByRange(*order, column).sortWithinPartitions(*order, column)
+    # Numbers rise with the partition and within it, so they are the places of the whole order.
+    ranged.select(F.col(column).alias("line"), F.monotonically_increasing_id().alias("place")).write.parquet(folder)
+    placed = spark.read.parquet(folder)
+    ends = placed.agg(F.struct(F.min("place").alias("first"), F.max("place").alias("last"))).scalar()
+    marked = placed.withColumn("ends", ends)
+    before = F.when(F.col("place") == F.col("ends.first"), F.lit(OPENING)).otherwise(F.lit(","))
+    after = F.when(F.col("place") == F.col("ends.last"), F.lit(CLOSING)).otherwise(F.lit(""))
+    lines = marked.select(F.concat(before, "line", after).alias("value"), "place")
+    if placed.isEmpty():
+        lines = spark.range(1).select(F.lit(OPENING + CLOSING).alias("value"), F.col("id").alias("place"))
+    lines.repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(path)
+
+
+def collection_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The features of a collection written by ``write_collection``, one a row."""
+    line = F.col("value")
+    line = F.when(line.startswith(OPENING), F.substring(line, len(OPENING) + 1, 2**31 - 1)).otherwise(F.substring(line, 2, 2**31 - 1))
+    opened = spark.read.text(path).select(line.alias("line"))
+    closed = opened.select(F.when(F.col("line").endswith(CLOSING), F.expr(f"left(line, length(line) - {len(CLOSING)})")).otherwise(F.col("line")).alias("feature"))
+    return closed.where("feature <> ''")

@@ -39,6 +39,36 @@ def read_archive(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     )
 
 
+def read_between(
+    spark: SparkSession, path: str, pattern: str, since: str | None = None, until: str | None = None, folder: str = "date"
+) -> DataFrame:
+    """The documents of an archive whose ``folder`` (``date=2024-01-31``, say) lies in a range, both ends included.
+
+    The folders are partitions, so those outside the range are neither listed for reading nor opened; folders below
+    them become columns too. Values are compared as texts, which for dates and zero-padded hours is their order.
+    """
+    # Declared as a text, a folder's value isn't taken for a number.
+    reader = spark.read.schema(f"value string, `{folder}` string").option("wholetext", True)
+    docs = reader.option("pathGlobFilter", pattern).option("basePath", path).text(path)
+    value = F.col(folder)
+    if since is not None:
+        docs = docs.where(value >= since)
+    if until is not None:
+        docs = docs.where(value <= until)
+    return docs.select("value", *[c for c in docs.columns if c != "value"], F.col("_metadata.file_path").alias(FILE))
+
+
+def read_modified(spark: SparkSession, path: str, pattern: str, after: str | None = None, before: str | None = None) -> DataFrame:
+    """The documents of an archive of any layout that were written in a range of time (``2024-01-31T08:00:00``).
+
+    Files outside it are listed, but not opened.
+    """
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    reader = reader if after is None else reader.option("modifiedAfter", after)
+    reader = reader if before is None else reader.option("modifiedBefore", before)
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias(FILE))
+
+
 def stream_landing(
     spark: SparkSession, path: str, pattern: str, files_per_trigger: int | None = None
 ) -> DataFrame:

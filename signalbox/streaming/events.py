@@ -1,171 +1,216 @@
-"""Delay events from a stream: opened by the first delayed row, closed by a calm row or by a pause."""
+"""Delay events, recent histories and repeated rows of a stream, in the engine's own keyed state.
+
+Rows wait in their key's state until the watermark has passed them, so they may arrive out of order within the allowed
+lateness; timers on event time wake a key when that happens. What comes later than the watermark would be
+dropped by the engine before any operator sees it. So the watermark is drawn from a second row for every row, which
+ends there, while the row itself carries no event time that the engine knows; the operator compares it with the
+watermark and passes it on as late. Every row delivered leaves as what it is.
+
+A stream ends like any other time passes: ``closing`` gives a row of a time far beyond all others, upon which all
+waiting rows are ready and all open events closed.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from signalbox.functions.calendar import minutes_between
+from signalbox.functions.calendar import MICROS_PER_MINUTE, minutes_between
 from signalbox.operators.events import MIN_EVENT_MINUTES, MINUTES_PER_TRAIN, affected_trains
-from signalbox.operators.series import change_blocks
-from signalbox.streaming.state import VersionedTable
-
 
-class EventStream:
-    """Extracts the same events as the batch operator, whatever the micro-batch boundaries.
-
-    Rows wait until the watermark (newest time seen minus ``lateness_minutes``) has passed them, so
-    rows may arrive out of order within that time; later ones go to ``late``. A key keeps state only
-    while it has an open event: its start, first features, last row and row count. ``timeout_minutes``
-    ends an event when its key pauses longer than that.
+LATENESS = "10 minutes"
+#: The end of all streams, in milliseconds: 9000-01-01.
+END = 221_845_392_000_000
+_STATE = "waiting binary, open binary"
+
+
+def closing(spark: SparkSession, schema: T.StructType, order: str) -> DataFrame:
+    """A row that ends the stream: nothing but a time beyond all others."""
+    return spark.range(1).select(*[(F.lit("9999-01-01 00:00:00") if f.name == order else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _clocked(rows: DataFrame, order: str, lateness: str) -> DataFrame:
+    """The rows with ``at`` in microseconds, behind a watermark that none of them is dropped by."""
+    time = F.col(order).cast("timestamp")
+    timed = rows.withColumn("at", F.unix_micros(time)).where("at is not null")
+    both = timed.withColumn("clock", F.explode(F.array(time, F.lit(None).cast("timestamp"))))
+    return both.withWatermark("clock", lateness).where("clock is null")
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes | None) -> pd.DataFrame | None:
+    return None if not data else pa.ipc.open_stream(data).read_pandas()
+
+
+def _joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    frames = [f for f in frames if f is not None and len(f)]
+    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
+
+
+def _wake(state: GroupState, moments: list[float]) -> None:
+    """Sets the timer to the earliest of the moments (microseconds) that the watermark hasn't passed."""
+    ahead = [int(m // 1000) + 1 for m in moments]
+    wanted = min((m for m in ahead if m > state.getCurrentWatermarkMs()), default=None)
+    if wanted is not None:
+        state.setTimeoutTimestamp(wanted)
+
+
+class _Key:
+    """One key's events: waiting rows, and the open event as a row with its start, last place and row count."""
+
+    def __init__(self, flag: str, tie: str, features: Sequence[str], pause: float | None) -> None:
+        self.flag, self.tie, self.features, self.pause = flag, tie, list(features), pause
+
+    def step(self, waiting: pd.DataFrame, opened: pd.DataFrame | None, mark: float, ended: bool) -> tuple[list[dict], pd.DataFrame, pd.DataFrame | None]:
+        """Closed events, rows that still wait, and the open event, once the watermark is at ``mark``."""
+        done = []
+        event = None if opened is None or not len(opened) else opened.iloc[0].to_dict()
+        if len(waiting):
+            ready = waiting[waiting["at"] <= mark].sort_values(["at", self.tie], kind="stable")
+            waiting = waiting[waiting["at"] > mark]
+            for row in ready.to_dict("records"):
+                if event is not None and (row[self.flag] != 1 or self.pause is not None and row["at"] - event["end"] > self.pause):
+                    done.append(event)
+                    event = None
+                if row[self.flag] == 1:
+                    if event is None:
+                        event = {"start": row["at"], **{f: row[f] for f in self.features}, "count": 0}
+                    event["end"], event["count"] = row["at"], event["count"] + 1
+        if event is not None and (ended or self.pause is not None and event["end"] + self.pause < mark):
+            done.append(event)
+            event = None
+        return done, waiting, None if event is None else pd.DataFrame([event])
+
+
+def event_stream(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    tie: str,
+    flag: str,
+    features: Sequence[str],
+    lateness: str = LATENESS,
+    timeout_minutes: float | None = None,
+) -> DataFrame:
+    """The same events as the batch operator, whatever the micro-batches; and the rows that came too late.
+
+    ``kind`` is ``event`` or ``late``. An event is opened by the first flagged row, and closed by a calm row, by a pause
+    of more than ``timeout_minutes``, or by the end of the stream. A late row has its own time and features, and
+    null for what only events have. A key keeps state only while rows wait or an event is open.
     """
-
-    def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        schema: StructType,
-        keys: Sequence[str],
-        order: str,
-        tie: str,
-        flag: str,
-        features: Sequence[str],
-        lateness_minutes: float = 10,
-        timeout_minutes: float | None = None,
-    ):
-        self.spark, self.root = spark, root
-        self.keys, self.order, self.tie, self.flag = list(keys), order, tie, flag
-        self.features = list(features)
-        self.lateness, self.timeout = lateness_minutes, timeout_minutes
-        names = dict.fromkeys([*self.keys, order, tie, flag, *self.features])
-        self.rows = StructType([schema[n] for n in names])
-        opened = StructType([schema[k] for k in self.keys])
-        opened = opened.add("first_at", schema[order].dataType).add("last_at", schema[order].dataType)
-        opened = opened.add("last_tie", schema[tie].dataType).add("row_count", "long")
-        for f in self.features:
-            opened = opened.add(f"first_{f}", schema[f].dataType)
-        self.pending = VersionedTable(spark, f"{root}/pending", self.rows)
-        self.open = VersionedTable(spark, f"{root}/open", opened)
-        self.clock = VersionedTable(
-            spark, f"{root}/clock", StructType().add("newest", schema[order].dataType)
-        )
-        self.version = self.clock.newest()
-
-    # ---- one micro-batch ---------------------------------------------------------------------
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        before = self._newest(batch_id - 1)
-        rows = batch.select(*self.rows.names)
-        seen = rows.agg(F.max(self.order)).first()[0]
-        newest = max((t for t in (before, seen) if t is not None), default=None)
-        mark = self._watermark(newest)
-        old_mark = self._watermark(before)
-        late = F.lit(False) if old_mark is None else F.col(self.order) <= old_mark
-        rows.where(late).write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
-        waiting = self.pending.read(batch_id - 1).unionByName(rows.where(~late))
-        ready = F.lit(False) if mark is None else F.col(self.order) <= mark
-        self.pending.write(waiting.where(~ready), batch_id)
-        self._advance(waiting.where(ready), batch_id, mark)
-        clock = self.spark.createDataFrame([] if newest is None else [(newest,)], self.clock.schema)
-        self.clock.write(clock, batch_id)
-        self.version = batch_id
-
-    def finish(self) -> None:
-        """Ends the stream: handles the waiting rows and closes every open event."""
-        last = self.version + 1
-        self._advance(self.pending.read(self.version), last, None, close_all=True)
-        self.pending.write(self.pending.read(-1), last)
-        self.clock.write(self.clock.read(self.version), last)
-        self.version = last
-
-    def _newest(self, version: int):
-        row = self.clock.read(version).first()
-        return row[0] if row else None
-
-    def _watermark(self, newest):
-        """The moment up to which rows are complete, as a column."""
-        if newest is None:
-            return None
-        return F.lit(newest) - F.make_dt_interval(mins=F.lit(0), secs=F.lit(self.lateness * 60.0))
-
-    def _advance(self, ready: DataFrame, version: int, mark, close_all: bool = False) -> None:
-        blocks = self._blocks(ready, self.open.read(version - 1)).persist()
-        try:
-            last_block = blocks.groupBy(*self.keys).agg(F.max("block_id").alias("__last"))
-            last_block = last_block.toDF(*[f"__k{i}" for i in range(len(self.keys))], "__last")
-            same = [blocks[k].eqNullSafe(last_block[f"__k{i}"]) for i, k in enumerate(self.keys)]
-            events = blocks.where("flagged").join(last_block, same, "left")
-            running = F.col("block_id") == F.col("__last")
-            if self.timeout is not None and mark is not None:
-                limit = F.make_dt_interval(mins=F.lit(0), secs=F.lit(self.timeout * 60.0))
-                running = running & (F.col("last_at") + limit >= mark)
-            if close_all:
-                running = F.lit(False)
-            self._finished(events.where(~running)).write.mode("overwrite").parquet(
-                f"{self.root}/events/batch={version}"
-            )
-            still = [F.col(c) for c in self.open.schema.names]
-            self.open.write(events.where(running).select(*still), version)
-        finally:
-            blocks.unpersist()
-
-    def _blocks(self, ready: DataFrame, opened: DataFrame) -> DataFrame:
-        """One row per stretch of equal flags; an open event takes part as one row at its last moment."""
-        first = {f: F.col(f"first_{f}") for f in self.features}
-        plain = ready.select(
-            *self.keys,
-            self.order,
-            F.lit(1).alias("__kind"),
-            self.tie,
-            F.col(self.flag).alias("__flag"),
-            F.col(self.order).alias("first_at"),
-            F.lit(1).cast("bigint").alias("row_count"),
-            *[F.col(f).alias(f"first_{f}") for f in self.features],
-        )
-        carried = opened.select(
-            *self.keys,
-            F.col("last_at").alias(self.order),
-            F.lit(0).alias("__kind"),
-            F.col("last_tie").alias(self.tie),
-            F.lit(1).cast(ready.schema[self.flag].dataType).alias("__flag"),
-            "first_at",
-            "row_count",
-            *[c.alias(f"first_{f}") for f, c in first.items()],
-        )
-        blocks = change_blocks(
-            plain.unionByName(carried), self.keys, self.order, ["__kind", self.tie], "__flag", max_gap=self.timeout
-        )
-        at = F.struct(self.order, "__kind", self.tie)
-        stretch = blocks.groupBy(*self.keys, "block_id").agg(
-            F.max(F.col("__flag") == 1).alias("flagged"),
-            F.min("first_at").alias("first_at"),
-            F.max(self.order).alias("last_at"),
-            F.max_by(self.tie, at).alias("last_tie"),
-            F.sum("row_count").alias("row_count"),
-            F.min_by(F.struct(*[f"first_{f}" for f in self.features]), at).alias("__first"),
-        )
-        return stretch.select(*[c for c in stretch.columns if c != "__first"], "__first.*")
-
-    def _finished(self, events: DataFrame) -> DataFrame:
-        duration = F.greatest(F.lit(MIN_EVENT_MINUTES), minutes_between("first_at", "last_at"))
-        return events.withColumn("delay_duration_minutes", duration).select(
-            *self.keys,
-            F.col("first_at").alias(self.order),
-            *[F.col(f"first_{f}").alias(f) for f in self.features if f != self.order],
-            "delay_duration_minutes",
-            affected_trains(F.col("delay_duration_minutes"), MINUTES_PER_TRAIN).alias("affected_trains_count"),
-            F.col("last_at").alias("end_time"),
-            "row_count",
-        )
-
-    # ---- results -----------------------------------------------------------------------------
-
-    def events(self) -> DataFrame:
-        """All closed events so far."""
-        return self.spark.read.parquet(f"{self.root}/events").drop("batch")
-
-    def late(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/late").drop("batch")
+    keys, features = list(keys), [f for f in features if f != order]
+    clocked = _clocked(rows, order, lateness)
+    needed = clocked.select(*dict.fromkeys([*keys, "at", tie, flag, *features, "clock"]))
+    pause = None if timeout_minutes is None else timeout_minutes * MICROS_PER_MINUTE
+    kept = [c for c in needed.columns if c not in (*keys, "clock")]
+    fields = [T.StructField("kind", T.StringType()), *[rows.schema[k] for k in keys], T.StructField("at", T.LongType()), *[rows.schema[f] for f in features]]
+    out = T.StructType([*fields, T.StructField("end", T.LongType()), T.StructField("row_count", T.LongType())])
+    work = _Key(flag, tie, features, pause)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        mark = now * 1000.0
+        waiting, opened = (_unpacked(s) for s in state.get) if state.exists else (None, None)
+        late, new = [], [waiting]
+        if not state.hasTimedOut:
+            for batch in batches:
+                late.append(batch.loc[batch["at"] <= mark, kept])
+                new.append(batch.loc[batch["at"] > mark, kept])
+        done, waiting, opened = work.step(_joined(new), opened, mark, now >= END)
+        if len(waiting) or opened is not None:
+            state.update((_packed(waiting) if len(waiting) else b"", _packed(opened) if opened is not None else b""))
+            moments = [END * 1000.0 - 1000.0] + ([waiting["at"].min()] if len(waiting) else [])
+            if opened is not None and pause is not None:
+                moments.append(opened["end"].iloc[0] + pause)
+            _wake(state, moments)
+        elif state.exists:
+            state.remove()
+        made = [{"kind": "event", "at": e["start"], **{f: e[f] for f in features}, "end": e["end"], "row_count": e["count"]} for e in done]
+        made += [{"kind": "late", "at": r["at"], **{f: r[f] for f in features}, "end": None, "row_count": None} for r in _joined(late).to_dict("records")]
+        if made:
+            frame = pd.DataFrame([{**dict(zip(keys, key)), **m} for m in made])[out.names]
+            yield frame.astype({"at": "int64", "end": "Int64", "row_count": "Int64"})
+
+    found = needed.groupBy(*keys).applyInPandasWithState(advance, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    kind = rows.schema[order].dataType
+    started, ended = (F.timestamp_micros(c).cast(kind) for c in ("at", "end"))
+    duration = F.when(F.col("kind") == "event", F.greatest(F.lit(MIN_EVENT_MINUTES), minutes_between(F.timestamp_micros("at"), F.timestamp_micros("end"))))
+    return found.withColumn("delay_duration_minutes", duration).select(
+        "kind", *keys, started.alias(order), *features, "delay_duration_minutes",
+        F.when(F.col("kind") == "event", affected_trains(F.col("delay_duration_minutes"), MINUTES_PER_TRAIN)).alias("affected_trains_count"),
+        ended.alias("end_time"), "row_count",
+    )
+
+
+def sorted_out(rows: DataFrame, keys: Sequence[str], order: str, lateness: str = LATENESS) -> DataFrame:
+    """Every row with its ``status``: unique, repeated (keys and time were seen before) or late (beyond the watermark).
+
+    Nothing is dropped. A (keys, time) is remembered until the watermark passes it; what comes after that is late, so
+    no two rows of one (keys, time) are unique.
+    """
+    keys = list(keys)
+    clocked = _clocked(rows, order, lateness)
+    fields = [f for f in clocked.schema if f.name not in ("clock", "at", *keys)]
+    out = T.StructType([*[clocked.schema[k] for k in keys], T.StructField("at", T.LongType()), *fields, T.StructField("status", T.StringType())])
+    names = [f.name for f in fields]
+
+    def mark(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        late = key[-1] <= state.getCurrentWatermarkMs() * 1000
+        seen = state.exists
+        for batch in batches:
+            if not len(batch):
+                continue
+            status = ["late" if late else "repeated"] * len(batch)
+            if not late and not seen:
+                # Of equal rows in one batch any is the first; by the order of their values it is always the same one.
+                status[int(batch[names].astype(str).agg("\x00".join, axis=1).argmin()) if names else 0] = "unique"
+                seen = True
+            yield batch[[*keys, "at", *names]].assign(status=status)
+        if seen and not late and not state.exists:
+            state.update((True,))
+            _wake(state, [key[-1]])
+
+    found = clocked.groupBy(*keys, "at").applyInPandasWithState(mark, out, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.drop("at")
+
+
+def recent_rows(rows: DataFrame, keys: Sequence[str], order: str, tie: str, features: Sequence[str], length: int) -> DataFrame:
+    """The last ``length`` rows of every key that a batch changed: keys, newest, place (from 0, oldest first) and features,
+    filled up at the beginning with copies of the oldest. A stream of updates; a key's later ones replace the earlier."""
+    keys, features = list(keys), list(features)
+    timed = rows.withColumn("at", F.unix_micros(F.col(order).cast("timestamp")))
+    needed = timed.select(*dict.fromkeys([*keys, "at", tie, *features]))
+    kept = [c for c in needed.columns if c not in keys]
+    out = T.StructType([*[rows.schema[k] for k in keys], T.StructField("newest", T.LongType()), T.StructField("place", T.IntegerType()), *[rows.schema[f] for f in features]])
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _unpacked(state.get[0]) if state.exists else None
+        for batch in batches:  # no more than one chunk beyond the rows that stay
+            held = _joined([held, batch[kept]]).sort_values(["at", tie], kind="stable").tail(length)
+        if held is None or not len(held):
+            return
+        state.update((_packed(held),))
+        padded = pd.concat([held.iloc[:1]] * (length - len(held)) + [held], ignore_index=True)
+        frame = padded.assign(place=range(length), newest=int(held["at"].max()))
+        for name, value in zip(keys, key):
+            frame[name] = value
+        yield frame[out.names].astype({"place": "int32"})
+
+    found = needed.groupBy(*keys).applyInPandasWithState(advance, out, "rows binary", "update", GroupStateTimeout.NoTimeout)
+    return found.withColumn("newest", F.timestamp_micros("newest").cast(rows.schema[order].dataType))

@@ -25,6 +25,32 @@ def road_rows(
     return add_calendar(rows, "datetime")
 
 
+def landed_road(
+    spark: SparkSession,
+    landing: str,
+    root: str,
+    checkpoint: str,
+    files_per_trigger: int | None = None,
+    pattern: str = "*.xml",
+    on_error: str = "row",
+    every: str = ROAD_EVERY,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Road documents as they land: their rows to ``root``/rows and what was refused, with the reason, to ``root``/refused.
+
+    Both sinks are keyed by batch and overwritten if a batch is run again, so every document is in them once.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        flat = flatten_road_xml(batch, on_error=on_error, keep=[FILE])
+        rows = add_calendar(flat.rows.withColumn("datetime", civil_timestamp("date", "time")), "datetime")
+        for name, part in (("rows", rows), ("refused", flat.rejected.select(FILE, "reason", "entry"))):
+            part.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+
+    docs = stream_landing(spark, landing, pattern, files_per_trigger)
+    return run_batches(docs, process, checkpoint, every, available_now)
+
+
 def rail_rows(
     spark: SparkSession,
     landing: str,

@@ -147,6 +147,9 @@ def test_best_candidate_beats_the_constant(spark, task):
     rows = [(datetime(2024, 1, 1) + timedelta(minutes=i), [float(i % 4)], wave(i) if task == "regression" else float(i % 4 >= 2)) for i in range(80)]
     samples = spark.createDataFrame(rows, "at timestamp, f array<double>, label double").withColumn("features", array_to_vector("f"))
     model = learn.select_best(samples, "label", 5, task, "at", iterations=(1, 3))
+    chosen = learn.selection(samples, "label", 5, task, "at", iterations=(1, 3))
+    assert (chosen.n_train, chosen.n_validation) == (64, 16) and 1 <= chosen.trees <= 3
+    assert chosen.loss < chosen.constant_loss == pytest.approx(25.0 if task == "regression" else math.log(2))
     newest = samples.where(F.col("at") >= rows[64][0])
     loss = learn.validation_loss(model, newest, "label", task)
     assert loss < (25.0 if task == "regression" else math.log(2)) / 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbox.operators import events, serving
 from signalbox.streaming import feeds, state
-from signalbox.streaming.events import EventStream
+from signalbox.streaming.events import event_stream, recent_rows, sorted_out
 
 T0 = datetime(2024, 1, 2, 8, 0)
 SCHEMA = "k string, ts timestamp, id int, v double, flag int"
@@ -93,33 +93,115 @@ def test_history(spark, stream, data, tmp_path):
         assert got[k] == [ids[0]] * (12 - len(ids)) + ids
 
 
+def written(found, tmp_path, partition):
+    writer = found.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "cp"))
+    writer.partitionBy(partition).trigger(availableNow=True).start().awaitTermination()
+
+
+EVENT = ["k", "ts", "v", "id", "delay_duration_minutes", "affected_trains_count", "end_time", "row_count"]
+
+
 @pytest.mark.parametrize("timeout", [None, 20.0])
 def test_events(spark, stream, data, tmp_path, timeout):
-    table = EventStream(
-        spark, str(tmp_path / "s"), schema(spark), KEYS, "ts", "id", "flag", ["v", "id"],
-        lateness_minutes=60, timeout_minutes=timeout,
-    )
-    run(stream, table.process, tmp_path)
-    early = table.events().count()
-    table.finish()
-    assert table.late().count() == 0
-    cols = ["k", "ts", "v", "id", "delay_duration_minutes", "affected_trains_count", "end_time", "row_count"]
+    """Rows out of order in five batches give the batch operator's events; the rest of them once the stream ends."""
+
+    def run():
+        rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        written(events_of(rows, ["v", "id"], "60 minutes", timeout), tmp_path, "kind")
+        out = spark.read.parquet(str(tmp_path / "o"))
+        return out.where("kind = 'event'").select(*EVENT), out.where("kind = 'late'").count()
+
+    early, late = run()
+    early = early.count()
+    end = {"k": None, "ts": "9999-01-01T00:00:00", "id": None, "v": None, "flag": None}
+    (tmp_path / "in" / "99.json").write_text(json.dumps(end))
+    found, late = run()
     want = events.extract_events(
         spark.createDataFrame(data, SCHEMA), KEYS, "ts", "id", "flag", ["v", "id"], max_gap=timeout
-    ).select(*cols)
-    assert sorted(table.events().select(*cols).collect()) == sorted(want.collect())
-    assert 0 < early < want.count()
+    ).select(*EVENT)
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert 0 < early < want.count() and late == 0
+
+
+def events_of(rows, features, lateness, timeout=None):
+    return event_stream(rows, KEYS, "ts", "id", "flag", features, lateness, timeout)
+
+
+def landed(spark, tmp_path, deliveries, run):
+    """Rows (minute, id, flag) of one key, delivered and processed one delivery after the other."""
+    (tmp_path / "in").mkdir(exist_ok=True)
+    for i, rows in enumerate(deliveries):
+        lines = [json.dumps({"k": "a", "ts": t if isinstance(t, str) else (T0 + timedelta(minutes=t)).isoformat(), "id": n, "v": 0.0, "flag": f}) for t, n, f in rows]
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(lines))
+        run(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")))
 
 
 def test_late_rows_are_set_aside(spark, tmp_path):
-    table = EventStream(spark, str(tmp_path / "s"), schema(spark), KEYS, "ts", "id", "flag", ["v"], lateness_minutes=5)
-    row = lambda minute, i, flag: ("a", T0 + timedelta(minutes=minute), i, 0.0, flag)
-    table.process(spark.createDataFrame([row(0, 0, 1), row(30, 1, 0)], SCHEMA), 0)
-    table.process(spark.createDataFrame([row(10, 2, 1)], SCHEMA), 1)
-    table.process(spark.createDataFrame([], SCHEMA), 2)
-    assert [r["id"] for r in table.late().collect()] == [2]
-    table.finish()
-    assert [(r["row_count"], r["delay_duration_minutes"]) for r in table.events().collect()] == [(1, 1.0)]
+    end = [("9999-01-01T00:00:00", -1, 0)]
+    landed(spark, tmp_path, [[(0, 0, 1), (30, 1, 0)], [(10, 2, 1), (40, 3, 0)], end], lambda rows: written(events_of(rows, ["id"], "5 minutes"), tmp_path, "kind"))
+    out = spark.read.parquet(str(tmp_path / "o"))
+    assert [r["id"] for r in out.where("kind = 'late'").collect()] == [2]
+    assert [(r["row_count"], r["delay_duration_minutes"]) for r in out.where("kind = 'event'").collect()] == [(1, 1.0)]
+
+
+def test_everything_delivered_is_sorted_out(spark, tmp_path):
+    deliveries = [[(0, 0, 0), (0, 1, 0), (30, 2, 0)], [(30, 3, 0), (28, 4, 0), (3, 5, 0)], [(40, 6, 0), (28, 7, 0)], [(28, 8, 0), (41, 9, 0)]]
+    landed(spark, tmp_path, deliveries, lambda rows: written(sorted_out(rows, KEYS, "ts", "5 minutes"), tmp_path, "status"))
+    got = {r["id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got.pop(0) != got.pop(1)  # one of the two is the first
+    assert got == {2: "unique", 3: "repeated", 4: "unique", 5: "late", 6: "unique", 7: "repeated", 8: "late", 9: "unique"}
+
+
+def test_recent_rows(spark, stream, data, tmp_path):
+    out = []
+
+    def process(batch, n):
+        out.append({(r["k"], r["place"]): r["id"] for r in batch.collect()})
+
+    recent = recent_rows(stream, KEYS, "ts", "id", ["id"], 12)
+    state.run_batches(recent, process, str(tmp_path / "cp"), available_now=True, mode="update").awaitTermination()
+    got = {}
+    for batch in out:  # a key's later update replaces the earlier
+        got.update(batch)
+    for k in "abc":
+        ids = [r[2] for r in sorted((r for r in data if r[0] == k), key=lambda r: (r[1], r[2]))][-12:]
+        assert [got[k, i] for i in range(12)] == [ids[0]] * (12 - len(ids)) + ids
+
+
+def test_a_batch_of_one_key_rewrites_one_bucket(spark, tmp_path):
+    table = state.LatestState(spark, str(tmp_path / "s"), schema(spark), KEYS, "ts", "id", buckets=8)
+    make = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    table.process(make([(f"k{i}", T0, i, float(i), 0) for i in range(60)]), 0)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    before = files()
+    for n in range(1, 7):  # more often than versions are kept
+        table.process(make([("k7", T0 + timedelta(minutes=n), 100 + n, -1.0, 1)]), n)
+        after = files()
+        changed = {p.split("bucket=")[1].split("/")[0] for p, _ in set(after.items()) ^ set(before.items())}
+        assert len(changed) == 1
+        before = after
+    rows = {r["k"]: r["id"] for r in table.current().collect()}
+    assert len(rows) == 60 and rows["k7"] == 106 and rows["k8"] == 8
+    assert {r["k"]: r["id"] for r in table.table.read(4).collect()}["k7"] == 104
+    table.process(make([]), 7)
+    assert table.current().count() == 60
+
+
+def test_documents_refused_by_a_stream_are_kept(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    segment = lambda i, speed: f"<segment><segment_id>{i}</segment_id><speed>{speed}</speed><valid>Y</valid></segment>"
+    doc = lambda *s: f"<r><date>2024-01-02</date><time>08:00:00</time><segments>{''.join(s)}</segments></r>"
+    run = lambda: feeds.landed_road(spark, str(land), str(tmp_path / "o"), str(tmp_path / "cp"), available_now=True).awaitTermination()
+    (land / "a.xml").write_text(doc(segment(1, 20), segment(2, "fast")))
+    run()
+    (land / "b.xml").write_text(doc(segment(3, 30))[:-30])
+    (land / "c.xml").write_text(doc(segment(4, 40)))
+    run()
+    rows = spark.read.parquet(str(tmp_path / "o" / "rows"))
+    refused = spark.read.parquet(str(tmp_path / "o" / "refused"))
+    assert sorted(r["segment_id"] for r in rows.collect()) == [1, 4]
+    assert sorted((r["source_file"][-5:], r["reason"]) for r in refused.collect()) == [("a.xml", "bad number"), ("b.xml", "unreadable document")]
 
 
 def rail_doc(minute, delayed):
