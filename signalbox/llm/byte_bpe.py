@@ -46,7 +46,11 @@ SELECT s.word, s.token FROM step s JOIN (SELECT word, max(round) AS round FROM s
 ORDER BY s.word, s.place
 """
 # For long words: all places of the smallest pair at once, unless its token has a merge of a smaller rank, which would
-# have to come first. Places that overlap (aaaa) are taken left to right, every second one of a run.
+# have to come first. Places that overlap (aaaa) are taken left to right, every second one of a run. Why that is the
+# same: contracting the leftmost smallest pair (rank r) makes the token t, and the only new pairs are those of t with its
+# neighbours. If no merge of t has a rank below r (``alone`` is false), the smallest pair of the next step is again of
+# rank r, and the leftmost of them is the next place that doesn't overlap; by induction all places of r come
+# before anything else. If t has such a merge, only the first place is taken, which is the plain step.
 ENCODE_LONG = f"""
 WITH RECURSIVE step(word, place, token, size, round) AS (
   SELECT word, place, token, size, 0 FROM bytes

@@ -7,8 +7,8 @@ stands for, and counts the tokens it will expand to. Everything is a DataFrame e
 Template: ``<turn role="ROLE">CONTENT</turn>`` and a line break. Texts and roles have ``&``, ``<`` and ``"``
 written as ``&amp;``, ``&lt;`` and ``&quot;``, so a raw ``<`` always belongs to the template and reading back is exact.
 
-A conversation of any length is a sequence of parts, each with the turns of one block of turn numbers, so no task
-has to hold a whole conversation; the parts in order are the formatted conversation.
+A conversation is one formatted text; by request it is a sequence of parts, each with the turns of one block of turn
+numbers, so that no task has to hold a whole conversation; the parts in order are the same text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Turn numbers in a block: how much of a conversation becomes one formatted text.
+#: Turn numbers in a block, for conversations that are too long to be one text.
 BLOCK_TURNS = 64
 #: Tokens that one unit of an attachment expands to: an image patch, a second of audio, a page.
 UNIT_TOKENS = {"image": 1, "audio": 25, "document": 600}
@@ -86,8 +86,8 @@ def _visit(parts: Column) -> tuple[Column, Column, Column]:
     return F.array_join(written, ""), attached, total
 
 
-def format_chat(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation and block of turns: conversation, part, n_turns, formatted, loss_spans,
+def format_chat(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", loss_role: str = "assistant", block_turns: int | None = None) -> DataFrame:
+    """One row per conversation, or with ``block_turns`` per conversation and block of turn numbers: conversation, part, n_turns, formatted, loss_spans,
     attachments, n_tokens.
 
     loss_spans are (start, end) in code points of ``formatted``, the end exclusive, one for each turn of
@@ -103,7 +103,7 @@ def format_chat(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
             F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), _parts(df, content).alias("__parts"),
         )
         .select("conversation", "turn", "role", written.alias("content"), attached.alias("attached"), tokens.alias("tokens"))
-        .withColumn("part", F.floor(F.col("turn") / BLOCK_TURNS))
+        .withColumn("part", F.lit(0).cast("bigint") if block_turns is None else F.floor(F.col("turn") / block_turns))
     )
     blocks = turns.groupBy("conversation", "part").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "content", "attached", "tokens"))).alias("turns")

@@ -1,7 +1,7 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged per document, with a softmax output.
 
-Features of a text are its words, neighbouring word pairs and byte n-grams of three to five, hashed into a fixed
-number of buckets. Every bucket has a learned vector; a document is the average of its features' vectors, and a
+Features of a text are its words, neighbouring word pairs and character n-grams of three to five inside words with
+their bounds marked, hashed into a fixed number of buckets. Every bucket has a learned vector; a document is the average of its features' vectors, and a
 softmax layer turns it into class probabilities. Training is minibatch stochastic gradient descent in numpy, in one
 task, on a sample of labelled rows that a parameter bounds. The output layer is linear, so for scoring the
 learned table shrinks to one number for each bucket, and documents are scored where they lie, without a shuffle.
@@ -9,6 +9,7 @@ learned table shrinks to one number for each bucket, and documents are scored wh
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -25,11 +26,12 @@ BATCH, RATE, SEED = 32, 50.0, 11
 EPOCHS, MIN_STEPS = 3, 200
 #: The most labelled rows of each class that are trained on.
 MAX_ROWS_PER_CLASS = 1500
-#: Bytes of a text that are turned into features at a time.
-PIECE_BYTES = 1 << 20
+#: Characters of a text that are turned into features at a time, and more up to the end of a word.
+PIECE = 1 << 19
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: What stands before and after a word: no characters.
+_BEGIN, _END = 0x110001, 0x110002
+_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 _MIX = np.uint32(0x85EBCA6B)
 _STEP = np.uint32(0x01000193)
 
@@ -41,51 +43,70 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     return (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
 
 
-def features(raw: bytes) -> np.ndarray:
-    """Bucket numbers of one piece of text, repeats included; nothing for an empty piece."""
-    x = np.frombuffer(raw, np.uint8)
-    if not len(x):
-        return np.empty(0, np.int32)
-    codes = x.astype(np.uint32) + np.uint32(1)
+def features(piece: str, before: np.uint32 | None = None) -> tuple[np.ndarray, np.uint32 | None]:
+    """Bucket numbers of one piece of text, repeats included, and the hash of its last word.
+
+    ``before`` is the last word of the piece before: pairs of words reach over the seam.
+    """
+    x = np.frombuffer(piece.encode("utf-32-le"), "<u4")
+    inside = ~((x == 32) | (x - np.uint32(9) < np.uint32(5)))
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.empty(0, np.int32), before
+    # All words in a row, each between its marks.
+    sizes = ends - starts + 2
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    last = np.cumsum(sizes)
+    place = np.arange(len(word)) - (last - sizes)[word]
+    codes = np.empty(len(word), np.uint32)
+    codes[(place > 0) & (place < sizes[word] - 1)] = x[inside]
+    codes[place == 0], codes[last - 1] = _BEGIN, _END
     out, rolled = [], codes
     for n in range(2, max(GRAMS) + 1):
-        if len(x) < n:
+        if len(rolled) < 2:
             break
         rolled = rolled[:-1] * _STEP ^ codes[n - 1 :]
         if n in GRAMS:
-            out.append(_bucket(rolled, n))
-    inside = ~_BLANK[x]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if len(starts):
-        # A word's hash is a sum over its bytes, each mixed with its place in the word.
-        place = np.arange(len(x)) - np.maximum.accumulate(np.where(edge[:-1] == 1, np.arange(len(x)), 0))
-        mixed = (codes * np.uint32(0x27D4EB2F) + place.astype(np.uint32) * np.uint32(0x165667B1)) * _MIX
-        mixed = (mixed ^ (mixed >> np.uint32(15))) * inside
-        total = np.concatenate([np.zeros(1, np.uint32), np.cumsum(mixed, dtype=np.uint32)])
-        word = total[ends] - total[starts]
-        out += [_bucket(word, 1), _bucket(word[:-1] * _STEP ^ word[1:], 6)]
-        # A word pair of equal words is also one feature of its own, whatever the word.
-        out.append(np.full(int((word[:-1] == word[1:]).sum()), _bucket(np.ones(1, np.uint32), 7)[0], np.int32))
-    return np.concatenate(out) if out else np.empty(0, np.int32)
-
-
-def pieces(raw: bytes) -> Iterator[bytes]:
-    """A text in pieces of at most PIECE_BYTES, cut at white space where there is some."""
+            out.append(_bucket(rolled[word[: len(rolled)] == word[n - 1 :]], n))
+    # A word's hash is a sum over its characters, each mixed with its place in the word.
+    mixed = (codes * np.uint32(0x27D4EB2F) + place.astype(np.uint32) * np.uint32(0x165667B1)) * _MIX
+    mixed = mixed ^ (mixed >> np.uint32(15))
+    total = np.concatenate([np.zeros(1, np.uint32), np.cumsum(mixed, dtype=np.uint32)])
+    words = total[last] - total[last - sizes]
+    out.append(_bucket(words, 1))
+    row = words if before is None else np.concatenate([np.array([before], np.uint32), words])
+    out.append(_bucket(row[:-1] * _STEP ^ row[1:], 6))
+    # A word pair of equal words is also one feature of its own, whatever the word.
+    out.append(np.full(int((row[:-1] == row[1:]).sum()), _bucket(np.ones(1, np.uint32), 7)[0], np.int32))
+    return np.concatenate(out), words[-1]
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters, cut at white space."""
     at = 0
-    while len(raw) - at > PIECE_BYTES:
-        cut = max(raw.rfind(b" ", at, at + PIECE_BYTES), raw.rfind(b"\n", at, at + PIECE_BYTES))
-        cut = cut if cut > at else at + PIECE_BYTES
-        yield raw[at:cut]
-        at = cut
-    yield raw[at:]
+    while len(text) - at > PIECE:
+        space = _SPACE.search(text, at + PIECE)
+        if space is None:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
+def all_features(text: str) -> Iterator[np.ndarray]:
+    """The features of a text, piece by piece; the same for every length of the pieces."""
+    before = None
+    for piece in pieces(text):
+        found, before = features(piece, before)
+        yield found
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text, each once, and their shares of all its features."""
     count = np.zeros(1 << BUCKET_BITS, np.int64)
-    for piece in pieces(text.encode()):
-        count += np.bincount(features(piece), minlength=len(count))
+    for found in all_features(text):
+        count += np.bincount(found, minlength=len(count))
     buckets = np.flatnonzero(count)
     return buckets.astype(np.int32), (count[buckets] / max(1, count.sum())).astype(np.float32)
 
@@ -158,8 +179,7 @@ class Model:
     def probability(self, text: str) -> float:
         """Softmax probability of class 1; an empty text has the bias alone."""
         total, count = 0.0, 0
-        for piece in pieces(text.encode()):
-            found = features(piece)
+        for found in all_features(text):
             total += float(self.table[found].sum(dtype=np.float64))
             count += len(found)
         logit = total / max(1, count) + self.bias
@@ -224,8 +244,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
 def classify(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Adds score (probability of class 1) and predicted (1 from ``threshold`` on).
 
-    Null and empty texts have no features and the score of the bias. Input columns of these names are replaced;
-    repeated rows are scored each for itself; an empty table stays empty.
+    Null and empty texts have no features and the score of the bias. Input columns of these names are replaced, others
+    stay; repeated rows are scored each for itself; an empty table stays empty; a long text is read piece by piece.
     """
 
     def work() -> Callable[[list[str]], list]:

@@ -17,8 +17,8 @@ from signalbox.llm.common import map_texts
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, "#*$%&|<>"
 #: Compression bands: from this many bytes on, the ratio (compressed by plain) must lie between low and high.
-BANDS = ((0, 0.0, 9.0), (200, 0.30, 0.95), (500, 0.28, 0.88), (1000, 0.25, 0.82), (2000, 0.22, 0.76), (5000, 0.18, 0.72), (20000, 0.12, 0.70))
-#: Bytes of a chunk, its own band, and the share of a text's chunks that may lie outside.
+BANDS = ((0, 0.40, 20.0), (40, 0.35, 1.40), (100, 0.32, 1.15), (200, 0.30, 0.95), (500, 0.28, 0.88), (1000, 0.25, 0.82), (2000, 0.22, 0.76), (5000, 0.18, 0.72), (20000, 0.12, 0.70))
+#: Bytes of every chunk (the last one ends with the text), their band, and the share of a text's chunks that may lie outside.
 CHUNK_BYTES, CHUNK_BAND, MAX_BAD_CHUNKS = 2048, (0.22, 0.76), 0.5
 LEVEL = 3
 _BLANK = str.maketrans("", "", " \t\n\r\x0b\x0c")
@@ -50,11 +50,10 @@ def band_verdict(text: str, compressor) -> tuple[float | None, int, int, str | N
     size = lambda piece: len(compressor.compress(piece)) / len(piece)
     ratio = size(raw)
     low, high = next((lo, hi) for least, lo, hi in reversed(BANDS) if len(raw) >= least)
-    if len(raw) < CHUNK_BYTES:
-        chunks = []
-    else:  # equal pieces of about the chunk length, so that no short rest has a ratio of its own
-        n = round(len(raw) / CHUNK_BYTES)
-        chunks = [size(raw[len(raw) * i // n : len(raw) * (i + 1) // n]) for i in range(n)]
+    starts = range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)
+    if len(raw) > CHUNK_BYTES and len(raw) % CHUNK_BYTES:
+        starts = [*starts, len(raw) - CHUNK_BYTES]  # of full length too, so that every ratio is of one length
+    chunks = [size(raw[at : at + CHUNK_BYTES]) for at in starts]
     bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
     reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if chunks and bad > MAX_BAD_CHUNKS * len(chunks) else None
     return round(ratio, 6), bad, len(chunks), reason
@@ -65,7 +64,8 @@ def apply_rules(df: DataFrame, text: str = "text") -> DataFrame:
     n_chunks, reason (of the bands, null if they hold) and kept.
 
     Null and empty texts have no words, a null ratio and fail the base rules. Input columns of these names are
-    replaced; repeated rows are judged each for itself; an empty table stays empty.
+    replaced; repeated rows are judged each for itself; an empty table stays empty. A text shorter than a chunk has no
+    chunks; a long one is compressed as a whole and in all its chunks.
     """
     fields = (
         "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, "

@@ -46,7 +46,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    parts = chat_format.format_chat(rows)
+    parts = chat_format.format_chat(rows, block_turns=chat_format.BLOCK_TURNS)
     # Read back part by part; only the digests need a conversation's parts together.
     turns = chat_format.read_turns(F.col("formatted"))
     masked = chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))

@@ -28,11 +28,21 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: Words that announce a credential, and what may stand between them and the value.
+#: Words that announce a credential, and what may stand between them and the value; an authorization scheme may, and
+#: announces a long value by itself.
 _CONTEXT = re.compile(
     r"""(?ai:\b(?:pass(?:word|phrase|wd|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|client|secret)[_-]?key))"""
-    r"""["']?[ \t]{0,4}(?:[:=]|=>|(?ai:\bis\b))[ \t]{0,4}["']?([!-~]{6,})"""
+    r"""["']?[ \t]{0,4}(?:[:=]|=>|(?ai:\bis\b))[ \t]{0,4}["']?(?:(?ai:bearer|basic|token)[ \t]{1,4})?["']?(?P<value>[^\s\x00-\x1f\x7f]{6,})"""
+    r"""|(?ai:\b(?:bearer|basic))[ \t]{1,4}(?P<alone>[^\s\x00-\x1f\x7f]{16,})"""
 )
+#: Forms that code has in place of a value: addresses without user or query, paths, and names with members or calls.
+_FORMS = re.compile(
+    r"""[A-Za-z][A-Za-z0-9+.-]*://[\w.-]+(?::\d+)?(?:/[\w.~%/-]*)?(?:\#[\w-]*)?|(?:\.{0,2}|~|\$\w+)/(?:[\w.-]+/)*[\w.-]*|(?:[\w.-]+/)+[\w.-]*|"""
+    r"""[$@&*]?[({<\[%]*[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+|[$@&*]?[({<\[%]*[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)*[(\[{].*"""
+)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\W\d_]+")
+#: Letters of a part that reads as a name whatever it says, and digits of a number in one.
+SHORT_PART, SHORT_NUMBER = 8, 4
 _TRAILING = "\"'`,;.)]}>"
 
 #: Words most common in passwords, by rank; guessing one costs its rank. Ordinary words follow, see ``ranks``.
@@ -56,7 +66,7 @@ _DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]
 
 
 def _alphabet(c: str) -> int:
-    return 10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 33
+    return 10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 200
 
 
 @functools.cache
@@ -107,6 +117,22 @@ class _Run:
         return least
 
 
+def is_code(value: str) -> bool:
+    """Whether a value is an address, path, member or call whose parts are words or short names."""
+    if not _FORMS.fullmatch(value):
+        return False
+    for part in _PARTS.findall(value):
+        if part.isdigit():
+            if len(part) > SHORT_NUMBER:
+                return False
+        elif len(part) > SHORT_PART and guess_cost(part) >= MIN_COST:
+            return False
+    # Names have few parts for their letters, and some are words; a random value changes case and kind at every turn.
+    parts, words = _PARTS.findall(value), ranks()[0]
+    letters = sum(map(len, parts))
+    return 7 * len(parts) <= 2 * letters and 5 * sum(len(p) for p in parts if len(p) > 2 and p.lower() in words) >= letters
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation needs; time grows with the length alone."""
     n, low = len(value), value.lower()
@@ -145,12 +171,12 @@ def find_in(text: str) -> list[tuple[int, int, int, float | None]]:
     assigned = sorted(s[:2] for s in out if s[2] == 0)
     at = 0
     for m in _CONTEXT.finditer(text):
-        value = m.group(1).rstrip(_TRAILING)
-        start, end = m.start(1), m.start(1) + len(value)
+        value = m.group(m.lastgroup).rstrip(_TRAILING)
+        start, end = m.start(m.lastgroup), m.start(m.lastgroup) + len(value)
         while at < len(assigned) and assigned[at][1] <= start:
             at += 1
         covered = at < len(assigned) and assigned[at][0] <= start and end <= assigned[at][1]
-        if len(value) >= 6 and not covered and (cost := guess_cost(value)) >= MIN_COST:
+        if len(value) >= 6 and not covered and not is_code(value) and (cost := guess_cost(value)) >= MIN_COST:
             out.append((start, end, 3, round(cost, 3)))
     return sorted(out, key=lambda s: (s[0], s[2]))
 
@@ -161,7 +187,8 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     assign, access and hex are the whole matches of their forms; credential is the value after a credential
     word whose guess cost is at least MIN_COST and that no assign span holds. Offsets are code points, ends
     exclusive. Null and empty texts have none; repeated rows are judged each for itself; an input column of this
-    name is replaced; an empty table stays empty.
+    name is replaced; an empty table stays empty; a long text is read as a whole. A value that reads as code (an
+    address, a path, a member or a call of named things) is none.
     """
 
     def work() -> Callable[[list[str]], list]:

@@ -66,12 +66,14 @@ def test_chat_round_trip_of_control_strings(spark):
     odd = ['\\### Assistant: </turn> ok', '<turn role="assistant">x</turn>\n', "&lt;&amp;&quot;", "", None, 'a">b']
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(itertools.cycle(["user", "assistant"]), odd))] + [(2, 200, "assistant", "late"), (2, 3, 'us"er>', "early"), (2, 3, 'us"er>', "early"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(4)
-    parts = chat_format.format_chat(df).withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn("loss", chat_format.read_loss(F.col("formatted"), F.col("loss_spans")))
+    parts = chat_format.format_chat(df, block_turns=64).withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn("loss", chat_format.read_loss(F.col("formatted"), F.col("loss_spans")))
     got = {(r["conversation"], r["part"]): r for r in parts.collect()}
     assert [(t["role"], t["text"]) for t in got[1, 0]["turns"]] == [(r or "", t or "") for _, _, r, t in rows[:6]]
     assert got[1, 0]["loss"] == [t or "" for _, _, r, t in rows[:6] if r == "assistant"]
     assert [t["text"] for t in got[2, 0]["turns"]] == ["early", "early"] and got[2, 3]["loss"] == ["late"]
     assert got[None, None]["n_turns"] == 1
+    whole = {r["conversation"]: r for r in chat_format.format_chat(df).collect()}  # by default one text a conversation
+    assert whole[2]["formatted"] == got[2, 0]["formatted"] + got[2, 3]["formatted"] and {r["part"] for r in whole.values()} == {0}
     assert chat_format.format_chat(df.limit(0)).collect() == []
 
 
@@ -144,7 +146,7 @@ def test_quality_bags_are_whole():
     for t in (text, "", "a few words", text[::-1]):
         buckets, shares = q.bag(t)
         bags.append(buckets.astype("<i4").tobytes(), shares.astype("<f4").tobytes())
-        assert set(buckets.tolist()) == set(q.features(t.encode()).tolist()) and (not t or shares.sum() == pytest.approx(1, abs=1e-3))
+        assert set(buckets.tolist()) == set(q.features(t)[0].tolist()) and (not t or shares.sum() == pytest.approx(1, abs=1e-3))
         assert all((x == y).all() for x, y in zip(bags[len(bags) - 1], (buckets, shares)))
     assert len(bags[0][0]) > 20_000
     table, bias = q.train(bags, q.np.array([0, 1, 1, 0]), q.np.ones(4, "f4"))
