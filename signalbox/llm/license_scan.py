@@ -10,7 +10,7 @@ consumes its sentences, so a longer or more specific rule stands before a shorte
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -25,13 +25,13 @@ SENTENCES = (
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("as_is", r"(?:the|this) software is provided as is without warranty of any kind.*"),
     ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("apache_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under the apache license version (?P<version>2|1 1|1)(?: 0)?(?: the license)?"),
+    ("apache_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under the apache license version (?P<version>[12](?: [01])?)(?: the license)?"),
     ("apache_compliance", r"you may not use this file except in compliance with the license"),
     ("apache_copy", r"you may obtain a copy of the license at(?: https?[a-z0-9 ]*)?.*"),
     ("apache_basis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
-    ("gpl_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:terms of the )?(?:gnu )?(?P<kind>lesser |affero |)general public license(?: version|,? v)? ?(?P<version>[0-9])(?: 0)?(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
-    ("gpl_free", r"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>lesser |affero |)general public license as published by the free software foundation either version (?P<version>[0-9])(?: 0)? of the license(?P<later> or at your option any later version)"),
-    ("gpl_only", r"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>lesser |affero |)general public license version (?P<version>[0-9]) as published by the free software foundation"),
+    ("gpl_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:terms of the )?(?:gnu )?(?P<kind>lesser |affero |)general public license(?: version|,? v)? ?(?P<version>[0-9](?: [0-9])?)(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
+    ("gpl_free", r"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>lesser |affero |)general public license as published by the free software foundation either version (?P<version>[0-9](?: [0-9])?) of the license(?P<later> or at your option any later version)"),
+    ("gpl_only", r"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>lesser |affero |)general public license version (?P<version>[0-9](?: [0-9])?) as published by the free software foundation"),
     ("gpl_hope", r"this (?:program|library|file) is distributed in the hope that it will be useful but without any warranty.*"),
     ("gpl_copy", r"you should have received a copy of the gnu (?:lesser |affero |)general public license.*"),
     ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -39,28 +39,85 @@ SENTENCES = (
     ("bsd_binary", r"(?:2 )?redistributions in binary form must reproduce the above copyright notice.*"),
     ("bsd_endorse", r"(?:3 )?neither the name of (?P<gap>.*) may be used to endorse or promote products.*"),
     ("bsd_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:(?P<clauses>[234]) clause )?bsd license"),
-    ("mpl_name", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?(?P<version>2)(?: 0)?"),
+    ("mpl_name", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?(?P<version>[12](?: [01])?)"),
     ("mpl_copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
-    ("cc_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:a )?(?:creative commons|cc) (?P<terms>by(?: nc)?(?: sa| nd)?|zero|0)(?: license)? ?(?P<version>[0-9])?(?: 0)?(?: international| license)*"),
-    ("rights", r"all rights reserved"),
+    ("cc_name", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:a )?(?:creative commons|cc) (?P<terms>by(?: nc)?(?: sa| nd)?|zero|0)(?: license)? ?(?P<version>[0-9](?: [0-9])?)?(?: international| license)*"),
+    ("boost_grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
+    ("unlicense_free", r"this is free and unencumbered software released into the public domain"),
+    ("zlib_as_is", r"this software is provided as is without any express or implied warranty.*"),
+    ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely.*"),
+    ("epl_terms", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v|version )?(?P<version>[12](?: 0)?).*"),
+    ("cc0_waiver", r"to the extent possible under law .*waived all copyright and related or neighboring rights.*"),
+    ("wtfpl_terms", r"do what the fuck you want to public license.*"),
+    ("rights", r"(?:copyright .*)?all rights reserved"),
 )
 
+# How licences are called, as patterns over normalised words, and their identifiers. {v} is a version.
+_V = r"(?: ?(?:version|v|ver) ?| )(?P<v>[0-9](?: [0-9])?)"
+_LATER = r"(?P<later> or (?:at your option )?(?:any )?(?:later|newer)(?: version)?|\+)?"
+NAMES = (
+    ("MIT", r"mit(?: x11)?(?: license| licence)?(?! [a-z]*(?:university|press))"),
+    ("Apache-{v}", r"apache(?: software)?(?: license| licence)?" + _V),
+    ("{kind}GPL-{v}{later}", r"(?:gnu )?(?P<kind>lesser |library |affero |)general public (?:license|licence)(?: (?:l|a)?gpl)?" + _V + _LATER),
+    ("{kind}GPL-{v}{later}", r"(?:the )?(?:gnu )?(?P<kind>l|a|)gpl(?: license)? ?(?:version|v|ver)? ?(?P<v>[0-9](?: [0-9])?)" + _LATER),
+    ("MPL-{v}", r"(?:mozilla public (?:license|licence)|mpl)" + _V),
+    ("BSD-{v}-Clause", r"bsd (?P<v>[234]) clause"),
+    ("BSD-{v}-Clause", r"(?P<v>[234]) clause bsd"),
+    ("BSD-3-Clause", r"(?:new|modified|revised) bsd"),
+    ("BSD-2-Clause", r"(?:simplified|freebsd) bsd|freebsd license"),
+    ("BSL-1.0", r"boost software (?:license|licence)|bsl 1 0"),
+    ("Unlicense", r"unlicense"),
+    ("Zlib", r"zlib(?: libpng)? (?:license|licence)"),
+    ("EPL-{v}", r"(?:eclipse public (?:license|licence)|epl)" + _V),
+    ("ISC", r"isc (?:license|licence)"),
+    ("CC0-1.0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?|creative commons zero"),
+    ("CC-{terms}-{v}", r"(?:creative commons|cc) (?P<terms>by(?: nc)?(?: sa| nd)?)(?: license)?" + _V),
+    ("CC-{terms}-{v}", r"creative commons (?P<terms>attribution(?: non ?commercial)?(?: share ?alike| no ?deriv(?:ative)?s)?)(?: license)?" + _V),
+    ("Artistic-{v}", r"artistic (?:license|licence)" + _V),
+    ("EUPL-{v}", r"(?:european union public (?:license|licence)|eupl)" + _V),
+    ("CDDL-{v}", r"(?:common development and distribution (?:license|licence)|cddl)" + _V),
+    ("WTFPL", r"wtfpl"),
+    ("PostgreSQL", r"postgresql (?:license|licence)"),
+    ("PSF-2.0", r"python software foundation (?:license|licence)|psf (?:license|licence)"),
+)
+#: Words that announce a name, and names that are clear without any, for their version or their length.
+_BEFORE = r"(?:(?:licen[sc]ed|released|distributed|available|published|provided|offered|covered|redistribute it|made available) (?:and [a-z]+ )?under (?:a |the )?(?:terms (?:and conditions )?of )?(?:a |the )?|licen[sc]e (?:is |type |name )?(?:the )?|under the terms of the )"
+_CLEAR = r"gnu (?:lesser |library |affero |l|a|)(?:general public|gpl)|boost software licen[sc]e|mozilla public licen[sc]e|eclipse public licen[sc]e|apache licen[sc]e|cc0 1 0|creative commons attribution|cc by"
+#: Identifiers in the case in which they are written, and the present names of old ones.
+_IDS = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 "
+    "CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 EPL-1.0 EPL-2.0 EUPL-1.1 "
+    "EUPL-1.2 GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only "
+    "LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 NCSA OFL-1.1 OpenSSL PostgreSQL PSF-2.0 Unlicense UPL-1.0 WTFPL X11 Zlib"
+).split()
+_OLD = {f"{k}gpl-{v}{plus}": f"{k.upper()}GPL-{v}-{'or-later' if plus else 'only'}" for k, v in (("", "1.0"), ("", "2.0"), ("", "3.0"), ("l", "2.0"), ("l", "2.1"), ("l", "3.0"), ("a", "3.0")) for plus in ("", "+")}
+_WRITTEN = {**{i.lower(): i for i in _IDS}, **_OLD}
+#: An SPDX expression in the text itself: identifiers, brackets, and the words that join them, on one line.
+_SPDX = re.compile(r"(?ai:spdx-license-identifier)\s*:?[ \t]*(?P<expression>[(]*[A-Za-z0-9.+-]+[)]*(?:[ \t]+(?i:and|or|with)[ \t]+[(]*[A-Za-z0-9.+-]+[)]*)*)")
+
 #: Ordered rules: licence, and the sentences that must follow each other; a name ending in ? may be missing. A
 #: licence with {…} is filled from the groups of the sentences.
 RULES = (
     ("{id}", ("spdx",)),
+    ("{id}", ("name",)),
+    ("BSL-1.0", ("boost_grant", "as_is?")),
+    ("Unlicense", ("unlicense_free", "as_is?")),
+    ("Zlib", ("zlib_as_is?", "zlib_grant")),
+    ("EPL-{version}", ("epl_terms",)),
+    ("CC0-1.0", ("cc0_waiver",)),
+    ("WTFPL", ("wtfpl_terms",)),
     ("MIT", ("mit_name?", "mit_grant", "mit_notice", "as_is?")),
     ("MIT", ("mit_grant",)),
     ("ISC", ("isc_grant", "as_is?")),
-    ("Apache-{version}.0", ("apache_name", "apache_compliance", "apache_copy?", "apache_basis?")),
-    ("{kind}GPL-{version}.0{later}", ("gpl_free", "gpl_hope?", "gpl_copy?")),
-    ("{kind}GPL-{version}.0{later}", ("gpl_only", "gpl_hope?", "gpl_copy?")),
+    ("Apache-{version}", ("apache_name", "apache_compliance", "apache_copy?", "apache_basis?")),
+    ("{kind}GPL-{version}{later}", ("gpl_free", "gpl_hope?", "gpl_copy?")),
+    ("{kind}GPL-{version}{later}", ("gpl_only", "gpl_hope?", "gpl_copy?")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "as_is?")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "as_is?")),
-    ("MPL-{version}.0", ("mpl_name", "mpl_copy?")),
+    ("MPL-{version}", ("mpl_name", "mpl_copy?")),
     ("MIT", ("mit_name",)),
-    ("Apache-{version}.0", ("apache_name",)),
-    ("{kind}GPL-{version}.0{later}", ("gpl_name",)),
+    ("Apache-{version}", ("apache_name",)),
+    ("{kind}GPL-{version}{later}", ("gpl_name",)),
     ("BSD{clauses}", ("bsd_name",)),
     ("CC-{terms}", ("cc_name",)),
     ("UNKNOWN", ("bsd_grant",)),
@@ -87,6 +144,11 @@ def _compiled(pattern: str) -> str:
 
 _COMPILED = [(name, re.compile(_compiled(pattern)), pattern.endswith(".*")) for name, pattern in SENTENCES]
 _ANY = re.compile("|".join(re.sub(r"\(\?P<\w+>", "(?:", pattern.pattern) for _, pattern, _ in _COMPILED))
+_NAMES = [(name, re.compile(_compiled(pattern).removesuffix(r"(?![^\t\r\n\f])") + r"(?![a-z0-9])")) for name, pattern in NAMES]
+_ANNOUNCED = re.compile(r"(?<![a-z0-9])" + _compiled(_BEFORE).removesuffix(r"(?![^\t\r\n\f])"))
+_CLEARLY = re.compile(r"(?<![a-z0-9])(?=" + _compiled(_CLEAR).removesuffix(r"(?![^\t\r\n\f])") + ")")
+_PLUS = re.compile(r"(?ai:gpl)[- ]?[vV]?\d(?:\.\d)?\+")
+_ANOTHER = re.compile(_compiled(r" (?:or|and)(?: under)? (?:the )?(?:terms of the )?").removesuffix(r"(?![^\t\r\n\f])"))
 #: A piece ends at a line end, or at a mark before white space; see ``sentences``.
 _END = re.compile(r"(?<=[.!?;:])\s+|\n+")
 _PLAIN = re.compile(r"[^a-z0-9]+")
@@ -94,7 +156,7 @@ _CLOSING = " \t\r\"'`)]}>*/"
 #: Comment marks that every line of a comment repeats.
 _COMMENT = re.compile(r"[ \t]*(?:#+|//+|--+|;+|%+)")
 #: Every known sentence holds one of these words, which no line end can part; other texts need no lookup.
-_HINT = re.compile(r"(?ai:licen[sc]e|spdx|copyright|permission|redistribut|warranty|endorse|commons|reserved|(?<![a-z0-9])(?:cc|mpl)(?![a-z0-9]))")
+_HINT = re.compile(r"(?ai:licen[sc]e|spdx|copyright|permission|redistribut|warranty|endorse|commons|reserved|unencumbered|(?<![a-z0-9])(?:cc0?|mpl|epl|eupl|cddl|wtfpl|[la]?gpl)(?![a-z]))")
 
 
 def normalise(sentence: str) -> str:
@@ -153,7 +215,8 @@ def sentences(text: str) -> list[tuple[int, int, str, dict]]:
                 if next((starts[k] for k in reversed(following) if starts[k] > a), b) < b:
                     continue
                 del groups["gap"]
-            groups.pop("same", None)
+            if groups.pop("same", None) is not None and name == "spdx":
+                groups["id"] = _expression(text, pieces[i][0])
             last = bisect_left(starts, m.end()) - 1
             if open_end:
                 after = next((k for k in reversed(following[-(last - i + 1) :]) if k > last), len(pieces))
@@ -166,18 +229,77 @@ def sentences(text: str) -> list[tuple[int, int, str, dict]]:
         last, name, groups = found[i]
         if not out or pieces[i][0] >= out[-1][1]:
             out.append((pieces[i][0], pieces[last][1], name, groups))
-    return out
+    # Licences named inside other sentences, outside what is known already.
+    taken = [(a, b) for a, b, *_ in out]
+    named = 0
+    places = sorted({m.end() for m in _ANNOUNCED.finditer(joined)} | {m.start() for m in _CLEARLY.finditer(joined)}, reverse=True)
+    while places:
+        at = places.pop()
+        if at < named:
+            continue
+        for licence, pattern in _NAMES:
+            if not (m := pattern.match(joined, at)):
+                continue
+            first, last = (bisect_right(starts, p) - 1 for p in (m.start(), m.end() - 1))
+            k = bisect_right(taken, (pieces[first][0], len(text) + 1)) - 1
+            inside = k >= 0 and taken[k][1] > pieces[first][0]
+            if not inside and (k + 1 == len(taken) or taken[k + 1][0] >= pieces[last][1]):
+                groups = {g: v and v.translate(_GAPS) for g, v in m.groupdict().items()}
+                if _PLUS.search(text, pieces[first][0], pieces[last][1]):
+                    groups["later"] = "+"
+                out.append((pieces[first][0], pieces[last][1], "name", {"id": _called(licence, groups)}))
+            named = m.end()
+            if another := _ANOTHER.match(joined, named):  # one licence or another
+                places.append(another.end())
+            break
+    return sorted(out, key=lambda s: s[:2])
+
+
+def _called(licence: str, groups: dict) -> str:
+    """The identifier of a licence that is called by a name."""
+    version = (groups.get("v") or "").replace(" ", ".")
+    if "Clause" not in licence and version and "." not in version:
+        version += ".0"
+    kind = {"lesser": "L", "library": "L", "affero": "A", "l": "L", "a": "A"}.get((groups.get("kind") or "").strip(), "")
+    terms = (groups.get("terms") or "").replace("attribution", "by").replace("non commercial", "nc").replace("noncommercial", "nc")
+    for words, short in (("share alike", "sa"), ("sharealike", "sa"), ("no derivatives", "nd"), ("noderivatives", "nd"), ("no derivs", "nd"), ("noderivs", "nd")):
+        terms = terms.replace(words, short)
+    later = "-or-later" if groups.get("later") else "-only"
+    return licence.format(v=version, kind=kind, terms=terms.upper().replace(" ", "-"), later=later)
+
+
+def _expression(text: str, at: int) -> str:
+    """The SPDX expression at a place of the text, its identifiers as they are written today."""
+    found = _SPDX.search(text, at)
+    if not found:
+        return ""
+    words = re.findall(r"[()]|[A-Za-z0-9.+-]+", found["expression"])
+    joined = {"and", "or", "with"}
+    words = [w.upper() if w.lower() in joined else _WRITTEN.get(w.lower(), w) for w in words]
+    # A bracket that is never closed, or closes nothing, belongs to the sentence around.
+    depth, kept = 0, []
+    for w in words:
+        if w == ")" and not depth:
+            continue
+        depth += (w == "(") - (w == ")")
+        kept.append(w)
+    while depth > 0 and "(" in kept:
+        kept.remove("(")
+        depth -= 1
+    return " ".join(kept).replace("( ", "(").replace(" )", ")")
 
 
 def _fill(licence: str, groups: dict) -> str:
     kind = {"lesser ": "L", "affero ": "A"}.get(groups.get("kind") or "", "")
     later = "-or-later" if groups.get("later") else "-only"
     clauses = f"-{groups['clauses']}-Clause" if groups.get("clauses") else ""
+    version = (groups.get("version") or "").replace(" ", ".")
+    version += ".0" if version and "." not in version else ""
     terms = (groups.get("terms") or "").upper().replace(" ", "-")
-    if terms and groups.get("version"):
-        terms += f"-{groups['version']}.0"
-    version = (groups.get("version") or "").replace("1 1", "1.1")
-    return licence.format(id=(groups.get("id") or "").replace(" ", "-").upper(), kind=kind, version=version, later=later, clauses=clauses, terms=terms).replace("1.1.0", "1.1")
+    if terms in ("ZERO", "0"):
+        return "CC0-1.0"
+    terms += f"-{version}" if terms and version else ""
+    return licence.format(id=groups.get("id") or "", kind=kind, version=version, later=later, clauses=clauses, terms=terms)
 
 
 def recognise(text: str) -> list[tuple[int, int, str, list[str]]]:
@@ -202,14 +324,25 @@ def recognise(text: str) -> list[tuple[int, int, str, list[str]]]:
                 break
         else:
             i += 1  # a sentence of a licence that is known but proves none by itself
-    return out
+    # Rights are reserved in the heads of open licences too; and a licence that is named and then quoted is one.
+    last = max((k for k, found in enumerate(out) if found[2] != "Proprietary"), default=-1)
+    merged: list[tuple[int, int, str, list[str]]] = []
+    for k, found in enumerate(out):
+        if found[2] == "Proprietary" and k < last:
+            continue
+        if merged and merged[-1][2] == found[2]:
+            merged[-1] = (merged[-1][0], found[1], found[2], merged[-1][3] + found[3])
+        else:
+            merged.append(found)
+    return merged
 
 
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``licenses``: array<struct<start, end, license, sentences>>, in order of place.
 
-    Offsets are code points, ends exclusive. Null and empty texts have none; repeated rows are scanned each for
-    itself; an input column of this name is replaced; an empty table stays empty.
+    Offsets are code points, ends exclusive. A licence has one name, whatever form it was recognised by; an expression
+    of several stays one. Null and empty texts have none; repeated rows are scanned each for itself; an input column
+    of this name is replaced, others stay; an empty table stays empty; a long text is scanned as a whole.
     """
 
     def work() -> Callable[[list[str]], list]:

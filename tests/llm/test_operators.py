@@ -336,11 +336,16 @@ def test_every_licence_sentence_passes_the_hint():
         "gpl_hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "gpl_copy": "You should have received a copy of the GNU General Public License",
         "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd_source": "Redistributions of source code must retain the above copyright notice",
         "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice", "bsd_endorse": "Neither the name of X may be used to endorse or promote products", "bsd_name": "Released under the BSD license",
-        "mpl_name": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at", "cc_name": "Released under CC BY 4.0", "rights": "All rights\nreserved",
+        "mpl_name": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at", "cc_name": "Released under CC BY 4.0",
+        "boost_grant": "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by this license",
+        "unlicense_free": "This is free and unencumbered software released into the public domain.", "zlib_as_is": "This software is provided 'as-is', without any express or implied\nwarranty.",
+        "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "epl_terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which", "cc0_waiver": "To the extent possible under law, X has waived all copyright and related or neighboring rights to Y.",
+        "wtfpl_terms": "Do What The Fuck You Want To Public License", "rights": "All rights\nreserved",
     }
     assert list(examples) == [name for name, _ in license_scan.SENTENCES]
     for name, text in examples.items():
         assert [x[2] for x in license_scan.sentences(text)] == [name] and license_scan._HINT.search(text)
     names = lambda t: [x[2] for x in license_scan.recognise(t)]
-    assert names("Released under CC BY 4.0") == ["CC-BY-4.0"] and names("Distributed under Creative\nCommons Zero") == ["CC-ZERO"]
+    assert names("Released under CC BY 4.0") == ["CC-BY-4.0"] and names("Distributed under Creative\nCommons Zero") == ["CC0-1.0"]
     assert names("Released under CC-BY-SA_4.0.") == ["CC-BY-SA-4.0"] and names("All rights\nreserved") == ["Proprietary"]
