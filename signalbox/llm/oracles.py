@@ -8,7 +8,6 @@ _VALID = {
     "ip": "len(list_filter(string_split(m, '.'), lambda p: NOT regexp_full_match(p, '0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])'))) = 0",
     "card": "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 16 AND 19 AND luhn(reverse(regexp_replace(m, '[^0-9]', '', 'g')))",
     "phone": "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 8 AND 15",
-    "iban": "length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND mod97(replace(m, ' ', ''))",
     "ssn": "NOT regexp_matches(m, '^(000|666|9..)|-00-|-0000$')",
 }
 _KINDS = (
@@ -22,31 +21,43 @@ _KINDS = (
 
 
 def _pii() -> str:
-    kinds = []
+    """Spans by place in the whole text; the context is the 40 code points on either side, whatever they hold."""
+    # Macros can't be made in a query, so the two checks are spelled out.
+    luhn = "(list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {0}[i]::INTEGER WHEN {0}[i]::INTEGER > 4 THEN 2 * {0}[i]::INTEGER - 9 ELSE 2 * {0}[i]::INTEGER END)) % 10 = 0)"
+    mod = "(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr({0}, 5) || left({0}, 4), ''), lambda c: CASE WHEN ascii(c) >= 65 THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)), lambda r, v: CASE WHEN v >= 1000 THEN (r * 100 + v - 1000) % 97 ELSE (r * 10 + v) % 97 END) = 1)"
+    found, kinds = [], []
     for number, (kind, pattern, score, up, down, base) in enumerate(_KINDS):
+        if kind == "iban":  # at every place, the longest beginning up to a space that holds; not inside another
+            valid = f"length(replace(p, ' ', '')) BETWEEN 15 AND 34 AND {mod.format("replace(p, ' ', '')")}"
+            found.append(f"""
+iban_at AS (
+  SELECT doc_id, text, i - 1 AS start_at, string_split(substr(text, i, 4) || regexp_extract(substr(text, i + 4, 60), '^((?: ?[A-Z0-9]){{11,30}})'), ' ') AS parts
+  FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text) - 2), lambda i: regexp_full_match(substr(text, i, 4), '[A-Z]{{2}}[0-9]{{2}}'))) AS i FROM t WHERE regexp_matches(text, '[A-Z]{{2}}[0-9]{{2}}'))),
+iban_ends AS (
+  SELECT doc_id, text, start_at, list_filter(list_transform(range(len(parts), 0, -1), lambda k: array_to_string(parts[1:k], ' ')), lambda p: {valid})[1] AS m FROM iban_at),
+iban_found AS (
+  SELECT * FROM iban_ends a WHERE m IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM iban_ends b WHERE b.doc_id = a.doc_id AND b.m IS NOT NULL AND b.start_at < a.start_at AND a.start_at < b.start_at + length(b.m)))""")
+        else:
+            found.append(f"""
+{kind}_found AS (
+  SELECT doc_id, text, m, start_at FROM (
+    SELECT doc_id, text, found[i] AS m,
+           list_sum(list_transform(pieces[1:i], lambda p: length(p)))::BIGINT + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0)::BIGINT AS start_at
+    FROM (
+      SELECT doc_id, text, found, pieces, unnest(range(1, len(found) + 1)) AS i
+      FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS pieces FROM t)))
+  WHERE {_VALID[kind]})""")
         kinds.append(f"""
   SELECT doc_id, {number} AS kind_order, '{kind}' AS kind, start_at, start_at + length(m) AS end_at, score FROM (
     SELECT *, greatest(0.0, least(1.0, round({score}::DOUBLE
         + CASE WHEN regexp_matches(near, '\\b({up})\\b') THEN 0.4 ELSE 0.0 END - CASE WHEN regexp_matches(near, '\\b({down})\\b') THEN 0.3 ELSE 0.0 END, 2)))::DOUBLE AS score
-    FROM (
-      SELECT doc_id, m, start_at, lower(right(before, 40) || ' ' || left(after, 40)) AS near FROM (
-        SELECT doc_id, found[i] AS m, pieces[i] AS before, pieces[i + 1] AS after,
-               list_sum(list_transform(pieces[1:i], lambda p: length(p)))::BIGINT + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0)::BIGINT AS start_at
-        FROM (
-          SELECT doc_id, found, pieces, unnest(range(1, len(found) + 1)) AS i
-          FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS pieces FROM t)
-        )
-      ) WHERE {_VALID[kind]}
-    )
+    FROM (SELECT *, lower(substr(text, greatest(start_at - 40, 0) + 1, least(40, start_at)) || ' ' || substr(text, start_at + length(m) + 1, 40)) AS near FROM {kind}_found)
   ){'' if base else ' WHERE score >= 0.5'}""")
-    # Macros can't be made in a query, so the two checks are spelled out.
-    luhn = "(list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {0}[i]::INTEGER WHEN {0}[i]::INTEGER > 4 THEN 2 * {0}[i]::INTEGER - 9 ELSE 2 * {0}[i]::INTEGER END)) % 10 = 0)"
-    mod = "(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr({0}, 5) || left({0}, 4), ''), lambda c: CASE WHEN ascii(c) >= 65 THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)), lambda r, v: CASE WHEN v >= 1000 THEN (r * 100 + v - 1000) % 97 ELSE (r * 10 + v) % 97 END) = 1)"
-    sql = " UNION ALL ".join(kinds)
-    sql = sql.replace("luhn(reverse(regexp_replace(m, '[^0-9]', '', 'g')))", luhn.format("reverse(regexp_replace(m, '[^0-9]', '', 'g'))"))
-    sql = sql.replace("mod97(replace(m, ' ', ''))", mod.format("replace(m, ' ', '')"))
+    sql = ",".join(found).replace("luhn(reverse(regexp_replace(m, '[^0-9]', '', 'g')))", luhn.format("reverse(regexp_replace(m, '[^0-9]', '', 'g'))"))
     return f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), spans AS ({sql}),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {sql},
+spans AS ({" UNION ALL ".join(kinds)}),
 found AS (
   SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
          count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
