@@ -163,8 +163,8 @@ def paths_csv(spark, sf):
     path = work_dir(spark, "paths")
     rows.write.option("header", True).csv(path)
     back = tables.read_paths(spark, path)
-    first = F.regexp_extract("path", r"^M([^,]+),", 1).cast("double")
-    return back.select("name", first.alias("first_x"), "color", "projection", "reverseFirstPath", "reverseSecondPath")
+    kept = ["name", "color", "projection", "reverseFirstPath", "reverseSecondPath"]
+    return geometry.path_vertices(back.select(*kept, "path"), "path").drop("path")
 
 
 @query
@@ -745,12 +745,9 @@ def geojson_roundtrip(spark, sf):
     path = work_dir(spark, "geojson")
     sinks.write_geojson_lines(lines.unionByName(points), path)
     back = tables.read_geojson_lines(spark, path)
-    return back.select(
-        F.col("properties")["id"].cast("bigint").alias("id"),
-        "geometry_type",
-        F.coalesce(F.size("line_string"), F.lit(1)).alias("vertices"),
-        F.coalesce(F.get(F.get("line_string", F.lit(0)), F.lit(0)), F.get("point", F.lit(0))).alias("first_x"),
-        F.coalesce(F.get(F.element_at("line_string", -1), F.lit(1)), F.get("point", F.lit(1))).alias("last_y"),
+    vertices = F.coalesce("line_string", F.array("point"))
+    return back.select(F.col("properties")["id"].cast("bigint").alias("id"), "geometry_type", F.posexplode(vertices).alias("pos", "v")).select(
+        "id", "geometry_type", "pos", F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y")
     )
 
 

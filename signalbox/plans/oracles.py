@@ -448,9 +448,8 @@ ORACLES["ordered_polyline"] = f"WITH {_in_parts(9999)} SELECT * FROM laid"
 ORACLES["ordered_polyline_parts"] = f"WITH {_in_parts(3)} SELECT * FROM laid"
 ORACLES["geojson_roundtrip"] = f"""
 WITH {_in_parts(9999)}, {_PLACES}
-SELECT l_orderkey AS id, 'LineString' AS geometry_type, CAST(count(*) AS INTEGER) AS vertices, arg_min(x, pos) AS first_x,
-  arg_max(y, pos) AS last_y FROM laid GROUP BY l_orderkey, part
-UNION ALL SELECT vec_id, 'Point', CAST(1 AS INTEGER), x, y FROM places
+SELECT l_orderkey AS id, 'LineString' AS geometry_type, CAST(pos AS INTEGER) AS pos, x, y FROM laid
+UNION ALL SELECT vec_id, 'Point', CAST(0 AS INTEGER), x, y FROM places
 """
 ORACLES["feature_collections"] = """
 SELECT 'L' || (c_custkey % 10) || '-' || c_custkey AS name, 'Point' AS type,
@@ -681,10 +680,9 @@ SELECT c_name AS name, c_acctbal AS x_projection, CAST(c_custkey AS DOUBLE) AS y
   CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal / 7 END AS x_real, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey / 3 END AS y_real,
   c_mktsegment AS color FROM customer
 """
-ORACLES["paths_csv"] = """
-SELECT CAST(vec_id AS VARCHAR) AS name, CAST(embedding[1] AS DOUBLE) AS first_x, '#123456' AS color,
-  CASE WHEN vec_id % 3 <> 0 THEN 'plane' END AS projection, vec_id % 2 = 0 AS "reverseFirstPath", vec_id % 5 = 0 AS "reverseSecondPath"
-FROM embeddings
+ORACLES["paths_csv"] = f"""
+SELECT CAST(vec_id AS VARCHAR) AS name, '#123456' AS color, CASE WHEN vec_id % 3 <> 0 THEN 'plane' END AS projection,
+  vec_id % 2 = 0 AS "reverseFirstPath", vec_id % 5 = 0 AS "reverseSecondPath", sub, pos, kind, x, y FROM ({ORACLES["path_parse"]})
 """
 ORACLES["configured_lines"] = """
 SELECT 'L' || (user_id % 10) AS line, CAST(user_id AS VARCHAR) AS sta, CAST(user_id % 10 AS INTEGER) AS line_seq,

@@ -18,30 +18,8 @@ RAIL_STATION = (
 )
 RAIL_SNAPSHOT = f"collected_at string, data map<string, map<string, {RAIL_STATION}>>"
 
-# ---- flat tables ---------------------------------------------------------------------------
-
-ROAD_OBSERVATION = "date string, time string, segment_id bigint, speed double"
-RAIL_OBSERVATION = (
-    "timestamp timestamp, line string, sta string, isdelay int, "
-    "up_ttnt_1 double, down_ttnt_1 double"
-)
-DELAY_EVENT = (
-    "line string, sta string, timestamp timestamp, hour int, day_of_week int, is_weekend int, "
-    "is_peak int, up_ttnt_1 double, down_ttnt_1 double, delay_duration_minutes double, "
-    "affected_trains_count int"
-)
-ROAD_STATE = "segment_id bigint, predicted_congestion_minutes double, updated_at timestamp"
-RAIL_STATE = (
-    "line string, sta string, delay_risk_probability double, delay_duration_minutes double, "
-    "affected_trains_count int, color_code string, up_ttnt double, down_ttnt double, "
-    "updated_at timestamp"
-)
-
 # ---- network dimensions --------------------------------------------------------------------
 
-LINE_STATIONS = "line string, seq int, sta string"
-LINE_COLORS = "line string, color string"
-STATION_COORDS = "sta string, lon double, lat double"
 STATION_PIXELS = (
     "name string, x_projection double, y_projection double, "
     "x_real double, y_real double, color string"
@@ -50,8 +28,6 @@ PATHS = (
     "name string, path string, color string, stroke_width string, class string, "
     "projection string, reverseFirstPath string, reverseSecondPath string"
 )
-ROAD_CENTRELINES = "ROUTE_ID bigint, STREET_ENAME string, geometry array<array<double>>"
-
 # Feature collections are read with the geometry left as text, because points and lines nest
 # coordinates to different depths; ``sources.tables.read_geojson`` types it per geometry kind.
 FEATURE_COLLECTION = (
