@@ -1,7 +1,12 @@
 """Delay events, recent histories and repeated rows of a stream, in the engine's own keyed state.
 
-Rows wait in their key's state until the watermark has passed them, so they may arrive out of order within the allowed
-lateness; timers on event time wake a key when that happens. What comes later than the watermark would be
+Keys are dealt over a fixed number of buckets, and the state is a bucket's: one call of Python works on all rows of its
+keys at once, since a call for every key, or every (key, time), takes far longer than its rows. ``buckets`` belongs to the
+checkpoint, like the number of shuffle partitions. A bucket's rows of a batch and of the lateness are held by one task, so a
+stream with more of them takes more buckets.
+
+Rows wait in their bucket's state until the watermark has passed them, so they may arrive out of order within the allowed
+lateness; timers on event time wake a bucket when that happens. What comes later than the watermark would be
 dropped by the engine before any operator sees it. So the watermark is drawn from a second row for every row, which
 ends there, while the row itself carries no event time that the engine knows; the operator compares it with the
 watermark and passes it on as late. Every row delivered leaves as what it is.
@@ -14,9 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,6 +34,12 @@ LATENESS = "10 minutes"
 #: The end of all streams, in milliseconds: 9000-01-01.
 END = 221_845_392_000_000
 _STATE = "waiting binary, open binary"
+#: Groups of keys that share a state.
+BUCKETS = 128
+#: Rows that are looked up at a time.
+CHUNK = 50_000
+_BUCKET, _UNKNOWN = "__bucket", "__unknown_"
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
 def closing(spark: SparkSession, schema: T.StructType, order: str) -> DataFrame:
@@ -68,6 +80,58 @@ def _wake(state: GroupState, moments: list[float]) -> None:
         state.setTimeoutTimestamp(wanted)
 
 
+def _bucketed(rows: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
+    return rows.withColumn(_BUCKET, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+
+
+def _numbers(schema: T.StructType, names: Sequence[str]) -> list[str]:
+    return [n for n in names if isinstance(schema[n].dataType, _NUMBERS)]
+
+
+def _unknown(schema: T.StructType, names: Sequence[str]) -> list[str]:
+    """The flags of the numbers among the columns: pandas has no null for them, and would make long ones inexact."""
+    return [_UNKNOWN + n for n in _numbers(schema, names)]
+
+
+def _flagged(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Numbers without nulls, next to flags that say where they were."""
+    numbers = _numbers(rows.schema, names)
+    zero = {n: F.coalesce(n, F.lit(0).cast(rows.schema[n].dataType)) for n in numbers}
+    return rows.withColumns({_UNKNOWN + n: F.col(n).isNull() for n in numbers}).withColumns(zero)
+
+
+def _unflagged(schema: T.StructType, name: str) -> Column:
+    """A column as it was before ``_flagged``."""
+    if not _numbers(schema, [name]):
+        return F.col(name)
+    value = F.col(name)
+    if isinstance(schema[name].dataType, (T.FloatType, T.DoubleType)):  # on the way back NaN has become null
+        value = F.coalesce(value, F.lit(float("nan")).cast(schema[name].dataType))
+    return F.when(~F.col(_UNKNOWN + name), value).alias(name)
+
+
+def _flags(names: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(n, T.BooleanType()) for n in names]
+
+
+def _codes(rows: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
+    """A number for each distinct key."""
+    return rows.groupby(list(by), dropna=False, sort=False).ngroup().to_numpy()
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a bucket, about CHUNK of them at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= CHUNK:
+            yield _joined(held)
+            held, size = [], 0
+    if size:
+        yield _joined(held)
+
+
 class _Key:
     """One key's events: waiting rows, and the open event as a row with its start, last place and row count."""
 
@@ -155,39 +219,55 @@ def event_stream(
     )
 
 
-def sorted_out(rows: DataFrame, keys: Sequence[str], order: str, lateness: str = LATENESS) -> DataFrame:
+def sorted_out(rows: DataFrame, keys: Sequence[str], order: str, lateness: str = LATENESS, buckets: int = BUCKETS) -> DataFrame:
     """Every row with its ``status``: unique, repeated (keys and time were seen before) or late (beyond the watermark).
 
     Nothing is dropped. A (keys, time) is remembered until the watermark passes it; what comes after that is late, so
-    no two rows of one (keys, time) are unique.
+    no two rows of one (keys, time) are unique. The times of a key lie in different buckets.
     """
     keys = list(keys)
     clocked = _clocked(rows, order, lateness)
-    fields = [f for f in clocked.schema if f.name not in ("clock", "at", *keys)]
-    out = T.StructType([*[clocked.schema[k] for k in keys], T.StructField("at", T.LongType()), *fields, T.StructField("status", T.StringType())])
-    names = [f.name for f in fields]
+    names = [f.name for f in clocked.schema if f.name not in ("clock", "at", *keys)]
+    schema = clocked.schema
+    needed = _flagged(_bucketed(clocked, [*keys, "at"], buckets), [*keys, *names])
+    by = [*keys, *_unknown(schema, keys), "at"]
+    values = [*names, *_unknown(schema, names)]
+    fields = [*[schema[c] for c in (*keys, *names)], *_flags(_unknown(schema, [*keys, *names])), T.StructField("at", T.LongType())]
+    out = T.StructType([*fields, T.StructField("status", T.StringType())])
 
     def mark(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs() * 1000
+        seen = _unpacked(state.get[0]) if state.exists else pd.DataFrame()
+        if len(seen):
+            seen = seen[seen["at"] > now]
+        for rows in () if state.hasTimedOut else _pieces(batches):
+            status = np.where(rows["at"] <= now, "late", "repeated").astype(object)
+            timely = rows[by].iloc[np.flatnonzero(rows["at"] > now)]
+            both = _joined([seen, timely])
+            code = _codes(both, by) if len(both) else np.empty(0, np.int64)
+            old, fresh = code[: len(seen)], code[len(seen) :]
+            place = np.flatnonzero((rows["at"] > now).to_numpy())
+            new = ~np.isin(fresh, old)
+            place, fresh = place[new], fresh[new]
+            # Of equal rows in one batch any is the first; by the order of their values it is always the same one.
+            often = np.bincount(fresh)[fresh] > 1 if len(fresh) else np.empty(0, bool)
+            rank = np.zeros(len(fresh), np.int64)
+            if names and often.any():
+                text = rows.iloc[place[often]][values].astype(str).agg("\x00".join, axis=1).to_numpy(object)
+                rank[often] = np.unique(text, return_inverse=True)[1]
+            ordered = np.lexsort((rank, fresh))
+            first = ordered[np.r_[True, np.diff(fresh[ordered]) != 0]] if len(fresh) else ordered
+            status[place[first]] = "unique"
+            seen = _joined([seen, rows[by].iloc[place[first]]])
+            yield rows.assign(status=status)[out.names]
+        if len(seen):
+            state.update((_packed(seen),))
+            _wake(state, [seen["at"].max()])
+        elif state.exists:
             state.remove()
-            return
-        late = key[-1] <= state.getCurrentWatermarkMs() * 1000
-        seen = state.exists
-        for batch in batches:
-            if not len(batch):
-                continue
-            status = ["late" if late else "repeated"] * len(batch)
-            if not late and not seen:
-                # Of equal rows in one batch any is the first; by the order of their values it is always the same one.
-                status[int(batch[names].astype(str).agg("\x00".join, axis=1).argmin()) if names else 0] = "unique"
-                seen = True
-            yield batch[[*keys, "at", *names]].assign(status=status)
-        if seen and not late and not state.exists:
-            state.update((True,))
-            _wake(state, [key[-1]])
-
-    found = clocked.groupBy(*keys, "at").applyInPandasWithState(mark, out, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.drop("at")
+
+    found = needed.groupBy(_BUCKET).applyInPandasWithState(mark, out, "seen binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*[_unflagged(schema, c) for c in (*keys, *names)], "status")
 
 
 def recent_rows(rows: DataFrame, keys: Sequence[str], order: str, tie: str, features: Sequence[str], length: int) -> DataFrame:
