@@ -132,31 +132,49 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _joined(held)
 
 
-class _Key:
-    """One key's events: waiting rows, and the open event as a row with its start, last place and row count."""
-
-    def __init__(self, flag: str, tie: str, features: Sequence[str], pause: float | None) -> None:
-        self.flag, self.tie, self.features, self.pause = flag, tie, list(features), pause
-
-    def step(self, waiting: pd.DataFrame, opened: pd.DataFrame | None, mark: float, ended: bool) -> tuple[list[dict], pd.DataFrame, pd.DataFrame | None]:
-        """Closed events, rows that still wait, and the open event, once the watermark is at ``mark``."""
-        done = []
-        event = None if opened is None or not len(opened) else opened.iloc[0].to_dict()
+class _Events:
+    """The events of a bucket's keys: waiting rows, and for a key its open event as a row with start, end and row count."""
+
+    def __init__(self, keys: Sequence[str], flag: str, tie: str, unknown_tie: str | None, features: Sequence[str], pause: float | None) -> None:
+        self.keys, self.flag, self.tie, self.unknown_tie, self.features, self.pause = list(keys), flag, tie, unknown_tie, list(features), pause
+
+    def step(self, waiting: pd.DataFrame, opened: pd.DataFrame | None, mark: float, ended: bool) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame | None]:
+        """Closed events, rows that still wait, and the open events, once the watermark is at ``mark``."""
+        columns = list(dict.fromkeys([*self.keys, *self.features, "start", "end", "count"]))
+        frames = []
+        if opened is not None and len(opened):
+            frames.append(opened.assign(__later=False, __hit=True, __known=False, __tie=None))
         if len(waiting):
-            ready = waiting[waiting["at"] <= mark].sort_values(["at", self.tie], kind="stable")
+            ready = waiting[waiting["at"] <= mark]
             waiting = waiting[waiting["at"] > mark]
-            for row in ready.to_dict("records"):
-                if event is not None and (row[self.flag] != 1 or self.pause is not None and row["at"] - event["end"] > self.pause):
-                    done.append(event)
-                    event = None
-                if row[self.flag] == 1:
-                    if event is None:
-                        event = {"start": row["at"], **{f: row[f] for f in self.features}, "count": 0}
-                    event["end"], event["count"] = row["at"], event["count"] + 1
-        if event is not None and (ended or self.pause is not None and event["end"] + self.pause < mark):
-            done.append(event)
-            event = None
-        return done, waiting, None if event is None else pd.DataFrame([event])
+            known = ready[self.tie].notna() if self.unknown_tie is None else ~ready[self.unknown_tie]
+            # Nulls first, as in the batch operator's order.
+            ready = ready.assign(__later=True, __hit=ready[self.flag] == 1, __known=known, start=ready["at"], end=ready["at"], count=1)
+            ready = ready.sort_values(["at", "__known", self.tie], kind="stable")
+            frames.append(ready[[*columns, "__later", "__hit"]])
+        frames = [f[[*columns, "__later", "__hit"]] for f in frames if len(f)]
+        if not frames:
+            return pd.DataFrame(), waiting, None
+        rows = pd.concat(frames, ignore_index=True)
+        code = _codes(rows, self.keys)
+        order = np.argsort(code, kind="stable")  # a key's open event, then its rows in order
+        rows, code = rows.iloc[order], code[order]
+        hit, at, end = rows["__hit"].to_numpy(bool), rows["start"].to_numpy(), rows["end"].to_numpy()
+        changed = code[1:] != code[:-1]
+        begins = np.r_[True, changed | ~hit[:-1]]
+        if self.pause is not None:
+            begins |= np.r_[True, at[1:] - end[:-1] > self.pause]
+        of_key = np.r_[changed, True][hit]  # whether a flagged row is the last of its key
+        heads = np.flatnonzero(begins[hit])
+        if not len(heads):
+            return pd.DataFrame(), waiting, None
+        hits = rows[hit]
+        tails = np.r_[heads[1:], len(hits)] - 1
+        events = hits.iloc[heads][columns].assign(end=hits["end"].to_numpy()[tails], count=np.add.reduceat(hits["count"].to_numpy(), heads))
+        going = of_key[tails] & (not ended)
+        if self.pause is not None:
+            going &= events["end"].to_numpy() + self.pause >= mark
+        return events[~going], waiting, events[going] if going.any() else None
 
 
 def event_stream(
@@ -168,54 +186,63 @@ def event_stream(
     features: Sequence[str],
     lateness: str = LATENESS,
     timeout_minutes: float | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """The same events as the batch operator, whatever the micro-batches; and the rows that came too late.
 
     ``kind`` is ``event`` or ``late``. An event is opened by the first flagged row, and closed by a calm row, by a pause
     of more than ``timeout_minutes``, or by the end of the stream. A late row has its own time and features, and
-    null for what only events have. A key keeps state only while rows wait or an event is open.
+    null for what only events have. A bucket keeps state only while rows wait or an event is open.
     """
     keys, features = list(keys), [f for f in features if f != order]
     clocked = _clocked(rows, order, lateness)
-    needed = clocked.select(*dict.fromkeys([*keys, "at", tie, flag, *features, "clock"]))
+    plain = clocked.select(*dict.fromkeys([*keys, "at", tie, flag, *features, "clock"]))
+    named = [c for c in plain.columns if c not in ("at", "clock")]
+    needed = _flagged(_bucketed(plain, keys, buckets), named)
+    kept = [c for c in needed.columns if c not in ("clock", _BUCKET)]
     pause = None if timeout_minutes is None else timeout_minutes * MICROS_PER_MINUTE
-    kept = [c for c in needed.columns if c not in (*keys, "clock")]
-    fields = [T.StructField("kind", T.StringType()), *[rows.schema[k] for k in keys], T.StructField("at", T.LongType()), *[rows.schema[f] for f in features]]
+    shown = list(dict.fromkeys([*keys, *features]))
+    unknown = _unknown(rows.schema, shown)
+    fields = [T.StructField("kind", T.StringType()), T.StructField("at", T.LongType()), *[rows.schema[c] for c in shown], *_flags(unknown)]
     out = T.StructType([*fields, T.StructField("end", T.LongType()), T.StructField("row_count", T.LongType())])
-    work = _Key(flag, tie, features, pause)
+    by = [*keys, *_unknown(rows.schema, keys)]
+    work = _Events(by, flag, tie, next(iter(_unknown(rows.schema, [tie])), None), [c for c in (*shown, *unknown) if c not in by], pause)
+
+    def made(frame: pd.DataFrame, kind: str) -> pd.DataFrame:
+        return frame.assign(kind=kind)[out.names].astype({"at": "int64", "end": "int64", "row_count": "int64"})
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs()
         mark = now * 1000.0
         waiting, opened = (_unpacked(s) for s in state.get) if state.exists else (None, None)
-        late, new = [], [waiting]
+        new = [waiting]
         if not state.hasTimedOut:
             for batch in batches:
-                late.append(batch.loc[batch["at"] <= mark, kept])
+                late = batch.loc[batch["at"] <= mark, kept]
+                if len(late):
+                    yield made(late.assign(end=late["at"], row_count=0), "late")
                 new.append(batch.loc[batch["at"] > mark, kept])
         done, waiting, opened = work.step(_joined(new), opened, mark, now >= END)
         if len(waiting) or opened is not None:
             state.update((_packed(waiting) if len(waiting) else b"", _packed(opened) if opened is not None else b""))
             moments = [END * 1000.0 - 1000.0] + ([waiting["at"].min()] if len(waiting) else [])
             if opened is not None and pause is not None:
-                moments.append(opened["end"].iloc[0] + pause)
+                moments.append(opened["end"].min() + pause)
             _wake(state, moments)
         elif state.exists:
             state.remove()
-        made = [{"kind": "event", "at": e["start"], **{f: e[f] for f in features}, "end": e["end"], "row_count": e["count"]} for e in done]
-        made += [{"kind": "late", "at": r["at"], **{f: r[f] for f in features}, "end": None, "row_count": None} for r in _joined(late).to_dict("records")]
-        if made:
-            frame = pd.DataFrame([{**dict(zip(keys, key)), **m} for m in made])[out.names]
-            yield frame.astype({"at": "int64", "end": "Int64", "row_count": "Int64"})
+        if len(done):
+            yield made(done.rename(columns={"start": "at", "count": "row_count"}), "event")
 
-    found = needed.groupBy(*keys).applyInPandasWithState(advance, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    found = needed.groupBy(_BUCKET).applyInPandasWithState(advance, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     kind = rows.schema[order].dataType
     started, ended = (F.timestamp_micros(c).cast(kind) for c in ("at", "end"))
-    duration = F.when(F.col("kind") == "event", F.greatest(F.lit(MIN_EVENT_MINUTES), minutes_between(F.timestamp_micros("at"), F.timestamp_micros("end"))))
+    of_event = lambda c: F.when(F.col("kind") == "event", c)
+    duration = of_event(F.greatest(F.lit(MIN_EVENT_MINUTES), minutes_between(F.timestamp_micros("at"), F.timestamp_micros("end"))))
     return found.withColumn("delay_duration_minutes", duration).select(
-        "kind", *keys, started.alias(order), *features, "delay_duration_minutes",
-        F.when(F.col("kind") == "event", affected_trains(F.col("delay_duration_minutes"), MINUTES_PER_TRAIN)).alias("affected_trains_count"),
-        ended.alias("end_time"), "row_count",
+        "kind", *[_unflagged(rows.schema, k) for k in keys], started.alias(order), *[_unflagged(rows.schema, f) for f in features], "delay_duration_minutes",
+        of_event(affected_trains(F.col("delay_duration_minutes"), MINUTES_PER_TRAIN)).alias("affected_trains_count"),
+        of_event(ended).alias("end_time"), of_event(F.col("row_count")).alias("row_count"),
     )
 
 

@@ -33,3 +33,23 @@ def test_sorted_out_keeps_a_state_for_a_bucket(spark, tmp_path):
     assert out.where("status = 'unique'").select("k").distinct().count() == KEYS + 1 == out.where("status = 'unique'").count()
     assert out.where("status = 'repeated'").count() == 2
     assert out.where(F.col("id") == BIG).count() == 2 and out.where("isnan(v)").count() == 1 and out.where("v is null").count() == 2
+
+
+def test_event_stream_keeps_a_state_for_a_bucket(spark, tmp_path):
+    schema = "k long, ts timestamp, id long, flag int, n long"
+    rows = [(k, T0 + timedelta(minutes=i), 2 * k + i, 1, BIG if k % 2 else None) for k in range(KEYS) for i in range(2)]
+    rows += [(None, T0, -1, 1, 1), (None, T0 + timedelta(minutes=3), -1, None, 1)]
+
+    def run(rows):
+        return written(events.event_stream(stored(spark, rows, schema, tmp_path), ["k"], "ts", "id", "flag", ["id", "n"]), tmp_path, "kind")
+
+    held = run(rows)
+    run([(None, datetime(9999, 1, 1), None, None, None), (0, T0 - timedelta(hours=1), -5, 1, None)])
+    out = spark.read.parquet(str(tmp_path / "out"))
+    found = {r["k"]: r for r in out.where("kind = 'event'").collect()}
+    late = out.where("kind = 'late'").collect()
+    assert held <= BUCKETS
+    assert len(found) == KEYS + 1 and found[None]["row_count"] == 1
+    assert [found[1][c] for c in ("id", "n", "row_count", "end_time")] == [2, BIG, 2, T0 + timedelta(minutes=1)]
+    assert found[2]["n"] is None
+    assert [[r[c] for c in ("k", "id", "n", "end_time", "row_count", "delay_duration_minutes")] for r in late] == [[0, -5, None, None, None, None]]
