@@ -297,27 +297,52 @@ def sorted_out(rows: DataFrame, keys: Sequence[str], order: str, lateness: str =
     return found.select(*[_unflagged(schema, c) for c in (*keys, *names)], "status")
 
 
-def recent_rows(rows: DataFrame, keys: Sequence[str], order: str, tie: str, features: Sequence[str], length: int) -> DataFrame:
+def recent_rows(rows: DataFrame, keys: Sequence[str], order: str, tie: str, features: Sequence[str], length: int, buckets: int = BUCKETS) -> DataFrame:
     """The last ``length`` rows of every key that a batch changed: keys, newest, place (from 0, oldest first) and features,
     filled up at the beginning with copies of the oldest. A stream of updates; a key's later ones replace the earlier."""
     keys, features = list(keys), list(features)
     timed = rows.withColumn("at", F.unix_micros(F.col(order).cast("timestamp")))
-    needed = timed.select(*dict.fromkeys([*keys, "at", tie, *features]))
-    kept = [c for c in needed.columns if c not in keys]
-    out = T.StructType([*[rows.schema[k] for k in keys], T.StructField("newest", T.LongType()), T.StructField("place", T.IntegerType()), *[rows.schema[f] for f in features]])
+    plain = timed.select(*dict.fromkeys([*keys, "at", tie, *features]))
+    schema = plain.schema
+    needed = _flagged(_bucketed(plain, keys, buckets), plain.columns)
+    kept = [c for c in needed.columns if c != _BUCKET]
+    by, shown = [*keys, *_unknown(schema, keys)], list(dict.fromkeys([*keys, *features]))
+    unknown = _unknown(schema, shown)
+    out = T.StructType([
+        *[schema[c] for c in shown], *_flags(unknown), T.StructField("newest", T.LongType()), T.StructField("place", T.IntegerType()),
+        T.StructField(f"{_UNKNOWN}newest", T.BooleanType()),
+    ])
+    unknown_tie = next(iter(_unknown(schema, [tie])), None)
+
+    def last(held: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's last rows of each key, in order; nulls are the oldest, as in the batch operator's order."""
+        known = held[tie].notna() if unknown_tie is None else ~held[unknown_tie]
+        held = held.assign(__timed=~held[f"{_UNKNOWN}at"], __known=known).sort_values(["__timed", "at", "__known", tie], kind="stable")
+        return held.groupby(by, dropna=False, sort=False).tail(length)[kept]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = _unpacked(state.get[0]) if state.exists else None
-        for batch in batches:  # no more than one chunk beyond the rows that stay
-            held = _joined([held, batch[kept]]).sort_values(["at", tie], kind="stable").tail(length)
-        if held is None or not len(held):
+        held, touched = _unpacked(state.get[0]) if state.exists else None, []
+        for rows in _pieces(batches):  # no more than one chunk beyond the rows that stay
+            touched = [_joined([*touched, rows[by]]).drop_duplicates()]
+            held = last(_joined([held, rows[kept]]))
+        if not touched:
             return
         state.update((_packed(held),))
-        padded = pd.concat([held.iloc[:1]] * (length - len(held)) + [held], ignore_index=True)
-        frame = padded.assign(place=range(length), newest=int(held["at"].max()))
-        for name, value in zip(keys, key):
-            frame[name] = value
-        yield frame[out.names].astype({"place": "int32"})
-
-    found = needed.groupBy(*keys).applyInPandasWithState(advance, out, "rows binary", "update", GroupStateTimeout.NoTimeout)
-    return found.withColumn("newest", F.timestamp_micros("newest").cast(rows.schema[order].dataType))
+        code = _codes(_joined([held[by], *touched]), by)
+        changed, code = np.isin(code[: len(held)], code[len(held) :]), code[: len(held)]
+        order = np.argsort(code, kind="stable")
+        order = order[changed[order]]
+        rows, code = held.iloc[order], code[order]
+        heads = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        sizes = np.diff(np.r_[heads, len(code)])
+        copies = np.ones(len(code), np.int64)
+        copies[heads] += length - sizes
+        frame = rows.iloc[np.repeat(np.arange(len(rows)), copies)].assign(place=np.tile(np.arange(length, dtype=np.int32), len(heads)))
+        newest = rows.iloc[heads + sizes - 1]
+        for name, source in (("newest", "at"), (f"{_UNKNOWN}newest", f"{_UNKNOWN}at")):
+            frame[name] = np.repeat(newest[source].to_numpy(), length)
+        yield frame[out.names]
+
+    found = needed.groupBy(_BUCKET).applyInPandasWithState(advance, out, "rows binary", "update", GroupStateTimeout.NoTimeout)
+    newest = F.when(~F.col(f"{_UNKNOWN}newest"), F.timestamp_micros("newest").cast(rows.schema[order].dataType)).alias("newest")
+    return found.select(*[_unflagged(schema, k) for k in keys], newest, "place", *[_unflagged(schema, f) for f in features])

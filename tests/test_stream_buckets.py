@@ -53,3 +53,22 @@ def test_event_stream_keeps_a_state_for_a_bucket(spark, tmp_path):
     assert [found[1][c] for c in ("id", "n", "row_count", "end_time")] == [2, BIG, 2, T0 + timedelta(minutes=1)]
     assert found[2]["n"] is None
     assert [[r[c] for c in ("k", "id", "n", "end_time", "row_count", "delay_duration_minutes")] for r in late] == [[0, -5, None, None, None, None]]
+
+
+def test_recent_rows_keep_a_state_for_a_bucket(spark, tmp_path):
+    schema = "k long, ts timestamp, id long, n long"
+    seen = []
+
+    def run(rows):
+        recent = events.recent_rows(stored(spark, rows, schema, tmp_path), ["k"], "ts", "id", ["n"], 3)
+        query = state.run_batches(recent, lambda batch, i: seen.append(batch.collect()), str(tmp_path / "cp"), available_now=True, mode="update")
+        query.awaitTermination()
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+
+    held = run([(k, T0 + timedelta(minutes=i), i, BIG if i else None) for k in range(KEYS) for i in range(2)])
+    run([(7, T0 + timedelta(minutes=9), 9, 9), (None, T0, 0, 5)])
+    assert held <= BUCKETS
+    assert len(seen[0]) == 3 * KEYS and len(seen[1]) == 6  # keys that a batch doesn't touch aren't in its update
+    places = lambda rows, k: [r["n"] for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["place"])]
+    assert places(seen[0], 7) == [None, None, BIG]
+    assert places(seen[1], 7) == [None, BIG, 9] and places(seen[1], None) == [5, 5, 5]
