@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by recursive SQL, one in-process DuckDB per Spark task.
+"""Byte-level BPE encoding and decoding by recursive SQL, one in-process DuckDB per Python worker.
 
 A word (a match of the split pattern) starts as one row for each byte, keyed by its byte offset. Each step of the
 recursion joins neighbouring tokens with the merge table, takes each word's leftmost pair of the smallest rank, and
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from signalbox.llm.common import map_texts
 from signalbox.llm.token_counts import SAFE_SPACE
 
-#: Words, and pieces between safe spaces, whose ids a task remembers; beyond it forgets them all and goes on.
+#: Words, and pieces between safe spaces, whose ids a worker remembers; beyond it forgets those that it learnt first.
 MEMORY = 500_000
 #: Words of one recursion: the sum of their squared lengths, which bounds the rows of all its steps.
 RECURSION_ROWS = 12_000_000
@@ -76,6 +77,16 @@ FROM step s JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USIN
 DECODE = "SELECT text, list(bytes ORDER BY place) AS bytes FROM ids JOIN vocabulary USING (token) GROUP BY text ORDER BY text"
 
 
+def _make_room(known: dict[str, bytes], wanted: set[str]) -> None:
+    """Keeps what is wanted and the newest half, or as much as leaves room for what is wanted."""
+    kept = min(MEMORY // 2, max(0, MEMORY - len(wanted)))
+    used = {p: known[p] for p in wanted & known.keys()}
+    newest = dict(islice(known.items(), max(0, len(known) - kept), None))
+    known.clear()
+    known.update(newest)
+    known.update(used)
+
+
 class Codec:
     """Encodes and decodes by the ranks in a file and a split pattern."""
 
@@ -132,8 +143,7 @@ class Codec:
     def _learn_words(self, wanted: set[str]) -> None:
         new = wanted - self.words.keys()
         if len(self.words) + len(new) > MEMORY:
-            self.words.clear()
-            new = wanted
+            _make_room(self.words, wanted)
         words, raw, held = [], [], 0
         for w in new:
             b = w.encode()
@@ -155,8 +165,7 @@ class Codec:
     def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
         new = pieces - known.keys()
         if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = pieces
+            _make_room(known, pieces)
         cut = {p: self.match(lead + p) for p in new}
         self._learn_words({w for words in cut.values() for w in words})
         ids = self.words.__getitem__
@@ -190,6 +199,16 @@ class Codec:
         return out
 
 
+_codecs: dict[tuple[str, str], Codec] = {}  # a Python worker that runs several tasks remembers their words
+
+
+def codec(path: str, pattern: str) -> Codec:
+    if (path, pattern) not in _codecs:
+        _codecs.clear()
+        _codecs[path, pattern] = Codec(path, pattern)
+    return _codecs[path, pattern]
+
+
 def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = True) -> DataFrame:
     """Adds token_ids (array<int>, if ``with_ids``), n_tokens, ids_sha256 and decoded_sha256.
 
@@ -199,11 +218,11 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text"
     """
 
     def work() -> Callable[[list[str]], list]:
-        codec = Codec(path, pattern)
+        coder = codec(path, pattern)
 
         def step(texts: list[str]) -> list:
-            encoded = codec.encode(texts)
-            decoded = codec.decode(encoded)
+            encoded = coder.encode(texts)
+            decoded = coder.decode(encoded)
             sha = lambda blobs: [hashlib.sha256(b).hexdigest() for b in blobs]
             made = [[len(b) // 4 for b in encoded], sha(encoded), sha(decoded)]
             if with_ids:
