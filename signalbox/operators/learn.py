@@ -24,6 +24,8 @@ RAIL_FEATURES = ("up_ttnt_1", "down_ttnt_1", "hour", "day_of_week", "is_weekend"
 ROAD_LENGTH = 12
 RISK_LENGTH = 10
 EVENT_LENGTH = 1
+#: Samples of one task of a training: about 150 MB as trees keep 60 features.
+SAMPLES_PER_TASK = 200_000
 
 ARRIVALS = ("up_ttnt_1", "down_ttnt_1")
 _RAIL_SCALES = {c: ARRIVAL_SCALE for c in ARRIVALS}
@@ -54,10 +56,20 @@ EVENT_OUTPUTS = ("delay_duration_minutes", "affected_trains_count")
 
 
 def written(samples: DataFrame) -> DataFrame:
-    """Samples as a table in shared storage: training reads them many times, and they come out of windows."""
-    path = work_dir(samples.sparkSession, "samples")
-    samples.write.parquet(path)
-    return samples.sparkSession.read.parquet(path)
+    """Samples as a table in shared storage: training reads them many times, and they come out of windows.
+
+    A file holds at most SAMPLES_PER_TASK of them and is read by a task of its own. Training keeps what a task reads, many
+    times larger than its file, whose size says little about it. The files are read in a session of their own, where
+    Spark neither joins nor cuts them.
+    """
+    spark, path = samples.sparkSession, work_dir(samples.sparkSession, "samples")
+    samples.write.option("maxRecordsPerFile", SAMPLES_PER_TASK).parquet(path)
+    own = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
+        own.conf.set(name, spark.conf.get(name))
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(name, "1t")
+    return own.read.parquet(path)
 
 
 def regressor(label: str, seed: int, kind: str = "gbt", max_iter: int = 20, max_depth: int = 5) -> Estimator:
