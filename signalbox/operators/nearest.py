@@ -92,20 +92,28 @@ class Boxes:
         first = np.where(there & (d == least[:, None]), tie, np.iinfo(np.int64).max).argmin(1)
         return least, child[np.arange(len(nodes)), first]
 
-    def nearest(self, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distance and number (of the boxes as given) of the nearest box of each point."""
-        out = [self._search(px[a : a + CHUNK], py[a : a + CHUNK]) for a in range(0, len(px), CHUNK)]
+    def nearest(self, px: np.ndarray, py: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance and number (of the boxes as given) of the nearest box of each point.
+
+        ``known`` are distances beyond which nothing is wanted: boxes farther away are left out, and a point without any
+        other has NaN and -1.
+        """
+        part = lambda a: None if known is None else known[a : a + CHUNK]
+        out = [self._search(px[a : a + CHUNK], py[a : a + CHUNK], part(a)) for a in range(0, len(px), CHUNK)]
         if not out:
             return np.empty(0), np.empty(0, np.int64)
-        return np.concatenate([d for d, _ in out]), self.order[np.concatenate([b for _, b in out])]
+        d, best = np.concatenate([d for d, _ in out]), np.concatenate([b for _, b in out])
+        return np.where(best < 0, np.nan, d), np.where(best < 0, -1, self.order[best])
 
-    def _search(self, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, px: np.ndarray, py: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         m, top = len(px), len(self.levels) - 1
-        # Straight down to a leaf: its nearest child is the first bound.
         node = np.zeros(m, np.int64)
+        # Straight down to a leaf: its nearest child is the first bound, unless a nearer one is known.
         for level in range(top, 0, -1):
             _, node = self._best_of(level, node, px, py)
         bound, best = self._best_of(0, node, px, py)
+        if known is not None:
+            best, bound = np.where(bound <= known, best, -1), np.minimum(bound, known)
         if top == 0:
             return bound, best
         home = node
@@ -114,7 +122,7 @@ class Boxes:
         for level in range(top, 0, -1):
             if len(point) * FAN > PAIRS and m > 1:  # far too many ties: half the points at a time
                 half = m // 2
-                parts = [self._search(px[:half], py[:half]), self._search(px[half:], py[half:])]
+                parts = [self._search(px[h], py[h], None if known is None else known[h]) for h in (slice(half), slice(half, None))]
                 return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             child, there = self._children(level, nodes)
             near = there & (self._distance(self.levels[level][:, child], px[point][:, None], py[point][:, None]) <= bound[point][:, None])
@@ -136,7 +144,7 @@ class Boxes:
             p, least, child = p[order], least[order], child[order]
             head = np.r_[True, p[1:] != p[:-1]] if len(p) else np.empty(0, bool)
             p, least, child = p[head], least[head], child[head]
-            better = (least < bound[p]) | (least == bound[p]) & (self.rank[child] < self.rank[best[p]])
+            better = (least < bound[p]) | (least == bound[p]) & ((best[p] < 0) | (self.rank[child] < self.rank[best[p]]))
             bound[p[better]], best[p[better]] = least[better], child[better]
             left = (turn >= first + many) & (d <= bound[point])
             point, nodes, d, turn = point[left], nodes[left], d[left], turn[left]
@@ -272,14 +280,15 @@ def _paged(located: DataFrame, places: DataFrame, count: int, kind: T.DataType)
     numbers = boxes["page"].to_numpy()
     edges = [boxes[c].to_numpy() for c in ("x0", "y0", "x1", "y1")]
     over = lambda: Boxes(*edges, np.arange(len(numbers)))
-    pair = _schema(located, kind, "p", "px", "py", "page", "visited")
+    pair = _schema(located, kind, "p", "px", "py", "d", "page", "visited")
     pair_arrow = to_arrow_schema(pair)
 
     def first_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = over()
         for batch in batches:
             _, number = tree.nearest(_floats(batch.column(1)), _floats(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers[number]), pa.array(np.ones(len(number), np.int64))], schema=pair_arrow)
+            unknown = pa.nulls(len(number), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, unknown, pa.array(numbers[number]), pa.array(np.ones(len(number), np.int64))], schema=pair_arrow)
 
     def next_pages(limit: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +301,7 @@ def _paged(located: DataFrame, places: DataFrame, count: int, kind: T.DataType)
                     pages.append(numbers[near])
                     visited += [seen + len(near)] * len(near)
                 take = pa.array(rows, pa.int64())
-                kept = [batch.column(c).take(take) for c in range(3)]
+                kept = [batch.column(c).take(take) for c in range(4)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(pages) if pages else np.empty(0, np.int64)), pa.array(visited, pa.int64())], schema=pair_arrow)
 
         return run
@@ -306,8 +315,10 @@ def _paged(located: DataFrame, places: DataFrame, count: int, kind: T.DataType)
             return done_arrow.empty_table()
         ids = held.column("v").combine_chunks()
         tree = _tree(_floats(held.column("vx")), _floats(held.column("vy")), ids.to_pylist())
-        d, number = tree.nearest(_floats(asked.column("px")), _floats(asked.column("py")))
-        made = {"d": pa.array(d), "v": ids.take(pa.array(number))}
+        # Pages after the first are searched within what is known; a page without anything as near has NaN and null.
+        known = None if asked.column("d").null_count else _floats(asked.column("d"))
+        d, number = tree.nearest(_floats(asked.column("px")), _floats(asked.column("py")), known)
+        made = {"d": pa.array(d), "v": ids.take(pa.array(number, mask=number < 0))}
         return pa.table({f.name: (made[f.name] if f.name in made else asked.column(f.name)).cast(f.type) for f in done_arrow}, schema=done_arrow)
 
     def visit(pairs: DataFrame) -> DataFrame:

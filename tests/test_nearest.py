@@ -79,3 +79,25 @@ def test_ring_emits_one_row_a_point(spark):
     located = points.select("p", F.col("x").alias("px"), F.col("y").alias("py"))
     places = ring.select("v", F.col("x").alias("vx"), F.col("y").alias("vy"))
     assert nearest._sent(located, places, ring.schema["v"].dataType).count() == 50
+
+
+@pytest.mark.parametrize("kind", ("even", "ring", "same", "grid", "clump"))
+@pytest.mark.parametrize("n", (1, 64, 3000))
+def test_search_within_a_known_distance(kind, n, monkeypatch):
+    """What is no farther than a known distance is found exactly; else nothing is, and only one way down is looked at."""
+    rng = np.random.default_rng(n)
+    v = clouds(kind, n, rng)
+    ids = rng.permutation(n)
+    p = np.concatenate([clouds(kind, 60, rng), rng.normal(0, 1e-3, (40, 2)), v[:20]])
+    tree = nearest.Boxes(v[:, 0], v[:, 1], v[:, 0], v[:, 1], ids)
+    want = brute(p[:, 0], p[:, 1], v[:, 0], v[:, 1], ids)
+    exact = np.array([d for d, _ in want])
+    for known in (exact, exact * 2 + 1e-9):
+        d, b = tree.nearest(p[:, 0], p[:, 1], known)
+        assert list(zip(d, ids[b])) == want
+    looked = []
+    best_of = nearest.Boxes._best_of
+    monkeypatch.setattr(nearest.Boxes, "_best_of", lambda self, level, nodes, px, py: (looked.append(len(nodes)), best_of(self, level, nodes, px, py))[1])
+    far = p + 100.0
+    d, b = tree.nearest(far[:, 0], far[:, 1], np.ones(len(far)))
+    assert np.isnan(d).all() and (b == -1).all() and sum(looked) <= len(far) * len(tree.levels)
