@@ -20,13 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from signalbox.llm.common import map_texts
+from signalbox.llm.common import keep, map_texts
 from signalbox.llm.token_counts import SAFE_SPACE
 
 #: Words, and pieces between safe spaces, whose ids a worker remembers; beyond it forgets those that it learnt first.
 MEMORY = 500_000
 #: Words of one recursion: the sum of their squared lengths, which bounds the rows of all its steps.
-RECURSION_ROWS = 12_000_000
+RECURSION_ROWS = 1_000_000
+#: Bytes of texts that are encoded at a time, and tokens that are decoded in one query; a longer text is one for itself.
+TEXT_BYTES, DECODE_TOKENS = 2 << 20, 1 << 17
 #: Longer words take another recursion, which contracts many pairs a step and keeps at most so many steps at a time.
 LONG_WORD, LONG_STEPS = 256, 32
 
@@ -106,7 +108,7 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
         self._table("merges", pair=pa.array(left * 65536 + right), token=pa.array(token.astype(np.int32)), size=pa.array(size.astype(np.int32)), alone=pa.array(least[token] < token))
         self._table("vocabulary", token=pa.array(ranks.values(), pa.int32()), bytes=pa.array(ranks.keys(), pa.binary()))
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # words of pieces that hold several; one that is a whole piece is kept there alone
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}  # pieces after a space, kept without it
 
@@ -128,6 +130,7 @@ class Codec:
         while len(state):
             self.db.register("bytes", state)
             out = self.db.sql(ENCODE_LONG if long else ENCODE).to_arrow_table()
+            self.db.unregister("bytes")
             word, token = (out.column(c).to_numpy() for c in ("word", "token"))
             ended = np.ones(len(word), bool)
             if long:  # what has used up its steps goes on from where it is
@@ -146,6 +149,10 @@ class Codec:
             _make_room(self.words, wanted)
         words, raw, held = [], [], 0
         for w in new:
+            ids = self.later.get(w[1:]) if w[:1] == " " else None
+            if ids is not None and self.match(w) == [w]:
+                self.words[w] = ids
+                continue
             b = w.encode()
             rank = self.ranks.get(b)
             if rank is not None:
@@ -171,6 +178,9 @@ class Codec:
         ids = self.words.__getitem__
         for p, words in cut.items():
             known[p] = b"".join(map(ids, words))
+        for p, words in cut.items():
+            if lead and words == [lead + p]:
+                self.words.pop(lead + p, None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
@@ -182,6 +192,15 @@ class Codec:
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """For each text's ids its bytes."""
+        out, start, held = [], 0, 0
+        for i, b in enumerate(encoded):
+            if start < i and held + len(b) // 4 > DECODE_TOKENS:
+                out += self._decode(encoded[start:i])
+                start, held = i, 0
+            held += len(b) // 4
+        return out + self._decode(encoded[start:])
+
+    def _decode(self, encoded: list[bytes]) -> list[bytes]:
         sizes = np.array([len(b) // 4 for b in encoded])
         tokens = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
         out = [b""] * len(encoded)
@@ -189,6 +208,7 @@ class Codec:
             return out
         self.db.register("ids", pa.table({"text": np.repeat(np.arange(len(encoded), dtype=np.int32), sizes), "place": np.arange(len(tokens), dtype=np.int32), "token": tokens}))
         found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+        self.db.unregister("ids")
         lists = found.column("bytes").chunk(0) if found.column("bytes").num_chunks else None
         ends, values = lists.offsets.to_numpy(), lists.values
         width = np.int64 if pa.types.is_large_binary(values.type) else np.int32
@@ -199,14 +219,9 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[str, str], Codec] = {}  # a Python worker that runs several tasks remembers their words
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs.clear()
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    """A Python worker that runs several tasks remembers their words."""
+    return keep(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -233,4 +248,4 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text"
         return step
 
     fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else "")
-    return map_texts(df, text, fields, work)
+    return map_texts(df, text, fields, work, ("bpe", path, pattern), TEXT_BYTES)

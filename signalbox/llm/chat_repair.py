@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalbox.llm.common import let_go
 from signalbox.session import work_dir
 
 #: Productions: a conversation C, its pairs of turns P. Terminals are small letters.
@@ -256,6 +257,7 @@ def _pieces(rows: DataFrame) -> DataFrame:
     starts = range(len(automaton().moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         piece = TaskContext.get().partitionId()
         out: list[dict] = []
         held: dict | None = None
@@ -334,6 +336,7 @@ def _chosen(found: DataFrame) -> DataFrame:
     whole = found.groupBy("c").agg(F.sort_array(F.collect_list(F.struct(*names, light.alias("ways")))).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             out = []
             for row in batch.to_pylist():
@@ -380,6 +383,7 @@ class Repair:
             yield letter, row["t"], row["r"], row["x"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
             out: list[list] = []
             head, letters, last, place, digest = None, deque(), "", 0, hashlib.sha256()
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.common import body, keep_others, map_texts, own_prefix
+from signalbox.llm.common import body, keep, keep_others, map_texts, own_prefix
 from signalbox.session import work_dir
 
 WINDOW = 13
@@ -25,7 +25,6 @@ BLOCK_BYTES = 1 << 20
 
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 _WORD = re.compile(rb"[^ ]+")
-_built: dict[tuple[str, int], Scanner] = {}  # a Python worker that runs several tasks builds an automaton once
 
 
 def fold(text: str) -> bytes:
@@ -154,14 +153,11 @@ def _scan(df: DataFrame, text: str, block: list[tuple[str, str]], window: int, n
     key = (uuid.uuid4().hex, window)
 
     def work() -> Callable[[list[str]], list]:
-        scan = _built.get(key)
-        if scan is None:
-            _built.clear()
-            scan = _built[key] = Scanner(block, window)
+        scan = keep(key, lambda: Scanner(block, window))  # a Python worker that runs several tasks builds an automaton once
         return lambda texts: [list(c) for c in zip(*map(scan, texts), strict=True)] if texts else [[], [], []]
 
     n, r, i = names
-    return map_texts(df, text, f"{n} bigint, {r} array<{RUN}>, {i} array<string>", work)
+    return map_texts(df, text, f"{n} bigint, {r} array<{RUN}>, {i} array<string>", work, key)
 
 
 def _scan_blocks(df: DataFrame, text: str, blocks: Blocks, window: int, names: tuple[str, str, str]) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalbox.llm.common import slices
+from signalbox.llm.common import keep, let_go, slices
 from signalbox.llm.token_counts import balanced
 
 #: Ids in a block, but for a longer document, which is a block of its own; ids from one checkpoint to the next.
@@ -146,14 +146,9 @@ def _gathered(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, index: np.n
     return data[np.repeat(ends[index] - out, many) + np.arange(total)], out
 
 
-_encoders: dict[str, Encoder] = {}  # a Python worker that runs several tasks remembers their words
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """A Python worker that runs several tasks remembers their words."""
+    return keep(("huffman", path), lambda: Encoder(path))
 
 
 def by_word(path: str) -> tuple[bool, str]:
@@ -184,6 +179,7 @@ def encode(df: DataFrame, path: str, end_id: int | None, text: str = "text", key
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(("huffman", path))
         words = encoder(path)
         for batch in batches:
             for part in slices(batch, "text"):

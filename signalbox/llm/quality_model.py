@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.common import body, keep_others, map_texts
+from signalbox.llm.common import body, keep_others, let_go, map_texts
 
 BUCKET_BITS, DIMENSIONS, GRAMS = 17, 12, (3, 4, 5)
 BATCH, RATE, SEED = 32, 50.0, 11
@@ -221,6 +221,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     weight = [n[c] / min(n[c], rows_per_class) for c in (0, 1)]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         rows, y = Bags(), []
         for batch in batches:
             for i in range(batch.num_rows):

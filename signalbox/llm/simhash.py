@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.common import map_texts
+from signalbox.llm.common import let_go, map_texts
 from signalbox.llm.components import connected_components
 from signalbox.session import work_dir
 
@@ -219,6 +219,7 @@ def find_links(distinct: DataFrame, max_bits: int = MAX_BITS, max_run: int = MAX
     spark = distinct.sparkSession
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 bits = batch.column(0).slice(at, 1024).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -226,6 +227,7 @@ def find_links(distinct: DataFrame, max_bits: int = MAX_BITS, max_run: int = MAX
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(bits[row].view(np.int64))], names=["key", "bits"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         rows = ((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)) for b in batches)
         for key, a, b in _links(rows, max_bits, max_run):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["key", "a", "b"])
@@ -249,6 +251,7 @@ def find_links(distinct: DataFrame, max_bits: int = MAX_BITS, max_run: int = MAX
     )
 
     def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         rows = ((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)) for b in batches)
         for _, a, b in _links(rows, max_bits, 1 << 62):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalbox.llm.common import let_go
 from signalbox.session import work_dir
 
 #: A vector's entries are floor(SCALE * entry).
@@ -89,6 +90,7 @@ def scatter(fit: DataFrame, dimensions: int) -> Scatter:
     """Of integer vectors ``x`` of equal length. A task sends one matrix, whatever the number of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         n, sums, outer = 0, np.zeros(dimensions, object), np.zeros((dimensions, dimensions), object)
         for batch in batches:
             x = _matrix(batch.column(0), dimensions)
@@ -174,6 +176,7 @@ def characteristic(spark: SparkSession, matrix: list[list[int]]) -> list[int]:
     wanted = primes(2 * bound)
 
     def residues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             out = []
             for i in batch.column(0).to_pylist():
@@ -376,6 +379,7 @@ def _identity_error(distinct: DataFrame, model: Model) -> float:
     k, d = len(model.eigenvalues), model.dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total, outer = np.zeros(k), np.zeros((k, k))
         for batch in batches:
             w = model.whitened(_matrix(batch.column(0), d))  # centred by the exact mean
@@ -407,6 +411,7 @@ def whiten(df: DataFrame, model: Model | None, vector: str = "embedding", key: s
     k, d = len(model.eigenvalues), model.dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             x = _matrix(batch.column(1), d)
             rows = np.repeat(np.arange(len(x)), k)
