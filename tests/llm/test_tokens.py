@@ -4,6 +4,7 @@ import base64
 import hashlib
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -88,3 +89,39 @@ def test_queries(spark, encoding):
     for r in op6_tokens(spark, DATA).collect():
         n = len(tokenizer.encode(rows[r["doc_id"]], add_special_tokens=False))
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(rows[r["doc_id"]].encode()), n, n > 512)
+
+
+def test_a_worker_keeps_its_counter_between_tasks():
+    path = vocabulary(COUNT_VOCABULARY)
+    assert token_counts.counter(path) is token_counts.counter(path)
+
+
+def test_known_pieces_are_not_encoded_again(texts, monkeypatch):
+    path = vocabulary(COUNT_VOCABULARY)
+    count, met = token_counts.Counter(path), []
+    encode = count.encode
+    monkeypatch.setattr(count, "encode", lambda batch: met.extend(batch) or encode(batch))
+    want = count(texts)
+    monkeypatch.setattr(token_counts, "MEMORY", 10)  # more is wanted at once than is remembered
+    met.clear()
+    assert count(texts) == want and met == []
+
+
+def test_pieces_are_those_between_safe_spaces(texts):
+    for some in (texts, ODD, texts[len(ODD):], [], [""], ["x  y"], ["a b c", " ", "é  ü ñ", "", "a b\n c d"]):
+        cut, want = token_counts.Pieces(some), [token_counts.SAFE_SPACE.split(t) for t in some]
+        assert [cut.words[i] for i in cut.at] == [p for c in want for p in c]
+        assert cut.starts.tolist() == [sum(map(len, want[:i])) for i in range(len(want) + 1)]
+        assert np.flatnonzero(cut.leads).tolist() == cut.starts[:-1].tolist()
+
+
+def test_pieces_are_encoded_together_where_their_ends_are_known(texts, monkeypatch):
+    path = vocabulary(COUNT_VOCABULARY)
+    count, met = token_counts.Counter(path), []
+    encode = count.encode
+    monkeypatch.setattr(count, "encode", lambda batch: met.extend(batch) or encode(batch))
+    want = count(texts)
+    assert not any(" " + w in met for t in texts for w in t.split(" ")[1:] if w.isascii() and w.isalpha())
+    alone = token_counts.Counter(path)
+    monkeypatch.setattr(alone, "encode_joined", lambda batch: None)
+    assert alone(texts) == want
