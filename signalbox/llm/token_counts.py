@@ -38,6 +38,11 @@ UNSAFE_SPACE = "(?:^|[^!-~À-ɏ]) | (?:$|[^!-~À-ɏ])"
 Value = TypeVar("Value")
 
 
+def ends_safely(piece: str) -> bool:
+    """Whether a space behind this piece, before another one, is safe."""
+    return "!" <= piece[-1:] <= "~" or "À" <= piece[-1:] <= "ɏ"
+
+
 def make_room(known: dict[str, Value], wanted: set[str], most: int) -> None:
     """Keeps what is wanted and the newest half of ``most``, or as much as leaves room for what is wanted."""
     kept = min(most // 2, max(0, most - len(wanted)))
@@ -162,12 +167,11 @@ class Counter:
         if new and len(known) + len(new) > MEMORY:
             make_room(known, pieces, MEMORY)
         if lead:  # before the space of the next one, a piece with a safe end is cut off in any text
-            safe = [p for p in new if "!" <= p[-1] <= "~" or "À" <= p[-1] <= "ɏ"]
-            for batch in balanced(iter(safe), JOINED_BYTES):
+            for batch in balanced(filter(ends_safely, new), JOINED_BYTES):
                 counts = self.encode_joined([lead + p for p in batch])
                 if counts is not None:
                     known.update(zip(batch, counts, strict=True))
-            new -= known.keys()
+            new = new - known.keys()
         for batch in balanced(iter(new)):
             known.update(zip(batch, self.encode([lead + p for p in batch] if lead else batch), strict=True))
 
