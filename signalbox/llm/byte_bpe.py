@@ -2,8 +2,8 @@
 
 A word (a match of the split pattern) starts as one row for each byte, keyed by its byte offset. Each step of the
 recursion joins neighbouring tokens with the merge table, takes each word's leftmost pair of the smallest rank, and
-contracts it (pairs of bytes that surely merge have done so before); a word without a pair has reached its fixpoint and leaves the recursion. Decoding joins ids with the
-vocabulary and aggregates the bytes of some texts in order.
+contracts it; a word without a pair has reached its fixpoint and leaves the recursion. Pairs of bytes that surely merge
+have done so before the first step. Decoding joins ids with the vocabulary and aggregates the bytes of some texts in order.
 
 A merge table isn't part of a rank file: two tokens merge where their joined bytes are a token, and the rank of the
 merge is that token's.
