@@ -135,42 +135,38 @@ def flatten_road_xml(
     )
     if on_error == "document":
         refused = refused.when(F.exists("__s", bad), "bad number in a valid segment")
-    entries = _entries(docs.withColumn("__why", refused), "__s", keep, payload, "__d.date", "__d.time")
-    entries = entries.withColumn(
-        "__why",
-        F.when(F.col("__why").isNull() & bad(F.col("__e")), "bad number").otherwise(F.col("__why")),
-    )
-    rows = entries.where("__why is null").select(
+    docs = docs.withColumns({"__why": refused, "__date": F.col("__d.date"), "__time": F.col("__d.time")})
+    rows = _entries(docs, keep, "__date", "__time", good=lambda s: ~bad(s)).select(
         *keep,
         F.col("__date").alias("date"),
         F.col("__time").alias("time"),
         _number(F.col("__e.segment_id"), "bigint").alias("segment_id"),
         _number(F.col("__e.speed"), "double").alias("speed"),
     )
-    return Flattened(rows, _rejected(entries, keep, payload))
+    bad_entries = F.transform(F.filter("__s", bad), lambda e: F.struct(F.lit("bad number").alias("why"), e.alias("e")))
+    return Flattened(rows, _rejected(docs, keep, payload, bad_entries))
 
 
-def _entries(docs: DataFrame, array: str, keep, payload: str, *extra: str) -> DataFrame:
-    """One row per array element, and exactly one (without element) for a refused document.
+def _entries(docs: DataFrame, keep: Sequence[str], *extra: str, good=None) -> DataFrame:
+    """One row per good element of the array ``__s`` of an accepted document, with the ``extra`` columns.
 
-    The reason travels inside the exploded value. As a column of the document a filter on it would be
-    pushed below the explode and parse every document a second time.
+    The explode copies the columns beside it into every row, so what it is given has to be small: a column of its own
+    for each value of the document, never the parsed document or a field of it, which would bring the whole along.
+    The array decides what leaves. A filter on the reason would be pushed below the explode and parse every
+    document a second time.
     """
-    nothing = F.get(array, F.lit(-1))
-    good = F.transform(array, lambda e: F.struct(F.lit(None).cast("string").alias("why"), e.alias("e")))
-    refused = F.array(F.struct(F.col("__why").alias("why"), nothing.alias("e")))
-    return docs.select(
-        *keep,
-        *[c for c in (payload,) if c not in keep],
-        *[F.col(e).alias("__" + e.split(".")[-1]) for e in extra],
-        F.explode(F.when(F.col("__why").isNull(), good).otherwise(refused)).alias("__x"),
-    ).withColumns({"__why": F.col("__x.why"), "__e": F.col("__x.e")})
+    found = F.col("__s") if good is None else F.filter("__s", good)
+    return docs.select(*keep, *extra, F.explode(F.when(F.col("__why").isNull(), found)).alias("__e"))
 
 
-def _rejected(entries: DataFrame, keep: Sequence[str], payload: str) -> DataFrame:
+def _rejected(docs: DataFrame, keep: Sequence[str], payload: str, bad: Column | None = None) -> DataFrame:
+    """One row per bad element of an accepted document, and exactly one (without element) for a refused document."""
+    refused = F.array(F.struct(F.col("__why").alias("why"), F.get("__s", F.lit(-1)).alias("e")))
     cols = [*keep, *[c for c in (payload,) if c not in keep]]
-    return entries.where("__why is not null").select(
-        *cols, F.col("__why").alias("reason"), F.to_json("__e").alias("entry")
+    found = F.when(F.col("__why").isNotNull(), refused)
+    found = found if bad is None else found.otherwise(bad)
+    return docs.select(*cols, F.explode(found).alias("__x")).select(
+        *cols, F.col("__x.why").alias("reason"), F.to_json("__x.e").alias("entry")
     )
 
 
@@ -246,13 +242,13 @@ def flatten_rail_json(
     if on_error == "document":
         strict = F.exists("__s", lambda s: unreadable(s, "UP") | unreadable(s, "DOWN"))
         refused = refused.when(strict, "first train without a readable ttnt")
-    entries = _entries(docs.withColumn("__why", refused), "__s", keep, payload, "__d.collected_at")
+    docs = docs.withColumns({"__why": refused, "__stamp": stamp})
     e = F.col("__e")
     board = e["info"]["data"][F.concat_ws("-", e["line"], e["sta"])]
     waiting = [F.coalesce(F.array_size(board[d]), F.lit(0)) for d in ("UP", "DOWN")]
-    rows = entries.where("__why is null").select(
+    rows = _entries(docs, keep, "__stamp").select(
         *keep,
-        stamp_to_timestamp("__collected_at").alias("timestamp"),
+        F.col("__stamp").alias("timestamp"),
         e["line"].alias("line"),
         e["sta"].alias("sta"),
         (F.coalesce(e["info"]["isdelay"], F.lit("N")) == "Y").cast("int").alias("isdelay"),
@@ -260,7 +256,7 @@ def flatten_rail_json(
         arrival(e, "DOWN").alias("down_ttnt_1"),
         (waiting[0] + waiting[1]).alias("trains_listed"),
     )
-    return Flattened(rows, _rejected(entries, keep, payload))
+    return Flattened(rows, _rejected(docs, keep, payload))
 
 
 # ---- writing documents -----------------------------------------------------------------------
@@ -279,14 +275,15 @@ def nest_rail_json(
     If a station occurs twice in a second, the later payload stays: by ``ts``, then the ``order`` columns, then
     the payload's text.
     """
-    later = F.struct(F.col(ts), *[F.col(o) for o in order], F.to_json(payload))
-    keys = df.select(timestamp_to_stamp(ts).alias("collected_at"), line, sta, F.to_json(payload).alias("__j"), later.alias("__o"))
-    once = keys.groupBy("collected_at", line, sta).agg(F.max_by("__j", "__o").alias("__j"))
+    # The text is the last thing compared, so the greatest struct holds it; the columns before it have names of their own.
+    later = F.struct(F.col(ts).alias("__t"), *[F.col(o).alias(f"__{i}") for i, o in enumerate(order)], F.to_json(payload).alias("__j"))
+    keys = df.select(timestamp_to_stamp(ts).alias("collected_at"), line, sta, later.alias("__o"))
+    once = keys.groupBy("collected_at", line, sta).agg(F.max("__o")["__j"].alias("__j"))
     lines = once.groupBy("collected_at", line).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(sta), F.col("__j"))))).alias("stas")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(sta), F.col("__j"))))).alias("stas")
     )
     return lines.groupBy("collected_at").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(line), _object("stas"))))).alias("d")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(line), _object("stas"))))).alias("d")
     ).select(
         "collected_at",
         F.concat(
@@ -299,8 +296,8 @@ def _object(column: str) -> Column:
     """JSON object text from a map of names to JSON texts."""
     fields = F.transform(
         F.map_entries(column),
-        # to_json of a one-field array quotes and escapes the name
-        lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"^\[(.*)\]$", 1), F.lit(":"), e["value"]),
+        # to_json of a one-field array quotes and escapes the name; the quotes end the trimming
+        lambda e: F.concat(F.btrim(F.to_json(F.array(e["key"])), F.lit("[]")), F.lit(":"), e["value"]),
     )
     return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
 

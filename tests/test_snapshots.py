@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import time
 from datetime import datetime
 
@@ -123,6 +124,31 @@ def test_documents_are_parsed_once(spark, policy):
             assert sum(plan.count(c) for c in call) == 1
 
 
+@pytest.mark.parametrize("policy", ["row", "document"])
+def test_rows_do_not_carry_their_document(spark, policy):
+    docs = spark.createDataFrame([("x",)], "value string")
+    for flatten, narrow in ((snapshots.flatten_rail_json, {"__stamp"}), (snapshots.flatten_road_xml, {"__date", "__time"})):
+        plan = flatten(docs, on_error=policy).rows._jdf.queryExecution().executedPlan().toString()
+        (beside,) = re.findall(r"Generate explode\(.*, \[([^\]]*)\], false, \[", plan)
+        assert {re.sub(r"#.*", "", c.strip()) for c in beside.split(",")} == narrow
+
+
+def test_rejected_entries_and_documents(road_docs):
+    flat = snapshots.flatten_road_xml(road_docs, keep=["name"])
+    got = {r["name"]: (r["value"], r["reason"], r["entry"] and json.loads(r["entry"])) for r in flat.rejected.collect()}
+    assert flat.rejected.count() == len(got) == 7
+    assert got["bad"] == (ROAD["bad"], "bad number", {"segment_id": "4", "speed": "fast", "valid": "Y"})
+    assert got["broken"] == (ROAD["broken"], "unreadable document", None)
+
+
+def test_names_with_separators(spark):
+    names = ["a\u2028b", "[x]", 'say "]"', "\u0085"]
+    df = spark.createDataFrame([(datetime(2024, 1, 2, 8), n, n + "s") for n in names], "ts timestamp, line string, sta string")
+    docs = snapshots.nest_rail_json(df.withColumn("p", F.struct(F.lit("Y").alias("isdelay"))), "ts", "line", "sta", "p")
+    rows = snapshots.flatten_rail_json(docs).rows.select("line", "sta", "isdelay").collect()
+    assert sorted(map(tuple, rows)) == sorted((n, n + "s", 1) for n in names)
+
+
 def test_rail_round_trip(spark):
     data = [
         (datetime(2024, 1, 2, 8, m), line, f'{line}"{i}', "Y" if i % 2 else "N", float(i))
